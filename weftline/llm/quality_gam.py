@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     """Fit on at most about ``rows`` labelled documents outside the held-out fold; rows without an id or a label of 0 or 1 take no part."""
     usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out("__id"))
     sample = bounded_sample(usable, "__id", rows)
-    held = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(sample, "__id")
+    held = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), "__id")
     got = with_features(held, "__text").select("features", "__y", "__id").toPandas().sort_values("__id", kind="stable")
     if got.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))

@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, decontaminate, near_dup, quality_gam, secret_scan
+from weftline.llm import ann_ivfpq, byte_bpe, decontaminate, near_dup, pii_surrogates, quality_gam, secret_scan, sharding, toxicity_zstd, unigram_count
 from weftline.llm.common import held_out, table
 
 #: The rank file of the encoding query, from the installed package of public vocabularies.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The model whose pieces the counting query takes.
+PIECES = "piece_bpe_32k.model"
+#: The key of the surrogate query; a deployment gives its own secret.
+KEY = b"weftline-demonstration-key"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +26,25 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE_KINDS], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
 
 
+def op2_ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_ivfpq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 24)
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    new = pii_surrogates.replace(docs, "text", KEY)
+    places = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string")))
+    return new.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(places, ",").alias("entities"))
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
@@ -33,6 +52,11 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram_count.count_tokens(docs, "text", public_tokenizers.path(PIECES)).select("doc_id", "n_tokens", "n_words")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -41,11 +65,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
 
 
+def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_zstd.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity_zstd.score(docs, "text", model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op6_quality_gam, op8_byte_bpe, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ann_ivfpq, op3_near_dup, op4_sharding, op5_pii_surrogates, op6_quality_gam, op7_unigram_count, op8_byte_bpe, op9_toxicity_zstd, op10_decontaminate)}
 
 #: None of these can be written in SQL; tests/llm holds each against a brute-force version, a round trip or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {}
