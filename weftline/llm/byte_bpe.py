@@ -10,19 +10,17 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import appended
+from weftline.llm.common import map_texts
 
 #: Distinct matches that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def _alphabet() -> list[str]:
@@ -68,10 +66,6 @@ class Codec:
                 known[piece] = np.array(out.ids, "<i4").tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4") for pieces in split]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the ids; a character that is split between tokens is whole again once they are joined."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one character of each token; a token that holds part of a character covers the whole of it."""
         ends = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()], dtype=np.int64)
@@ -83,7 +77,7 @@ class Codec:
         return char_of[starts], char_of[ends - 1] + 1
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(data: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(data), pattern)
 
@@ -94,40 +88,41 @@ def _file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False) -> DataFrame:
-    """``df`` with ``ids`` (array of int) and, if asked for, ``starts`` and ``ends`` (characters of each token).
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
+
+
+def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``ids`` (array of int) and, if asked for, ``starts`` and ``ends`` (characters of each token).
 
     A null text counts as empty and gets empty arrays. Rows stay as they are otherwise, repeated ones too; columns
     that have the names of the new ones are replaced. Whole texts are encoded, whatever their length.
     """
     file = _file(df.sparkSession, ranks_path)
-    fields = ["ids", "starts", "ends"] if offsets else ["ids"]
 
-    @F.pandas_udf(", ".join(f"{f} array<int>" for f in fields))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(file.value, pattern)
-        for series in batches:
-            texts = [t or "" for t in series]
-            ids: list = []
-            for at in range(0, len(texts), 256):
-                ids += codec.encode(texts[at : at + 256])
-            out = {"ids": ids}
-            if offsets:
-                spans = [codec.offsets(t, i) for t, i in zip(texts, ids)]
-                out |= {"starts": [s.astype(np.int32) for s, _ in spans], "ends": [e.astype(np.int32) for _, e in spans]}
-            yield pd.DataFrame(out)
-
-    return appended(df, run(F.col(f"`{text}`")), fields)
-
-
-def decode(spark: SparkSession, ids: Column, ranks_path: str, pattern: str) -> Column:
-    """The bytes (binary) of an array of ids; null where the array is null."""
-    file = _file(spark, ranks_path)
-
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         codec = _codec(file.value, pattern)
-        for series in batches:
-            yield pd.Series([None if x is None else codec.decode(np.asarray(x)) for x in series], dtype=object)
 
-    return run(ids)
+        def work(values: list) -> list:
+            texts = [t or "" for t in values]
+            ids = codec.encode(texts)
+            spans = [codec.offsets(t, i) for t, i in zip(texts, ids)] if offsets else []
+            return [_lists(ids), *([_lists([s for s, _ in spans]), _lists([e for _, e in spans])] if offsets else [])]
+
+        return work
+
+    return map_texts(df, text, make, ", ".join(f"{f} array<int>" for f in (["ids", "starts", "ends"] if offsets else ["ids"])), keep, 128)
+
+
+def decode(df: DataFrame, ids: str, ranks_path: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``decoded`` (binary): the bytes of an array of ids; null where that is null.
+
+    A character whose bytes several tokens hold is whole again once they are joined.
+    """
+    file = _file(df.sparkSession, ranks_path)
+
+    def make():
+        token = {r: t for t, r in read_ranks(file.value).items()}.__getitem__
+        return lambda values: [[None if x is None else b"".join(map(token, x)) for x in values]]
+
+    return map_texts(df, ids, make, "decoded binary", keep, 128)

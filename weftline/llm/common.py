@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,15 +39,30 @@ def materialise(df: DataFrame, *partition_cols: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def appended(df: DataFrame, result: Column, fields: list[str]) -> DataFrame:
-    """``df`` with the fields of the struct ``result``; a column of ``df`` that has such a name (in any case) is replaced."""
-    taken = {f.lower() for f in fields}
-    kept = [c for c in df.columns if c.lower() not in taken]
-    tmp = "__result"
-    while tmp in df.columns:
-        tmp += "_"
-    quoted = [F.col(f"`{c}`") for c in kept]
-    return df.select(*quoted, result.alias(tmp)).select(*quoted, *[F.col(f"`{tmp}`.`{f}`").alias(f) for f in fields])
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], schema: str, keep: list[str] | None = None, rows: int = 512) -> DataFrame:
+    """``df`` (or its columns ``keep``) with the fields of ``schema``, worked out from the values of ``column``.
+
+    ``make`` is called once in each task and gives a function from a list of values to a list of columns (Arrow arrays or
+    lists). It gets ``rows`` values at a time, so what a worker holds besides one Arrow batch stays small however long
+    the texts are. A column of ``df`` that has the name of a new one (in any case) is replaced.
+    """
+    new = StructType.fromDDL(schema)
+    taken = {f.name.lower() for f in new}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    out = StructType([df.schema[c] for c in kept] + list(new))
+    types = [to_arrow_type(f.dataType) for f in new]
+    names = [f.name for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(part.column(0).to_pylist()), types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names)
+
+    source = df.select(F.col(f"`{column}`").alias("__value"), *[F.col(f"`{c}`") for c in kept])
+    return source.mapInArrow(run, out)
 
 
 def held_out(doc_id: str | Column) -> Column:

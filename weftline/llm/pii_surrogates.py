@@ -16,11 +16,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftline.llm.common import appended, materialise
+from weftline.llm.common import map_texts, materialise
 
 #: Most redrawn entities that are sent to the tasks whole; beyond, they are joined to the documents that hold them.
 SENT = 100_000
@@ -149,12 +150,13 @@ def render(kind: str, original: str, canonical: str) -> str:
 def _entities(df: DataFrame, text: str) -> DataFrame:
     """The distinct (kind, canonical) of the corpus; copies go within each task, before the shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {(k, c) for t in batch["text"] if t for _, _, k, c in find(t)}
-            yield pd.DataFrame(sorted(seen), columns=["kind", "canonical"], dtype=object)
+            for at in range(0, batch.num_rows, 512):
+                seen = sorted({(k, c) for t in batch.column(0).slice(at, 512).to_pylist() if t for _, _, k, c in find(t)})
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in (0, 1)], ["kind", "canonical"])
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInPandas(run, "kind string, canonical string").distinct()
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "kind string, canonical string").distinct()
 
 
 def _family(kind):
@@ -207,17 +209,10 @@ def replace(df: DataFrame, text: str, key: bytes, doc_id: str = "doc_id") -> Dat
         return ("".join([*parts, t[at:]]) if found else t), told
 
     schema = f"`{text}` string, entities array<struct<kind string, start int, end int, surrogate string>>"
-    frame = lambda pairs: pd.DataFrame({text: pd.Series([p[0] for p in pairs], dtype=object), "entities": [p[1] for p in pairs]})
-    columns = [c for c in df.columns if c.lower() != "entities"]
+    columns = [*[c for c in df.columns if c.lower() != "entities"], "entities"]
     if again.count() <= SENT:
         sent = spark.sparkContext.broadcast({(r["kind"], r["canonical"]): r["attempt"] for r in again.collect()})
-
-        @F.pandas_udf(schema)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for series in batches:
-                yield frame([rewrite(t, sent.value) for t in series])
-
-        return appended(df, run(F.col(f"`{text}`")), [text, "entities"]).select(*columns, "entities")
+        return map_texts(df, text, lambda: lambda texts: list(zip(*(rewrite(t, sent.value) for t in texts))), schema).select(*[F.col(f"`{c}`") for c in columns])
 
     def held_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -227,14 +222,11 @@ def replace(df: DataFrame, text: str, key: bytes, doc_id: str = "doc_id") -> Dat
     named = df.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast(LongType()).alias("id"), F.col(f"`{text}`").alias("text"))
     by_doc = named.mapInPandas(held_by, "id long, kind string, canonical string").join(again, ["kind", "canonical"])
     # A document's own entities only, so the list is bounded by its text.
-    lists = by_doc.distinct().groupBy(F.col("id").alias("__id")).agg(F.to_json(F.collect_list(F.struct("kind", "canonical", "attempt"))).alias("__redrawn"))
-
-    @F.pandas_udf(schema)
-    def run_joined(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        import json
+    lists = by_doc.distinct().groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("__redrawn"))
+    both = df.join(lists, F.col(f"`{doc_id}`").cast(LongType()) == F.col("__id"), "left").withColumn("__pair", F.struct(F.col(f"`{text}`").alias("text"), F.col("__redrawn").alias("redrawn")))
 
-        read = lambda x: {(r["kind"], r["canonical"]): r["attempt"] for r in json.loads(x)} if x else {}
-        return frame([rewrite(t, read(x)) for t, x in zip(texts, lists)])
+    def work(pairs: list) -> list:
+        attempts = lambda p: {(r["kind"], r["canonical"]): r["attempt"] for r in p["redrawn"] or ()}
+        return list(zip(*(rewrite(p["text"], attempts(p)) for p in pairs)))
 
-    joined = df.join(lists, F.col(f"`{doc_id}`").cast(LongType()) == F.col("__id"), "left")
-    return appended(joined, run_joined(F.col(f"`{text}`"), F.col("__redrawn")), [text, "entities"]).select(*columns, "entities")
+    return map_texts(both, "__pair", lambda: work, schema, [c for c in df.columns if c != text]).select(*[F.col(f"`{c}`") for c in columns])

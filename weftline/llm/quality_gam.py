@@ -8,15 +8,14 @@ whole Arrow batches at once. The fit works on a bounded sample of labelled rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import appended, bounded_sample, held_out
+from weftline.llm.common import bounded_sample, held_out, map_texts
 
 #: Most labelled rows that a fit uses; beyond, a sample by a hash of the id.
 FIT_ROWS = 20_000
@@ -141,15 +140,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pair_ro
     return model
 
 
-def with_features(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``features`` (array of double), for every row, null and empty texts too."""
-
-    @F.pandas_udf("features array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            yield pd.DataFrame({"features": [features_of(t) for t in series]})
-
-    return appended(df, run(F.col(f"`{text}`")), ["features"])
+def with_features(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``features`` (array of double), for every row, null and empty texts too."""
+    return map_texts(df, text, lambda: lambda texts: [[features_of(t) for t in texts]], "features array<double>", keep)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Additive:
@@ -157,20 +150,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out("__id"))
     sample = bounded_sample(usable, "__id", rows)
     held = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), "__id")
-    got = with_features(held, "__text").select("features", "__y", "__id").toPandas().sort_values("__id", kind="stable")
+    got = with_features(held, "__text", ["__id", "__y"]).toPandas().sort_values("__id", kind="stable")
     if got.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.vstack(got["features"].to_numpy()), got["__y"].to_numpy(dtype=np.float64))
 
 
-def score(df: DataFrame, text: str, model: Additive) -> DataFrame:
-    """``df`` with ``score``, between 0 and 1, higher where label 1 is likelier; every row gets one, null texts as empty ones."""
+def score(df: DataFrame, text: str, model: Additive, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``score``, between 0 and 1, higher where label 1 is likelier.
+
+    Every row gets one, null texts as empty ones; a column named ``score`` is replaced.
+    """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            x = np.array([features_of(t) for t in series]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"score": sent.value.score(x)})
+    def make():
+        return lambda texts: [pa.array(sent.value.score(np.array([features_of(t) for t in texts]).reshape(-1, len(FEATURES))))]
 
-    return appended(df, run(F.col(f"`{text}`")), ["score"])
+    return map_texts(df, text, make, "score double", keep)

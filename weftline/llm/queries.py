@@ -20,7 +20,7 @@ KEY = b"weftline-demonstration-key"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE_KINDS], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
@@ -48,27 +48,28 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality_gam.score(docs, "text", model)
+    scored = quality_gam.score(docs, "text", model, ["doc_id"])
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op7_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unigram_count.count_tokens(docs, "text", public_tokenizers.path(PIECES)).select("doc_id", "n_tokens", "n_words")
+    return unigram_count.count_tokens(docs, "text", public_tokenizers.path(PIECES), ["doc_id"])
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    back = byte_bpe.decode(spark, F.col("ids"), path, public_tokenizers.PATTERN)
-    digest = ids.select("doc_id", "ids", back.alias("back"))
-    return digest.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), "text", path, public_tokenizers.PATTERN, keep=["doc_id"])
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    back = byte_bpe.decode(told, "ids", path, ["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_zstd.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity_zstd.score(docs, "text", model)
+    scored = toxicity_zstd.score(docs, "text", model, ["doc_id"])
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

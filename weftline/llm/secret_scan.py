@@ -11,13 +11,11 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import appended
+from weftline.llm.common import map_texts
 
 #: Kinds in the order of ties: what patterns alone find, then what decoding confirms.
 BASE_KINDS = ("assign", "access", "hex")
@@ -137,19 +135,17 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(set(out))
 
 
-def scan(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``secrets``: array of struct (kind, start, end), ends exclusive, in code points.
+def scan(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``secrets``: array of struct (kind, start, end), ends exclusive, in code points.
 
     Findings are ordered by start, then by ``KINDS``; spans of several kinds may overlap. A null or empty text has an
     empty array. Repeated rows get equal arrays; a column named ``secrets`` is replaced.
     """
 
-    @F.pandas_udf("secrets array<struct<kind string, start int, end int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            yield pd.DataFrame({"secrets": [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t)] if t else [] for t in series]})
+    def work(texts: list) -> list:
+        return [[[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t)] if t else [] for t in texts]]
 
-    return appended(df, run(F.col(f"`{text}`")), ["secrets"])
+    return map_texts(df, text, lambda: work, "secrets array<struct<kind string, start int, end int>>", keep)
 
 
 def joined(spans: Column) -> Column:
@@ -157,25 +153,21 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _masked(text: str | None, mark: str) -> str | None:
+    spans = find_spans(text) if text else []
+    if not spans:
+        return text
+    parts, at = [], 0
+    for start, _, end in spans:
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
 def redact(df: DataFrame, text: str, mark: str = "[secret]") -> DataFrame:
     """``df`` with each found span of ``text`` replaced by ``mark``; overlapping spans become one. Null texts stay null."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            out = []
-            for t in series:
-                spans = find_spans(t) if t else []
-                if spans:
-                    parts, at = [], 0
-                    for start, _, end in spans:
-                        if end <= at:
-                            continue
-                        if start >= at:
-                            parts += [t[at:start], mark]
-                        at = end
-                    t = "".join([*parts, t[at:]])
-                out.append(t)
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(text, run(F.col(f"`{text}`")))
+    new = map_texts(df, text, lambda: lambda texts: [[_masked(t, mark) for t in texts]], f"`{text}` string")
+    return new.select(*[F.col(f"`{c}`") for c in df.columns])

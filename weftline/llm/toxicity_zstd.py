@@ -12,16 +12,15 @@ The fit uses a bounded sample of labelled documents (``FIT_TOXIC``, ``FIT_ORDINA
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import appended, bounded_sample, held_out
+from weftline.llm.common import bounded_sample, held_out, map_texts
 
 #: Most labelled documents of each kind in the fit.
 FIT_TOXIC, FIT_ORDINARY = 6_000, 12_000
@@ -140,33 +139,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
         model.ordinary, model.toxic = dictionaries(sorted(rows), n[1], n[0])
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def measure():
         own = Compressors(sent.value)
-        for series in batches:
-            yield pd.Series([features_of(own.savings(t)) for t in series])
+        return lambda texts: [[features_of(own.savings(t)) for t in texts]]
 
-    got = held.select("id", "y", measured("text").alias("x")).toPandas().sort_values(["id", "y"], kind="stable")
+    got = map_texts(held, "text", measure, "x array<double>", ["id", "y"]).toPandas().sort_values(["id", "y"], kind="stable")
     held.unpersist()
     x = np.vstack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     calibrate(model, x, got["y"].to_numpy(dtype=np.float64))
     return model
 
 
-def score(df: DataFrame, text: str, model: Model) -> DataFrame:
-    """``df`` with ``score``, between 0 and 1, and ``saved`` (array: bytes saved in each window).
+def score(df: DataFrame, text: str, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``score``, between 0 and 1, and ``saved`` (array: bytes saved in each window).
 
     Every row gets a score from its whole text; null and empty texts have one window without savings. Columns named
     like the new ones are replaced.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double, saved array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         own = Compressors(sent.value)
-        for series in batches:
-            saved = [own.savings(t) for t in series]
+
+        def work(texts: list) -> list:
+            saved = [own.savings(t) for t in texts]
             x = np.array([features_of(s) for s in saved]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"score": sent.value.score(x), "saved": [s.astype(np.int32) for s in saved]})
+            return [pa.array(sent.value.score(x)), [s.astype(np.int32) for s in saved]]
+
+        return work
 
-    return appended(df, run(F.col(f"`{text}`")), ["score", "saved"])
+    return map_texts(df, text, make, "score double, saved array<int>", keep)

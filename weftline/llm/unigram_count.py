@@ -11,17 +11,14 @@ from __future__ import annotations
 import gc
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from weftline.llm.common import appended
+from weftline.llm.common import map_texts
 
 #: Nodes of a trie and remembered pre-tokens before it starts anew, and the longest pre-token that is put in it.
-NODES, LONGEST = 300_000, 64
+NODES, LONGEST = 200_000, 64
 #: The mark that pieces use for a space.
 SPACE = "▁"
 
@@ -97,21 +94,22 @@ class Trie:
         return {}, best, tokens, still
 
 
-def count_tokens(df: DataFrame, text: str, model_path: str) -> DataFrame:
-    """``df`` with ``n_tokens`` (long) and ``n_words`` (long, pre-tokens).
+def count_tokens(df: DataFrame, text: str, model_path: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``n_tokens`` (long) and ``n_words`` (long, pre-tokens).
 
     Null and empty texts have none. Whole texts are counted, whatever their length; repeated rows get equal counts.
     Columns named like the new ones are replaced.
     """
     sent = df.sparkSession.sparkContext.broadcast(read_pieces(model_path))
 
-    @F.pandas_udf("n_tokens long, n_words long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         gc.disable()  # a trie holds no cycles, and to search it for some again and again takes most of the time
         trie, known = Trie(sent.value), {}
-        for series in batches:
+
+        def work(texts: list) -> list:
+            nonlocal trie, known
             tokens, words = [], []
-            for t in series:
+            for t in texts:
                 found = _PRE.findall(t or "")
                 if trie.size > NODES or len(known) > NODES:
                     trie, known = Trie(sent.value), {}
@@ -120,7 +118,8 @@ def count_tokens(df: DataFrame, text: str, model_path: str) -> DataFrame:
                     known[w] = trie.count(SPACE * (len(w) - len(tail)) + tail)
                 tokens.append(sum(map(known.__getitem__, found)))
                 words.append(len(found))
-            yield pd.DataFrame({"n_tokens": tokens, "n_words": words}, dtype="int64")
-        gc.enable()
+            return [tokens, words]
+
+        return work
 
-    return appended(df, run(F.col(f"`{text}`")), ["n_tokens", "n_words"])
+    return map_texts(df, text, make, "n_tokens long, n_words long", keep)
