@@ -28,6 +28,8 @@ from weftline.llm.common import bounded_sample, materialise
 FIT_ROWS, TRIALS, TARGET = 16_384, 256, 0.97
 #: Parts of a vector and codes of a part.
 PARTS, CODES = 16, 256
+#: Up to so many entries every cell is probed.
+PROBE_ALL = 2048
 #: Candidates kept from one block of a cell, and kept for exact scores, for each query.
 PER_BLOCK, RERANK = 48, 256
 #: Rows and queries in one block of a cell.
@@ -106,7 +108,7 @@ def fit(x: np.ndarray, rows: int, k: int) -> Index:
     top = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
     order = np.argsort(np.argsort(-(x[tried] @ centroids.T), axis=1), axis=1)
     place = np.take_along_axis(order, cell[top], axis=1).ravel()
-    probes = int(np.quantile(place, TARGET, method="higher")) + 1 if len(place) else 1
+    probes = int(np.quantile(place, TARGET, method="higher")) + 1 if len(place) and rows > PROBE_ALL else len(centroids)
     return Index(centroids, spread, books, probes)
 
 
