@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import map_texts
 
 #: Distinct matches that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 def _alphabet() -> list[str]:
