@@ -1,0 +1,420 @@
+"""Each training-data operator against a brute-force version, a round trip or held-out accuracy, and on odd tables."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from weftline.llm import ann_ivfpq, byte_bpe, decontaminate, near_dup, pii_surrogates, quality_gam, queries, secret_scan, sharding, toxicity_zstd, unigram_count
+from weftline.llm.common import held_out, map_texts, table, word_hashes
+
+SMALL = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd(spark):
+    """Nulls in any column, empty, blank and very long texts, repeated rows, a clashing column."""
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a text without id", "en", "s", 1), (3, " \n ", None, "s", 3), (4, long, "en", "s", len(long)), (5, "twice the same text here today", "en", "s", 9), (5, "twice the same text here today", "en", "s", 9)]
+    return spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).withColumn("ids", F.lit("clash"))
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- secrets
+
+PRIVATE = bytes.fromhex("3020020100300506032b657004142212") + bytes(18)
+
+
+def spans(text):
+    return [(secret_scan.KINDS[k], text[s:e]) for s, k, e in secret_scan.find_spans(text)]
+
+
+def test_secret_patterns_against_plain_regexes(spark):
+    got = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, FOLDER).collect()}
+    for d in table(spark, FOLDER, "documents").collect():
+        found = []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", d["text"], re.I | re.A):
+            if len(m[2]) >= 8:
+                found.append((m.start(), 0, "assign", m.end()))
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", d["text"]) if len(m[0]) >= 16]
+        found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", d["text"]) if len(m[0]) >= 32]
+        told = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+        assert got[d["doc_id"]]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+
+
+def test_secret_structure():
+    seed = bytes(range(32))
+    der = bytes.fromhex("302e020100300506032b657004220420") + seed
+    code = base64.b64encode(der).decode()
+    assert ("der", code) in spans(f"key {code} end")
+    assert ("der", der.hex()) in spans(f"key {der.hex()} end")
+    assert not [x for x in spans(f"key {base64.b64encode(der[:-1]).decode()} end") if x[0] == "der"]
+    assert not [x for x in spans("key " + base64.b64encode(random.Random(1).randbytes(48)).decode()) if x[0] in ("der", "token")]
+    pem = f"-----BEGIN PRIVATE KEY-----\n{code}\n-----END PRIVATE KEY-----"
+    assert ("pem", pem) in spans(f"x {pem} y")
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.c2lnbmF0dXJl"
+    assert ("token", token) in spans(f"bearer {token}")
+    assert not spans(f"bearer {part({'typ': 'x'})}.{part({'sub': '1'})}.c2lnbmF0dXJl")
+    block = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + block(b"none") + block(b"none") + block(b"") + (1).to_bytes(4, "big") + block(b"p" * 51) + block(b"s" * 136)
+    assert ("openssh", base64.b64encode(ssh).decode().rstrip("=")) in [(k, t.rstrip("=")) for k, t in spans(base64.b64encode(ssh).decode())]
+
+
+def test_secrets_on_odd_tables(spark):
+    rows = secret_scan.scan(odd(spark), "text").collect()
+    assert len(rows) == 7 and all(r["secrets"] == [] for r in rows) and rows[0]["score"] == "clash"
+    assert secret_scan.scan(empty(spark), "text").count() == 0
+    df = spark.createDataFrame([(1, "a password=abcdefgh1 b"), (2, None)], "doc_id long, text string")
+    assert [r["text"] for r in secret_scan.redact(df, "text").orderBy("doc_id").collect()] == ["a [secret] b", None]
+
+
+# --- nearest neighbours
+
+
+def brute(rows, k=20):
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids])
+    out = {}
+    for q in ids[ids % 20 == 0]:
+        s = x @ rows[q]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
+        out[q] = [(ids[i], s[i]) for i in order]
+    return out
+
+
+def test_ann_recall(spark):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in table(spark, FOLDER, "embeddings").collect()}
+    want = brute(rows)
+    got = {}
+    for r in queries.op2_ann_ivfpq(spark, FOLDER).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+    for q, found in got.items():
+        assert all(abs(s - rows[i] @ rows[q]) < 1e-12 for i, s in found)
+
+
+def test_ann_on_odd_tables(spark):
+    v = [[float(i % 7), float(i * i % 11), 1.0 + i] for i in range(30)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(40 + i, v[0]) for i in range(30)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, float("nan"), 0.0]), (103, [1.0, None, 0.0]), (None, v[1]), (104, []), (105, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = {}
+    for r in ann_ivfpq.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute({i: np.array(x) for i, x in rows if i is not None and i < 100})
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}
+    assert ann_ivfpq.search(df.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+    few = ann_ivfpq.search(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0)
+    assert few.count() == 2
+
+
+# --- near-duplicates
+
+
+def brute_classes(rows):
+    def bag(t):
+        w = (t or "").lower().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    first = {}
+    for i, t in sorted((i, t) for i, t in rows if i is not None):
+        first.setdefault(tuple((t or "").lower().split()), i)
+    root = {i: i for i in first.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    bags = {i: bag(" ".join(w)) for w, i in first.items()}
+    held = {}
+    for i, b in bags.items():
+        for g in b:
+            held.setdefault(g, []).append(i)
+    for a, b in {(a, b) for l in held.values() for x, a in enumerate(l) for b in l[x + 1 :]}:
+        low = sum((bags[a] & bags[b]).values())
+        if low >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - low):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(first[tuple((t or "").lower().split())]) for i, t in rows if i is not None}
+
+
+def test_near_dup_against_all_pairs(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = rnd.choices(words, k=rnd.randint(3, 200))
+        for _ in range(rnd.choice([1, 1, 2, 5, 12])):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 1 + len(base) // 60)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_near_dup_of_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SMALL, "documents").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in queries.op3_near_dup(spark, SMALL).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_near_dup_on_odd_tables(spark):
+    got = sorted(((r["doc_id"] or 0, r["class_id"]) for r in near_dup.classes(odd(spark)).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 1), (0, None), (4, 4), (5, 5), (5, 5)], key=str)
+    assert near_dup.classes(empty(spark)).count() == 0
+
+
+def test_dart_signature_estimates_weighted_jaccard():
+    rnd = np.random.default_rng(1)
+    names = rnd.integers(1, 1 << 62, 60).astype(np.uint64)
+    wa, wb = rnd.uniform(0.1, 4, 60), rnd.uniform(0.1, 4, 60)
+    sets = near_dup.signatures(np.concatenate([names, names]), np.concatenate([wa, wb]), np.array([0, 60, 120]), 4096)
+    true = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+    assert abs((sets[0] == sets[1]).mean() - true) < 0.04
+
+
+# --- sharding
+
+
+def test_shards(spark):
+    rows = queries.op4_sharding(spark, FOLDER).toPandas()
+    text = {r["doc_id"]: r["text"] for r in table(spark, FOLDER, "documents").collect()}
+    assert len(rows) == len(text) and set(rows["shard"]) == set(range(24)) and rows["grown_shard"].isna().all()
+    for r in rows.itertuples():
+        raw = text[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    for _, part in rows.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    by = rows.groupby("shard")["size"].sum()
+    assert by.max() - by.min() <= 2 * rows["size"].max()
+    homes = rows.assign(t=rows["doc_id"].map(text)).groupby("t").agg(shards=("shard", "nunique"), size=("size", "sum"))
+    assert (homes["shards"][homes["size"] <= 0.02 * rows["size"].sum() / 24] == 1).all()
+
+
+def test_shards_of_a_hot_group_and_odd_tables(spark):
+    hot = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE concat('text ', id) END AS text")
+    rows = sharding.assign(hot, 24).toPandas()
+    by = rows.groupby("shard")["size"].sum()
+    assert len(by) == 24 and by.max() <= 1.1 * by.mean()
+    out = sharding.assign(odd(spark), 4).collect()
+    assert len(out) == 7 and {r["size"] for r in out if r["doc_id"] in (1, 2)} == {8}
+    assert sharding.assign(empty(spark), 4).count() == 0
+
+
+# --- surrogates
+
+
+def test_surrogates(spark):
+    texts = [
+        (1, "Mail ann.lee@example.com or call +1 (212) 555-0188, card 4111 1111 1111 1111."),
+        (2, "ANN.LEE@EXAMPLE.COM wrote to bob@example.com from 10.20.30.40; Frau Anna Schmidt and Herr Schmidt."),
+        (3, "Nothing here."), (4, None), (5, ""), (3, "Nothing here."), (6, "Госпожа Анна Петрова, DE89370400440532013000"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("entities", F.lit(1))
+    out = {r["doc_id"]: r for r in pii_surrogates.replace(df, "text", b"k").collect()}
+    assert out[3]["text"] == "Nothing here." and out[4]["text"] is None and out[5]["entities"] == []
+    for gone in ("ann.lee", "4111 1111", "555-0188", "10.20.30.40", "Schmidt", "Петрова", "DE8937"):
+        assert all(gone.lower() not in (r["text"] or "").lower() for r in out.values())
+    mail = out[1]["entities"][0]["surrogate"]
+    assert mail.upper() == out[2]["entities"][0]["surrogate"]
+    card = next(e["surrogate"] for e in out[1]["entities"] if e["kind"] == "card")
+    assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", card) and pii_surrogates._luhn(card.replace(" ", ""))
+    assert [e["kind"] for e in out[2]["entities"]][-2:] == ["person-latin-f", "person-latin-m"]
+    person, iban = out[6]["entities"]
+    assert person["kind"] == "person-cyrillic-f" and re.fullmatch("[А-Я][а-я]+ [А-Я][а-я]+", person["surrogate"]) and pii_surrogates._iban_valid(iban["surrogate"])
+    assert pii_surrogates.replace(empty(spark), "text", b"k").count() == 0
+    assert pii_surrogates.replace(odd(spark), "text", b"k").count() == 7
+
+
+def test_surrogates_do_not_collide(spark, monkeypatch):
+    rows = [(i, f"Mr {chr(65 + i // 26)}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}x") for i in range(600)]
+    real = pii_surrogates.surrogate
+    few = lambda key, kind, canonical, attempt: real(key, kind, canonical, attempt) if attempt > 2 else f"name{zlib.crc32(f'{canonical}{attempt}'.encode()) % 50}"
+    monkeypatch.setattr(pii_surrogates, "surrogate", few)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = spark.createDataFrame([("person-latin-m", t[3:].lower()) for _, t in rows], "kind string, canonical string").distinct()
+    again = {r["canonical"]: r["attempt"] for r in pii_surrogates.redrawn(names, b"k").collect()}
+    all_of = [few(b"k", "person-latin-m", r["canonical"], again.get(r["canonical"], 0)) for r in names.collect()]
+    assert len(set(all_of)) == len(all_of) and again
+    sent = [r["text"] for r in pii_surrogates.replace(df, "text", b"k").orderBy("doc_id").collect()]
+    monkeypatch.setattr(pii_surrogates, "SENT", 0)
+    assert [r["text"] for r in pii_surrogates.replace(df, "text", b"k").orderBy("doc_id").collect()] == sent
+
+
+# --- classifiers
+
+
+def test_quality_held_out(spark):
+    rows = queries.op6_quality_gam(spark, FOLDER).join(table(spark, FOLDER, "labels"), "doc_id").where("held_out").toPandas()
+    assert ((rows["score"] >= 0.3) == (rows["quality"] == 1)).mean() >= 0.93
+    assert all((zlib.crc32(str(i).encode()) % 5 == 0) for i in rows["doc_id"])
+
+
+def test_quality_on_odd_tables(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality_gam.train(odd(spark), labels)
+    out = quality_gam.score(odd(spark), "text", model).collect()
+    assert len(out) == 7 and all(0 <= r["score"] <= 1 for r in out)
+    model = quality_gam.train(empty(spark), labels)
+    assert quality_gam.score(empty(spark), "text", model).count() == 0
+
+
+def test_gam_learns_a_pair():
+    x = np.random.default_rng(0).uniform(-1, 1, (4000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality_gam.fit(x, y)
+    assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = queries.op9_toxicity_zstd(spark, folder).join(table(spark, folder, "labels"), "doc_id").where("held_out").toPandas()
+    hit = rows["score"] >= 0.5
+    assert hit[rows["toxic"] == 1].mean() >= 0.7 and hit[rows["toxic"] == 0].mean() <= 0.03
+
+
+def test_toxicity_on_odd_tables(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity_zstd.train(odd(spark), labels)
+    assert all(0 <= r["score"] <= 1 for r in toxicity_zstd.score(odd(spark), "text", model).collect())
+    assert toxicity_zstd.score(empty(spark), "text", model).count() == 0
+
+
+# --- tokens
+
+
+def best_by_hand(pieces, word):
+    best = [(0.0, 0)] + [None] * len(word)
+    for e in range(1, len(word) + 1):
+        options = [(best[e - 1][0] + pieces.unknown, -(best[e - 1][1] + len(word[e - 1].encode())))]
+        options += [(best[s][0] + pieces.score[word[s:e]], -(best[s][1] + 1)) for s in range(e) if word[s:e] in pieces.score]
+        s, n = max(options)
+        best[e] = (s, -n)
+    return best[-1][1]
+
+
+def test_unigram_counts(spark):
+    pieces = unigram_count.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    text = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in queries.op7_unigram_count(spark, SMALL).collect()}
+    for i in list(text)[:25]:
+        words = [w.replace(" ", "▁") if w.isspace() and False else "▁" * (len(w) - len(w.lstrip())) + w.lstrip() for w in re.findall(r"\s*\S+|\s+", text[i])]
+        assert got[i] == sum(best_by_hand(pieces, w) for w in words)
+    trie = unigram_count.Trie(pieces)
+    for w in ("", "▁", "x" * 200, "日本語", "▁▁▁"):
+        assert trie.count(w) == best_by_hand(pieces, w)
+
+
+def test_unigram_on_odd_tables(spark):
+    rows = unigram_count.count_tokens(odd(spark), "text", public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(rows) == 7 and rows[0]["n_tokens"] == 0
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(public_tokenizers.path(queries.RANKS), "rb") as f:
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(f.read()), special_tokens={})
+
+
+def test_bpe_as_the_library(spark, reference):
+    text = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    for r in queries.op8_byte_bpe(spark, SMALL).collect():
+        ids = reference.encode_ordinary(text[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
+
+
+def test_bpe_on_odd_texts(spark, reference):
+    texts = ["aaaa" * 50, "naïve 👩‍👩‍👧 日本語  x", "\r\n\t  ", "<|endoftext|> don't", "=" * 300, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in byte_bpe.encode(df, "t", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, offsets=True).collect():
+        t = texts[r["i"]] or ""
+        assert r["ids"] == reference.encode_ordinary(t)
+        assert not t or (r["starts"][0] == 0 and r["ends"][-1] == len(t) and all(s < e for s, e in zip(r["starts"], r["ends"])))
+    out = byte_bpe.encode(odd(spark), "text", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)
+    assert out.count() == 7 and dict(out.dtypes)["ids"] == "array<int>"
+
+
+# --- decontamination
+
+
+def test_leaks_of_table(spark):
+    items = {r["item_id"]: r["text"] for r in table(spark, FOLDER, "benchmark").collect()}
+    text = {r["doc_id"]: r["text"] for r in table(spark, FOLDER, "documents").collect()}
+    want = {(d, i) for d, t in text.items() for i, x in items.items() if x in t}
+    got = {(r["doc_id"], r["item_id"]): r["lcs_share"] for r in queries.op10_decontaminate(spark, FOLDER).collect()}
+    assert want and want <= set(got)
+    assert all(share >= 0.6 for share in got.values()) and len(set(got) - want) <= 0.1 * len(want)
+
+
+def test_leaks_of_paraphrases(spark):
+    rnd = random.Random(5)
+    words = [f"term{i}" for i in range(3000)]
+    items = [(i, " ".join(rnd.choices(words, k=40))) for i in range(12)]
+    docs = [(100 + i, " ".join(rnd.choices(words, k=300))) for i in range(150)]
+    planted = set()
+    for i, t in items[:8]:
+        w = t.split()
+        for k in rnd.sample(range(30), 5):
+            w[k] = "other"
+        docs.append((i, " ".join(rnd.choices(words, k=90)) + " " + " ".join(w) + " " + " ".join(rnd.choices(words, k=70))))
+        planted.add((i, i))
+    leaks = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == planted
+
+
+def test_lcs():
+    rnd = random.Random(2)
+    for _ in range(100):
+        a, b = rnd.choices(range(5), k=rnd.randint(1, 30)), rnd.choices(range(5), k=rnd.randint(0, 30))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert decontaminate.lcs(decontaminate.masks_of(a), len(a), b) == row[-1]
+
+
+def test_leaks_on_odd_tables(spark):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "twice the same text here today"), (4, "twice the same text here today")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(odd(spark), bench).collect())
+    assert got == [(5, 3), (5, 3), (5, 4), (5, 4)]
+    assert decontaminate.leaks(empty(spark), bench).count() == 0
+    assert decontaminate.leaks(odd(spark), bench.where("item_id < 0")).count() == 0
+
+
+# --- shared
+
+
+def test_word_hashes():
+    texts = ["One two  one", None, "", "\ttwo\nthree ", "é É"]
+    h, b = word_hashes(texts)
+    parts = np.split(h, b[1:-1])
+    assert [len(p) for p in parts] == [3, 0, 0, 2, 2]
+    assert parts[0][0] == parts[0][2] != parts[0][1] == parts[3][0] and parts[4][0] == parts[4][1]
+
+
+def test_map_texts_keeps_other_columns(spark):
+    df = odd(spark)
+    out = map_texts(df, "text", lambda: lambda t: [[len(x or "") for x in t]], "n_CHARS int")
+    assert out.columns == [c for c in df.columns if c != "n_chars"] + ["n_CHARS"] and out.count() == 7
+    assert out.where(held_out("doc_id")).count() >= 0

@@ -31,8 +31,10 @@ PASSAGE, RANK, MORE, HASHED = 64, 24, 8, 1 << 14
 BLOCK_ITEMS = 1024
 #: Window lengths and their step, in words.
 WINDOWS, STEP = (16, 32, 64), 8
+#: Words of an item that count as uncommon at least.
+FEW = 4
 #: Least cosine of a candidate; LCS share that is enough alone, or together with the answer; share of the answer and of uncommon words.
-COSINE, ENOUGH, LEAST, ANSWER = 0.6, 0.8, 0.6, 0.5
+COSINE, ENOUGH, LEAST, ANSWER = 0.4, 0.8, 0.6, 0.5
 
 _SLICE = 256
 
@@ -317,6 +319,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         n = max(1.0, df[-1])
         idf = np.where(df[:-1] > 0.1 * n, 0.0, np.log((n + 1) / (df[:-1] + 1)))
         rare = df[:-1] <= max(1.0, 0.01 * n)
+        for probe in probes:  # an item of common words alone is known by its least common ones
+            if sum(rare[t] for t in probe.terms) < FEW:
+                rare[sorted(set(probe.terms), key=lambda t: df[t])[:FEW]] = True
         space = _latent(tokens, vocabulary, np.where(df[:-1] > 0, idf, 0.0))
         out = out.union(_search(tokens, vocabulary, probes, idf, space, rare))
     return out

@@ -26,7 +26,7 @@ from weftline.llm.common import bounded_sample, held_out, map_texts
 FIT_TOXIC, FIT_ORDINARY = 6_000, 12_000
 #: Words of a window; bytes of the ordinary and of the toxic part; standard score that a word of the toxic part
 #: needs: 0.3 times the root of the toxic documents, within these bounds.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEAST_Z = 16, 60_000, 12_000, (5.0, 12.0)
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEAST_Z = 16, 60_000, 12_000, (8.0, 12.0)
 #: Match finder: short matches count, as one word is what matters.
 _FINDER = dict(strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=4, window_log=17, hash_log=16, chain_log=16, target_length=16)
 
