@@ -1,6 +1,6 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Both dictionaries hold words: those of ordinary text that most documents share, and for the toxic one, besides, those
+Both dictionaries hold words and beginnings of words: those of ordinary text that most documents share, and for the toxic one, besides, those
 that toxic training documents hold far more often than ordinary ones. A document is cut into windows of words; each
 is compressed with either dictionary, and the bytes that the toxic one saves are its evidence. As both share their
 ordinary part, ordinary words cost the same with either, and a window's difference is near zero without toxic words.
@@ -26,7 +26,9 @@ from weftline.llm.common import bounded_sample, held_out, map_texts
 FIT_TOXIC, FIT_ORDINARY = 6_000, 12_000
 #: Words of a window; bytes of the ordinary and of the toxic part; standard score that a word of the toxic part
 #: needs: 0.3 times the root of the toxic documents, within these bounds.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEAST_Z = 16, 60_000, 12_000, (8.0, 12.0)
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEAST_Z = 16, 60_000, 12_000, (7.0, 12.0)
+#: Besides whole words, their beginnings of so many characters can be in a dictionary.
+PREFIXES = (5, 7)
 #: Match finder: short matches count, as one word is what matters.
 _FINDER = dict(strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=4, window_log=17, hash_log=16, chain_log=16, target_length=16)
 
@@ -110,13 +112,21 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 30) -> N
     model.mean, model.scale = x.mean(axis=0), np.maximum(1e-6, x.std(axis=0))
     a = np.hstack([np.ones((len(x), 1)), (x - model.mean) / model.scale])
     w = model.weights.copy()
+    ridge = np.array([1e-6, *[1.0] * x.shape[1]])
+
+    def loss(v: np.ndarray) -> float:
+        z = a @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + (ridge * v * v).sum() / 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        ridge = np.diag([1e-6, *[1.0] * x.shape[1]])
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(ridge + 1e-9), a.T @ (y - p) - ridge * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and not loss(w + size * step) < now:
+            size /= 2
+        if size <= 1e-6:
             break
+        w = w + size * step
     model.weights = w
 
 
@@ -130,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     n = {r["y"]: r["count"] for r in held.groupBy("y").count().collect()}
     model = Model()
     if n.get(1) and n.get(0):
-        words = held.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where("w != ''")
+        split = F.split(F.lower("text"), r"\s+")
+        parts = F.flatten(F.array(split, *[F.transform(F.filter(split, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n)) for n in PREFIXES]))
+        words = held.select("y", F.explode(F.array_distinct(parts)).alias("w")).where("w != ''")
         counted = words.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("o"))
         # What can be in a dictionary: the commonest ordinary words, and those that toxic documents repeat.
         common = counted.orderBy(F.desc("o"), "w").limit(30_000)
