@@ -2,7 +2,7 @@
 
 Centroids and codebooks are fitted on a bounded sample (``FIT_ROWS`` vectors); every vector is indexed. A vector's
 residual is scaled by the spread of its cell before it is quantised, so a cell of near-copies keeps its order as well
-as a wide one. A query probes the cells with the largest inner products; in each it scores codes from a table of the
+as a wide one; the residual's part along the centroid, which large inner products hang on, is kept exactly. A query probes the cells with the largest inner products; in each it scores codes from a table of the
 inner products of its parts with the codebooks (asymmetric: the query itself is not quantised), and the best
 candidates over all cells are scored again on the original vectors.
 
@@ -30,8 +30,8 @@ FIT_ROWS, TRIALS, TARGET = 16_384, 256, 0.97
 PARTS, CODES = 16, 256
 #: Up to so many entries every cell is probed.
 PROBE_ALL = 2048
-#: Candidates kept from one block of a cell, and kept for exact scores, for each query.
-PER_BLOCK, RERANK = 48, 256
+#: Candidates kept from one block of a query's nearest cells (``NEAR_CELLS``) and of its other ones, and kept for exact scores.
+NEAR_CELLS, NEAR_KEPT, KEPT, RERANK = 8, 64, 12, 256
 #: Rows and queries in one block of a cell.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
@@ -65,11 +65,12 @@ class Index:
     books: np.ndarray
     probes: int
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and codes of each vector."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell of each vector, the inner product of its residual with the centroid, and the residual's codes."""
         cell = nearest(x, self.centroids)
+        along = np.einsum("ij,ij->i", x - self.centroids[cell], self.centroids[cell])
         rest = (self._padded(x - self.centroids[cell]) / self.spread[cell, None]).reshape(len(x), len(self.books), -1)
-        return cell, np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, len(self.books)), np.uint8)
+        return cell, along, np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, len(self.books)), np.uint8)
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         width = self.books.shape[0] * self.books.shape[2]
@@ -126,9 +127,9 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     count once. No rows give an empty result. Other columns are not looked at.
     """
     spark = df.sparkSession
-    v = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
-    rows = df.select(F.col(f"`{vec_id}`").cast(LongType()).alias("id"), v.alias("v"), is_query.alias("q"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.select(F.col(f"`{vec_id}`").cast(LongType()).alias("id"), F.col(f"`{vector}`").alias("v"), is_query.alias("q"))
+    kind = dict(rows.dtypes)["v"]
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
     out_schema = "query_id long, rank int, vec_id long, score double"
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -145,43 +146,50 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                cell, codes = index.value.encode(_matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["e", "cell", "codes"])
+                cell, along, codes = index.value.encode(_matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell.astype(np.int32)), pa.array(along), pa.array([c.tobytes() for c in codes], pa.binary())], ["e", "cell", "along", "codes"])
 
-    coded = materialise(entries.select("e", "v").mapInArrow(code, "e long, cell int, codes binary"))
+    coded = materialise(entries.select("e", "v").mapInArrow(code, "e long, cell int, along double, codes binary"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = index.value.nearest_cells(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], ["qe", "v", "cells"])
 
-    asked = entries.where("q").select("e", "v").mapInArrow(probe, "qe long, v array<double>, cells array<int>").select("qe", "v", F.explode("cells").alias("cell"))
+    asked = entries.where("q").select("e", "v").mapInArrow(probe, f"qe long, v {kind}, cells array<int>").select("qe", "v", F.posexplode("cells").alias("place", "cell"))
     asked = materialise(asked)
     # Blocks: sizes are one row for each of at most 4096 cells.
     sizes = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nr")).join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("nq")), "cell")
     sizes = F.broadcast(materialise(sizes))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = coded.join(sizes, "cell").select("cell", block("e", "nr").alias("br"), every("nq").alias("bq"), "e", "codes")
-    right = asked.join(sizes, "cell").select("cell", every("nr").alias("br"), block("qe", "nq").alias("bq"), "qe", "v")
+    left = coded.join(sizes, "cell").select("cell", block("e", "nr").alias("br"), every("nq").alias("bq"), "e", "along", "codes")
+    right = asked.join(sizes, "cell").select("cell", every("nr").alias("br"), block("qe", "nq").alias("bq"), "qe", "v", "place")
 
     def scan(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
         ids, asking = rows.column("e").to_numpy(), queries.column("qe").to_numpy()
         if not len(ids) or not len(asking):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["qe", "e", "near"])
         model, cell = index.value, key[0].as_py()
+        along = rows.column("along").to_numpy()
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-        keep = min(PER_BLOCK, len(ids))
+        keep, near = min(NEAR_KEPT, len(ids)), queries.column("place").to_numpy() < NEAR_CELLS
         out = []
         for at in range(0, len(asking), 64):
             q = _matrix(queries.column("v").slice(at, 64).combine_chunks())
-            tables = model.tables(q)
+            # What a query has along the centroid meets the exact part of the residual; tables score the rest.
+            centroid = model.centroids[cell]
+            level = q @ centroid
+            part = level / max(1e-300, centroid @ centroid)
+            tables = model.tables(q - part[:, None] * centroid)
             score = np.zeros((len(q), len(ids)))
             for p in range(codes.shape[1]):
                 score += tables[:, p, codes[:, p]]
-            score = score * model.spread[cell] + (q @ model.centroids[cell])[:, None]
+            score = score * model.spread[cell] + level[:, None] + part[:, None] * along
             best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            out.append((np.repeat(asking[at : at + 64], keep), ids[best].ravel(), np.take_along_axis(score, best, axis=1).ravel()))
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1), axis=1)
+            row, column = np.nonzero(np.arange(keep) < np.where(near[at : at + 64], NEAR_KEPT, KEPT)[:, None])
+            out.append((asking[at : at + 64][row], ids[best[row, column]], score[row, best[row, column]]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["qe", "e", "near"])
 
     found = left.groupBy("cell", "br", "bq").cogroup(right.groupBy("cell", "br", "bq")).applyInArrow(scan, "qe long, e long, near double")
