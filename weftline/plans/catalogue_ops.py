@@ -86,7 +86,7 @@ def feedback_page(spark, d):
     rows = _events(spark, d).withColumn("rating", _rating()).where("rating = 'like'")
     first = rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("ts"), F.desc("event_id"))))
-    return placed.where("place > 50").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))).select("event_id", "place", "total")
+    return placed.where("place > 50").select("event_id", "place", rows.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 def quota_admission(spark, d):
@@ -138,8 +138,9 @@ def list_tail(spark, d):
 
 def age_buckets(spark, d):
     rows = _events(spark, d)
-    end = F.broadcast(rows.agg(F.max(micros(F.col("ts"))).alias("now")))
-    return rows.crossJoin(end).groupBy(state.age_bucket((F.col("now") - micros(F.col("ts"))) / 1_000_000).alias("age")).agg(F.count(F.lit(1)).alias("events"))
+    end = rows.agg(F.max(micros(F.col("ts")))).scalar()
+    aged = rows.select(state.age_bucket((end - micros(F.col("ts"))) / 1_000_000).alias("age"))
+    return aged.groupBy("age").agg(F.count(F.lit(1)).alias("events"))
 
 
 def session_windows(spark, d):
