@@ -48,8 +48,10 @@ _NUMBER = re.compile(
 )
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.?\s)([A-ZÀ-ÖØ-ÞЀ-Я][\w'’-]*(?: [A-ZÀ-ÖØ-ÞЀ-Я][\w'’-]*){0,2})")
+#: Patterns that begin with a set of characters are scanned fast; what stands before a hit is looked at afterwards.
+_RUN = re.compile(r"[+(0-9][0-9 .()+-]{6,}")
+_IBAN = re.compile(r"[A-Z][A-Z]\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_PERSON = re.compile(r"(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.?\s)([A-ZÀ-ÖØ-ÞЀ-Я][\w'’-]*(?: [A-ZÀ-ÖØ-ÞЀ-Я][\w'’-]*){0,2})")
 _NOT_DIGIT = re.compile(r"\D")
 
 
@@ -61,6 +63,10 @@ def _iban_valid(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _in_word(text: str, at: int) -> bool:
+    return at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, in order and without overlap.
 
@@ -72,15 +78,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if start < at and (m := _MAIL.match(text, start)) and m.end() > at:
             out.append((m.start(), m.end(), "email", m[0].lower()))
         at = text.find("@", at + 1)
-    for m in _NUMBER.finditer(text):
-        kind = m.lastgroup
-        if kind == "card" and not 13 <= len(_NOT_DIGIT.sub("", m[0])) <= 19:
-            continue
-        out.append((m.start(), m.end(), kind, m[0] if kind == "ip" else _NOT_DIGIT.sub("", m[0])))
+    for run in _RUN.finditer(text):
+        for m in _NUMBER.finditer(text, run.start(), run.end() + 2):
+            kind = m.lastgroup
+            out.append((m.start(), m.end(), kind, m[0] if kind == "ip" else _NOT_DIGIT.sub("", m[0])))
     for m in _IBAN.finditer(text):
-        if _iban_valid(code := m[0].replace(" ", "")):
+        if not _in_word(text, m.start()) and _iban_valid(code := m[0].replace(" ", "")):
             out.append((m.start(), m.end(), "iban", code))
     for m in _PERSON.finditer(text):
+        if _in_word(text, m.start()):
+            continue
         script = "cyrillic" if "Ѐ" <= m[3][0] <= "ӿ" else "latin"
         out.append((m.start(3), m.end(3), f"person-{script}-{TITLES[m[1]]}", m[3].lower()))
     kept, end = [], 0
