@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import map_texts
 
 #: Nodes of a trie and remembered pre-tokens before it starts anew, and the longest pre-token that is put in it.
-NODES, LONGEST = 200_000, 64
+NODES, LONGEST = 350_000, 64
 #: The mark that pieces use for a space.
 SPACE = "▁"
 
@@ -49,7 +49,7 @@ def read_pieces(path: str) -> Pieces:
 
 
 class Trie:
-    """Nodes are (children, score, tokens, open): ``open`` has the pieces that the prefix may be in the middle of.
+    """Nodes are [children, score, tokens, open]: ``open`` has the pieces that the prefix may be in the middle of.
 
     ``count`` walks a pre-token, adds the nodes that it lacks and returns the tokens of its last one.
     """
@@ -62,36 +62,56 @@ class Trie:
             for char in name[:-1]:
                 node = node.setdefault(char, [{}, None])[0]
             node.setdefault(name[-1], [{}, None])[1] = score
-        self.root: tuple = ({}, 0.0, 0, ())
+        self.root: list = [None, 0.0, 0, ()]
 
     def count(self, word: str) -> int:
-        node = self.root
-        if len(word) > LONGEST:  # not kept: only the last state is needed
-            for char in word:
-                node = self._after(node, char)
-            return node[2]
+        node, at = self.root, 0
         for char in word:
-            below = node[0].get(char)
+            below = node[0].get(char) if node[0] else None
             if below is None:
-                below = node[0][char] = self._after(node, char)
-                self.size += 1
+                return self._extend(node, word[at:], len(word) <= LONGEST)
             node = below
+            at += 1
         return node[2]
 
-    def _after(self, node: tuple, char: str) -> tuple:
-        """The state one character on: best score and tokens; of equal scores, the fewer tokens."""
+    def _extend(self, node: list, rest: str, keep: bool) -> int:
+        """Add nodes for the characters after ``node`` (only its own count is wanted if not ``keep``); tokens of the last.
+
+        Each has the best score and tokens so far; of equal scores, the fewer tokens.
+        """
+        first, unknown = self.pieces, self.unknown
         _, score, n, going = node
-        best, tokens, still = score + self.unknown, n + len(char.encode("utf-8", "surrogatepass")), []
-        for pieces, before, m in (*going, (self.pieces, score, n)):
-            found = pieces.get(char)
+        for char in rest:
+            best, tokens, still = score + unknown, n + (1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))), []
+            for pieces, before, m in going:
+                found = pieces.get(char)
+                if found is not None:
+                    value = found[1]
+                    if value is not None:
+                        value += before
+                        if value > best or value == best and m + 1 < tokens:
+                            best, tokens = value, m + 1
+                    if found[0]:
+                        still.append((found[0], before, m))
+            found = first.get(char)
             if found is not None:
-                if found[1] is not None:
-                    s = before + found[1]
-                    if s > best or s == best and m + 1 < tokens:
-                        best, tokens = s, m + 1
+                value = found[1]
+                if value is not None:
+                    value += score
+                    if value > best or value == best and n + 1 < tokens:
+                        best, tokens = value, n + 1
                 if found[0]:
-                    still.append((found[0], before, m))
-        return {}, best, tokens, still
+                    still.append((found[0], score, n))
+            score, n, going = best, tokens, still
+            if keep:
+                below = [None, score, n, going]
+                if node[0] is None:
+                    node[0] = {char: below}
+                else:
+                    node[0][char] = below
+                node = below
+                self.size += 1
+        return n
 
 
 def count_tokens(df: DataFrame, text: str, model_path: str, keep: list[str] | None = None) -> DataFrame:
