@@ -25,7 +25,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, that with the least id; a class without ids cannot be told apart and stays."""
     kept = near_dup.classes(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = materialise(kept)
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    out = docs.hint("merge").join(kept.select("doc_id"), "doc_id", "left_semi")  # as many ids as documents: no broadcast
     if not kept.where("n > 1").isEmpty():  # repeated rows
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
@@ -34,7 +34,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    return docs.hint("merge").join(leaking, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,13 +100,29 @@ _MARK = np.ones(256, dtype=bool)
 _MARK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
 
+#: Bytes of text that are hashed at a time; what this needs in memory is some sixty times as much.
+HASH_BYTES = 1 << 20
+
+
 def word_hashes(texts: list[str | None], marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of all texts (split at ASCII white space), and where each text's begin and end.
 
     One polynomial hash of the joined bytes gives every word's hash by a difference; nothing runs per word. Without
     ``marks``, words that are a single mark of punctuation are left out.
     """
-    coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    parts, bounds, held, size = [], [0], [], 0
+    for last, t in enumerate(texts, 1):
+        held.append((t or "").lower().encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= HASH_BYTES or last == len(texts):
+            hashes, places = _hashed(held, marks)
+            bounds += (places[1:] + bounds[-1]).tolist()
+            parts.append(hashes)
+            held, size = [], 0
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array(bounds)
+
+
+def _hashed(coded: list[bytes], marks: bool) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join([b"", *coded, b""]), np.uint8)
     space = _SPACE[raw]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
