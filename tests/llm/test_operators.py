@@ -170,6 +170,25 @@ def test_near_dup_against_all_pairs(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dup_links_in_a_large_mixed_group(spark):
+    """Most of the group is less alike than 0.8 but shares buckets; few pairs are links."""
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(1000)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for k in rnd.sample(range(0, 1000, 5), 13):
+            own[k] = f"own{i}x{k}"
+        texts.append(" ".join(own))
+        if i % 3 == 0:
+            for k in rnd.sample(range(2, 1000, 5), 20):
+                own[k] = f"twin{i}x{k}"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) > 80
+
+
 def test_near_dup_of_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SMALL, "documents").collect()]
     got = {r["doc_id"]: r["class_id"] for r in queries.op3_near_dup(spark, SMALL).collect()}

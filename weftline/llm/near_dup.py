@@ -7,10 +7,10 @@ total weight are thrown, so the work is linear in the shingles and not in shingl
 each coordinate is the signature, and the share of equal coordinates estimates the weighted Jaccard similarity.
 
 Signatures are joined by bands. Copies are collapsed first. All pairs of a small bucket are verified on the shingles
-themselves. In a large one all members meet a leader, chosen by a hash that differs by band, so that a large group
-meets many; buckets that then still hold several classes are dealt out anew by two bands together, other two and with
-other leaders in each of ``TURNS`` turns. No group is ever expanded to all its pairs: the work of a turn is linear in
-the members of mixed buckets.
+themselves. In a large one all members first meet a leader, chosen by a hash that differs by band. Classes that still
+share a large bucket are then compared in full, every text with every text of another class, in blocks: a product of
+two blocks counts the shingles that all their pairs share, and only links that join classes leave a task. Blocks are
+paired without a shuffle, so disk grows with the texts; the products grow with the square of a group that no leader joined.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -29,10 +30,12 @@ from weftline.llm.common import materialise, mix, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 K = BANDS * BAND_ROWS
-#: Up to so many members, all pairs of a bucket are verified; in larger ones members meet a leader.
+#: Up to so many members, all pairs of a bucket are verified; in larger ones members meet a leader, then all of other classes.
 SMALL = 8
-#: Times that buckets which hold several classes are dealt out anew.
-TURNS = 3
+#: Texts and shingles of a block at most (a longer text is a block of its own); shingles of a product at a time.
+BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 17, 4096
+#: Blocks of a group that one task may pair; those of a larger group are paired by many tasks.
+OF_ONE_TASK = 8
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,15 +203,108 @@ def components(edges: DataFrame) -> DataFrame:
     return star.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
 
 
-def _finer(members: DataFrame, turn: int) -> DataFrame:
-    """(id, root, bands) of the members of mixed buckets, to pairs (a, b) of different classes to verify.
+_BLOCK = "comp long, rest boolean, no long, roots binary, sizes binary, names binary"
 
-    Two bands together make a finer key, others in every turn; the members of such a bucket meet one of them.
-    """
-    shifted = F.concat(F.slice("bands", turn + 1, BANDS), F.slice("bands", 1, turn))
-    keys = members.select("id", "root", F.explode(F.zip_with("bands", shifted, lambda x, y: F.xxhash64(x, y, F.lit(turn)))).alias("key"))
-    lead = keys.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", "key")).alias("l"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", F.col("l.id").alias("a"), F.col("l.root").alias("ra"))
-    return keys.join(lead, "key").where("root != ra").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(comp, rest, root, id, shingles) to blocks of texts of one ``comp`` and ``rest``; a shingle that counts n is n names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, head, roots, names, held = TaskContext.get().partitionId() << 32, 0, None, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in names], np.int64)
+            row = [*head, part + made, np.array(roots, np.int64).tobytes(), sizes.tobytes(), np.concatenate(names).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["comp", "rest", "no", "roots", "sizes", "names"])
+
+        for batch in batches:
+            for comp, rest, root, data in zip(*(c.to_pylist() for c in batch.columns)):
+                short, counts = _unpack(data)
+                strip = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                own = np.repeat(short.astype(np.uint64), counts) << np.uint64(32) | strip.astype(np.uint64)
+                if roots and (head != (comp, rest) or len(roots) == BLOCK_TEXTS or held + len(own) > BLOCK_SHINGLES):
+                    yield block()
+                    made, roots, names, held = made + 1, [], [], 0
+                head, held = (comp, rest), held + len(own)
+                roots.append(root)
+                names.append(own)
+        if roots:
+            yield block()
+
+    order = ["comp", "rest", "root", "id"]
+    return members.repartitionByRange(*order).sortWithinPartitions(*order).select("comp", "rest", "root", "shingles").mapInArrow(run, _BLOCK)
+
+
+def _shared_names(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """How many names each text of one block shares with each of another."""
+    common, out = np.intersect1d(a, b), np.zeros((len(sizes_a), len(sizes_b)), np.float32)
+    sides = []
+    for names, sizes in ((a, sizes_a), (b, sizes_b)):
+        place = np.searchsorted(common, names)
+        on = place < len(common)
+        on[on] = common[place[on]] == names[on]
+        owner, place = np.repeat(np.arange(len(sizes)), sizes)[on], place[on]
+        order = np.argsort(place, kind="stable")
+        sides.append((owner[order], place[order], len(sizes)))
+    for at in range(0, len(common), COLUMNS):
+        both = []
+        for owner, place, n in sides:
+            low, high = np.searchsorted(place, [at, at + COLUMNS])
+            one = np.zeros((n, min(COLUMNS, len(common) - at)), np.float32)
+            one[owner[low:high], place[low:high] - at] = 1
+            both.append(one)
+        out += both[0] @ both[1].T
+    return out
+
+
+def _joining(left: tuple, right: tuple) -> list[tuple[int, int]]:
+    """Pairs of classes that links between two blocks (roots, sizes, names) join; a pair that others imply is left out."""
+    (ra, na, a), (rb, nb, b) = ([np.frombuffer(x, t) for x, t in zip(side, (np.int64, np.int64, np.uint64))] for side in (left, right))
+    low = _shared_names(a, na, b, nb).astype(np.float64)
+    i, j = np.nonzero((low / (na[:, None] + nb[None, :] - low) >= THRESHOLD) & (ra[:, None] != rb[None, :]))
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for x, y in np.unique(np.stack([ra[i], rb[j]], axis=1), axis=0).tolist():
+        if (p := top(x)) != (q := top(y)):
+            parent[p] = q
+            out.append((x, y))
+    return out
+
+
+def _between(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes to join: of all links between members of classes that share a large bucket, directly or by way of others."""
+    rooted = large.join(final, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    seen = materialise(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
+    low = seen.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "low")
+    comps = materialise(components(seen.join(low, "key").where("root != low").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()))
+    comps = materialise(comps.select(F.col("id").alias("root"), F.col("root").alias("comp")).union(comps.select(F.col("root").alias("root"), F.col("root").alias("comp"))).distinct())
+    members = materialise(rooted.select("id", "root").distinct().join(comps, "root"))
+    widest = members.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("widest"), F.sum("n").alias("n"))
+    told = members.join(widest, "comp").withColumn("rest", (F.col("root") != F.col("widest")) | (F.col("n") <= BLOCK_TEXTS)).join(sets, "id")
+    blocks = materialise(_blocks(told.select("comp", "rest", "root", "id", "shingles")))
+    sized = blocks.join(blocks.groupBy("comp").agg(F.count(F.lit(1)).alias("n_blocks")), "comp")
+    once = F.expr("a.comp = b.comp AND a.rest AND (NOT b.rest OR a.no <= b.no)")
+    few, many = sized.where(F.col("n_blocks") <= OF_ONE_TASK), materialise(sized.where(F.col("n_blocks") > OF_ONE_TASK))
+    columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("roots", "sizes", "names")]
+    pairs = few.alias("a").join(few.alias("b").hint("merge"), once).select(*columns)
+    if n := many.count():
+        many = many.repartition(-(-n // 4))  # few blocks a partition, so that a task holds few at a time
+        pairs = pairs.union(many.alias("a").join(many.alias("b").hint("shuffle_replicate_nl"), once).select(*columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = [c[at].as_py() for c in batch.columns]
+                found = _joining(row[:3], row[3:])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,17 +332,9 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     links = materialise(_verified(pairs, sets))
     final = materialise(components(links))
     large = shared.where(F.col("n") > SMALL).select("key", "id")
-    sets = materialise(sets.join(large.select("id").distinct(), "id", "left_semi"))
-    for turn in range(1, TURNS + 1):
-        rooted = large.join(final, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        members = rooted.join(mixed, "key", "left_semi").select("id", "root").distinct()
-        more = materialise(_verified(_finer(members.join(nodes.select("id", "bands"), "id"), turn), sets))
-        if more.isEmpty():
-            break
+    between = materialise(_between(large, final, sets))
+    if not between.isEmpty():
         # Classes that the new links join: components of a graph of class names only.
-        name = lambda c: final.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-        between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         renamed = materialise(components(between))
         onward = final.join(renamed.select(F.col("id").alias("root"), F.col("root").alias("now")), "root", "left").select("id", F.coalesce("now", "root").alias("root"))
         final = materialise(onward.unionByName(renamed))
