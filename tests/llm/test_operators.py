@@ -400,6 +400,19 @@ def test_leaks_of_paraphrases(spark):
     assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == planted
 
 
+def test_leaks_of_common_items_and_small_tables(spark):
+    rnd = random.Random(6)
+    words = [f"term{i}" for i in range(3000)]
+    said = " ".join(rnd.sample(words, 40))
+    docs = [(i, " ".join([*rnd.choices(words, k=20), *([said] if i % 2 else []), *rnd.choices(words, k=20)])) for i in range(60)]
+    found = lambda docs, items: {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found(docs, [(1, said)]) == {(i, 1) for i in range(60) if i % 2}
+    assert found(docs[:3], [(1, said)]) == {(1, 1)}
+    long = rnd.sample(words, 160)
+    docs = [(i, " ".join(rnd.choices(words, k=300))) for i in range(60)] + [(100, " ".join(rnd.choices(words, k=80) + long[128:] + rnd.choices(words, k=80))), (101, " ".join(rnd.choices(words, k=80) + long[96:] + rnd.choices(words, k=80)))]
+    assert found(docs, [(1, " ".join(long))]) == {(101, 1)}
+
+
 def test_lcs():
     rnd = random.Random(2)
     for _ in range(100):

@@ -3,7 +3,7 @@
 Documents are cut into passages of 64 words. A distributed randomised SVD of the TF-IDF matrix of all passages gives
 a latent space: every task multiplies its passages with a random matrix and back (one pass; only vocabulary-by-rank
 sums meet, never passages). Benchmark items and sliding windows of documents are folded into that space; windows near
-an item by cosine are compared with it by longest common subsequence of words, and those that match only in part
+an item by cosine (by words alone, where most of an item's words stand in a tenth of all passages) are compared with it by longest common subsequence of words, and those that match only in part
 must also contain the item's answer (its last words, unless a column names it), so that paraphrases are kept apart
 from texts of the same subject.
 
@@ -31,8 +31,8 @@ PASSAGE, RANK, MORE, HASHED = 64, 24, 8, 1 << 14
 BLOCK_ITEMS = 1024
 #: Window lengths and their step, in words.
 WINDOWS, STEP = (16, 32, 64), 8
-#: Words of an item that count as uncommon at least.
-FEW = 4
+#: Words of an item that count as uncommon at least; least share of its words with a weight for which the cosine tells anything.
+FEW, TOLD = 4, 0.25
 #: Least cosine of a candidate; LCS share that is enough alone, or together with the answer; share of the answer and of uncommon words.
 COSINE, ENOUGH, LEAST, ANSWER = 0.4, 0.8, 0.6, 0.5
 
@@ -76,12 +76,12 @@ class Probe:
 
 
 def probes_of(rows: list, vocabulary: Vocabulary) -> list[Probe]:
-    """Items up to 96 words are one probe, longer ones a probe for each 64 words; items without words none."""
+    """Items of under 96 words are one probe, longer ones a probe for each 64 words and for the last 64; items without words none."""
     terms = lambda text: vocabulary.of(word_hashes([text], marks=False)[0]).tolist()
     out = []
     for item, text, answer in rows:
         words, told = terms(text), terms(answer)
-        parts = [words] if len(words) < 96 else [words[i : i + PASSAGE] for i in range(0, len(words) - PASSAGE // 2, PASSAGE)]
+        parts = [words] if len(words) < 96 else [words[i : i + PASSAGE] for i in [*range(0, len(words) - PASSAGE, PASSAGE), len(words) - PASSAGE]]
         out += [Probe(item, p, told or p[-max(3, len(p) // 5) :], min(WINDOWS, key=lambda s: abs(np.log(s / len(p))))) for p in parts if p]
     return out
 
@@ -239,6 +239,7 @@ def _search(tokens: DataFrame, vocabulary: Vocabulary, probes: list[Probe], idf:
     unit = lambda v: v / np.maximum(1e-12, np.linalg.norm(v, axis=-1, keepdims=True))
     vectors = np.array([unit(folded[p.terms].sum(axis=0)) for p in probes])
     uncommon = [sum(rare[t] for t in p.terms) for p in probes]
+    plain = np.array([sum(idf[t] > 0 for t in p.terms) < max(FEW, TOLD * len(p.terms)) for p in probes])
     by_window = {s: [k for k, p in enumerate(probes) if p.window == s] for s in WINDOWS}
     gate = {s: max(1, int(ANSWER * min(uncommon[k] for k in ks))) for s, ks in by_window.items() if ks}
     sent = spark.sparkContext.broadcast((folded, vectors, [(p, masks_of(p.terms), masks_of(p.answer)) for p in probes], uncommon, rare))
@@ -270,9 +271,12 @@ def _search(tokens: DataFrame, vocabulary: Vocabulary, probes: list[Probe], idf:
                         sums = folded[np.where(inside, terms[np.minimum(place, len(terms) - 1)], none)].sum(axis=1)
                         cosine = unit(sums) @ vectors[by_window[s]].T
                         hits = in_own[end[few]] - in_own[begin[few]]
-                        pair_i, pair_k = np.nonzero((cosine >= COSINE) & (hits[:, None] >= need[s]))
-                        shown = np.where(inside, terms[np.minimum(place, len(terms) - 1)], own)[pair_i]
-                        both = member[s][pair_k[:, None], np.minimum(shown, own)].sum(axis=1) >= need[s][pair_k]
+                        # Items of words that are everywhere have no direction; their windows are chosen by words alone.
+                        pair_i, pair_k = np.nonzero(((cosine >= COSINE) | plain[by_window[s]]) & (hits[:, None] >= need[s]))
+                        shown, both = np.minimum(np.where(inside, terms[np.minimum(place, len(terms) - 1)], own), own), np.zeros(len(pair_i), bool)
+                        for x in range(0, len(pair_i), 1 << 14):
+                            i, k = pair_i[x : x + (1 << 14)], pair_k[x : x + (1 << 14)]
+                            both[x : x + (1 << 14)] = member[s][k[:, None], shown[i]].sum(axis=1) >= need[s][k]
                         for i, k in zip(pair_i[both], pair_k[both]):
                             w, probe = few[i], by_window[s][k]
                             p, places, answer = held[probe]
