@@ -74,6 +74,35 @@ def test_secret_structure():
     assert ("openssh", base64.b64encode(ssh).decode().rstrip("=")) in [(k, t.rstrip("=")) for k, t in spans(base64.b64encode(ssh).decode())]
 
 
+def test_secret_encodings():
+    def der(tag, *parts):
+        body = b"".join(parts)
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+    code = lambda data: base64.b64encode(data).decode()
+    lines = lambda data, end="\n": end.join(re.findall(".{1,64}", code(data)))
+    kinds = lambda text: [k for k, _ in spans(text)]
+    locked = der(0x30, der(0x30, der(0x06, bytes.fromhex("2a864886f70d01050d")), der(0x30)), der(0x04, bytes(range(200))))
+    digest = der(0x30, der(0x30, der(0x06, bytes.fromhex("608648016503040201")), der(0x05)), der(0x04, bytes(range(32))))
+    dsa = der(0x30, der(2, b"\0"), der(2, bytes(range(1, 129))), *[der(2, bytes(range(1, 21)))] * 4)
+    for label, data in (("ENCRYPTED PRIVATE KEY", locked), ("DSA PRIVATE KEY", dsa)):
+        for end in ("\n", "\\n"):
+            pem = f"-----BEGIN {label}-----{end}{lines(data, end)}{end}-----END {label}-----{end}"
+            assert "pem" in kinds(f"x {pem} y")
+    assert not kinds(f"x {code(digest)} y")
+    for end in ("\n", "\r\n", "\n  ", "\\n"):
+        assert ("der", lines(dsa, end)) in spans(f"key {lines(dsa, end)}{end}and more")
+    block = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + block(b"none") + block(b"none") + block(b"") + (1).to_bytes(4, "big") + block(b"p" * 51) + block(b"s" * 136)
+    assert ("openssh", lines(ssh)) in spans(f"key {lines(ssh)}\n")
+    small = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
+    assert ("der", small.hex().upper()) in spans(f"key {small.hex().upper()} end")
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2lnbmF0dXJl"
+    assert ("token", token) in spans(f"at longhost.name.{token} end")
+
+
 def test_secrets_on_odd_tables(spark):
     rows = secret_scan.scan(odd(spark), "text").collect()
     assert len(rows) == 7 and all(r["secrets"] == [] for r in rows) and rows[0]["score"] == "clash"

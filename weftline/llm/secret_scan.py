@@ -26,7 +26,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+#: Hex in upper or mixed case that may be DER or OpenSSH; it is no base kind.
+_HEX_KEY = re.compile(r"(?:30|6[fF]70)[0-9A-Fa-f]{30,}")
+#: Where a key over several lines may begin, its pieces, and the line ends between them, escaped or not.
+_WRAPPED = re.compile(r"(?:M[C-I]|b3)[A-Za-z0-9+/_-]{14,}[ \t]*(?=[\r\n\\])")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+#: A token may begin at each part of a dotted run.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(e[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*))")
+#: Object identifiers of PKCS#5 and PKCS#12 encryption, without their last numbers.
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _from_base64(run: str) -> bytes | None:
@@ -64,16 +73,21 @@ def _fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None
 
 
 def is_private_der(data: bytes) -> bool:
-    """Whether ``data`` is exactly one PKCS#1, PKCS#8 or SEC1 private key."""
+    """Whether ``data`` is exactly one PKCS#1, PKCS#8 (plain or encrypted), DSA or SEC1 private key."""
     outer = _tlv(data, 0, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
     fields = _fields(data, *outer[1:])
+    if fields and [t for t, _, _ in fields] == [0x30, 0x04]:
+        inner = _fields(data, *fields[0][1:])
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(_ENCRYPTION)
     if not fields or fields[0][0] != 0x02 or fields[0][2] - fields[0][1] != 1:
         return False
     tags = [t for t, _, _ in fields]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True
+    if tags == [0x02] * 6 and fields[1][2] - fields[1][1] >= 64:
+        return True
     if len(tags) >= 3 and tags[1:3] == [0x30, 0x04]:
         inner = _fields(data, *fields[1][1:])
         return bool(inner) and inner[0][0] == 0x06
@@ -116,6 +130,34 @@ def _of_key(data: bytes | None) -> str | None:
     return "der" if is_private_der(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _wrapped_key(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of the key over several lines that begins at ``start``; the length in its head tells where it ends."""
+    head = _from_base64(text[start : start + 16]) or b""
+    if head.startswith(b"openssh-key"):
+        need = None
+    elif head[:1] == b"\x30" and len(head) > 6:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        if n > 4:
+            return None
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        need = -(-size * 4 // 3)
+    else:
+        return None
+    parts, held, at = [], 0, start
+    while piece := _PIECE.match(text, at):
+        parts.append(piece[0])
+        held, at = held + len(piece[0]), piece.end()
+        if need is not None and held > need:
+            return None
+        if (held == need or need is None) and (kind := _of_key(_from_base64("".join(parts)))):
+            pad = re.compile("={0,2}").match(text, at)
+            return (kind, pad.end()) if len(parts) > 1 else None
+        if held == need or not (end := _BREAK.match(text, at)):
+            return None
+        at = end.end()
+    return None
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind's place in KINDS, end)`` of every finding, in order."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
@@ -125,13 +167,19 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         out.append((m.start(), 2, m.end()))
         if (m.end() - m.start()) % 2 == 0 and (kind := _of_key(bytes.fromhex(m[0]))):
             out.append((m.start(), KINDS.index(kind), m.end()))
+    for m in _HEX_KEY.finditer(text):
+        if not m[0].islower() and not m[0].isdigit() and len(m[0]) % 2 == 0 and (kind := _of_key(bytes.fromhex(m[0]))):
+            out.append((m.start(), KINDS.index(kind), m.end()))
     if "-----BEGIN" in text:
-        out += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if "ENCRYPTED" in m[2] or _of_key(_from_base64(re.sub(r"\s+", "", m[2])))]
+        out += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if "ENCRYPTED" in m[2] or _of_key(_from_base64(re.sub(r"\s+|\\[nr]", "", m[2])))]
     for m in _RUN.finditer(text):
         if m[0][:2] in ("MI", "MH", "MG", "MD", "MC", "ME", "MF", "b3") and (kind := _of_key(_from_base64(m[0]))):
             out.append((m.start(), KINDS.index(kind), m.end()))
-    if "eyJ" in text or "ew" in text:
-        out += [(m.start(), 6, m.end()) for m in _TOKEN.finditer(text) if m[0][:2] in ("ey", "ew") and is_signed_token(m[0])]
+    for m in _WRAPPED.finditer(text):
+        if key := _wrapped_key(text, m.start()):
+            out.append((m.start(), KINDS.index(key[0]), key[1]))
+    if "ey" in text or "ew" in text:
+        out += [(m.start(), 6, m.end(1)) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
     return sorted(set(out))
 
 
