@@ -307,6 +307,20 @@ def test_surrogates_do_not_collide(spark, monkeypatch):
     assert [r["text"] for r in pii_surrogates.replace(df, "text", b"k").orderBy("doc_id").collect()] == sent
 
 
+def test_surrogates_of_later_mentions_and_null_ids(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "Dr. Jane Smith came. Jane Smith and Smith stay, Smithson too.")], "doc_id long, text string")
+    for sent in (pii_surrogates.SENT, -1):
+        monkeypatch.setattr(pii_surrogates, "SENT", sent)
+        row = pii_surrogates.replace(df, "text", b"k").first()
+        full, again, last = [e["surrogate"] for e in row["entities"]]
+        assert full == again and last == full.split(" ")[1]
+        assert row["text"] == f"Dr. {full} came. {full} and {last} stay, Smithson too."
+    real = pii_surrogates.surrogate
+    monkeypatch.setattr(pii_surrogates, "surrogate", lambda key, kind, canonical, attempt: real(key, kind, canonical, attempt) if attempt else "same")
+    df = spark.createDataFrame([(None, "Mr Abc"), (None, "Mr Xyz")], "doc_id long, text string")
+    assert len({r["text"] for r in pii_surrogates.replace(df, "text", b"k").collect()}) == 2
+
+
 # --- classifiers
 
 

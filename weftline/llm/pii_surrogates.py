@@ -19,7 +19,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from weftline.llm.common import map_texts, materialise
 
@@ -70,8 +69,10 @@ def _in_word(text: str, at: int) -> bool:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, in order and without overlap.
 
-    The kind of a person tells script and gender; a canonical form is what all spellings of an entity share.
+    The kind of a person tells script and gender; a canonical form is what all spellings of an entity share. A person named
+    with a title is found at each other mention in the text too, by the same name or the surname alone.
     """
+    named: dict[str, tuple[str, str]] = {}
     out, at = [], text.find("@")
     while at >= 0:
         start = at - len(_LOCAL.search(text[max(0, at - 64) : at])[0])
@@ -90,6 +91,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             continue
         script = "cyrillic" if "Ѐ" <= m[3][0] <= "ӿ" else "latin"
         out.append((m.start(3), m.end(3), f"person-{script}-{TITLES[m[1]]}", m[3].lower()))
+        for name in (m[3], m[3].split(" ")[-1]):
+            named.setdefault(name, out[-1][2:])
+    if named:
+        # Full names go before surnames; a name with a title of its own keeps that (the sort below is stable).
+        for m in re.finditer(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + r")(?![\w])", text):
+            out.append((m.start(), m.end(), *named[m[0]]))
     kept, end = [], 0
     for x in sorted(out, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -154,6 +161,11 @@ def render(kind: str, original: str, canonical: str) -> str:
     return canonical
 
 
+def _mention(kind: str, original: str, canonical: str) -> str:
+    """What of a surrogate's canonical form stands for a mention: of a person named by the surname alone, the surname."""
+    return canonical.rsplit(" ", 1)[-1] if kind.startswith("person") and " " not in original else canonical
+
+
 def _entities(df: DataFrame, text: str) -> DataFrame:
     """The distinct (kind, canonical) of the corpus; copies go within each task, before the shuffle."""
 
@@ -209,7 +221,8 @@ def replace(df: DataFrame, text: str, key: bytes, doc_id: str = "doc_id") -> Dat
         found = find(t) if t else []
         parts, at, told = [], 0, []
         for start, end, kind, canonical in found:
-            new = render(kind, t[start:end], surrogate(key, kind, canonical, attempts.get((kind, canonical), 0)))
+            drawn = surrogate(key, kind, canonical, attempts.get((kind, canonical), 0))
+            new = render(kind, t[start:end], _mention(kind, t[start:end], drawn))
             parts += [t[at:start], new]
             at = end
             told.append({"kind": kind, "start": start, "end": end, "surrogate": new})
@@ -226,11 +239,13 @@ def replace(df: DataFrame, text: str, key: bytes, doc_id: str = "doc_id") -> Dat
             seen = {(d, k, c) for d, t in zip(batch["id"], batch["text"]) if t for _, _, k, c in find(t)}
             yield pd.DataFrame(sorted(seen), columns=["id", "kind", "canonical"])
 
-    named = df.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast(LongType()).alias("id"), F.col(f"`{text}`").alias("text"))
+    # Rows are told apart by a number of their own, which is written down: ids may be null or repeated.
+    numbered = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+    named = numbered.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("text"))
     by_doc = named.mapInPandas(held_by, "id long, kind string, canonical string").join(again, ["kind", "canonical"])
     # A document's own entities only, so the list is bounded by its text.
     lists = by_doc.distinct().groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("__redrawn"))
-    both = df.join(lists, F.col(f"`{doc_id}`").cast(LongType()) == F.col("__id"), "left").withColumn("__pair", F.struct(F.col(f"`{text}`").alias("text"), F.col("__redrawn").alias("redrawn")))
+    both = numbered.join(lists, F.col("__row") == F.col("__id"), "left").withColumn("__pair", F.struct(F.col(f"`{text}`").alias("text"), F.col("__redrawn").alias("redrawn")))
 
     def work(pairs: list) -> list:
         attempts = lambda p: {(r["kind"], r["canonical"]): r["attempt"] for r in p["redrawn"] or ()}
