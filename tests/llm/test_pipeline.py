@@ -45,5 +45,9 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() >= 0
         assert stage(spark, empty(spark), FOLDER).count() == 0
+    assert [stage(spark, docs, FOLDER).count() for _, stage in corpus_pipeline.STAGES[2:]] == [7, 7, 7]
+    item = table(spark, FOLDER, "benchmark").first()["text"]
+    leaking = spark.createDataFrame([(None, f"before {item} after", None, None, None), (9, None, None, None, None), (9, f"x {item}", None, None, None)], docs.schema)
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminated(spark, leaking.union(table(spark, FOLDER, "documents").limit(50)), FOLDER).where("doc_id is null or text is null").collect()] == [9]
     once = corpus_pipeline.deduplicate(spark, docs, FOLDER).collect()
     assert sorted((r["doc_id"] or 0) for r in once) == [0, 1, 4, 5]

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import map_texts
 
-#: Distinct matches that a worker remembers.
-REMEMBERED = 500_000
+#: Distinct matches that a task remembers, and the longest (in characters) that it does.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def _alphabet() -> list[str]:
@@ -51,20 +51,23 @@ class Codec:
             merges += [(chars(a), chars(b)) for a, b in sorted(cuts, key=lambda cut: (ranks[cut[0]], ranks[cut[1]]))]
         self.library = Tokenizer(models.BPE(vocab={chars(t): r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids (32-bit) of each text."""
+    def encode(self, texts: list[str], known: dict[str, bytes]) -> list[np.ndarray]:
+        """The ids (32-bit) of each text. ``known`` has the ids of matches seen before and gets the new ones, up to its bounds."""
         split = [self.find(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
         new = list(set().union(*split).difference(known))
-        if new:
-            chars = [piece.encode().decode("latin-1").translate(self.to_char) for piece in new]
-            for piece, out in zip(new, self.library.encode_batch_fast(chars, add_special_tokens=False)):
+        for at in range(0, len(new), 4096):
+            few = new[at : at + 4096]
+            chars = [piece.encode().decode("latin-1").translate(self.to_char) for piece in few]
+            for piece, out in zip(few, self.library.encode_batch_fast(chars, add_special_tokens=False)):
                 known[piece] = np.array(out.ids, "<i4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4") for pieces in split]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4") for pieces in split]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del known[piece]
+        return out
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one character of each token; a token that holds part of a character covers the whole of it."""
@@ -102,10 +105,11 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: boo
 
     def make():
         codec = _codec(file.value, pattern)
+        known: dict[str, bytes] = {}
 
         def work(values: list) -> list:
             texts = [t or "" for t in values]
-            ids = codec.encode(texts)
+            ids = codec.encode(texts, known)
             spans = [codec.offsets(t, i) for t, i in zip(texts, ids)] if offsets else []
             return [_lists(ids), *([_lists([s for s, _ in spans]), _lists([e for _, e in spans])] if offsets else [])]
 
@@ -115,14 +119,20 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: boo
 
 
 def decode(df: DataFrame, ids: str, ranks_path: str, keep: list[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) with ``decoded`` (binary): the bytes of an array of ids; null where that is null.
+    """``df`` (or its columns ``keep``) with ``decoded`` (binary): the bytes of an array of ids; null where that is null, or holds a null or an id that no token has.
 
-    A character whose bytes several tokens hold is whole again once they are joined.
+    A character whose bytes several tokens hold is whole again once they are joined. An empty array gives no bytes; an
+    empty table an empty one. A column named ``decoded`` is replaced.
     """
     file = _file(df.sparkSession, ranks_path)
 
     def make():
-        token = {r: t for t, r in read_ranks(file.value).items()}.__getitem__
-        return lambda values: [[None if x is None else b"".join(map(token, x)) for x in values]]
+        token = {r: t for t, r in read_ranks(file.value).items()}.get
+
+        def joined(ids: list | None) -> bytes | None:
+            parts = None if ids is None else list(map(token, ids))
+            return None if parts is None or None in parts else b"".join(parts)
+
+        return lambda values: [list(map(joined, values))]
 
     return map_texts(df, ids, make, "decoded binary", keep, 128)

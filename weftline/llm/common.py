@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-weftline-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -39,12 +42,35 @@ def materialise(df: DataFrame, *partition_cols: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], schema: str, keep: list[str] | None = None, rows: int = 512) -> DataFrame:
+#: Bytes of text that a task works on at a time; what it needs besides is a small multiple of this.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``rows`` rows and about ``size`` bytes of a column; a longer value is a part of its own."""
+    values = batch.column(column)
+    if pa.types.is_string(values.type) or pa.types.is_binary(values.type):
+        wide = pc.binary_length(values)
+    elif pa.types.is_list(values.type):
+        wide = pc.multiply(pc.list_value_length(values), 8)
+    else:
+        wide = pa.array(np.zeros(len(values), np.int64))
+    ends = np.cumsum(pc.fill_null(wide, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], schema: str, keep: list[str] | None = None, rows: int = 512, size: int = SLICE_BYTES) -> DataFrame:
     """``df`` (or its columns ``keep``) with the fields of ``schema``, worked out from the values of ``column``.
 
     ``make`` is called once in each task and gives a function from a list of values to a list of columns (Arrow arrays or
-    lists). It gets ``rows`` values at a time, so what a worker holds besides one Arrow batch stays small however long
-    the texts are. A column of ``df`` that has the name of a new one (in any case) is replaced.
+    lists). It gets at most ``rows`` values and about ``size`` bytes at a time, so what a worker holds besides one Arrow
+    batch stays small however long the texts are, and what it remembers goes with the task. A column of ``df`` that has
+    the name of a new one (in any case) is replaced.
     """
     new = StructType.fromDDL(schema)
     taken = {f.name.lower() for f in new}
@@ -56,8 +82,7 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, 0, rows, size):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(part.column(0).to_pylist()), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names)
 

@@ -9,8 +9,8 @@ each coordinate is the signature, and the share of equal coordinates estimates t
 Signatures are joined by bands. Copies are collapsed first. All pairs of a small bucket are verified on the shingles
 themselves. In a large one all members first meet a leader, chosen by a hash that differs by band. Classes that still
 share a large bucket are then compared in full, every text with every text of another class, in blocks: a product of
-two blocks counts the shingles that all their pairs share, and only links that join classes leave a task. Blocks are
-paired without a shuffle, so disk grows with the texts; the products grow with the square of a group that no leader joined.
+two blocks counts the shingles that all their pairs share, and only links that join classes leave a task. Of each group
+its widest class meets the others only, not itself; the products grow with the square of what no leader joined.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftline.llm.common import materialise, mix, word_hashes
+from weftline.llm.common import materialise, mix, slices, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
@@ -34,8 +34,8 @@ K = BANDS * BAND_ROWS
 SMALL = 8
 #: Texts and shingles of a block at most (a longer text is a block of its own); shingles of a product at a time.
 BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 17, 4096
-#: Blocks of a group that one task may pair; those of a larger group are paired by many tasks.
-OF_ONE_TASK = 8
+#: Blocks of a tile, about; every two tiles of a group meet in a task of their own.
+TILE = 8
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,13 +129,12 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(df: DataFrame) -> DataFrame:
-    """(id, text) to (id, copy, bands, coords): a name of the words, band keys, and two bytes of every coordinate."""
+    """(id, th, text) to (id, th, copy, bands): a name of the words, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(ids), 512):
-                hashes, bounds = word_hashes(texts[at : at + 512].to_pylist())
+            for part in slices(batch, 2):
+                hashes, bounds = word_hashes(part.column(2).to_pylist())
                 sets = np.split(hashes, bounds[1:-1])
                 copies = [xxhash.xxh3_128_digest(w.tobytes()) for w in sets]
                 elements, weights, ends = shingles(hashes, bounds)
@@ -145,10 +144,9 @@ def _signed(df: DataFrame) -> DataFrame:
                     key = mix(key ^ names.reshape(-1, BANDS, BAND_ROWS)[:, :, row])
                 key = (key + np.arange(BANDS, dtype=np.uint64) * _GOLD).view(np.int64)
                 bands = [b if len(w) else b[:0] for b, w in zip(key, sets)]
-                coords = [c.tobytes() for c in (names & np.uint64(0xFFFF)).astype("<u2")]
-                yield pa.RecordBatch.from_arrays([ids[at : at + 512], pa.array(copies, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(coords, pa.binary())], ["id", "copy", "bands", "coords"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(copies, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "copy", "bands"])
 
-    return df.mapInArrow(run, "id long, copy binary, bands array<long>, coords binary")
+    return df.mapInArrow(run, "id long, th long, copy binary, bands array<long>")
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -156,8 +154,7 @@ def _sets(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 hashes, bounds = word_hashes(part.column(1).to_pylist())
                 elements, weights, ends = shingles(hashes, bounds)
                 packed = [_pack(elements[a:b], weights[a:b]) for a, b in zip(ends[:-1], ends[1:])]
@@ -172,8 +169,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [weighted_jaccard(*_unpack(x), *_unpack(y)) >= THRESHOLD for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            for part in slices(batch, 2):
+                keep = [weighted_jaccard(*_unpack(x), *_unpack(y)) >= THRESHOLD for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -288,14 +286,14 @@ def _between(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
     widest = members.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("widest"), F.sum("n").alias("n"))
     told = members.join(widest, "comp").withColumn("rest", (F.col("root") != F.col("widest")) | (F.col("n") <= BLOCK_TEXTS)).join(sets, "id")
     blocks = materialise(_blocks(told.select("comp", "rest", "root", "id", "shingles")))
-    sized = blocks.join(blocks.groupBy("comp").agg(F.count(F.lit(1)).alias("n_blocks")), "comp")
-    once = F.expr("a.comp = b.comp AND a.rest AND (NOT b.rest OR a.no <= b.no)")
-    few, many = sized.where(F.col("n_blocks") <= OF_ONE_TASK), materialise(sized.where(F.col("n_blocks") > OF_ONE_TASK))
-    columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("roots", "sizes", "names")]
-    pairs = few.alias("a").join(few.alias("b").hint("merge"), once).select(*columns)
-    if n := many.count():
-        many = many.repartition(-(-n // 4))  # few blocks a partition, so that a task holds few at a time
-        pairs = pairs.union(many.alias("a").join(many.alias("b").hint("shuffle_replicate_nl"), once).select(*columns))
+    # Blocks meet tile by tile: a tile holds some TILE blocks, so a block is sent once for each tile of its group.
+    tags = materialise(blocks.select("comp", "rest", "no"))
+    tiles = tags.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n"))
+    tags = tags.join(tiles, "comp").withColumn("own", F.pmod(F.xxhash64("no"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    columns = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rest", "no", "roots", "sizes", "names")]
+    sent = lambda of, side, a, b: of.select("no", "comp", F.col(a).alias("ta"), F.col(b).alias("tb")).join(blocks.drop("comp"), "no").select("comp", "ta", "tb", *columns(side))
+    pairs = sent(tags.where("rest"), "a", "own", "other").join(sent(tags, "b", "other", "own").hint("merge"), ["comp", "ta", "tb"]).where("NOT b_rest OR a_no <= b_no")
+    pairs = pairs.select(*[f"{side}_{c}" for side in "ab" for c in ("roots", "sizes", "names")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,28 +305,29 @@ def _between(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (``doc_id``, ``class_id``) for each row of ``df``: the least id of its class of near-duplicates.
+def _grouped(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, th, copy); nodes (copy, node, least, bands), one for each different sequence of words; classes (node, root) of linked nodes, roots too.
 
-    Texts are compared by their lower-cased words (split at ASCII white space); texts with equal words are copies, all texts without words (null,
-    empty, blank) among them. Different ones are linked from a weighted Jaccard similarity of 0.8 on; classes are the
-    connected components. A text under five words is one shingle. Rows without an id take no part in choosing the
-    least one; if no row of a class has an id, its class is null. Repeated rows stay and share a class. Ids name
-    texts: of several texts under one id, one stands for all in the comparison.
+    ``th`` is a hash of the text, so a row is told apart by its id and text; ``least`` is a node's first row: ids before
+    null, then by id and hash.
     """
-    docs = df.select(F.col(f"`{doc_id}`").cast(LongType()).alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = df.select(F.col(f"`{doc_id}`").cast(LongType()).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
     signed = materialise(_signed(docs))
-    nodes = materialise(signed.where("id is not null").groupBy("copy").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("coords", "id").alias("coords")))
-    buckets = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
+    nodes = signed.groupBy("copy").agg(least, F.first("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    buckets = nodes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
     leaders = buckets.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "band")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(buckets.select("id", "key").join(leaders, "key"))
     small = shared.where(F.col("n") <= SMALL)
     every = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b")
     star = shared.where((F.col("n") > SMALL) & (F.col("a") != F.col("id"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
     pairs = materialise(every.select("a", "b").union(star).distinct())
-    wanted = shared.select("id").distinct()
-    # The wanted ids grow with the documents, so they are never broadcast, however few they are in a small run.
-    sets = materialise(_sets(docs.hint("merge").join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
+    wanted = shared.select("id").distinct().join(nodes.select(F.col("node").alias("id"), F.col("least.id").alias("row_id"), F.col("least.th").alias("th")), "id")
+    # The wanted rows grow with the documents, so they are never broadcast, however few they are in a small run.
+    texts = docs.withColumnRenamed("id", "row_id").hint("merge")
+    held = texts.join(wanted, (texts["row_id"].eqNullSafe(wanted["row_id"])) & (texts["th"] == wanted["th"])).select(wanted["id"], texts["text"])
+    sets = materialise(_sets(held).dropDuplicates(["id"]))
     links = materialise(_verified(pairs, sets))
     final = materialise(components(links))
     large = shared.where(F.col("n") > SMALL).select("key", "id")
@@ -338,5 +337,41 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         renamed = materialise(components(between))
         onward = final.join(renamed.select(F.col("id").alias("root"), F.col("root").alias("now")), "root", "left").select("id", F.coalesce("now", "root").alias("root"))
         final = materialise(onward.unionByName(renamed))
-    by_copy = nodes.select("copy", "id").join(final, "id", "left").select("copy", F.coalesce("root", "id").alias("class_id"))
-    return signed.select("id", "copy").join(by_copy, "copy", "left").select(F.col("id").alias(doc_id), "class_id")
+    final = final.union(final.select("root", "root")).distinct().select(F.col("id").alias("node"), "root")
+    return signed.select("id", "th", "copy"), nodes, final
+
+
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (``doc_id``, ``class_id``) for each row of ``df``: the least id of its class of near-duplicates.
+
+    Texts are compared by their lower-cased words (split at ASCII white space); texts with equal words are copies, all
+    texts without words (null, empty, blank) among them. Different ones are linked from a weighted Jaccard similarity of
+    0.8 on; classes are the connected components. A text under five words is one shingle. Rows without an id link texts
+    as others do, but do not name a class; if no row of a class has an id, its class is null. Repeated rows stay and
+    share a class; several texts under one id each have a class of their own. Columns besides the two are not looked at.
+    """
+    rows, nodes, final = _grouped(df, doc_id, text)
+    linked = final.join(nodes.select("node", "least"), "node")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
+    by_copy = nodes.select("copy", "node", "least").join(named, "node", "left").select("copy", F.coalesce("first", "least")["id"].alias("class_id"))
+    return rows.select("id", "copy").join(by_copy, "copy", "left").select(F.col("id").alias(doc_id), "class_id")
+
+
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each class (as in ``classes``) the one with the least id, of equal ids that with the least hash of its text.
+
+    A row with an id goes before rows without; a class without ids keeps one row. Of repeated rows (equal id and text)
+    one stays. All columns stay as they are.
+    """
+    rows, nodes, final = _grouped(df, doc_id, text)
+    linked = final.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("least")).select("least")
+    alone = nodes.join(final.select("node"), "node", "left_anti").select("least")
+    kept = alone.union(linked).select(F.col("least.id").alias("__kept_id"), F.col("least.th").alias("__kept_th"))
+    often = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    twice = often.join(kept, F.col("id").eqNullSafe(F.col("__kept_id")) & (F.col("th") == F.col("__kept_th")))
+    told = df.withColumn("__th", F.xxhash64(F.col(f"`{text}`"))).hint("merge")
+    same = F.col(f"`{doc_id}`").cast(LongType()).eqNullSafe(F.col("__kept_id")) & (F.col("__th") == F.col("__kept_th"))
+    out = told.join(materialise(kept), same, "left_semi")
+    if not twice.isEmpty():
+        out = out.dropDuplicates([doc_id, "__th"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])

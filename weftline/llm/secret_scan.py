@@ -11,6 +11,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +25,24 @@ KINDS = (*BASE_KINDS, "pem", "der", "openssh", "token")
 _ASSIGN = re.compile(r"(?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}+={0,2}")
+#: Where in a run a key may begin: at its start or after a mark that paths and names are joined with.
+_KEY_START = re.compile(r"(?:^|(?<=[+/_-]))(?=M[C-I]|b3B)")
+#: What base64 of armour begins with.
+_ARMOUR = "LS0tLS1CRUdJTi"
 #: Hex in upper or mixed case that may be DER or OpenSSH; it is no base kind.
 _HEX_KEY = re.compile(r"(?:30|6[fF]70)[0-9A-Fa-f]{30,}")
 #: Where a key over several lines may begin, its pieces, and the line ends between them, escaped or not.
-_WRAPPED = re.compile(r"(?:M[C-I]|b3)[A-Za-z0-9+/_-]{14,}[ \t]*(?=[\r\n\\])")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[C-I]|b3)[A-Za-z0-9+/_-]{14,}+[ \t]*+(?=[\r\n\\])")
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_PAD = re.compile("={0,2}")
 _BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 #: A token may begin at each part of a dotted run.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(e[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*))")
 #: Object identifiers of PKCS#5 and PKCS#12 encryption, without their last numbers.
+#: Characters of base64 that a private key has at most (RSA of 16,384 bits has some 13,000).
+MOST_KEY = 1 << 16
 _ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
@@ -117,6 +125,8 @@ def is_openssh_key(data: bytes) -> bool:
 def is_signed_token(token: str) -> bool:
     """Whether the first two of three parts are JSON objects and the first names an algorithm."""
     parts = token.split(".")
+    if b'"alg"' not in (_from_base64(parts[0]) or b""):
+        return False
     try:
         head, body = (json.loads(_from_base64(p) or b"") for p in parts[:2])
     except (ValueError, UnicodeDecodeError, RecursionError):
@@ -130,34 +140,111 @@ def _of_key(data: bytes | None) -> str | None:
     return "der" if is_private_der(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key that ``data`` begins with, from its length fields; None if they do not fit or are not all there."""
+    at, left = 15, 3
+    while left:
+        if at + 4 > len(data):
+            return None
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    if at + 4 > len(data) or not 1 <= (n := int.from_bytes(data[at : at + 4], "big")) <= 64:
+        return None
+    at += 4
+    for _ in range(n + 1):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+def _lines(text: str, at: int) -> Iterator[tuple[str, int]]:
+    """The pieces of base64 that line ends join from ``at`` on, and where each ends."""
+    while piece := _PIECE.match(text, at):
+        yield piece[0], piece.end()
+        if not (end := _BREAK.match(text, piece.end())):
+            return
+        at = end.end()
+
+
 def _wrapped_key(text: str, start: int) -> tuple[str, int] | None:
-    """Kind and end of the key over several lines that begins at ``start``; the length in its head tells where it ends."""
+    """Kind and end of the key over several lines that begins at ``start``; its length fields tell where it ends."""
     head = _from_base64(text[start : start + 16]) or b""
     if head.startswith(b"openssh-key"):
-        need = None
+        first = ""
+        for piece, _ in _lines(text, start):
+            first += piece
+            if len(first) >= 4096:
+                break
+        size = _openssh_size(_from_base64(first[: len(first) // 4 * 4]) or b"")
     elif head[:1] == b"\x30" and len(head) > 6:
         n = head[1] & 0x7F if head[1] & 0x80 else 0
-        if n > 4:
-            return None
         size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-        need = -(-size * 4 // 3)
     else:
         return None
-    parts, held, at = [], 0, start
-    while piece := _PIECE.match(text, at):
-        parts.append(piece[0])
-        held, at = held + len(piece[0]), piece.end()
-        if need is not None and held > need:
-            return None
-        if (held == need or need is None) and (kind := _of_key(_from_base64("".join(parts)))):
-            pad = re.compile("={0,2}").match(text, at)
-            return (kind, pad.end()) if len(parts) > 1 else None
-        if held == need or not (end := _BREAK.match(text, at)):
-            return None
-        at = end.end()
+    need = -(-size * 4 // 3) if size else 0
+    if not 0 < need <= MOST_KEY:
+        return None
+    parts, held = [], 0
+    for piece, end in _lines(text, start):
+        parts.append(piece)
+        held += len(piece)
+        if held < need:
+            continue
+        if held == need and len(parts) > 1 and (kind := _of_key(_from_base64("".join(parts)))):
+            return kind, _PAD.match(text, end).end()
+        return None
     return None
 
 
+def _armoured(text: str) -> list[tuple[int, int]]:
+    """Frames of armour around a private key, in one pass: what was looked for in vain is not looked for again."""
+    out, ends = [], {}
+    for m in _BEGIN.finditer(text):
+        mark = f"-----END {m[1]}-----"
+        if ends.get(mark, 0) < m.end():
+            found = text.find(mark, m.end())
+            ends[mark] = found if found >= 0 else len(text) + 1
+        end = ends[mark]
+        if end > len(text) or text.find("-----BEGIN", m.end(), end) >= 0:
+            continue
+        body = text[m.end() : end]
+        lines = re.split(r"[\r\n]+|(?:\\[nr])+", body)
+        # Old encrypted keys name their cipher in header lines; what follows is no plain structure.
+        locked = any(x.startswith("Proc-Type:") and x.endswith("ENCRYPTED") for x in lines) and any(x.startswith("DEK-Info:") for x in lines)
+        if locked:
+            good = len(_from_base64("".join(x.strip() for x in lines if ":" not in x)) or b"") >= 32
+        else:
+            good = _of_key(_from_base64(re.sub(r"\s+|\\[nr]", "", body))) is not None
+        if good:
+            out.append((m.start(), end + len(mark)))
+    return out
+
+
+def _embedded(run: str) -> list[tuple[str, int, int]]:
+    """Keys inside a run of base64: (kind, start, end). The length in a key's head tells where it ends."""
+    out, last = [], 0
+    for m in _KEY_START.finditer(run.rstrip("=")):
+        at = m.start()
+        if at < last:
+            continue
+        head = _from_base64(run[at : at + 16]) or b""
+        if head[:1] == b"\x30" and len(head) > 6:
+            n = head[1] & 0x7F if head[1] & 0x80 else 0
+            if n > 4 or head[2 + n] not in (0x02, 0x30):
+                continue
+            size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+            end = at + -(-size * 4 // 3)
+        elif head.startswith(b"openssh-key"):
+            end = len(run.rstrip("="))
+        else:
+            continue
+        if end <= len(run) and end - at <= MOST_KEY and (kind := _of_key(_from_base64(run[at:end]))):
+            end += len(run) - len(run.rstrip("=")) if end == len(run.rstrip("=")) else 0
+            out.append((kind, at, end))
+            last = end
+    return out
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind's place in KINDS, end)`` of every finding, in order."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
@@ -171,10 +258,13 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         if not m[0].islower() and not m[0].isdigit() and len(m[0]) % 2 == 0 and (kind := _of_key(bytes.fromhex(m[0]))):
             out.append((m.start(), KINDS.index(kind), m.end()))
     if "-----BEGIN" in text:
-        out += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if "ENCRYPTED" in m[2] or _of_key(_from_base64(re.sub(r"\s+|\\[nr]", "", m[2])))]
+        out += [(start, 3, end) for start, end in _armoured(text)]
     for m in _RUN.finditer(text):
-        if m[0][:2] in ("MI", "MH", "MG", "MD", "MC", "ME", "MF", "b3") and (kind := _of_key(_from_base64(m[0]))):
-            out.append((m.start(), KINDS.index(kind), m.end()))
+        if m[0].startswith(_ARMOUR) and len(m[0]) <= MOST_KEY:
+            inner = (_from_base64(m[0]) or b"").decode("latin-1")
+            if _armoured(inner):
+                out.append((m.start(), 3, m.end()))
+        out += [(m.start() + start, KINDS.index(kind), m.start() + end) for kind, start, end in _embedded(m[0])]
     for m in _WRAPPED.finditer(text):
         if key := _wrapped_key(text, m.start()):
             out.append((m.start(), KINDS.index(key[0]), key[1]))
