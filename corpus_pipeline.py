@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality, near-duplicates, benchmark leaks, secrets, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
-of ``documents``.
+of ``documents``, whatever else they are called. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,35 +16,36 @@ from weftline.llm.queries import RANKS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3 go."""
+    """Documents that score under 0.3 go. Null and empty texts are scored as empty; rows without an id are scored but not learnt from; equal texts fare alike."""
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
     return quality_gam.score(docs, "text", model).where("score >= 0.3").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the least id; a class without ids cannot be told apart and stays."""
-    kept = near_dup.classes(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialise(kept)
-    out = docs.hint("merge").join(kept.select("doc_id"), "doc_id", "left_semi")  # as many ids as documents: no broadcast
-    if not kept.where("n > 1").isEmpty():  # repeated rows
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each class stays: that with the least id, a row without an id only where its class has none.
+
+    Null, empty and blank texts are one class. Different texts under one id are different documents; of repeated rows
+    one stays.
+    """
+    return near_dup.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.hint("merge").join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go, whatever their id: the text decides, so null and repeated ids do not matter. Null and empty texts stay."""
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    leaking = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), doc_id="__key").select(F.col("doc_id").alias("__key")).distinct()
+    # The hashes of leaking texts may be as many as documents, so they are never broadcast.
+    return keyed.hint("merge").join(leaking, "__key", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; documents stay."""
+    """Secrets are replaced by a mark; all rows stay, repeated ones and those without an id too. Null texts stay null; ``n_chars`` follows the new text."""
     out = secret_scan.redact(docs, "text")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with a digest of what they decode to."""
+    """Token ids of every document, with a digest of what they decode to. Null texts count as empty and have no ids; repeated rows stay."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     ids = byte_bpe.encode(docs, "text", path, pattern, keep=["doc_id", "lang", "source"])
     back = byte_bpe.decode(ids, "ids", path)
