@@ -494,6 +494,14 @@ def test_leaks_of_common_items_and_small_tables(spark):
     assert found(docs, [(1, " ".join(long))]) == {(101, 1)}
 
 
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    docs, bench = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
+    rows = lambda: sorted(decontaminate.leaks(docs, bench).select("doc_id", "item_id", "lcs_share", "word").collect())
+    once = rows()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 16)
+    assert once and rows() == once
+
+
 def test_lcs():
     rnd = random.Random(2)
     for _ in range(100):

@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftline.llm.common import materialise, word_hashes
+from weftline.llm.common import materialise, slices, word_hashes
 
 #: Words of a passage; rank and oversampling of the SVD; hashed terms besides the benchmark's own words.
 PASSAGE, RANK, MORE, HASHED = 64, 24, 8, 1 << 14
-#: Items of one run over the corpus; the benchmark is taken in blocks of so many.
+#: Items that are searched for at a time; terms, weights and the latent space are fitted once, for all.
 BLOCK_ITEMS = 1024
+#: Words of the benchmark that have terms of their own; what a larger benchmark has besides shares the hashed ones.
+MOST_WORDS = 1 << 18
 #: Window lengths and their step, in words.
 WINDOWS, STEP = (16, 32, 64), 8
 #: Words of an item that count as uncommon at least; least share of its words with a weight for which the cosine tells anything.
@@ -111,8 +113,7 @@ def _tokenised(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 words, bounds = word_hashes(part.column(1).to_pylist(), marks=False)
                 terms = vocabulary.of(words).astype(vocabulary.dtype)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(terms, bounds[1:-1])], pa.binary())], ["id", "terms"])
@@ -122,8 +123,7 @@ def _tokenised(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def _pieces(batch: pa.RecordBatch, dtype: str, rows: int = 256) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Ids, joined terms and bounds of a few documents at a time."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
+    for part in slices(batch, 1, rows):
         raw = part.column(1).to_pylist()
         sizes = np.array([len(r) for r in raw]) // np.dtype(dtype).itemsize
         yield part.column(0).to_pylist(), np.frombuffer(b"".join(raw), dtype).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
@@ -233,24 +233,28 @@ def _latent(tokens: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> np.nd
     return out
 
 
-def _search(tokens: DataFrame, vocabulary: Vocabulary, probes: list[Probe], idf: np.ndarray, space: np.ndarray, rare: np.ndarray) -> DataFrame:
+def _search(tokens: DataFrame, vocabulary: Vocabulary, probes: list[Probe], df: np.ndarray, idf: np.ndarray, space: np.ndarray, rare: np.ndarray) -> DataFrame:
     spark, dtype, own = tokens.sparkSession, vocabulary.dtype, len(vocabulary.own)
     folded = np.vstack([space * idf[:, None].astype(np.float32), np.zeros((1, RANK), np.float32)])
     unit = lambda v: v / np.maximum(1e-12, np.linalg.norm(v, axis=-1, keepdims=True))
     vectors = np.array([unit(folded[p.terms].sum(axis=0)) for p in probes])
-    uncommon = [sum(rare[t] for t in p.terms) for p in probes]
+    # An item of common words alone is known by its least common ones.
+    known_by = [{t for t in p.terms if rare[t]} if sum(rare[t] for t in p.terms) >= FEW else {*sorted(set(p.terms), key=lambda t: (df[t], t))[:FEW], *(t for t in p.terms if rare[t])} for p in probes]
+    uncommon = [sum(t in own for t in p.terms) for p, own in zip(probes, known_by)]
+    rare = rare.copy()
+    rare[sorted(set().union(*known_by))] = True
     plain = np.array([sum(idf[t] > 0 for t in p.terms) < max(FEW, TOLD * len(p.terms)) for p in probes])
     by_window = {s: [k for k, p in enumerate(probes) if p.window == s] for s in WINDOWS}
     gate = {s: max(1, int(ANSWER * min(uncommon[k] for k in ks))) for s, ks in by_window.items() if ks}
-    sent = spark.sparkContext.broadcast((folded, vectors, [(p, masks_of(p.terms), masks_of(p.answer)) for p in probes], uncommon, rare))
+    sent = spark.sparkContext.broadcast((folded, vectors, [(p, masks_of(p.terms), masks_of(p.answer)) for p in probes], uncommon, rare, known_by))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded, vectors, held, uncommon, rare = sent.value
+        folded, vectors, held, uncommon, rare, known_by = sent.value
         none = len(folded) - 1
         member = {s: np.zeros((len(ks), own + 1), bool) for s, ks in by_window.items()}
         for s, ks in by_window.items():
             for row, k in enumerate(ks):
-                member[s][row, [t for t in held[k][0].terms if rare[t]]] = True
+                member[s][row, [t for t in known_by[k] if t < own]] = True
         need = {s: np.array([ANSWER * uncommon[k] for k in ks]) for s, ks in by_window.items()}
         for batch in batches:
             found: dict[tuple[int, int], tuple] = {}
@@ -282,7 +286,7 @@ def _search(tokens: DataFrame, vocabulary: Vocabulary, probes: list[Probe], idf:
                             p, places, answer = held[probe]
                             near = terms[max(bounds[doc[w]], begin[w] - s // 2) : min(bounds[doc[w] + 1], begin[w] + s + s // 2)].tolist()
                             share = lcs(places, len(p.terms), near) / len(p.terms)
-                            if share < LEAST or len({t for t in near if t in places and rare[t]}) < ANSWER * len({t for t in p.terms if rare[t]}):
+                            if share < LEAST or len(known_by[probe].intersection(near)) < ANSWER * len(known_by[probe]):
                                 continue
                             told = lcs(answer, len(p.answer), near) / max(1, len(p.answer))
                             if share < ENOUGH and told < ANSWER:
@@ -302,30 +306,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """(doc_id, item_id, lcs_share, cosine, answer_share, word): a row for each document and item found in it.
 
     ``word`` is where the best window begins. Null and empty documents hold nothing; null and empty items are found
-    nowhere; with an empty benchmark or no documents the result is empty. Repeated documents are each reported, equal
-    items each under their own id. The benchmark is taken ``BLOCK_ITEMS`` items at a time, by id, so what is sent to
-    the tasks is bounded; each block costs a run over the corpus. Other columns are not looked at.
+    nowhere; with an empty benchmark or no documents the result is empty. Repeated documents are each reported, those
+    without an id under null, equal items each under their own id. Terms, weights and the latent space are fitted once;
+    items are then searched for ``BLOCK_ITEMS`` at a time, so what is sent to the tasks is bounded and an item fares
+    alike in every block; each block costs a run over the terms. Other columns are not looked at.
     """
     spark = docs.sparkSession
     corpus = docs.select(F.col(f"`{doc_id}`").cast(LongType()).alias("id"), F.col(f"`{text}`").alias("text"))
     items = benchmark.select(F.col(f"`{item_id}`").cast(LongType()).alias("id"), F.col(f"`{item_text}`").alias("text"), (F.col(f"`{answer}`") if answer else F.lit(None).cast("string")).alias("answer"))
-    n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     out = spark.createDataFrame([], "doc_id long, item_id long, lcs_share double, cosine double, answer_share double, word long")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(word_hashes(batch.column(0).to_pylist(), marks=False)[0]).view(np.int64))], ["w"])
+
+    own = items.select("text").mapInArrow(words, "w long").distinct().orderBy("w").limit(MOST_WORDS).toPandas()["w"]
+    if own.empty:
+        return out
+    vocabulary = Vocabulary(np.sort(own.to_numpy(dtype=np.int64).view(np.uint64)))
+    tokens = materialise(_tokenised(corpus, vocabulary))
+    df = _document_frequency(tokens, vocabulary)
+    n = max(1.0, df[-1])
+    idf = np.where(df[:-1] > 0.1 * n, 0.0, np.log((n + 1) / (df[:-1] + 1)))
+    rare = df[:-1] <= max(1.0, 0.01 * n)
+    space = _latent(tokens, vocabulary, np.where(df[:-1] > 0, idf, 0.0))
+    n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     for block in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
-        rows = [tuple(r) for r in part.collect()]
-        vocabulary = Vocabulary(np.unique(word_hashes([r[1] for r in rows], marks=False)[0]))
-        probes = probes_of(rows, vocabulary)
-        if not probes:
-            continue
-        tokens = materialise(_tokenised(corpus, vocabulary))
-        df = _document_frequency(tokens, vocabulary)
-        n = max(1.0, df[-1])
-        idf = np.where(df[:-1] > 0.1 * n, 0.0, np.log((n + 1) / (df[:-1] + 1)))
-        rare = df[:-1] <= max(1.0, 0.01 * n)
-        for probe in probes:  # an item of common words alone is known by its least common ones
-            if sum(rare[t] for t in probe.terms) < FEW:
-                rare[sorted(set(probe.terms), key=lambda t: df[t])[:FEW]] = True
-        space = _latent(tokens, vocabulary, np.where(df[:-1] > 0, idf, 0.0))
-        out = out.union(_search(tokens, vocabulary, probes, idf, space, rare))
+        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block)
+        probes = probes_of([tuple(r) for r in part.collect()], vocabulary)
+        if probes:
+            out = out.union(_search(tokens, vocabulary, probes, df[:-1], idf, space, rare))
     return out
