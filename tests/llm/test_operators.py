@@ -442,8 +442,9 @@ def test_bpe_as_the_library(spark, reference):
 def test_bpe_on_odd_texts(spark, reference):
     texts = ["aaaa" * 50, "naïve 👩‍👩‍👧 日本語  x", "\r\n\t  ", "<|endoftext|> don't", "=" * 300, "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for r in byte_bpe.encode(df, "t", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, offsets=True).collect():
+    for r in byte_bpe.encode(df, "t", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, offsets=True, decoded=True).collect():
         t = texts[r["i"]] or ""
+        assert r["decoded"] == t.encode()
         assert r["ids"] == reference.encode_ordinary(t)
         assert not t or (r["starts"][0] == 0 and r["ends"][-1] == len(t) and all(s < e for s, e in zip(r["starts"], r["ends"])))
     out = byte_bpe.encode(odd(spark), "text", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)

@@ -95,8 +95,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
 
 
-def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) with ``ids`` (array of int) and, if asked for, ``starts`` and ``ends`` (characters of each token).
+def _joined(ids: list | None, token: dict[int, bytes]) -> bytes | None:
+    """The bytes of ids; None if there are none to tell, or one has no token."""
+    parts = None if ids is None else list(map(token.get, ids))
+    return None if parts is None or None in parts else b"".join(parts)
+
+
+def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``ids`` (array of int) and, if asked for, ``starts`` and ``ends`` (characters of each token) and ``decoded`` (binary).
+
+    ``decoded`` is what the ids stand for, as ``decode`` has it, worked out in the same pass over the data.
 
     A null text counts as empty and gets empty arrays. Rows stay as they are otherwise, repeated ones too; columns
     that have the names of the new ones are replaced. Whole texts are encoded, whatever their length.
@@ -111,11 +119,13 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: boo
             texts = [t or "" for t in values]
             ids = codec.encode(texts, known)
             spans = [codec.offsets(t, i) for t, i in zip(texts, ids)] if offsets else []
-            return [_lists(ids), *([_lists([s for s, _ in spans]), _lists([e for _, e in spans])] if offsets else [])]
+            back = [[_joined(i.tolist(), codec.bytes_of) for i in ids]] if decoded else []
+            return [_lists(ids), *([_lists([s for s, _ in spans]), _lists([e for _, e in spans])] if offsets else []), *back]
 
         return work
 
-    return map_texts(df, text, make, ", ".join(f"{f} array<int>" for f in (["ids", "starts", "ends"] if offsets else ["ids"])), keep, 128)
+    schema = ["ids array<int>", *(["starts array<int>", "ends array<int>"] if offsets else []), *(["decoded binary"] if decoded else [])]
+    return map_texts(df, text, make, ", ".join(schema), keep, 256)
 
 
 def decode(df: DataFrame, ids: str, ranks_path: str, keep: list[str] | None = None) -> DataFrame:
@@ -127,12 +137,7 @@ def decode(df: DataFrame, ids: str, ranks_path: str, keep: list[str] | None = No
     file = _file(df.sparkSession, ranks_path)
 
     def make():
-        token = {r: t for t, r in read_ranks(file.value).items()}.get
-
-        def joined(ids: list | None) -> bytes | None:
-            parts = None if ids is None else list(map(token, ids))
-            return None if parts is None or None in parts else b"".join(parts)
-
-        return lambda values: [list(map(joined, values))]
+        token = {r: t for t, r in read_ranks(file.value).items()}
+        return lambda values: [[_joined(x, token) for x in values]]
 
-    return map_texts(df, ids, make, "decoded binary", keep, 128)
+    return map_texts(df, ids, make, "decoded binary", keep, 256)

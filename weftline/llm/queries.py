@@ -58,12 +58,10 @@ def op7_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), "text", path, public_tokenizers.PATTERN, keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    ids = byte_bpe.encode(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True, keep=["doc_id"])
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
-    back = byte_bpe.decode(told, "ids", path, ["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
