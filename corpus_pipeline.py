@@ -47,9 +47,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a digest of what they decode to. Null texts count as empty and have no ids; repeated rows stay."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(docs, "text", path, pattern, keep=["doc_id", "lang", "source"])
-    back = byte_bpe.decode(ids, "ids", path)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = byte_bpe.encode(docs, "text", path, pattern, decoded=True, keep=["doc_id", "lang", "source"])
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("near-duplicates", deduplicate), ("decontamination", decontaminated), ("secrets", without_secrets), ("encoding", encoded)]
