@@ -159,6 +159,19 @@ def test_ann_recall(spark):
         assert all(abs(s - rows[i] @ rows[q]) < 1e-12 for i, s in found)
 
 
+def test_ann_recall_in_clusters(spark):
+    """Cells are probed in part here: some queries' neighbours lie in many cells."""
+    rnd = np.random.default_rng(1)
+    x = rnd.standard_normal((30, 64))[rnd.integers(0, 30, 6000)] + 0.3 * rnd.standard_normal((6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_ivfpq.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(dict(enumerate(x)))
+    recall = np.array([len(got[q] & {i for i, _ in found}) / 20 for q, found in want.items()])
+    assert recall.mean() >= 0.98 and recall.min() >= 0.8
+
+
 def test_ann_on_odd_tables(spark):
     v = [[float(i % 7), float(i * i % 11), 1.0 + i] for i in range(30)]
     rows = [(i, x) for i, x in enumerate(v)] + [(40 + i, v[0]) for i in range(30)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, float("nan"), 0.0]), (103, [1.0, None, 0.0]), (None, v[1]), (104, []), (105, [1.0])]
@@ -283,7 +296,7 @@ def test_shards(spark):
     by = rows.groupby("shard")["size"].sum()
     assert by.max() - by.min() <= 2 * rows["size"].max()
     homes = rows.assign(t=rows["doc_id"].map(text)).groupby("t").agg(shards=("shard", "nunique"), size=("size", "sum"))
-    assert (homes["shards"][homes["size"] <= 0.02 * rows["size"].sum() / 24] == 1).all()
+    assert (homes["shards"][homes["size"] <= 0.05 * rows["size"].sum() / 24] == 1).all()
 
 
 def test_shards_of_a_hot_group_and_odd_tables(spark):
@@ -321,6 +334,18 @@ def test_surrogates(spark):
     assert pii_surrogates.replace(odd(spark), "text", b"k").count() == 7
 
 
+def test_surrogates_of_one_name_under_several_titles(spark):
+    texts = [(1, "Frau Anna Schmidt met Dr Anna Schmidt"), (2, "Frau Schmidt"), (3, "Herr Carl Schmidt and Mrs Anna Weber"), (4, "a" * 80 + "@example.com")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("ENTITIES", F.lit("clash"))
+    out = {r["doc_id"]: r for r in pii_surrogates.replace(df, "text", b"k").collect()}
+    told = {i: [e["surrogate"] for e in r["entities"]] for i, r in out.items()}
+    anna, last = told[1][0].split(" ")
+    assert told[1] == [f"{anna} {last}"] * 2 and told[2] == [last]
+    carl, (again, other) = told[3][0].split(" "), told[3][1].split(" ")
+    assert carl[1] == last and again == anna and len({anna, carl[0]}) == len({last, other}) == 2
+    assert "aaaa" not in out[4]["text"] and len(out[4]["text"]) == 92
+
+
 def test_surrogates_do_not_collide(spark, monkeypatch):
     rows = [(i, f"Mr {chr(65 + i // 26)}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}x") for i in range(600)]
     real = pii_surrogates.surrogate

@@ -25,13 +25,13 @@ from pyspark.sql.types import LongType
 from weftline.llm.common import bounded_sample, materialise
 
 #: Vectors in the fit, queries that measure how many cells to probe, and the share of neighbours these must hold.
-FIT_ROWS, TRIALS, TARGET = 16_384, 256, 0.97
+FIT_ROWS, TRIALS, TARGET = 16_384, 512, 0.995
+#: How many standard deviations above its centroid a cell's best vector is taken to be when cells are ordered.
+OUTLOOK = 3.0
 #: Parts of a vector and codes of a part.
 PARTS, CODES = 16, 256
-#: Up to so many entries every cell is probed.
-PROBE_ALL = 2048
 #: Candidates kept from one block of a query's nearest cells (``NEAR_CELLS``) and of its other ones, and kept for exact scores.
-NEAR_CELLS, NEAR_KEPT, KEPT, RERANK = 8, 64, 12, 256
+NEAR_CELLS, NEAR_KEPT, KEPT, RERANK = 8, 64, 24, 512
 #: Rows and queries in one block of a cell.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
@@ -56,6 +56,11 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ centroids.T - half).argmax(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
 
+def outlook(q: np.ndarray, centroids: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Inner product with each centroid, and what a wide cell may add to it."""
+    return q @ centroids.T + OUTLOOK / np.sqrt(q.shape[1]) * np.linalg.norm(q, axis=1)[:, None] * spread
+
+
 @dataclass
 class Index:
     """What tasks need to code and to score: centroids, their spreads, codebooks (parts, codes, width), cells to probe."""
@@ -77,8 +82,8 @@ class Index:
         return np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
     def nearest_cells(self, q: np.ndarray) -> np.ndarray:
-        """The cells that each query probes, by inner product with the centroids."""
-        score = q @ self.centroids.T
+        """The cells that each query probes: those whose best vectors are likely to have the largest inner products."""
+        score = outlook(q, self.centroids, self.spread)
         return np.argsort(-score, axis=1, kind="stable")[:, : self.probes]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -107,9 +112,9 @@ def fit(x: np.ndarray, rows: int, k: int) -> Index:
     score = x[tried] @ x.T
     score[np.arange(len(tried)), tried] = -np.inf
     top = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
-    order = np.argsort(np.argsort(-(x[tried] @ centroids.T), axis=1), axis=1)
+    order = np.argsort(np.argsort(-outlook(x[tried], centroids, spread), axis=1, kind="stable"), axis=1)
     place = np.take_along_axis(order, cell[top], axis=1).ravel()
-    probes = int(np.quantile(place, TARGET, method="higher")) + 1 if len(place) and rows > PROBE_ALL else len(centroids)
+    probes = int(np.quantile(place, TARGET, method="higher")) + 1 if len(place) else len(centroids)
     return Index(centroids, spread, books, probes)
 
 

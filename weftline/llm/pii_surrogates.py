@@ -1,7 +1,9 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements.
 
 A surrogate is drawn from HMAC-SHA256 of the entity's kind and canonical form under a secret key, so the same entity
-gets the same surrogate in every document (coreference) without a shared table. It keeps the entity's format:
+gets the same surrogate in every document (coreference) without a shared table. Names are drawn part by part: a surname
+has one surrogate, whatever title or first name goes with it, and a first name one for each gender; the gender is that
+of the title or, where the title tells none, that of the name itself (a listed one or its ending). A surrogate keeps the entity's format:
 digits for digits in the same places, a card number's validity, an e-mail's build, a name's script, case, number of
 parts and the gender that its title tells. Two entities must not share a surrogate, and no surrogate may be a real
 entity of the corpus: distinct entities are checked for both in Spark, and those that lose are drawn again until
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_texts, materialise
+from weftline.llm.common import map_texts, materialise, slices
 
 #: Most redrawn entities that are sent to the tasks whole; beyond, they are joined to the documents that hold them.
 SENT = 100_000
+#: Turns of drawing again before a format's values are held to be used up.
+MOST_TURNS = 100
 
 #: Titles with their gender, and names by script and gender to draw from.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
@@ -35,7 +39,9 @@ FIRST = {
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Ирина Лариса Мария Ольга".split(),
     ("cyrillic", "n"): "Саша Женя Валя Шура Слава".split(),
 }
-#: Surnames are put together from these syllables.
+#: Endings of first names that are put together, by script and gender.
+ENDINGS = {("latin", "f"): "a ia ina ella".split(), ("latin", "m"): "o us ard win".split(), ("latin", "n"): "i en y".split(), ("cyrillic", "f"): "а ия ина".split(), ("cyrillic", "m"): "ан ор ислав".split(), ("cyrillic", "n"): "и ко".split()}
+#: Surnames, and first names where the list is used up, are put together from these syllables.
 SYLLABLES = {"latin": "ba ber bo dal den der el fen gar hal han ka kel lan lin mar mer nor pel ran ros sal sen tal tor val ver wen wil zan".split(), "cyrillic": "ба вер гор дан ев жар зан ил кар лен мар нов ор пет ров сер тал фед хар ян".split()}
 
 _NUMBER = re.compile(
@@ -46,7 +52,7 @@ _NUMBER = re.compile(
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?!\w))"
 )
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Patterns that begin with a set of characters are scanned fast; what stands before a hit is looked at afterwards.
 _RUN = re.compile(r"[+(0-9][0-9 .()+-]{6,}")
 _IBAN = re.compile(r"[A-Z][A-Z]\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -66,6 +72,27 @@ def _in_word(text: str, at: int) -> bool:
     return at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")
 
 
+_GENDER = {name.lower(): gender for (_, gender), names in FIRST.items() for name in names}
+
+
+def _gender(title: str, name: str) -> str:
+    """The gender that a title tells, or else the first name; n if neither does."""
+    known = TITLES[title]
+    if known != "n" or " " not in name:
+        return known
+    first = name.split(" ")[0].lower()
+    return _GENDER.get(first, "f" if first[-1] in "aая" else "n")
+
+
+def parts(kind: str, canonical: str) -> list[tuple[str, str]]:
+    """What of an entity is drawn by itself: (kind, canonical form) of each name of a person, else the entity."""
+    if not kind.startswith("person"):
+        return [(kind, canonical)]
+    _, script, gender = kind.split("-")
+    *first, last = canonical.split(" ")
+    return [*((f"first-{script}-{gender}", name) for name in first), (f"last-{script}", last)]
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, in order and without overlap.
 
@@ -75,7 +102,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     named: dict[str, tuple[str, str]] = {}
     out, at = [], text.find("@")
     while at >= 0:
-        start = at - len(_LOCAL.search(text[max(0, at - 64) : at])[0])
+        start = at
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
         if start < at and (m := _MAIL.match(text, start)) and m.end() > at:
             out.append((m.start(), m.end(), "email", m[0].lower()))
         at = text.find("@", at + 1)
@@ -90,9 +119,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if _in_word(text, m.start()):
             continue
         script = "cyrillic" if "Ѐ" <= m[3][0] <= "ӿ" else "latin"
-        out.append((m.start(3), m.end(3), f"person-{script}-{TITLES[m[1]]}", m[3].lower()))
+        kind = f"person-{script}-{_gender(m[1], m[3])}"
+        out.append((m.start(3), m.end(3), kind, m[3].lower()))
         for name in (m[3], m[3].split(" ")[-1]):
-            named.setdefault(name, out[-1][2:])
+            named.setdefault(name, (kind, name.lower()))
     if named:
         # Full names go before surnames; a name with a title of its own keeps that (the sort below is stable).
         for m in re.finditer(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + r")(?![\w])", text):
@@ -140,12 +170,14 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind == "iban":
         body = "".join(chr(ord("A") + draw.below(26)) if c.isalpha() else str(draw.below(10)) for c in canonical[4:])
         return canonical[:2] + "%02d" % (98 - int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97) + body
-    if kind.startswith("person"):
+    pick = lambda of: of[draw.below(len(of))]
+    if kind.startswith("last-"):
+        return "".join(pick(SYLLABLES[kind[5:]]) for _ in range(3 + attempt // 4))
+    if kind.startswith("first-"):
         _, script, gender = kind.split("-")
-        names = canonical.split(" ")
-        last = lambda: "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + attempt // 4))
-        first = [FIRST[script, gender][draw.below(len(FIRST[script, gender]))].lower() for _ in names[:-1]]
-        return " ".join([*first, last()])
+        if attempt < 2:
+            return pick(FIRST[script, gender]).lower()
+        return "".join(pick(SYLLABLES[script]) for _ in range(1 + attempt // 3)) + pick(ENDINGS[script, gender])
     return "".join(map(letter, canonical))
 
 
@@ -161,25 +193,20 @@ def render(kind: str, original: str, canonical: str) -> str:
     return canonical
 
 
-def _mention(kind: str, original: str, canonical: str) -> str:
-    """What of a surrogate's canonical form stands for a mention: of a person named by the surname alone, the surname."""
-    return canonical.rsplit(" ", 1)[-1] if kind.startswith("person") and " " not in original else canonical
-
-
 def _entities(df: DataFrame, text: str) -> DataFrame:
-    """The distinct (kind, canonical) of the corpus; copies go within each task, before the shuffle."""
+    """The distinct (kind, canonical) that are drawn for the corpus; copies go within each task, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                seen = sorted({(k, c) for t in batch.column(0).slice(at, 512).to_pylist() if t for _, _, k, c in find(t)})
+            for part in slices(batch, 0):
+                seen = sorted({x for t in part.column(0).to_pylist() if t for _, _, k, c in find(t) for x in parts(k, c)})
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in (0, 1)], ["kind", "canonical"])
 
     return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "kind string, canonical string").distinct()
 
 
 def _family(kind):
-    """Persons share one space of surrogates, whatever their title."""
+    """First names share one space of surrogates, whatever their gender, and so do surnames."""
     return F.substring_index(kind, "-", 1)
 
 
@@ -195,7 +222,7 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
 
     real = entities.select(_family("kind").alias("f"), F.col("canonical").alias("s")).distinct()
     held = materialise(entities.select("kind", "canonical", F.lit(0).alias("attempt")).withColumn("s", drawn("kind", "canonical", "attempt")).withColumn("f", _family("kind")))
-    while True:
+    for _ in range(MOST_TURNS):
         first = held.groupBy("f", "s").agg(F.min(F.struct("attempt", "kind", "canonical")).alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = held.join(first, ["f", "s"]).where(F.struct("attempt", "kind", "canonical") != F.col("own")).select("kind", "canonical", "attempt")
         same = held.join(real, ["f", "s"], "left_semi").select("kind", "canonical", "attempt")
@@ -204,6 +231,8 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
             break
         again = lost.withColumn("attempt", F.col("attempt") + 1).withColumn("s", drawn("kind", "canonical", "attempt")).withColumn("f", _family("kind"))
         held = materialise(held.join(lost.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(again))
+    else:
+        raise ValueError(f"surrogates still collide after {MOST_TURNS} turns: the format of some kind has fewer values than the corpus has entities")
     return held.where("attempt > 0").select("kind", "canonical", "attempt")
 
 
@@ -211,22 +240,22 @@ def replace(df: DataFrame, text: str, key: bytes, doc_id: str = "doc_id") -> Dat
     """``df`` with entities of ``text`` replaced, and ``entities``: array of struct (kind, start, end, surrogate).
 
     Starts and ends are places in the original text. Null texts stay null and have an empty array, as have texts without
-    entities, which stay as they are. Whole texts are rewritten, repeated rows alike. A column named ``entities`` is
-    replaced; all others stay.
+    entities, which stay as they are; an empty table gives an empty one. Whole texts are rewritten, repeated rows and
+    rows without an id alike. A column named ``entities`` is replaced; all others stay.
     """
     spark = df.sparkSession
     again = materialise(redrawn(materialise(_entities(df, text)), key))
 
     def rewrite(t: str | None, attempts: dict) -> tuple[str | None, list[dict]]:
         found = find(t) if t else []
-        parts, at, told = [], 0, []
+        pieces, at, told = [], 0, []
         for start, end, kind, canonical in found:
-            drawn = surrogate(key, kind, canonical, attempts.get((kind, canonical), 0))
-            new = render(kind, t[start:end], _mention(kind, t[start:end], drawn))
-            parts += [t[at:start], new]
+            drawn = " ".join(surrogate(key, k, c, attempts.get((k, c), 0)) for k, c in parts(kind, canonical))
+            new = render(kind, t[start:end], drawn)
+            pieces += [t[at:start], new]
             at = end
             told.append({"kind": kind, "start": start, "end": end, "surrogate": new})
-        return ("".join([*parts, t[at:]]) if found else t), told
+        return ("".join([*pieces, t[at:]]) if found else t), told
 
     schema = f"`{text}` string, entities array<struct<kind string, start int, end int, surrogate string>>"
     columns = [*[c for c in df.columns if c.lower() != "entities"], "entities"]
@@ -236,7 +265,7 @@ def replace(df: DataFrame, text: str, key: bytes, doc_id: str = "doc_id") -> Dat
 
     def held_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = {(d, k, c) for d, t in zip(batch["id"], batch["text"]) if t for _, _, k, c in find(t)}
+            seen = {(d, k, c) for d, t in zip(batch["id"], batch["text"]) if t for _, _, kind, name in find(t) for k, c in parts(kind, name)}
             yield pd.DataFrame(sorted(seen), columns=["id", "kind", "canonical"])
 
     # Rows are told apart by a number of their own, which is written down: ids may be null or repeated.

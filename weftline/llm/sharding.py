@@ -21,8 +21,8 @@ from weftline.llm.common import materialise
 
 #: Aimed-at bytes of a fine range, least and most number of them, and keys drawn for each.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES, DRAWS = 64 << 20, 1024, 1 << 16, 16
-#: A group of equal texts above this part of a shard's bytes may be split.
-WHOLE_GROUP = 0.02
+#: Equal texts stay together as long as no shard gets further from its share than this part of it; a larger group may be split.
+WHOLE_GROUP = 0.05
 #: Bytes of a record besides its text.
 RECORD_BYTES = 8
 
