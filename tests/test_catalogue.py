@@ -4,12 +4,12 @@ import duckdb
 import numpy as np
 import pytest
 
-from weftline.plans import catalogue_ops, catalogue_search, catalogue_text
+from weftline.plans import catalogue_eval, catalogue_ops, catalogue_search, catalogue_text
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = catalogue_search.SQL | catalogue_text.SQL | catalogue_ops.SQL
-QUERIES = catalogue_search.QUERIES | catalogue_text.QUERIES | catalogue_ops.QUERIES
+SQL = catalogue_search.SQL | catalogue_text.SQL | catalogue_ops.SQL | catalogue_eval.SQL
+QUERIES = catalogue_search.QUERIES | catalogue_text.QUERIES | catalogue_ops.QUERIES | catalogue_eval.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -45,5 +45,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "LessThanOrEqual(l_shipdate" in plan
 
 
+def test_relevance_lists_no_pairs(spark):
+    for query in (catalogue_search.retrieval_metrics, catalogue_search.rank_debug):
+        plan = query(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert "id#" in plan and not [line for line in plan.splitlines() if "Join Inner, (label" in line and "relevant" not in plan]
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)

@@ -1,5 +1,6 @@
 """Chunking and text functions against plain Python."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -43,11 +44,52 @@ def test_windows(spark):
     assert one(spark, "", chunking.windows) == []
 
 
+def packed_by_hand(text, size, overlap):
+    """The rule, step by step."""
+
+    def cut(sentence):
+        return [sentence[i : i + size] for i in range(0, len(sentence), size - overlap)]
+
+    def by_sentence(paragraph):
+        out, held = [], ""
+        for s in re.split(r"(?<=[。！？.!?])\s*", paragraph):
+            if len(held) + len(s) > size:
+                if held:
+                    out.append(held.strip())
+                held = "" if len(s) > size else s
+                out += cut(s) if len(s) > size else []
+            else:
+                held += s
+        return out + ([held.strip()] if held.strip() else [])
+
+    out, held = [], ""
+    for p in re.split(r"\n\n+", text):
+        if len(p) > size:
+            if held:
+                out.append(held.strip())
+            held = ""
+            out += by_sentence(p)
+        elif len(held) + len(p) > size:
+            out.append(held.strip())
+            held = held[-overlap:] + p
+        else:
+            held += ("\n\n" if held else "") + p
+    return [c for c in [*out, held.strip()] if c]
+
+
 def test_packed(spark):
-    got = spark.createDataFrame([(["a" * 300, "b" * 150, "c" * 300, "d" * 700],)], "p array<string>").select(chunking.packed(F.col("p")).alias("x")).first()["x"]
-    assert got[0] == "a" * 300 + "\n\n" + "b" * 150
-    assert got[1] == "b" * 50 + "\n\n" + "c" * 300
-    assert [len(x) for x in got[2:]] == [500, 250]
+    rnd = random.Random(4)
+    piece = lambda: "".join(rnd.choices("ab cd。!?.\n", k=rnd.choice([3, 20, 60, 130])))
+    texts = ["", "a" * 300, "x. " * 40, *["\n\n".join(piece() for _ in range(rnd.randint(1, 9))) for _ in range(80)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunking.packed(F.col("t"), 50, 8).alias("x")).collect()
+    assert [r["x"] for r in sorted(rows)] == [packed_by_hand(t, 50, 8) for t in texts]
+    got = one(spark, "a" * 300 + "\n\n" + " " * 9 + "\n\n" + "b" * 150, lambda c: chunking.packed(c, trimmed=True))
+    assert got == ["a" * 300 + "\n\n" + "b" * 150]
+
+
+def test_table_heads(spark):
+    page = "姓名  学号\n数量  金额\na  b\nc  d  e"
+    assert one(spark, page, chunking.table_like) and not one(spark, page.replace("金额", "x").replace("数量", "y"), chunking.table_like)
 
 
 def test_blocks(spark):

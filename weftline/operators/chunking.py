@@ -79,24 +79,54 @@ def windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step)), lambda i: text.substr(i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def packed(parts: Column, size: int = 500, overlap: int = 50, joiner: str = "\n\n") -> Column:
-    """Paragraphs packed to chunks of at most ``size``; a new chunk begins with the last ``overlap`` characters; longer paragraphs are cut in windows."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+_BLANK = " \t\r\n"
+
 
-    def flushed(state: Column) -> Column:
-        return F.when(state["open"] == "", state["done"]).otherwise(F.array_append(state["done"], state["open"]))
+def _folded(parts: Column, size: int, longer, carried, joiner: str) -> Column:
+    """Parts put together to chunks of at most ``size``: ``longer`` cuts a part that is too long by itself, ``carried`` is what a new chunk begins with."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    closed = lambda state: F.when(state["open"] == "", state["done"]).otherwise(F.array_append(state["done"], F.trim(state["open"], F.lit(_BLANK))))
 
     def step(state: Column, p: Column) -> Column:
-        fits = F.length(state["open"]) + F.when(state["open"] == "", 0).otherwise(len(joiner)) + F.length(p) <= size
-        now = F.when(state["open"] == "", p).otherwise(F.concat(state["open"], F.lit(joiner), p))
-        carry = F.when(state["open"] == "", p).otherwise(F.concat(F.right(state["open"], F.lit(overlap)), F.lit(joiner), p))
         return (
-            F.when(F.length(p) > size, F.struct(F.concat(flushed(state), windows(p, size, overlap)).alias("done"), F.lit("").alias("open")))
-            .when(fits, F.struct(state["done"].alias("done"), now.alias("open")))
-            .otherwise(F.struct(flushed(state).alias("done"), carry.alias("open")))
+            F.when(F.length(p) > size, F.struct(F.concat(closed(state), longer(p)).alias("done"), F.lit("").alias("open")))
+            .when(F.length(state["open"]) + F.length(p) > size, F.struct(closed(state).alias("done"), F.concat(carried(state["open"]), p).alias("open")))
+            .otherwise(F.struct(state["done"].alias("done"), F.concat(state["open"], F.when(state["open"] == "", "").otherwise(joiner), p).alias("open")))
         )
 
-    return F.aggregate(parts, start, step, flushed)
+    return F.filter(F.aggregate(parts, start, step, closed), lambda c: c != "")
+
+
+def sentence_packed(text: Column, size: int = 500, overlap: int = 50) -> Column:
+    """Sentences put together to chunks of at most ``size``; a longer sentence is cut in windows."""
+    return _folded(F.split(text, r"(?<=[。！？.!?])\s*"), size, lambda p: windows(p, size, overlap), lambda open: F.lit(""), "")
+
+
+def packed(text: Column, size: int = 500, overlap: int = 50, trimmed: bool = False) -> Column:
+    """Paragraphs put together to chunks of at most ``size`` characters, blank lines between them not counted in the test.
+
+    A new chunk begins with the last ``overlap`` characters of the one before; a paragraph longer than ``size`` closes
+    the open chunk and is cut by sentences, and those in windows. Chunks are trimmed. With ``trimmed`` paragraphs are
+    trimmed and blank ones dropped first, as the evaluation does.
+    """
+    parts = F.split(text, r"\n\n+")
+    if trimmed:
+        parts = F.filter(F.transform(parts, lambda p: F.trim(p, F.lit(_BLANK))), lambda p: p != "")
+    return _folded(parts, size, lambda p: sentence_packed(p, size, overlap), lambda open: F.right(open, F.lit(overlap)), "\n\n")
+
+
+def context_parts(context: Column) -> Column:
+    """The parts of a context that lines of equals signs divide, without blank ones."""
+    return F.filter(F.split(context, r"\n\n={10,}\n\n"), lambda p: F.trim(p, F.lit(_BLANK)) != "")
+
+
+def content_windows(df: DataFrame, key: str, text: str, size: int, quota: int) -> DataFrame:
+    """(key, window, chars): windows of ``size`` characters, in order of key, until their lengths reach ``quota`` in each key."""
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    rows = df.select(key, F.posexplode(starts).alias("window", "at"), F.length(text).alias("n"))
+    rows = rows.select(key, "window", F.least(F.lit(size), F.col("n") - F.col("at")).alias("chars"))
+    before = F.coalesce(F.sum("chars").over(Window.partitionBy(key).orderBy("window").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).where(F.col("before") < quota).drop("before")
 
 
 def shares(groups: DataFrame, weight: str, total: int, order: str) -> DataFrame:
@@ -108,8 +138,12 @@ def shares(groups: DataFrame, weight: str, total: int, order: str) -> DataFrame:
     return rows.withColumn("part", F.col("part") + fix).drop("n", "rest", "last")
 
 
+#: Words that a table's head line may hold.
+HEADER_WORDS = ("序号", "名称", "数量", "金额", "价格", "单价", "日期", "姓名", "学号", "电话", "部门", "项目", "备注", "合计", "成绩", "编号", "型号", "规格")
+
+
 def table_like(page: Column) -> Column:
-    """Whether a page looks like a table: pipes, rules, or aligned fields on enough lines."""
+    """Whether a page looks like a table: pipes, rules, aligned fields or head words on enough lines."""
     lines = F.filter(F.transform(F.split(page, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     count = lambda test: F.size(F.filter(lines, test))
     fields = F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"\s{2,}"), lambda f: f != "")))
@@ -117,7 +151,8 @@ def table_like(page: Column) -> Column:
     pipes = count(lambda x: F.contains(x, F.lit("|"))) >= 3
     rules = count(lambda x: F.replace(x, F.lit(" ")).rlike(r"^[+\-=|]{4,}$")) >= 2
     aligned = F.exists(F.array_distinct(many), lambda n: F.size(F.filter(many, lambda m: m == n)) >= 4)
-    return (F.size(lines) >= 3) & (pipes | (rules & (F.size(many) >= 3)) | (aligned & (F.size(many) >= 5)))
+    heads = count(lambda x: x.rlike("|".join(HEADER_WORDS)) & (F.size(F.filter(F.split(x, r"\s{2,}"), lambda f: f != "")) >= 2)) >= 2
+    return (F.size(lines) >= 3) & (pipes | (rules & (F.size(many) >= 3)) | (aligned & (F.size(many) >= 5)) | (heads & (F.size(many) >= 4)))
 
 
 def table_pages(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.rules import REFUSAL
+from weftline.tables import half_up
 
 
 def valid_ids(ids: Column) -> Column:
@@ -34,9 +35,16 @@ def query_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1
     """
     ranked = distinct_ranked(hits) if distinct else hits.select("query_id", "doc_id", "rank")
     judged = ranked.join(relevant.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return judged_metrics(judged, relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant")), ks, digits)
+
+
+def judged_metrics(judged: DataFrame, wanted: DataFrame, ks: tuple[int, ...] = (1, 3, 5), digits: int = 6) -> DataFrame:
+    """The same from judged hits (query_id, doc_id, rank, hit 0 or 1) and the number of relevant documents of each query (query_id, relevant).
+
+    Where relevance follows from a property of rows, neither side has to list all pairs.
+    """
     at = lambda k: [F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"hits{k}"), F.sum(F.when((F.col("rank") <= k) & (F.col("hit") == 1), 1 / F.log2(F.col("rank") + F.lit(1.0))).otherwise(0.0)).alias(f"gain{k}")]
     found = judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"), F.sum("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_rank"), *[c for k in ks for c in at(k)])
-    wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     both = wanted.join(found, "query_id", "left").na.fill(0, ["retrieved", "hits", *[f"{p}{k}" for k in ks for p in ("hits", "gain")]])
     rounded = lambda c, name: F.round(c, digits).alias(name)
     return both.select(
@@ -89,10 +97,12 @@ def compare_arms(a: DataFrame, b: DataFrame, on: str, metric: str, digits: int =
     return left.join(right, on, "full").select(on, "a", "b", delta.alias("delta"), F.when(delta > 0, "up").when(delta < 0, "down").when(delta == 0, "same").alias("direction"))
 
 
-def floor_percentile(values: Column, p: float) -> Column:
-    """The element at floor(p x n) of the sorted values, which is not the nearest rank."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.size(ordered) * p) + 1).cast("int"))
+def floor_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
+    """(by, value): the element at floor(p x n) of each group's sorted values, which is not the nearest rank; found on counts of distinct values."""
+    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(by).orderBy(value))
+    total = counts.groupBy(by).agg(F.sum("n").alias("total"))
+    return counts.withColumn("to", up_to).join(total, by).where((F.col("to") > F.floor(F.col("total") * p)) & (F.col("to") - F.col("n") <= F.floor(F.col("total") * p))).select(by, value)
 
 
 def label_value(label: Column) -> Column:
@@ -110,3 +120,85 @@ def judge_score(text: Column) -> Column:
 def coverage(answer: Column, words: Column) -> Column:
     """The share of ``words`` that the answer holds; null without words."""
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(F.lower(answer), w))) / F.size(words))
+
+
+def keywords(text: Column) -> Column:
+    """Distinct words to look for: Latin words of two letters or more, every CJK character, their pairs and first ten triples, and numbers."""
+    cjk = F.regexp_replace(text, "[^\u4e00-\u9fff]", "")
+    grams = lambda n: F.when(F.length(cjk) >= n, F.transform(F.sequence(F.lit(1), F.length(cjk) - n + 1), lambda i: cjk.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.regexp_extract_all(text, F.lit("([a-zA-Z]{2,})")), lambda w: F.lower(w))
+    return F.array_distinct(F.concat(words, grams(1), grams(2), F.slice(grams(3), 1, 10), F.regexp_extract_all(text, F.lit(r"(\d+)"))))
+
+
+def found_share(words: Column, text: Column) -> Column:
+    """The share of ``words`` that the lower-cased text holds; 0 without words."""
+    low = F.lower(text)
+    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(low, F.lower(w)))) / F.size(words)).otherwise(0.0)
+
+
+def answer_ratios(question: Column, answer: Column, truth: Column, context: Column, sources: Column) -> Column:
+    """Four coverage ratios and their mean, to two places half up; all 0 without an answer or a true one.
+
+    ``faithfulness``: keywords of the truth in the answer; ``answer_relevancy``: of the question in the answer;
+    ``context_recall``: of the truth in the context; ``context_precision``: sources that hold some keyword of the truth.
+    """
+    wanted, asked = keywords(truth), keywords(question)
+    held = F.filter(sources, lambda s: F.exists(wanted, lambda w: F.contains(F.lower(s), F.lower(w))))
+    parts = {
+        "faithfulness": found_share(wanted, answer), "answer_relevancy": found_share(asked, answer),
+        "context_precision": F.when(F.size(sources) > 0, F.size(held) / F.size(sources)).otherwise(0.0), "context_recall": found_share(wanted, context),
+    }
+    parts["overall"] = (parts["context_recall"] + parts["answer_relevancy"] + parts["faithfulness"] + parts["context_precision"]) / 4
+    given = (F.coalesce(truth, F.lit("")) != "") & (F.coalesce(answer, F.lit("")) != "")
+    return F.struct(*[F.when(given, half_up(v, 2)).otherwise(0.0).alias(name) for name, v in parts.items()])
+
+
+def score_of(*aliases: Column) -> Column:
+    """The first of several columns that is not null; not a number or infinite counts as null; within 0 and 1."""
+    first = F.coalesce(*[c.cast("double") for c in aliases])
+    finite = F.when(~F.isnan(first) & (F.abs(first) < float("inf")), first)
+    return F.when(finite.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), finite)))
+
+
+def baseline(metrics: DataFrame, recall: str, precision: str, gate: float = 0.8, digits: int = 6) -> DataFrame:
+    """One row: mean recall and precision, and whether the recall passes the gate."""
+    mean = F.round(F.avg(recall), digits)
+    return metrics.agg(F.count(F.lit(1)).alias("queries"), mean.alias("recall"), F.round(F.avg(precision), digits).alias("precision"), (F.avg(recall) >= gate).cast("int").alias("passed"))
+
+
+def labelled_queries(candidates: DataFrame, label: Column) -> DataFrame:
+    """(query_id, labelled, partly): whether all, or any, of a query's candidates have a label."""
+    return candidates.groupBy("query_id").agg(F.bool_and(label.isNotNull()).cast("int").alias("labelled"), F.bool_or(label.isNotNull()).cast("int").alias("partly"))
+
+
+def rerank_metrics(candidates: DataFrame, label: Column, top: int = 10) -> DataFrame:
+    """(query_id, candidates, relevant, in_top, hit, first_rank, rr) of candidates (query_id, rank) whose label is true, false or null."""
+    hit = F.when(label, F.col("rank"))
+    first = F.min(hit)
+    return candidates.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count(hit).alias("relevant"), F.count(F.when(hit <= top, 1)).alias("in_top"),
+        F.coalesce((first <= top).cast("int"), F.lit(0)).alias("hit"), first.alias("first_rank"), F.coalesce(F.round(1 / first, 6), F.lit(0.0)).alias("rr"),
+    )
+
+
+def rerank_summary(metrics: DataFrame) -> DataFrame:
+    """One row over queries: recall of the hit kind, mean reciprocal rank and first rank, ranking errors, and what follows for reranking."""
+    rows = metrics.agg(
+        F.count(F.lit(1)).alias("evaluated"), F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"),
+        F.coalesce(F.round(F.avg("first_rank"), 6), F.lit(0.0)).alias("mean_first_rank"), F.count_if(F.col("first_rank") > 3).alias("ranking_errors"),
+    )
+    advice = (
+        F.when(F.col("evaluated") == 0, "label first")
+        .when((F.col("recall") >= 0.95) & (F.col("mrr") >= 0.5) & (F.col("mean_first_rank") > 0) & (F.col("mean_first_rank") <= 2), "skip reranking")
+        .when((F.col("mrr") <= 0.25) | (F.col("mean_first_rank") >= 5), "go on with reranking")
+        .otherwise("small comparison first")
+    )
+    return rows.withColumn("advice", advice)
+
+
+def hard_case(terms: Column, answer: Column) -> Column:
+    """Of an answer to a hard question: share of the terms it holds (1 without terms), how many it lacks, whether it refuses, its length."""
+    text = F.coalesce(answer, F.lit(""))
+    found = F.size(F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t))))
+    covered = F.when(F.size(terms) > 0, half_up(found / F.size(terms), 2)).otherwise(1.0)
+    return F.struct(covered.alias("coverage"), (F.size(terms) - found).alias("missing"), text.rlike(REFUSAL).cast("int").alias("refused"), F.length(text).alias("chars"))

@@ -91,3 +91,40 @@ def within_bytes(rows: DataFrame, by: list[str], size: Column, most: int, *newes
     w = Window.partitionBy(*by).orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, 0)
     fits = rows.withColumn("__size", size).where(F.col("__size") <= most)
     return fits.withColumn("kept_size", F.sum("__size").over(w)).where(F.col("kept_size") <= most).drop("__size")
+
+
+def sliding_latency(events: DataFrame, ts: str, value: str, seconds: int = 300, p: float = 0.95, most: int = 2000, least: float = 3000.0) -> DataFrame:
+    """Each event with the nearest-rank percentile of the values in the ``seconds`` up to it, of the newest ``most`` at most, and an alert flag.
+
+    Events are dealt to stretches of time as in ``sliding_errors``; a window's list is cut at ``most`` because the rule is.
+    """
+    width = seconds * 1_000_000
+    timed = events.withColumn("__us", micros(F.col(ts)))
+    dealt = timed.withColumn("__part", F.explode(F.array(F.floor(F.col("__us") / width), F.floor(F.col("__us") / width) + 1)))
+    w = Window.partitionBy("__part").orderBy("__us").rangeBetween(-(width - 1), 0)
+    held = F.collect_list(F.struct("__us", F.col(value).alias("v"))).over(w)
+    rows = dealt.withColumn("__held", held).where(F.col("__part") == F.floor(F.col("__us") / width))
+    newest = F.transform(F.slice(F.sort_array("__held", asc=False), 1, most), lambda x: x["v"])
+    found = F.element_at(F.sort_array(newest), F.greatest(F.lit(1), F.ceil(F.size(newest) * F.lit(p)).cast("int")))
+    return rows.withColumn("p95", found).withColumn("alert", (F.col("p95") >= least).cast("int")).drop("__us", "__part", "__held")
+
+
+def latency_band(ms: Column) -> Column:
+    """good under 500 ms, fair under 2000, else poor."""
+    return F.when(ms < 500, "good").when(ms < 2000, "fair").otherwise("poor")
+
+
+def latency_text(ms: Column) -> Column:
+    """Milliseconds under a second, else seconds to two places."""
+    return F.when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s")))
+
+
+def coverage_band(share: Column) -> Column:
+    """good from 80 per cent, fair from 50, else poor."""
+    return F.when(share >= 0.8, "good").when(share >= 0.5, "fair").otherwise("poor")
+
+
+def override(value: Column, low: float, high: float, default: Column) -> Column:
+    """A setting given as text, if it is a number within the range; else the default."""
+    number = value.try_cast("double")
+    return F.when(number.between(low, high), number).otherwise(default)

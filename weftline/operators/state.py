@@ -91,3 +91,18 @@ def memory_score(query: Column, content: Column, similarity: Column, accesses: C
 def age_bucket(seconds: Column) -> Column:
     """How long ago, in words' buckets."""
     return F.when(seconds < 60, "now").when(seconds < 3600, "minutes").when(seconds < 86400, "hours").when(seconds < 7 * 86400, "days").otherwise("date")
+
+
+def short_term(turns: DataFrame, conversation: str, turn: str, most: int = 8, full: int = 6, oldest: int = 3) -> DataFrame:
+    """The newest ``most`` turns of each conversation; of more than ``full``, the ``oldest`` ones are to be compressed (``part``)."""
+    back = F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(turn)))
+    kept = turns.withColumn("__back", back).where(F.col("__back") <= most)
+    n = F.count(F.lit(1)).over(Window.partitionBy(conversation))
+    return kept.withColumn("part", F.when((n > full) & (F.col("__back") > n - oldest), "compressed").otherwise("kept")).drop("__back")
+
+
+def deleted(rows: DataFrame, gone: DataFrame, own: str, parent: str) -> DataFrame:
+    """``rows`` without those whose own id or parent is in ``gone`` (id)."""
+    ids = gone.select(F.col("id").alias("__gone")).distinct()
+    left = rows.join(ids, F.col(own) == F.col("__gone"), "left_anti")
+    return left.join(ids, F.col(parent) == F.col("__gone"), "left_anti")

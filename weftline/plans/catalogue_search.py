@@ -27,10 +27,23 @@ def _lead(spark, d, k=20):
     return search.exact_cosine(*_tables(spark, d), k, slice(0, 32))
 
 
-def _relevant(spark, d):
-    rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    ask = rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id")
-    return ask.join(rows, "label").where("id != query_id").select("query_id", F.col("id").alias("doc_id"))
+def _labels(spark, d):
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+
+
+def _wanted(spark, d):
+    """(query_id, relevant): the other rows of the query's label, by a count of each label, so no pairs are listed."""
+    rows = _labels(spark, d)
+    n = rows.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("relevant"))
+    return rows.where(F.col("id") % EVERY == 0).join(n, "label").where("relevant > 0").select(F.col("id").alias("query_id"), "relevant")
+
+
+def _judged(spark, d, hits, name="id"):
+    """``hits`` with ``hit``: whether the row's label is the query's."""
+    rows = _labels(spark, d)
+    own = rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("label").alias("__asked"))
+    found = rows.select(F.col("id").alias(name), F.col("label").alias("__found"))
+    return hits.join(own, "query_id").join(found, name).withColumn("hit", (F.col("__asked") == F.col("__found")).cast("int")).drop("__asked", "__found")
 
 
 _SCORED = """sims AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label AS label, q.label AS qlabel,
@@ -85,16 +98,16 @@ def fusion_weight_grid(spark, d):
     rows = both.select("query_id", "id", "sa", "sb", grid).withColumn("score", F.round(F.col("w") * F.col("sa") + (1 - F.col("w")) * F.col("sb"), 6))
     keyed = rows.withColumn("query_id", F.struct("w", "query_id"))
     top = search.ranked(keyed.select("query_id", "id", "score"), 5).select(F.col("query_id.w").alias("w"), F.col("query_id.query_id").alias("query_id"), F.col("id").alias("doc_id"), "rank")
-    judged = top.join(_relevant(spark, d).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    judged = _judged(spark, d, top, "doc_id")
     one = judged.groupBy("w", "query_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"), F.coalesce(F.max(F.when(F.col("hit") == 1, 1 / F.col("rank"))), F.lit(0.0)).alias("rr"))
     return one.groupBy("w").agg(F.count(F.lit(1)).alias("queries"), F.sum("hit").alias("hits"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
 def fusion_win_tie_loss(spark, d):
     """Reciprocal-rank fusion with several constants against weighted fusion, by the first relevant rank."""
-    a, b, rel = _dense(spark, d), _lead(spark, d), _relevant(spark, d).withColumnRenamed("doc_id", "id")
-    first = lambda hits: hits.join(rel, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    asked = rel.select("query_id").distinct()
+    a, b = _dense(spark, d), _lead(spark, d)
+    first = lambda hits: _judged(spark, d, hits).where("hit = 1").groupBy("query_id").agg(F.min("rank").alias("first"))
+    asked = _wanted(spark, d).select("query_id")
     base = asked.join(first(search.fuse_weighted(a, b, 20)), "query_id", "left").select("query_id", F.coalesce("first", F.lit(99)).alias("base"))
     out = None
     for k in (10, 20, 40, 60):
@@ -110,13 +123,12 @@ def doc_max_score(spark, d):
 
 def rank_debug(spark, d):
     """First rank of a relevant row and number of them in the pool, by query."""
-    rel = _relevant(spark, d).withColumnRenamed("doc_id", "id")
-    return rel.select("query_id").distinct().join(_dense(spark, d).join(rel, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("in_pool")), "query_id", "left").na.fill(0)
+    return _wanted(spark, d).select("query_id").join(_judged(spark, d, _dense(spark, d)).where("hit = 1").groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("in_pool")), "query_id", "left").na.fill(0)
 
 
 def _metrics(spark, d):
     hits = _dense(spark, d, 10).select("query_id", F.col("id").alias("doc_id"), "rank")
-    return evaluation.query_metrics(hits, _relevant(spark, d))
+    return evaluation.judged_metrics(_judged(spark, d, hits, "doc_id"), _wanted(spark, d))
 
 
 def retrieval_metrics(spark, d):

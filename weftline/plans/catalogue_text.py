@@ -36,9 +36,8 @@ def indexed_chunks(spark, d):
 
 
 def packed_chunks(spark, d):
-    """Lines packed to chunks of at most 500 characters."""
-    lines = F.filter(F.transform(F.split("text", r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
-    return _docs(spark, d).select("doc_id", F.posexplode(chunking.packed(lines)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("chars"))
+    """Documents packed to chunks of at most 500 characters, by paragraphs, sentences and windows."""
+    return _docs(spark, d).select("doc_id", F.posexplode(chunking.packed(F.col("text"))).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 def force_split(spark, d):
@@ -184,8 +183,8 @@ SQL = {
     "proportional_allocation": "WITH g AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1), p AS (SELECT *, greatest(1, floor(docs * 100 / sum(docs) OVER () + 0.5))::BIGINT AS part, row_number() OVER (ORDER BY source) AS n, count(*) OVER () AS m FROM g) SELECT source, docs, (part + CASE WHEN rest > 0 AND n = 1 THEN rest WHEN rest < 0 AND n = m THEN rest ELSE 0 END)::BIGINT AS part FROM (SELECT *, 100 - sum(part) OVER () AS rest FROM p)",
     "context_budget": "WITH r AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents), f AS (SELECT *, upto > 6000 AS partial, row_number() OVER (PARTITION BY source, upto > 6000 ORDER BY doc_id) AS k, 6000 - (upto - n_chars) AS room FROM r) SELECT source, doc_id, n_chars, partial, (CASE WHEN partial THEN room ELSE n_chars END)::BIGINT AS used FROM f WHERE NOT partial OR (k = 1 AND room > 200)",
     "table_documents": r"""WITH l AS (SELECT doc_id, source, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
- f AS (SELECT *, len(list_filter(l, lambda x: contains(x, '|'))) AS pipes, len(list_filter(l, lambda x: regexp_full_match(replace(x, ' ', ''), '[+\-=|]{4,}'))) AS rules, list_filter(list_transform(l, lambda x: len(list_filter(regexp_split_to_array(x, '\s{2,}'), lambda y: y <> ''))), lambda n: n >= 2) AS many FROM l)
- SELECT source, count_if(len(l) >= 3 AND (pipes >= 3 OR (rules >= 2 AND len(many) >= 3) OR (len(many) >= 5 AND len(list_filter(list_distinct(many), lambda n: len(list_filter(many, lambda m: m = n)) >= 4)) > 0)))::BIGINT AS tables, count(*) AS docs FROM f GROUP BY 1""",
+ f AS (SELECT *, len(list_filter(l, lambda x: contains(x, '|'))) AS pipes, len(list_filter(l, lambda x: regexp_full_match(replace(x, ' ', ''), '[+\-=|]{4,}'))) AS rules, len(list_filter(l, lambda x: regexp_matches(x, '序号|名称|数量|金额|价格|单价|日期|姓名|学号|电话|部门|项目|备注|合计|成绩|编号|型号|规格') AND len(list_filter(regexp_split_to_array(x, '\s{2,}'), lambda y: y <> '')) >= 2)) AS heads, list_filter(list_transform(l, lambda x: len(list_filter(regexp_split_to_array(x, '\s{2,}'), lambda y: y <> ''))), lambda n: n >= 2) AS many FROM l)
+ SELECT source, count_if(len(l) >= 3 AND (pipes >= 3 OR (rules >= 2 AND len(many) >= 3) OR (len(many) >= 5 AND len(list_filter(list_distinct(many), lambda n: len(list_filter(many, lambda m: m = n)) >= 4)) > 0) OR (heads >= 2 AND len(many) >= 4)))::BIGINT AS tables, count(*) AS docs FROM f GROUP BY 1""",
     "keyword_search_snippet": "SELECT doc_id, place, concat(CASE WHEN place - 10 > 1 THEN '...' ELSE '' END, substring(text, greatest(1, place - 10), least(n, place + 24) - greatest(1, place - 10) + 1), CASE WHEN place + 24 < n THEN '...' ELSE '' END) AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'license') AS place, length(text) AS n FROM documents) WHERE place > 0",
     "speech_text_digest": r"""SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' 代码内容已省略。 ', 'g'), '`([^`]+)`', '\1', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', '', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '(?m)^\s*\d+[.)、]\s+', '', 'g'), '[>*_~|]', '', 'g'), '\s+', ' ', 'g'))) AS chars FROM documents""",
     "category_infer": "WITH h AS (SELECT lang, t, (contains(t, 'license')::INT + contains(t, 'licensed')::INT + contains(t, 'rights')::INT + contains(t, 'copyright')::INT) AS a, (contains(t, ' the ')::INT + contains(t, ' of ')::INT + contains(t, ' and ')::INT) AS b, (contains(t, ' der ')::INT + contains(t, ' die ')::INT + contains(t, ' und ')::INT) AS c, (contains(t, ' de ')::INT + contains(t, ' la ')::INT + contains(t, ' que ')::INT) AS d FROM (SELECT lang, lower(text) AS t FROM documents)) SELECT lang, CASE WHEN greatest(a, b, c, d) < 2 THEN 'none' WHEN a = greatest(a, b, c, d) THEN 'law' WHEN b = greatest(a, b, c, d) THEN 'english' WHEN c = greatest(a, b, c, d) THEN 'german' ELSE 'romance' END AS category, count(*) AS docs FROM h GROUP BY 1, 2",
