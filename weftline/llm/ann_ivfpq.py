@@ -120,7 +120,7 @@ def fit(x: np.ndarray, rows: int, k: int) -> Index:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """The rows of a list column as a matrix of doubles."""
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
