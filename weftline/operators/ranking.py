@@ -126,3 +126,34 @@ def distinct_sources(rows: DataFrame, key: str = "query_id", order: str = "rank"
     name = F.coalesce(F.concat(F.lit("i:"), F.col("doc_id").cast("string")), F.concat(F.lit("t:"), F.col("title")), F.to_json(F.struct(*rows.columns)))
     w = Window.partitionBy(key, "__source").orderBy(order)
     return rows.withColumn("__source", name).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__source", "__n")
+
+
+def parent_sources(children: DataFrame, text_chars: int = 1500) -> DataFrame:
+    """Children (query_id, doc_id, parent_idx, chunk_index, rank, score, channels, text) as one source a parent.
+
+    (query_id, doc_id, parent_idx, chunk_ids, matched, channels, first_rank, score, snippet): distinct chunk ids (ascending) and
+    channels, how many matched (rows, where no chunk has an id), the best child's score within 0 and 1, and the
+    longest text, cut. A parent's children are part of a ranked list that an earlier step has cut.
+    """
+    score = F.max(F.when(F.abs("score") < float("inf"), F.col("score").cast("double")))
+    ids = F.array_sort(F.collect_set("chunk_index"))
+    out = children.groupBy("query_id", "doc_id", F.coalesce("parent_idx", F.lit(0)).alias("parent_idx")).agg(
+        ids.alias("chunk_ids"), F.when(F.size(ids) > 0, F.size(ids)).otherwise(F.count(F.lit(1)).cast("int")).alias("matched"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("channels")))).alias("channels"), F.min("rank").alias("first_rank"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score, F.lit(0.0)))).alias("score"),
+        F.substring(F.coalesce(F.max_by("text", F.length("text")), F.lit("")), 1, text_chars).alias("snippet"),
+    )
+    return out
+
+
+def in_reading_order(parents: DataFrame, key: str = "query_id") -> DataFrame:
+    """Each query's parents with ``place``: by document, then by their order in it."""
+    return parents.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("doc_id", "parent_idx")))
+
+
+def looked_up(sources: DataFrame, chunks: DataFrame, documents: DataFrame, most: int = 1200) -> DataFrame:
+    """(doc_id, context): of each source (doc_id, chunk_ids) the chunks (doc_id, chunk_index, chunk) that it names, else the beginning of its document (doc_id, text); each text once, blanks left out."""
+    named = sources.select("doc_id", F.explode("chunk_ids").alias("chunk_index")).where("chunk_index >= 0").distinct()
+    found = named.join(chunks, ["doc_id", "chunk_index"]).select("doc_id", F.trim("chunk").alias("context"))
+    rest = sources.select("doc_id").distinct().join(named.select("doc_id").distinct(), "doc_id", "left_anti").join(documents, "doc_id")
+    return found.unionByName(rest.select("doc_id", F.trim(F.substring("text", 1, most)).alias("context"))).where("context <> ''").distinct()

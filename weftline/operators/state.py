@@ -106,3 +106,23 @@ def deleted(rows: DataFrame, gone: DataFrame, own: str, parent: str) -> DataFram
     ids = gone.select(F.col("id").alias("__gone")).distinct()
     left = rows.join(ids, F.col(own) == F.col("__gone"), "left_anti")
     return left.join(ids, F.col(parent) == F.col("__gone"), "left_anti")
+
+
+def flattened(groups: DataFrame, children: str = "children") -> DataFrame:
+    """A tree of two levels, groups (value, label, children: array of struct(value, label)), as rows (value, label, parent); groups have no parent."""
+    top = groups.select("value", "label", F.lit(None).cast("string").alias("parent"))
+    return top.unionByName(groups.select(F.col("value").alias("parent"), F.explode(children).alias("c")).select("c.value", "c.label", "parent"))
+
+
+def reindexed(index: DataFrame, rebuilt: DataFrame, category: str, which: str | None = None) -> DataFrame:
+    """``index`` with the rows of one category replaced by those of ``rebuilt``; all of them where none is named."""
+    if which is None:
+        return rebuilt
+    return index.where(~F.col(category).eqNullSafe(which)).unionByName(rebuilt.where(F.col(category) == which))
+
+
+def vector_fields(df: DataFrame) -> DataFrame:
+    """(field, kind, n, least, most): the columns that hold dense vectors (arrays of numbers) or sparse ones (maps to numbers), with how many and how long they are."""
+    kinds = {name: "dense" if kind.startswith("array") else "sparse" for name, kind in df.dtypes if kind in ("array<float>", "array<double>") or (kind.startswith("map<") and kind.endswith((",float>", ",double>")))}
+    sizes = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.when(F.col(name).isNotNull(), F.size(name)).alias("size")) for name, kind in kinds.items()])).alias("x")).select("x.*")
+    return sizes.groupBy("field", "kind").agg(F.count("size").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
