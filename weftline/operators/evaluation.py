@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.rules import REFUSAL
+from weftline.operators.operations import floor_index, percentiles
 from weftline.tables import half_up
 
 
@@ -98,11 +99,8 @@ def compare_arms(a: DataFrame, b: DataFrame, on: str, metric: str, digits: int =
 
 
 def floor_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """(by, value): the element at floor(p x n) of each group's sorted values, which is not the nearest rank; found on counts of distinct values."""
-    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy(by).orderBy(value))
-    total = counts.groupBy(by).agg(F.sum("n").alias("total"))
-    return counts.withColumn("to", up_to).join(total, by).where((F.col("to") > F.floor(F.col("total") * p)) & (F.col("to") - F.col("n") <= F.floor(F.col("total") * p))).select(by, value)
+    """(by, value): the element at floor(p x n) of each group's sorted values, which is not the nearest rank."""
+    return percentiles(rows, by, value, {"__found": floor_index(p)}).withColumnRenamed("__found", value)
 
 
 def label_value(label: Column) -> Column:
@@ -112,9 +110,13 @@ def label_value(label: Column) -> Column:
 
 
 def judge_score(text: Column) -> Column:
-    """The number in a judge's reply: its ``score`` field or the first number; above 1 taken as per cent; within 0 and 1."""
-    raw = F.coalesce(F.try_to_number(F.get_json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0), "$.score"), F.lit("999.999999")).cast("double"), F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(raw > 1, raw / 100).otherwise(raw)))
+    """The number ``score`` in the JSON of a judge's reply (the whole reply, a fenced block, or from brace to brace); above 1 taken as per cent; within 0 and 1. 0 where there is none."""
+    reply = F.coalesce(text, F.lit(""))
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    parsed = F.coalesce(*[F.try_parse_json(F.trim(x)) for x in (reply, fenced, F.regexp_extract(reply, r"(?s)\{.*\}", 0))])
+    field = F.try_variant_get(parsed, "$.score", "variant")
+    raw = F.when(F.schema_of_variant(field).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(parsed, "$.score", "double"))
+    return F.when(raw.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(raw > 1, raw / 100).otherwise(raw))))
 
 
 def coverage(answer: Column, words: Column) -> Column:

@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.tables import half_up, micros
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The nearest-rank percentile of a column in an aggregation."""
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
+#: Parts that a group's values are cut into, at approximate quantiles, to find exact ones.
+PARTS = 64
+
+
+def nearest_rank(percent: int) -> Callable[[Column], Column]:
+    """The place, from 1, of a percentile by nearest rank among ``total`` values, in whole numbers."""
+    return lambda total: F.greatest(F.lit(1), F.ceil(total * percent / 100).cast("long"))
+
+
+def floor_index(p: float) -> Callable[[Column], Column]:
+    """The place, from 1, of the element at index floor(p x total)."""
+    return lambda total: F.least(total, F.floor(total * F.lit(p)) + 1)
+
+
+def percentiles(rows: DataFrame, by: str, value: str, places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, and a column for each of ``places``): the values that stand at exact places in each group's order; nulls do not count.
+
+    Values are counted, dealt to parts between approximate quantiles, and only the part that holds a place is put in
+    order, so no task has a whole group, however few groups there are. A null ``by`` is a group of its own.
+    """
+    named = rows.select(F.struct(F.col(by).alias("by")).alias("__by"), F.col(value).alias("v")).where("v IS NOT NULL")
+    counts = named.groupBy("__by", "v").agg(F.count(F.lit(1)).alias("c"))
+    cuts = named.groupBy("__by").agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 1000).alias("cuts"))
+    dealt = counts.join(cuts, "__by").select("__by", "v", "c", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("part"))
+    group = Window.partitionBy("__by")
+    held = dealt.groupBy("__by", "part").agg(F.sum("c").alias("held")).withColumn("upto", F.sum("held").over(group.orderBy("part"))).withColumn("total", F.sum("held").over(group))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("total")).cast("long").alias("place")) for name, place in places.items()]))
+    wanted = held.withColumn("x", asked).select("__by", "part", (F.col("upto") - F.col("held")).alias("before"), "upto", "x.*").where("place > before AND place <= upto")
+    inside = dealt.join(wanted.select("__by", "part", "before", "name", "place"), ["__by", "part"])
+    running = inside.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("__by", "name").orderBy("v")))
+    found = running.where("upto >= place").groupBy("__by").agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
+    return found.select(F.col("__by.by").alias(by), *places)
 
 
 def latency_summary(events: DataFrame, kind: str, value: str, digits: int = 6) -> DataFrame:
     """(kind, n, mean, p50, p95, p99), percentiles by nearest rank."""
-    return events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), digits).alias("mean"), *[nearest_rank(value, p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+    means = events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), digits).alias("mean"))
+    found = percentiles(events, kind, value, {f"p{p}": nearest_rank(p) for p in (50, 95, 99)}).withColumnRenamed(kind, "__kind")
+    return means.join(found, F.col(kind).eqNullSafe(F.col("__kind")), "left").drop("__kind")
 
 
 def last_n(events: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:

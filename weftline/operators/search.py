@@ -22,12 +22,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, dims: slice = slice(None), digits: int = 6) -> DataFrame:
+def sparsified(rows: DataFrame, least: float = 0.1) -> DataFrame:
+    """``rows`` with only those components of ``vector`` that are at least ``least`` in size; the others are 0. A sparse channel beside the dense one."""
+    return rows.withColumn("vector", F.transform("vector", lambda x: F.when(F.abs(x) >= least, x).otherwise(0.0).cast("float")))
+
+
+def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): for each of ``queries`` (query_id, vector, and scope if given) the ``k`` nearest rows of ``corpus`` (id, vector, scope).
 
     A fixed number of queries at a time is held against all rows: each task makes one matrix product a batch and keeps
     its own best ``k`` of each query, so what is shuffled is ``k`` rows a query and task. With a ``scope`` column on
-    both sides only rows of the query's scope count. A query's own id is no candidate; ties go to the smaller id.
+    both sides only rows of the query's scope count. A query's own id is no candidate. Rows are ranked by scores of
+    twelve digits, ties going to the smaller id, and shown with ``digits``.
     """
     scoped = "scope" in queries.columns
     columns = ["query_id", "vector"] + (["scope"] if scoped else [])
@@ -37,7 +43,7 @@ def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, dims: slice = sl
     parts = []
     for block in sorted(blocks):
         own = held.where(F.col("block") == block).toArrow()
-        ids, vectors = own.column("query_id").to_numpy(), _unit(_matrix(own.column("vector").combine_chunks())[:, dims])
+        ids, vectors = own.column("query_id").to_numpy(), _unit(_matrix(own.column("vector").combine_chunks()))
         scopes = np.array(own.column("scope").to_pylist()) if scoped else None
         sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors, scopes))
 
@@ -47,7 +53,7 @@ def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, dims: slice = sl
                 if not batch.num_rows:
                     continue
                 found = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-                score = np.round(q @ _unit(_matrix(batch.column(1))[:, dims]).T, digits) + 0.0
+                score = np.round(q @ _unit(_matrix(batch.column(1))).T, 12) + 0.0
                 score[asked[:, None] == found[None, :]] = -np.inf
                 if scope is not None:
                     score[scope[:, None] != np.array(batch.column(2).to_pylist())[None, :]] = -np.inf
@@ -62,7 +68,7 @@ def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, dims: slice = sl
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return ranked(out, k)
+    return ranked(out, k).withColumn("score", F.round("score", digits))
 
 
 def ranked(hits: DataFrame, k: int | None = None, by: str = "score", out: str = "rank") -> DataFrame:

@@ -23,8 +23,8 @@ def _dense(spark, d, k=20):
     return search.exact_cosine(*_tables(spark, d), k)
 
 
-def _lead(spark, d, k=20):
-    return search.exact_cosine(*_tables(spark, d), k, slice(0, 32))
+def _sparse(spark, d, k=20):
+    return search.exact_cosine(*[search.sparsified(t) for t in _tables(spark, d)], k)
 
 
 def _labels(spark, d):
@@ -46,23 +46,24 @@ def _judged(spark, d, hits, name="id"):
     return hits.join(own, "query_id").join(found, name).withColumn("hit", (F.col("__asked") == F.col("__found")).cast("int")).drop("__asked", "__found")
 
 
-_SCORED = """sims AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label AS label, q.label AS qlabel,
-  round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS s,
-  round(list_cosine_similarity((q.embedding::DOUBLE[])[1:32], (c.embedding::DOUBLE[])[1:32]), 6) AS t
-  FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-dense AS (SELECT * FROM (SELECT query_id, id, label, qlabel, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sims) WHERE rank <= 20),
-lead AS (SELECT * FROM (SELECT query_id, id, t AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, id) AS rank FROM sims) WHERE rank <= 20),
+_SCORED = """thin AS (SELECT *, list_transform(embedding, lambda x: CASE WHEN abs(x::DOUBLE) >= 0.1 THEN x::DOUBLE ELSE 0.0::DOUBLE END) AS thin FROM embeddings),
+sims AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label AS label, q.label AS qlabel,
+  round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS s,
+  round(list_cosine_similarity(q.thin, c.thin), 12) AS t
+  FROM thin q, thin c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+dense AS (SELECT * FROM (SELECT query_id, id, label, qlabel, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sims) WHERE rank <= 20),
+sparse AS (SELECT * FROM (SELECT query_id, id, round(t, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, id) AS rank FROM sims) WHERE rank <= 20),
 rel AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)"""
 
 _WEIGHTED = """fusedw AS (SELECT query_id, id, score, channels, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT query_id, id, round(0.6 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0), 6) AS score,
   concat_ws(',', CASE WHEN coalesce(a.score, 0) > 0 THEN 'dense' END, CASE WHEN coalesce(b.score, 0) > 0 THEN 'sparse' END) AS channels
-  FROM dense a FULL JOIN lead b USING (query_id, id)))"""
+  FROM dense a FULL JOIN sparse b USING (query_id, id)))"""
 
 _RRF = """fusedr AS (SELECT query_id, id, score, channels, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT query_id, id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score,
   concat_ws(',', CASE WHEN a.rank IS NOT NULL THEN 'dense' END, CASE WHEN b.rank IS NOT NULL THEN 'sparse' END) AS channels
-  FROM (SELECT * FROM dense WHERE score > 0) a FULL JOIN (SELECT * FROM lead WHERE score > 0) b USING (query_id, id)))"""
+  FROM (SELECT * FROM dense WHERE score > 0) a FULL JOIN (SELECT * FROM sparse WHERE score > 0) b USING (query_id, id)))"""
 
 
 def knn_cosine_topk(spark, d):
@@ -74,15 +75,15 @@ def knn_filtered_by_label(spark, d):
 
 
 def weighted_fusion(spark, d):
-    return search.fuse_weighted(_dense(spark, d), _lead(spark, d), 20)
+    return search.fuse_weighted(_dense(spark, d), _sparse(spark, d), 20)
 
 
 def rrf_fusion(spark, d):
-    return search.fuse_reciprocal(_dense(spark, d), _lead(spark, d), 20)
+    return search.fuse_reciprocal(_dense(spark, d), _sparse(spark, d), 20)
 
 
 def dual_retrieve(spark, d):
-    return search.best_of(_dense(spark, d), _lead(spark, d), k=20)
+    return search.best_of(_dense(spark, d), _sparse(spark, d), k=20)
 
 
 def filter_fallback(spark, d):
@@ -92,7 +93,7 @@ def filter_fallback(spark, d):
 
 
 def fusion_weight_grid(spark, d):
-    a, b = _dense(spark, d), _lead(spark, d)
+    a, b = _dense(spark, d), _sparse(spark, d)
     both = a.select("query_id", "id", F.col("score").alias("sa")).join(b.select("query_id", "id", F.col("score").alias("sb")), ["query_id", "id"], "full").na.fill(0.0)
     grid = F.explode(F.array(*[F.lit(x / 10) for x in (0, 2, 4, 5, 6, 8, 10)])).alias("w")
     rows = both.select("query_id", "id", "sa", "sb", grid).withColumn("score", F.round(F.col("w") * F.col("sa") + (1 - F.col("w")) * F.col("sb"), 6))
@@ -105,7 +106,7 @@ def fusion_weight_grid(spark, d):
 
 def fusion_win_tie_loss(spark, d):
     """Reciprocal-rank fusion with several constants against weighted fusion, by the first relevant rank."""
-    a, b = _dense(spark, d), _lead(spark, d)
+    a, b = _dense(spark, d), _sparse(spark, d)
     first = lambda hits: _judged(spark, d, hits).where("hit = 1").groupBy("query_id").agg(F.min("rank").alias("first"))
     asked = _wanted(spark, d).select("query_id")
     base = asked.join(first(search.fuse_weighted(a, b, 20)), "query_id", "left").select("query_id", F.coalesce("first", F.lit(99)).alias("base"))
@@ -181,13 +182,13 @@ _W = f"WITH {_SCORED}"
 
 SQL = {
     "knn_cosine_topk": f"{_W} SELECT query_id, id, score, rank FROM dense",
-    "knn_filtered_by_label": f"{_W} SELECT * FROM (SELECT query_id, id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sims WHERE label = qlabel) WHERE rank <= 10",
+    "knn_filtered_by_label": f"{_W} SELECT * FROM (SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sims WHERE label = qlabel) WHERE rank <= 10",
     "weighted_fusion": f"{_W}, {_WEIGHTED} SELECT * FROM fusedw WHERE rank <= 20",
     "rrf_fusion": f"{_W}, {_RRF} SELECT * FROM fusedr WHERE rank <= 20",
-    "dual_retrieve": f"{_W} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM dense UNION ALL SELECT query_id, id, score FROM lead) GROUP BY 1, 2)) WHERE rank <= 20",
-    "filter_fallback": f"{_W}, near AS (SELECT * FROM (SELECT query_id, id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sims WHERE label = qlabel) WHERE rank <= 5 AND score >= 0.3) SELECT query_id, id, score, rank FROM near UNION ALL SELECT query_id, id, score, rank FROM dense WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM near)",
-    "fusion_weight_grid": f"{_W}, both_ AS (SELECT query_id, id, coalesce(a.score, 0) AS sa, coalesce(b.score, 0) AS sb FROM dense a FULL JOIN lead b USING (query_id, id)), top AS (SELECT *, row_number() OVER (PARTITION BY w, query_id ORDER BY score DESC, id) AS rank FROM (SELECT w, query_id, id, round(w * sa + (1 - w) * sb, 6) AS score FROM both_, (SELECT unnest([0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0])::DOUBLE AS w))), one AS (SELECT w, query_id, max(CASE WHEN r.id IS NULL THEN 0 ELSE 1 END) AS hit, coalesce(max(CASE WHEN r.id IS NOT NULL THEN 1.0::DOUBLE / rank END), 0) AS rr FROM (SELECT * FROM top WHERE rank <= 5) LEFT JOIN rel r USING (query_id, id) GROUP BY 1, 2) SELECT w, count(*) AS queries, sum(hit)::BIGINT AS hits, round(avg(rr), 6) AS mrr FROM one GROUP BY 1",
-    "fusion_win_tie_loss": f"{_W}, {_WEIGHTED}, base AS (SELECT q.query_id, coalesce(min(f.rank), 99) AS base FROM (SELECT DISTINCT query_id FROM rel) q LEFT JOIN (SELECT fusedw.* FROM fusedw JOIN rel USING (query_id, id) WHERE rank <= 20) f USING (query_id) GROUP BY 1), r AS (SELECT k, query_id, id, row_number() OVER (PARTITION BY k, query_id ORDER BY score DESC, id) AS rank FROM (SELECT k, query_id, id, round(coalesce(1.0::DOUBLE / (k + a.rank), 0) + coalesce(1.0::DOUBLE / (k + b.rank), 0), 9) AS score FROM (SELECT * FROM dense WHERE score > 0) a FULL JOIN (SELECT * FROM lead WHERE score > 0) b USING (query_id, id), (SELECT unnest([10, 20, 40, 60]) AS k))), f AS (SELECT k, query_id, min(rank) AS first FROM r JOIN rel USING (query_id, id) WHERE rank <= 20 GROUP BY 1, 2), c AS (SELECT g.k, base, coalesce(f.first, 99) AS first FROM base, (SELECT unnest([10, 20, 40, 60]) AS k) g LEFT JOIN f ON f.k = g.k AND f.query_id = base.query_id) SELECT k, count_if(first < base)::BIGINT AS wins, count_if(first = base)::BIGINT AS ties, count_if(first > base)::BIGINT AS losses FROM c GROUP BY 1",
+    "dual_retrieve": f"{_W} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM dense UNION ALL SELECT query_id, id, score FROM sparse) GROUP BY 1, 2)) WHERE rank <= 20",
+    "filter_fallback": f"{_W}, near AS (SELECT * FROM (SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sims WHERE label = qlabel) WHERE rank <= 5 AND score >= 0.3) SELECT query_id, id, score, rank FROM near UNION ALL SELECT query_id, id, score, rank FROM dense WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM near)",
+    "fusion_weight_grid": f"{_W}, both_ AS (SELECT query_id, id, coalesce(a.score, 0) AS sa, coalesce(b.score, 0) AS sb FROM dense a FULL JOIN sparse b USING (query_id, id)), top AS (SELECT *, row_number() OVER (PARTITION BY w, query_id ORDER BY score DESC, id) AS rank FROM (SELECT w, query_id, id, round(w * sa + (1 - w) * sb, 6) AS score FROM both_, (SELECT unnest([0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0])::DOUBLE AS w))), one AS (SELECT w, query_id, max(CASE WHEN r.id IS NULL THEN 0 ELSE 1 END) AS hit, coalesce(max(CASE WHEN r.id IS NOT NULL THEN 1.0::DOUBLE / rank END), 0) AS rr FROM (SELECT * FROM top WHERE rank <= 5) LEFT JOIN rel r USING (query_id, id) GROUP BY 1, 2) SELECT w, count(*) AS queries, sum(hit)::BIGINT AS hits, round(avg(rr), 6) AS mrr FROM one GROUP BY 1",
+    "fusion_win_tie_loss": f"{_W}, {_WEIGHTED}, base AS (SELECT q.query_id, coalesce(min(f.rank), 99) AS base FROM (SELECT DISTINCT query_id FROM rel) q LEFT JOIN (SELECT fusedw.* FROM fusedw JOIN rel USING (query_id, id) WHERE rank <= 20) f USING (query_id) GROUP BY 1), r AS (SELECT k, query_id, id, row_number() OVER (PARTITION BY k, query_id ORDER BY score DESC, id) AS rank FROM (SELECT k, query_id, id, round(coalesce(1.0::DOUBLE / (k + a.rank), 0) + coalesce(1.0::DOUBLE / (k + b.rank), 0), 9) AS score FROM (SELECT * FROM dense WHERE score > 0) a FULL JOIN (SELECT * FROM sparse WHERE score > 0) b USING (query_id, id), (SELECT unnest([10, 20, 40, 60]) AS k))), f AS (SELECT k, query_id, min(rank) AS first FROM r JOIN rel USING (query_id, id) WHERE rank <= 20 GROUP BY 1, 2), c AS (SELECT g.k, base, coalesce(f.first, 99) AS first FROM base, (SELECT unnest([10, 20, 40, 60]) AS k) g LEFT JOIN f ON f.k = g.k AND f.query_id = base.query_id) SELECT k, count_if(first < base)::BIGINT AS wins, count_if(first = base)::BIGINT AS ties, count_if(first > base)::BIGINT AS losses FROM c GROUP BY 1",
     "doc_max_score": f"{_W} SELECT query_id, label, max(score) AS score FROM dense GROUP BY 1, 2",
     "rank_debug": f"{_W} SELECT q.query_id, coalesce(min(f.rank), 0) AS first_rank, count(f.rank) AS in_pool FROM (SELECT DISTINCT query_id FROM rel) q LEFT JOIN (SELECT dense.* FROM dense JOIN rel USING (query_id, id)) f USING (query_id) GROUP BY 1",
     "retrieval_metrics": f"{_W}, {_METRICS} SELECT * REPLACE (coalesce(first_rank, 0) AS first_rank) FROM m",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import rules, text
-from weftline.operators import chunking, ranking, state
+from weftline.operators import chunking, operations, ranking, state
 from weftline.tables import half_up, load
 
 
@@ -45,14 +45,11 @@ def force_split(spark, d):
 
 
 def length_profile(spark, d):
-    """Line lengths by source: floor-index percentiles over a histogram, and four classes."""
+    """Line lengths by source: percentiles by floor index, and four classes."""
     lines = _docs(spark, d).select("source", F.explode(F.split("text", r"\n+")).alias("line")).select("source", F.length(F.trim("line")).alias("n")).where("n > 0")
-    counts = lines.groupBy("source", "n").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("source")
-    running = counts.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("total", F.sum("c").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("total") * p), F.col("n"))).alias(f"p{int(p * 100)}")
-    part = lambda low, high: F.sum(F.when((F.col("n") >= low) & (F.col("n") < high), F.col("c")).otherwise(0))
-    return running.groupBy("source").agg(F.sum("c").alias("lines"), at(0.5), at(0.9), at(0.99), part(0, 10).alias("under_10"), part(10, 25).alias("under_25"), part(25, 100).alias("under_100"), part(100, 1 << 30).alias("longer"))
+    part = lambda low, high, name: F.count_if((F.col("n") >= low) & (F.col("n") < high)).alias(name)
+    classes = lines.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), part(0, 10, "under_10"), part(10, 25, "under_25"), part(25, 100, "under_100"), part(100, 1 << 30, "longer"))
+    return classes.join(operations.percentiles(lines, "source", "n", {f"p{int(p * 100)}": operations.floor_index(p) for p in (0.5, 0.9, 0.99)}), "source")
 
 
 def proportional_allocation(spark, d):

@@ -11,15 +11,15 @@ from weftline.functions import rules
 from weftline.operators import evaluation, hybrid, ranking, search
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, child_k: int = 50, parent_k: int = 20, dims: slice = slice(0, 32)) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, child_k: int = 50, parent_k: int = 20, least: float = 0.1) -> DataFrame:
     """Hits of both channels fused by reciprocal ranks, grouped to parents, cut adaptively: (query_id, id, score, kept_rank).
 
-    ``queries`` has (query_id, vector); ``corpus`` has (id, vector, parent_id). The second channel is the cosine over the
-    leading dimensions, as a stand-in for a sparse one. A parent is scored by its best child's cosine.
+    ``queries`` has (query_id, vector); ``corpus`` has (id, vector, parent_id). The second channel is the cosine of the
+    sparse vectors, the components of ``least`` or more. A parent is scored by its best child's cosine.
     """
     dense = search.exact_cosine(queries, corpus, child_k)
-    lead = search.exact_cosine(queries, corpus, child_k, dims)
-    fused = search.fuse_reciprocal(dense, lead, child_k)
+    sparse = search.exact_cosine(search.sparsified(queries, least), search.sparsified(corpus, least), child_k)
+    fused = search.fuse_reciprocal(dense, sparse, child_k)
     scored = fused.select("query_id", "id", "rank").join(dense.select("query_id", "id", "score"), ["query_id", "id"]).join(corpus.select("id", "parent_id"), "id")
     parents = ranking.to_parents(scored.withColumn("parent_text", F.lit("")))
     best = ranking.top_parents(parents, parent_k).select("query_id", F.col("parent_id").alias("id"), "score")
