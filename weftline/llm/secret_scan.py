@@ -124,11 +124,12 @@ def is_openssh_key(data: bytes) -> bool:
 
 def is_signed_token(token: str) -> bool:
     """Whether the first two of three parts are JSON objects and the first names an algorithm."""
-    parts = token.split(".")
-    if b'"alg"' not in (_from_base64(parts[0]) or b""):
+    first, second = token.split(".")[:2]
+    coded = _from_base64(first) or b""
+    if b'"alg"' not in coded or not coded.rstrip().endswith(b"}"):  # no object: told before anything is parsed
         return False
     try:
-        head, body = (json.loads(_from_base64(p) or b"") for p in parts[:2])
+        head, body = json.loads(coded), json.loads(_from_base64(second) or b"")
     except (ValueError, UnicodeDecodeError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
