@@ -142,18 +142,21 @@ def _of_key(data: bytes | None) -> str | None:
 
 
 def _openssh_size(data: bytes) -> int | None:
-    """Bytes of the OpenSSH key that ``data`` begins with, from its length fields; None if they do not fit or are not all there."""
+    """Bytes of the OpenSSH key that ``data`` begins with, from its length fields; None if more is to be read, 0 if no key can follow."""
+    short = lambda at: 0 if at * 4 // 3 > MOST_KEY else None
     at, left = 15, 3
     while left:
         if at + 4 > len(data):
-            return None
+            return short(at)
         at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
-    if at + 4 > len(data) or not 1 <= (n := int.from_bytes(data[at : at + 4], "big")) <= 64:
-        return None
+    if at + 4 > len(data):
+        return short(at)
+    if not 1 <= (n := int.from_bytes(data[at : at + 4], "big")) <= 64:
+        return 0
     at += 4
     for _ in range(n + 1):
         if at + 4 > len(data):
-            return None
+            return short(at)
         at += 4 + int.from_bytes(data[at : at + 4], "big")
     return at
 
@@ -171,12 +174,15 @@ def _wrapped_key(text: str, start: int) -> tuple[str, int] | None:
     """Kind and end of the key over several lines that begins at ``start``; its length fields tell where it ends."""
     head = _from_base64(text[start : start + 16]) or b""
     if head.startswith(b"openssh-key"):
-        first = ""
+        size, first, enough = None, "", 64
         for piece, _ in _lines(text, start):
             first += piece
-            if len(first) >= 4096:
-                break
-        size = _openssh_size(_from_base64(first[: len(first) // 4 * 4]) or b"")
+            if len(first) >= enough:
+                size, enough = _openssh_size(_from_base64(first[: len(first) // 4 * 4]) or b""), 4 * len(first)
+                if size is not None or len(first) >= 4096:
+                    break
+        else:
+            size = _openssh_size(_from_base64(first[: len(first) // 4 * 4]) or b"")
     elif head[:1] == b"\x30" and len(head) > 6:
         n = head[1] & 0x7F if head[1] & 0x80 else 0
         size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
