@@ -170,3 +170,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def summed_arrays(parts: DataFrame, many: int, dtype: type) -> dict[int, np.ndarray]:
+    """Sums of the arrays (slice, part, data) by slice, for ``many`` parts; added up in two levels so that no task gets them all."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1, dtype)
+        for x in table.column("data").to_pylist():
+            total = total + np.frombuffer(x, dtype)
+        return pa.table([table.column("slice")[:1], pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "part", "data"])
+
+    schema = "slice long, part long, data binary"
+    width = max(1, int(many**0.5))
+    first = parts.withColumn("part", F.col("part") % width).groupBy("slice", "part").applyInArrow(add, schema)
+    return {r["slice"]: np.frombuffer(r["data"], dtype) for r in first.groupBy("slice").applyInArrow(add, schema).toLocalIterator()}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftline.llm.common import materialise, slices, word_hashes
+from weftline.llm.common import materialise, slices, summed_arrays, word_hashes
 
 #: Words of a passage; rank and oversampling of the SVD; hashed terms besides the benchmark's own words.
 PASSAGE, RANK, MORE, HASHED = 64, 24, 8, 1 << 14
@@ -177,21 +177,6 @@ def _times(p, t, w, matrix) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(matrix[t] * w[:, None], start, axis=0), row
 
 
-def _summed(parts: DataFrame, many: int) -> dict[int, np.ndarray]:
-    """Sums of the arrays (slice, part, data) by slice, added up in two levels so that no task gets them all."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1)
-        for x in table.column("data").to_pylist():
-            total = total + np.frombuffer(x, np.float64)
-        return pa.table([table.column("slice")[:1], pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "part", "data"])
-
-    schema = "slice long, part long, data binary"
-    width = max(1, int(many**0.5))
-    first = parts.withColumn("part", F.col("part") % width).groupBy("slice", "part").applyInArrow(add, schema)
-    return {r["slice"]: np.frombuffer(r["data"], np.float64) for r in first.groupBy("slice").applyInArrow(add, schema).toLocalIterator()}
-
-
 def _latent(tokens: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> np.ndarray:
     """Terms by rank: the leading right singular vectors of the passages, by a randomised one-pass sketch."""
     spark, size, dtype, width = tokens.sparkSession, vocabulary.size, vocabulary.dtype, RANK + MORE
@@ -217,7 +202,7 @@ def _latent(tokens: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> np.nd
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part]), pa.array([data.astype(np.float64).tobytes()], pa.binary())], ["slice", "part", "data"])
 
     z = np.zeros((size, width))
-    for at, data in _summed(tokens.mapInArrow(back, "slice long, part long, data binary"), many).items():
+    for at, data in summed_arrays(tokens.mapInArrow(back, "slice long, part long, data binary"), many, np.float64).items():
         z[at : at + _SLICE] = data.reshape(-1, width)
     # Nystrom: with C the passages' Gram matrix and Z = C Omega known, C is about Z (Omega' Z)^+ Z'; no second pass.
     shift = 1e-6 * np.linalg.norm(z)
