@@ -4,12 +4,12 @@ import duckdb
 import numpy as np
 import pytest
 
-from weftline.plans import catalogue_answers, catalogue_dialogue, catalogue_eval, catalogue_ops, catalogue_search, catalogue_text
+from weftline.plans import catalogue_answers, catalogue_dialogue, catalogue_eval, catalogue_ops, catalogue_runs, catalogue_search, catalogue_text
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = catalogue_search.SQL | catalogue_text.SQL | catalogue_ops.SQL | catalogue_eval.SQL | catalogue_dialogue.SQL | catalogue_answers.SQL
-QUERIES = catalogue_search.QUERIES | catalogue_text.QUERIES | catalogue_ops.QUERIES | catalogue_eval.QUERIES | catalogue_dialogue.QUERIES | catalogue_answers.QUERIES
+SQL = catalogue_search.SQL | catalogue_text.SQL | catalogue_ops.SQL | catalogue_eval.SQL | catalogue_dialogue.SQL | catalogue_answers.SQL | catalogue_runs.SQL
+QUERIES = catalogue_search.QUERIES | catalogue_text.QUERIES | catalogue_ops.QUERIES | catalogue_eval.QUERIES | catalogue_dialogue.QUERIES | catalogue_answers.QUERIES | catalogue_runs.QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -32,10 +32,10 @@ QUESTION_TYPES = (
 )
 TYPE_SETTINGS = {"authoritative": (0.50, 0.35, 0.70, 6), "knowledge": (0.25, 0.15, 0.40, 6), "factual": (0.40, 0.25, 0.55, 6), "general": (0.30, 0.20, 0.50, 6)}
 CATEGORY_WORDS = {
-    "学校概况": "校训 食堂 宿舍 社团 校区 图书馆 报到 开学 学费 奖学金 校史 地图 一卡通 军训 转专业 校车 体育".split(),
-    "专业课程": "离散数学 软件工程 课程 复习 教材 知识点 算法 数据结构 组成原理 计算机网络 操作系统 数据库 编译 期末 课件 作业 考试".split(),
-    "面试刷题": "面试 刷题 CodeTop 大厂 offer 笔试 简历 面经 算法题 八股 手撕".split(),
-    "AI学习": "Agent RAG 大模型 LLM 智能体 提示词 Prompt 机器学习 深度学习 Embedding Rerank 向量检索 AIGC".split(),
+    "学校概况": ("校训", "食堂", "宿舍", "社团", "校区", "图书馆", "报到", "开学", "学费", "奖学金", "校史", "地图", "一卡通", "军训", "转专业", "校车", "体育"),
+    "专业课程": ("离散数学", "软件工程", "课程", "复习", "教材", "知识点", "算法", "数据结构", "组成原理", "计算机网络", "操作系统", "数据库", "编译", "期末", "课件", "作业", "考试"),
+    "面试刷题": ("面试", "刷题", "CodeTop", "大厂", "offer", "笔试", "简历", "面经", "算法题", "八股", "手撕"),
+    "AI学习": ("Agent", "RAG", "大模型", "LLM", "智能体", "提示词", "Prompt", "机器学习", "深度学习", "Embedding", "Rerank", "向量检索", "AIGC"),
 }
 GREETING = "(?i)^(你好|您好|嗨|哈喽|hello|hi|hey|在吗|早上好|中午好|下午好|晚上好|晚安|谢谢|感谢|多谢|再见|拜拜|bye|goodbye|辛苦了|好的|好的吧)[!！.。~～]?$"
 MULTI_STEP = "(规划|制定.*计划|学习计划|复习计划|安排.*计划|时间线|综合.*分析|全面.*分析|权衡|利弊|对比.*(方案|计划)|哪个更适合|帮我计划|分步|一步一步)"
@@ -45,6 +45,8 @@ ERROR_TYPES = (("timeout", "timeout|timed out|abort"), ("rate_limit", "rate|429|
 REFERRING = "^(这个|那个|它|它们|他|她|他们|她们|那|那些|这些|这|其|该|此)"
 ELLIPTIC = "^(那|那.*呢|然后|还有|那.*吗|费用|条件|流程|要求|时间|地点|原因|结果|影响|区别)$"
 REFUSAL = "没有检索到|资料不足|知识库中没有|无法回答"
+HARD_REFUSAL = "无法回答|没有相关信息|无法提供|我不清楚|没有找到|抱歉"
+ADVICE = "建议|咨询|查询"
 # End of fixed values.
 
 

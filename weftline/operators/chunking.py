@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.operations import floor_index, percentiles
+
 #: What begins a section and what marks lines of questions, options and answers.
 SECTION = "^[一二三四五六七八九十]+[、.．]"
 QUESTION, OPTION, ANSWER = r"(?i)^###\s+Q\d", r"^[- ]*[A-D]\.", r"^\*\*答案"
@@ -160,3 +162,27 @@ def table_pages(text: Column) -> Column:
     pages = F.split(text, "\f")
     hits = F.filter(F.transform(pages, lambda p, i: F.when(table_like(p), i)), lambda i: i.isNotNull())
     return F.when(F.size(pages) > 1, hits).otherwise(F.array().cast("array<int>"))
+
+
+def merge_report(parents: DataFrame, text: str = "text", target: int = 25, tail: int = 10) -> DataFrame:
+    """One row: what merging short sentences of ``parents`` does.
+
+    Sentences before and after, how many fewer (and per cent), and of the merged ones' lengths the mean, extremes,
+    elements at floor(p x n), and how many are under 10, 30 and 100 characters and longer. Lengths are counted by their
+    value before percentiles are looked up, so no task holds all of them. Without sentences there is no row.
+    """
+    parts = sentences(F.col(text))
+    split = parents.select(parts.alias("parts")).select(F.size("parts").alias("before"), merged_sentences(F.col("parts"), target, tail).alias("after"))
+    lengths = split.select(F.explode("after").alias("piece")).select(F.length("piece").alias("n"))
+    counts = lengths.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    places = {f"p{round(100 * p)}": floor_index(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
+    found = percentiles(lengths.withColumn("all", F.lit(1)), "all", "n", places).drop("all")
+    some = lambda low, high: F.coalesce(F.sum(F.when((F.col("n") >= low) & (F.col("n") < high), F.col("c"))), F.lit(0))
+    totals = counts.agg(
+        F.sum("c").alias("after"), F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 1).alias("mean"), F.min("n").alias("shortest"), F.max("n").alias("longest"),
+        some(0, 10).alias("under_10"), some(10, 30).alias("under_30"), some(30, 100).alias("under_100"), some(100, 1 << 30).alias("longer"),
+    )
+    before = split.agg(F.sum("before").alias("before"))
+    rows = before.withColumn("all", F.lit(1)).join(totals.withColumn("all", F.lit(1)), "all").join(found.withColumn("all", F.lit(1)), "all").drop("all")
+    fewer = F.col("before") - F.col("after")
+    return rows.where("after IS NOT NULL").withColumn("fewer", fewer).withColumn("fewer_share", F.round(100 * fewer / F.col("before"), 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
+from weftline.operators.blocks import Best, meet
+from weftline.tables import stored
 
 #: Slots of a dense vector, keys of the sparse one, weights of characters, bigrams and trigrams.
 SLOTS, KEYS = 512, 0xFFFFFE
 GRAM_WEIGHTS = (0.5, 1.0, 1.5)
-#: Queries that are sent to the tasks at a time, and how many of them and of the rows meet in one product.
-QUERY_BLOCK, PRODUCT_QUERIES, PRODUCT_ROWS = 1024, 64, 64
+#: Queries and rows that meet in one product.
+PRODUCT_QUERIES, PRODUCT_ROWS = 64, 64
 
 
 def _grams(df: DataFrame, key: str, grams: Column) -> DataFrame:
@@ -84,41 +86,93 @@ def _cosines(queries: tuple, rows: tuple, n_queries: int, n_rows: int) -> np.nda
     return out
 
 
-def pair_scores(queries: DataFrame, corpus: DataFrame, keep: int | None, weights: tuple[float, float] = (0.6, 0.4), digits: int = 9) -> DataFrame:
-    """(query_id, id, dense, sparse): both cosines of queries (query_id and the columns of ``indexed``) and corpus rows (id and those).
+class _Scorer:
+    """Both cosines of a block of queries (query_id and the columns of ``indexed``) with rows (id and those)."""
 
-    A bounded number of queries at a time is held against all rows. With ``keep`` a task returns its best rows of each
-    query by weighted score, of all rows and not of lists that a channel has cut before; without it every pair that has
-    a score above 0 in some channel. Negative scores do not occur.
+    def __init__(self, asked: pa.Table, digits: int):
+        column = lambda name: asked.column(name).combine_chunks()
+        self.ids, self.digits = asked.column("query_id").to_numpy().astype(np.int64), digits
+        self.dense, self.sparse = _lists(column("slots"), column("weights")), _lists(column("terms"), column("tfs"))
+
+    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, dense and sparse scores of a few rows at a time."""
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            found = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            score = lambda own, a, b, part=part, n=len(found): np.round(_cosines(own, _lists(part.column(a), part.column(b)), len(self.ids), n), self.digits) + 0.0
+            yield found, score(self.dense, 1, 2), score(self.sparse, 3, 4)
+
+
+_VECTORS = ["slots", "weights", "terms", "tfs"]
+
+
+def _search(queries: DataFrame, corpus: DataFrame, lists: Callable[[np.ndarray, np.ndarray], list[tuple[str, np.ndarray]]], k: int, digits: int) -> DataFrame:
+    """(query_id, id, list, dense, sparse): each task's ``k`` best rows of every query in each of the named ``lists`` of scores."""
+
+    def work(asked: pa.Table):
+        scorer, best = _Scorer(asked, digits), {}
+
+        def add(batch: pa.RecordBatch) -> None:
+            for found, dense, sparse in scorer.parts(batch):
+                for name, score in lists(dense, sparse):
+                    if name not in best:
+                        best[name] = Best(len(scorer.ids), k, 2)
+                    best[name].add(score, found, dense, sparse)
+
+        def told() -> pa.RecordBatch:
+            rows = [(scorer.ids[b.held[0]], b.held[2], np.full(len(b.held[0]), name), b.held[3], b.held[4]) for name, b in best.items()]
+            columns = [np.concatenate(c) for c in zip(*rows)] if rows else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "id", "list", "dense", "sparse"])
+
+        return add, told
+
+    return meet(queries.select("query_id", *_VECTORS), corpus.select("id", *_VECTORS), work, "query_id long, id long, list string, dense double, sparse double")
+
+
+def _stands(scores: np.ndarray, ids: np.ndarray, own_scores: np.ndarray, own_ids: np.ndarray) -> np.ndarray:
+    """Of rows (negated score, id), the first of the ordered own ones that each stands before; their number, if none."""
+    low, high = np.searchsorted(own_scores, scores, "left"), np.searchsorted(own_scores, scores, "right")
+    out = high.copy()
+    for a in np.unique(low[low < high]):  # equal scores: the id decides
+        at = np.flatnonzero((low == a) & (low < high))
+        out[at] = a + np.searchsorted(own_ids[a : high[at[0]]], ids[at], "right")
+    return out
+
+
+def _places(asked: DataFrame, corpus: DataFrame, digits: int) -> DataFrame:
+    """(query_id, id, channel, place): the exact position in a channel of rows that ``asked`` names (with its query's vectors, and ``wanted``: channel, score, id).
+
+    Rows with a larger score, or the same and a smaller id, stand before: every task counts, for all rows that are
+    asked for at once, how many of its own stand between two of them in order; the counts are added up.
     """
-    spark = corpus.sparkSession
-    columns = ["slots", "weights", "terms", "tfs"]
-    numbered = queries.select("query_id", *columns).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-max(1, queries.count()) // (QUERY_BLOCK // 2)))))
-    out = None
-    for block in [r["block"] for r in numbered.select("block").distinct().orderBy("block").collect()]:
-        own = numbered.where(F.col("block") == block).orderBy("query_id").toArrow().combine_chunks()
-        column = lambda name, t=own: t.column(name).combine_chunks()
-        sent = spark.sparkContext.broadcast((column("query_id").to_numpy(), _lists(column("slots"), column("weights")), _lists(column("terms"), column("tfs"))))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            asked, dense_of, sparse_of = sent.value
-            for batch in batches:
-                for start in range(0, batch.num_rows, 1024):
-                    part = batch.slice(start, 1024)
-                    found = part.column(0).to_numpy()
-                    dense = np.round(_cosines(dense_of, _lists(part.column(1), part.column(2)), len(asked), len(found)), digits)
-                    sparse = np.round(_cosines(sparse_of, _lists(part.column(3), part.column(4)), len(asked), len(found)), digits)
-                    fused = np.round(weights[0] * dense + weights[1] * sparse, digits)
-                    if keep and len(found) > keep:
-                        order = np.lexsort((np.broadcast_to(found, fused.shape), -fused))[:, :keep]
-                        q, r = np.repeat(np.arange(len(asked)), keep), order.ravel()
-                    else:
-                        q, r = np.nonzero(fused > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asked[q], found[r], dense[q, r], sparse[q, r])], ["query_id", "id", "dense", "sparse"])
-
-        one = corpus.select("id", *columns).mapInArrow(scan, "query_id long, id long, dense double, sparse double")
-        out = one if out is None else out.union(one)
-    return spark.createDataFrame([], "query_id long, id long, dense double, sparse double") if out is None else out
+
+    def work(table: pa.Table):
+        scorer = _Scorer(table, digits)
+        wanted = table.column("wanted").to_pylist()
+        keys = {}
+        for c in ("dense", "sparse"):
+            for q, rows in enumerate(wanted):
+                own = sorted((-w["score"], w["id"]) for w in rows if w["channel"] == c)
+                keys[c, q] = np.array([s for s, _ in own]), np.array([i for _, i in own], np.int64)
+        counts = {k: np.zeros(len(ids) + 1, np.int64) for k, (_, ids) in keys.items()}
+
+        def add(batch: pa.RecordBatch) -> None:
+            for found, dense, sparse in scorer.parts(batch):
+                for c, scores in (("dense", dense), ("sparse", sparse)):
+                    for q in range(len(scorer.ids)):
+                        if len(keys[c, q][0]):
+                            counts[c, q] += np.bincount(_stands(-scores[q], found, *keys[c, q]), minlength=len(counts[c, q]))
+
+        def told() -> pa.RecordBatch:
+            out = [(int(scorer.ids[q]), int(i), c, int(n)) for (c, q), (_, ids) in keys.items() for i, n in zip(ids, np.cumsum(counts[c, q][:-1]))]
+            columns = list(zip(*out)) if out else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["query_id", "id", "channel", "before"])
+
+        return add, told
+
+    counted = meet(asked.select("query_id", *_VECTORS, "wanted"), corpus.select("id", *_VECTORS), work, "query_id long, id long, channel string, before long")
+    return counted.groupBy("query_id", "id", "channel").agg((F.sum("before") + 1).alias("place"))
 
 
 def _channels() -> Column:
@@ -126,10 +180,13 @@ def _channels() -> Column:
 
 
 def weighted(queries: DataFrame, corpus: DataFrame, k: int, weights: tuple[float, float] = (0.6, 0.4), digits: int = 9) -> DataFrame:
-    """(query_id, id, score, channels, rank): the ``k`` rows with the largest weighted sum of both cosines, over all rows; ties go to the smaller id."""
-    pairs = pair_scores(queries, corpus, k, weights, digits)
+    """(query_id, id, score, channels, rank): the ``k`` rows with the largest weighted sum of both cosines, over all rows; ties go to the smaller id.
+
+    The sum is taken before any cut, so a row that is first in neither channel is not missed. Negative scores do not occur.
+    """
+    found = _search(queries, corpus, lambda dense, sparse: [("both", np.round(weights[0] * dense + weights[1] * sparse, digits))], k, digits)
     score = F.round(weights[0] * F.col("dense") + weights[1] * F.col("sparse"), digits)
-    rows = pairs.select("query_id", "id", score.alias("score"), _channels())
+    rows = found.select("query_id", "id", score.alias("score"), _channels())
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -137,11 +194,23 @@ def weighted(queries: DataFrame, corpus: DataFrame, k: int, weights: tuple[float
 def reciprocal(queries: DataFrame, corpus: DataFrame, k: int, constant: int = 60, digits: int = 9) -> DataFrame:
     """(query_id, id, score, channels, rank): the ``k`` best by the sum of 1 / (constant + position) over both channels.
 
-    Positions count all rows with a score above 0 in a channel, without a cut, so a query's scored rows are sorted as a whole.
+    Positions count all rows with a score above 0 in a channel, without a cut, yet neither all pairs are listed nor is
+    any query's whole list put in order. With ``depth = constant + 2 k`` a row that is among the first ``depth`` of
+    neither channel has at most 2 / (constant + depth + 1), less than 1 / (constant + k), which ``k`` rows of one
+    channel have; a channel of fewer rows is listed whole. So the first ``depth`` of each channel hold the answer, and
+    only what one of them lacks of a row, its position in the other channel, is counted in a second pass.
     """
-    pairs = pair_scores(queries, corpus, None)
-    place = lambda c: F.when(F.col(c) > 0, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "id")))
-    part = lambda c: F.coalesce(1 / (F.col(c) + constant), F.lit(0.0))
-    rows = pairs.withColumn("rd", place("dense")).withColumn("rs", place("sparse"))
-    rows = rows.select("query_id", "id", F.round(part("rd") + part("rs"), digits).alias("score"), _channels())
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    depth = constant + 2 * k
+    only = lambda x: np.where(x > 0, x, -np.inf)
+    found = _search(queries, corpus, lambda dense, sparse: [("dense", only(dense)), ("sparse", only(sparse))], depth, digits)
+    place = lambda c: F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc(c), "id"))
+    listed = found.withColumn("place", F.when(F.col("list") == "dense", place("dense")).otherwise(place("sparse"))).where(F.col("place") <= depth)
+    of = lambda c: F.max(F.when(F.col("list") == c, F.col("place"))).alias(c[0])
+    rows = stored(listed.groupBy("query_id", "id").agg(F.first("dense").alias("dense"), F.first("sparse").alias("sparse"), of("dense"), of("sparse")))
+    lacking = [F.when((F.col(c) > 0) & F.col(c[0]).isNull(), F.struct(F.lit(c).alias("channel"), F.col(c).alias("score"), "id")) for c in ("dense", "sparse")]
+    asked = rows.select("query_id", F.explode(F.filter(F.array(*lacking), lambda x: x.isNotNull())).alias("x")).groupBy("query_id").agg(F.collect_list("x").alias("wanted"))
+    counted = _places(queries.join(asked, "query_id"), corpus, digits)
+    known = counted.groupBy("query_id", "id").agg(*[F.max(F.when(F.col("channel") == c, F.col("place"))).alias(f"{c[0]}2") for c in ("dense", "sparse")])
+    part = lambda c: F.coalesce(1 / (F.coalesce(F.col(c), F.col(f"{c}2")) + constant), F.lit(0.0))
+    fused = rows.join(known, ["query_id", "id"], "left").select("query_id", "id", F.round(part("d") + part("s"), digits).alias("score"), _channels())
+    return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

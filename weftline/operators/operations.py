@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from weftline.operators import order
 from weftline.tables import half_up, micros
 
-
 #: Parts that a group's values are cut into, at approximate quantiles, to find exact ones.
 PARTS = 64
 
@@ -51,9 +57,9 @@ def latency_summary(events: DataFrame, kind: str, value: str, digits: int = 6) -
     return means.join(found, F.col(kind).eqNullSafe(F.col("__kind")), "left").drop("__kind")
 
 
-def last_n(events: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
+def last_n(events: DataFrame, by: list[str], n: int, *newest_first: Column) -> DataFrame:
     """The newest ``n`` rows of each key (a limit that Spark applies before the shuffle)."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    w = Window.partitionBy(*by).orderBy(*newest_first)
     return events.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
@@ -89,9 +95,9 @@ def local_day(ts: Column, zone: str) -> Column:
     return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), "yyyy-MM-dd")
 
 
-def latest(events: DataFrame, by: list[str], *order: Column) -> DataFrame:
+def latest(events: DataFrame, by: list[str], *newest_first: Column) -> DataFrame:
     """The last row of each key."""
-    return last_n(events, by, 1, *order)
+    return last_n(events, by, 1, *newest_first)
 
 
 def feedback_summary(rows: DataFrame, rating: str, by: list[str] | None = None) -> DataFrame:
@@ -100,9 +106,67 @@ def feedback_summary(rows: DataFrame, rating: str, by: list[str] | None = None)
     return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), like.alias("likes"), dislike.alias("dislikes"), F.when(like + dislike > 0, half_up(like * 100.0 / (like + dislike), 1)).alias("satisfaction"))
 
 
-def admitted(events: DataFrame, by: list[str], limit: int, *order: Column) -> DataFrame:
+def admitted(events: DataFrame, by: list[str], limit: int, *in_order: Column) -> DataFrame:
     """Each request with its number in its key (say, user and day) and whether it is within the limit."""
-    return events.withColumn("request", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("admitted", (F.col("request") <= limit).cast("int"))
+    return events.withColumn("request", F.row_number().over(Window.partitionBy(*by).orderBy(*in_order))).withColumn("admitted", (F.col("request") <= limit).cast("int"))
+
+
+#: Rows of a block of a quota log; one row of each block is folded in one task.
+QUOTA_BLOCK = 1 << 16
+
+
+def quota_balance(log: DataFrame, by: list[str], action: str, limit: int, *order_by: str) -> DataFrame:
+    """``log`` with ``balance``, what is used of each key's quota after the row, and ``ok``: whether a reserve was admitted, or a release gave something back.
+
+    A reserve (``action`` = 'reserve') adds one below ``limit`` and is refused at it; a release takes one back, never
+    below 0; other actions change nothing and are not ok. What a run of them does to a balance is always adding a
+    number and clipping the sum to a range, and two such steps make one again: every block of the order sums up its
+    last key in this way, one row for each block is folded, and the blocks are then walked side by side. A key may hold
+    any part of the rows. A null in a key is a value like others.
+    """
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    step = F.when(F.col(action) == "reserve", 1).when(F.col(action) == "release", -1).otherwise(0)
+    rows = order.numbered(log.withColumn("__key", key).withColumn("__step", step), "__key", *order_by, out="__idx", block=QUOTA_BLOCK)
+    rows = rows.withColumnRenamed("block", "__block")
+
+    def clip(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__idx")
+        keys, steps = table.column("__key"), table.column("__step").to_numpy()
+        last = keys[-1].as_py()
+        own = pc.equal(keys, last).to_numpy(zero_copy_only=False)
+        add, low, high = 0, 0, limit
+        for x in steps[own].tolist():
+            add, low, high = add + x, min(limit, max(0, low + x)), min(limit, max(0, high + x))
+        return pa.table([table.column("__block")[:1], *[pa.array([x]) for x in (keys[0].as_py(), last, bool(own.all()), add, low, high)]], ["block", "first", "last", "whole", "add", "low", "high"])
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        before, value, starts = None, 0, []
+        for r in table.to_pylist():
+            start = value if r["first"] == before else 0
+            starts.append(start)
+            value = min(r["high"], max(r["low"], (start if r["whole"] else 0) + r["add"]))
+            before = r["last"]
+        return pa.table([table.column("block"), pa.array(starts, pa.int64())], ["__block", "__start"])
+
+    ends = rows.select("__block", "__idx", "__key", "__step").groupBy("__block").applyInArrow(clip, "block long, first string, last string, whole boolean, add long, low long, high long")
+    starts = ends.withColumn("__all", F.lit(1)).groupBy("__all").applyInArrow(fold, "__block long, __start long")
+    kept = log.columns
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__idx")
+        now, value, out, ok = table.column("__key")[0].as_py(), table.column("__start")[0].as_py(), [], []
+        for key, x in zip(table.column("__key").to_pylist(), table.column("__step").to_pylist()):
+            if key != now:
+                now, value = key, 0
+            then = min(limit, max(0, value + x))
+            ok.append(int(then != value))
+            out.append(then)
+            value = then
+        return pa.table([*[table.column(c) for c in kept], pa.array(out, pa.int64()), pa.array(ok, pa.int32())], [*kept, "balance", "ok"])
+
+    schema = StructType([*log.schema.fields, StructField("balance", LongType()), StructField("ok", IntegerType())])
+    return rows.join(starts, "__block").groupBy("__block").applyInArrow(walk, schema)
 
 
 def redacted(payload: Column, most: int = 300) -> Column:
@@ -126,20 +190,59 @@ def within_bytes(rows: DataFrame, by: list[str], size: Column, most: int, *newes
     return fits.withColumn("kept_size", F.sum("__size").over(w)).where(F.col("kept_size") <= most).drop("__size")
 
 
-def sliding_latency(events: DataFrame, ts: str, value: str, seconds: int = 300, p: float = 0.95, most: int = 2000, least: float = 3000.0) -> DataFrame:
-    """Each event with the nearest-rank percentile of the values in the ``seconds`` up to it, of the newest ``most`` at most, and an alert flag.
+def sliding_requests(events: DataFrame, event_id: str, ts: str, value: str, failed: Column, seconds: int = 300, p: float = 0.95, most: int = 2000) -> DataFrame:
+    """(event_id, idx, in_window, failed_in_window, p95): of the events in the ``seconds`` up to each (open at the far end), of the newest ``most`` at most, how many there are, how many failed, and the nearest-rank percentile of their values.
 
-    Events are dealt to stretches of time as in ``sliding_errors``; a window's list is cut at ``most`` because the rule is.
+    Events are put in order (time, then id) and numbered; blocks of the order are worked on side by side, each with the
+    ``most`` events before it, so no task needs more, however many events fall into a window. Events without a time are
+    left out; null values do not count in the percentile.
     """
-    width = seconds * 1_000_000
-    timed = events.withColumn("__us", micros(F.col(ts)))
-    dealt = timed.withColumn("__part", F.explode(F.array(F.floor(F.col("__us") / width), F.floor(F.col("__us") / width) + 1)))
-    w = Window.partitionBy("__part").orderBy("__us").rangeBetween(-(width - 1), 0)
-    held = F.collect_list(F.struct("__us", F.col(value).alias("v"))).over(w)
-    rows = dealt.withColumn("__held", held).where(F.col("__part") == F.floor(F.col("__us") / width))
-    newest = F.transform(F.slice(F.sort_array("__held", asc=False), 1, most), lambda x: x["v"])
-    found = F.element_at(F.sort_array(newest), F.greatest(F.lit(1), F.ceil(F.size(newest) * F.lit(p)).cast("int")))
-    return rows.withColumn("p95", found).withColumn("alert", (F.col("p95") >= least).cast("int")).drop("__us", "__part", "__held")
+    width, kind = seconds * 1_000_000, dict(events.dtypes)[event_id]
+    timed = events.select(F.col(event_id).alias("id"), micros(F.col(ts)).alias("us"), F.col(value).cast("double").alias("v"), failed.cast("int").alias("failed")).where("us IS NOT NULL")
+    size = max(order.BLOCK, most)
+
+    def work(table: pa.Table) -> pa.Table:
+        us, v = table.column("us").to_numpy(), table.column("v").to_numpy()
+        errors = np.concatenate([[0], np.cumsum(table.column("failed").fill_null(0).to_numpy())])
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        n = len(us)
+        low = np.maximum(np.searchsorted(us, us - width, "right"), np.arange(n) - most + 1)
+        held, at, found = [], 0, np.full(n, np.nan)
+        for i in range(n):
+            if v[i] == v[i]:
+                insort(held, v[i])
+            while at < low[i]:
+                if v[at] == v[at]:
+                    del held[bisect_left(held, v[at])]
+                at += 1
+            if held:
+                found[i] = held[max(1, math.ceil(len(held) * p)) - 1]
+        many, bad = np.arange(n) - low + 1, errors[1:] - errors[low]
+        columns = [table.column("id"), table.column("idx"), pa.array(many), pa.array(bad), pa.array(found, mask=np.isnan(found))]
+        return pa.table(columns, ["event_id", "idx", "in_window", "failed_in_window", "p95"]).filter(pa.array(own))
+
+    rows = order.numbered(timed, "us", "id", block=size)
+    return order.over_blocks(rows, work, f"event_id {kind}, idx long, in_window long, failed_in_window long, p95 double", most - 1, size)
+
+
+def sliding_latency(events: DataFrame, event_id: str, ts: str, value: str, seconds: int = 300, p: float = 0.95, most: int = 2000, least: float = 3000.0) -> DataFrame:
+    """(event_id, p95, alert) by ``sliding_requests``: whether the percentile reaches ``least``."""
+    rows = sliding_requests(events, event_id, ts, value, F.lit(False), seconds, p, most)
+    return rows.select("event_id", "p95", F.coalesce((F.col("p95") >= least).cast("int"), F.lit(0)).alias("alert"))
+
+
+def operational_alerts(events: DataFrame, event_id: str, ts: str, value: str, cost: str, failed: Column, zone: str, most_cost: float, least_errors: float = 0.1, least_ms: float = 3000.0, **window) -> DataFrame:
+    """(event_id, error_rate, p95, day, day_cost, alerts) of every event: its window by ``sliding_requests``, the cost of its local day so far, and which of ``error-rate``, ``latency`` and ``daily-cost`` are reached.
+
+    The cost of a day is summed up by blocks of the order of events, and the blocks' sums are added, so that a day may
+    hold any part of the rows. Null costs count as 0.
+    """
+    seen = sliding_requests(events, event_id, ts, value, failed, **window).drop("idx")
+    spent = events.select(F.col(event_id).alias("event_id"), micros(F.col(ts)).alias("us"), local_day(F.col(ts), zone).alias("day"), F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("cost")).where("us IS NOT NULL")
+    daily = order.running_sum(order.numbered(spent, "us", "event_id"), "day", "cost", "day_cost").select("event_id", "day", F.round("day_cost", 6).alias("day_cost"))
+    rate = F.round(F.col("failed_in_window") / F.col("in_window"), 6)
+    rows = seen.join(daily, "event_id").select("event_id", rate.alias("error_rate"), "p95", "day", "day_cost")
+    return rows.withColumn("alerts", F.concat_ws(",", F.when(F.col("error_rate") >= least_errors, "error-rate"), F.when(F.col("p95") >= least_ms, "latency"), F.when(F.col("day_cost") >= most_cost, "daily-cost")))
 
 
 def latency_band(ms: Column) -> Column:

@@ -100,6 +100,38 @@ def fit_budget(rows: DataFrame, size: Column, order: list, key: str = "query_id"
     return marked.where(~F.col("partial") | (F.col("first_over") & (left > least_part))).withColumn("used", used).drop("upto", "first_over", "size")
 
 
+#: A parent's header, the mark of a cut entry, the rule between entries, characters of a snippet.
+HEADER, CUT, RULE, SNIPPET = "【文档 {}】{}（段落 {}）", "\n...(截断)", "\n\n" + "=" * 40 + "\n\n", 1500
+
+
+def context_entries(parents: DataFrame, documents: DataFrame, budget: int = 6000) -> DataFrame:
+    """(query_id, place, doc_id, title, score, entry, snippet, partial): what of each query's parents goes into its context.
+
+    Parents (query_id, doc_id, parent_idx, score, text) are taken best first (ties by document and parent); those
+    without a text or a document (doc_id, title) are left out. An entry is a header with its number, the title and the
+    parent's number from 1 (a null one counts as 0), and the text. Entries go in while they fit in ``budget``; the first
+    that does not is cut and marked if over 200 characters are left, and ends the context. Rules between entries and
+    the mark do not count. A null title is empty.
+    """
+    named = documents.select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
+    rows = parents.where(F.coalesce("text", F.lit("")) != "").join(named, "doc_id")
+    order = [F.desc("score"), F.col("doc_id"), F.col("parent_idx")]
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    a, b, c, d = (F.lit(x) for x in HEADER.split("{}"))
+    placed = rows.withColumn("place", place)
+    header = F.concat(a, F.col("place").cast("string"), b, F.col("title"), c, (F.coalesce("parent_idx", F.lit(0)) + 1).cast("string"), d)
+    entries = placed.withColumn("entry", F.concat(header, F.lit("\n"), F.col("text")))
+    kept = fit_budget(entries, F.length("entry"), [F.col("place")], budget=budget)
+    entry = F.when(F.col("partial"), F.concat(F.col("entry").substr(F.lit(1), F.col("used").cast("int")), F.lit(CUT))).otherwise(F.col("entry"))
+    return kept.select("query_id", "place", "doc_id", "title", "score", entry.alias("entry"), F.substring("text", 1, SNIPPET).alias("snippet"), "partial")
+
+
+def contexts(entries: DataFrame) -> DataFrame:
+    """(query_id, context, sources): the entries of ``context_entries`` as one text, with how many there are."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", "entry")))
+    return entries.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["entry"]), RULE).alias("context"), F.count(F.lit(1)).alias("sources"))
+
+
 def rerank(hits: DataFrame, scorer: Column, k: int) -> DataFrame:
     """The best ``k`` of each query by a model's logit through the logistic function; only the leading rows are scored.
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to the tasks at a time.
-QUERY_BLOCK = 1024
+from weftline.operators.blocks import Best, meet
+
+
+#: Rows of one matrix product.
+PRODUCT_ROWS = 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -30,45 +31,36 @@ def sparsified(rows: DataFrame, least: float = 0.1) -> DataFrame:
 def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): for each of ``queries`` (query_id, vector, and scope if given) the ``k`` nearest rows of ``corpus`` (id, vector, scope).
 
-    A fixed number of queries at a time is held against all rows: each task makes one matrix product a batch and keeps
-    its own best ``k`` of each query, so what is shuffled is ``k`` rows a query and task. With a ``scope`` column on
-    both sides only rows of the query's scope count. A query's own id is no candidate. Rows are ranked by scores of
-    twelve digits, ties going to the smaller id, and shown with ``digits``.
+    Queries and rows meet in blocks (``blocks.meet``): a task makes one matrix product a batch and keeps its own best
+    ``k`` of each query, so what is shuffled is ``k`` rows a query and task. With a ``scope`` column on both sides only
+    rows of the query's scope count. A query's own id is no candidate. Rows are ranked by scores of twelve digits, ties
+    going to the smaller id, and shown with ``digits``.
     """
-    scoped = "scope" in queries.columns
-    columns = ["query_id", "vector"] + (["scope"] if scoped else [])
-    held = queries.select(*columns).withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) - 1) / (QUERY_BLOCK // 64)))
-    blocks = [r["block"] for r in held.select("block").distinct().collect()]
-    rows = corpus.select(*(["id", "vector"] + (["scope"] if scoped else [])))
-    parts = []
-    for block in sorted(blocks):
-        own = held.where(F.col("block") == block).toArrow()
-        ids, vectors = own.column("query_id").to_numpy(), _unit(_matrix(own.column("vector").combine_chunks()))
-        scopes = np.array(own.column("scope").to_pylist()) if scoped else None
-        sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors, scopes))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            asked, q, scope = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-                score = np.round(q @ _unit(_matrix(batch.column(1))).T, 12) + 0.0
-                score[asked[:, None] == found[None, :]] = -np.inf
-                if scope is not None:
-                    score[scope[:, None] != np.array(batch.column(2).to_pylist())[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(found, score.shape), -score))[:, :k]
-                best = np.take_along_axis(score, order, axis=1)
-                keep = np.isfinite(best).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()[keep]) for c in (np.repeat(asked[:, None], order.shape[1], axis=1), found[order], best)], ["query_id", "id", "score"])
-
-        parts.append(rows.mapInArrow(scan, "query_id long, id long, score double"))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return ranked(out, k).withColumn("score", F.round("score", digits))
+    scope = ["scope"] if "scope" in queries.columns else []
+
+    def work(asked: pa.Table):
+        ids, q = asked.column("query_id").to_numpy().astype(np.int64), _unit(_matrix(asked.column("vector").combine_chunks()))
+        scopes = np.array(asked.column("scope").to_pylist()) if scope else None
+        best = Best(len(ids), k)
+
+        def add(batch: pa.RecordBatch) -> None:
+            for at in range(0, batch.num_rows, PRODUCT_ROWS):
+                part = batch.slice(at, PRODUCT_ROWS)
+                found = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                score = np.round(q @ _unit(_matrix(part.column(1))).T, 12) + 0.0
+                score[ids[:, None] == found[None, :]] = -np.inf
+                if scope:
+                    score[scopes[:, None] != np.array(part.column(2).to_pylist())[None, :]] = -np.inf
+                best.add(score, found)
+
+        def told() -> pa.RecordBatch:
+            at, score, found = best.held
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(score)], ["query_id", "id", "score"])
+
+        return add, told
+
+    hits = meet(queries.select("query_id", "vector", *scope), corpus.select("id", "vector", *scope), work, "query_id long, id long, score double")
+    return ranked(hits, k).withColumn("score", F.round("score", digits))
 
 
 def ranked(hits: DataFrame, k: int | None = None, by: str = "score", out: str = "rank") -> DataFrame:
@@ -97,6 +89,32 @@ def fuse_reciprocal(a: DataFrame, b: DataFrame, k: int, constant: int = 60, digi
     return ranked(both.select("query_id", "id", F.round(part("rsa") + part("rsb"), digits).alias("score"), *_channels()), k)
 
 
+def fuse_keyed(vectors: DataFrame, words: DataFrame, k: int, constant: int = 60, digits: int = 9) -> DataFrame:
+    """Hits of two channels (query_id, id, doc_id, chunk_index, score, rank, and any other columns) as one list, a row for each thing found.
+
+    A row is known by ``id``, or by ``doc_id:chunk_index`` where the id is null or empty. Its ``score`` is the sum of
+    1 / (constant + rank) over all its hits; ``vector_score`` and ``keyword_score`` are the largest scores of a channel
+    within 0 and 1, 0 where it has none (``words`` may have a ``keyword_score`` that counts before its ``score``);
+    ``channels`` lists the channels in order of arrival, vectors first. Every other column has its first value that is
+    filled (neither null nor an empty text), in that order. Ties go to what arrived first.
+    """
+    if "keyword_score" in words.columns:
+        words = words.withColumn("score", F.coalesce("keyword_score", "score")).drop("keyword_score")
+    hits = vectors.withColumn("__channel", F.lit(0)).unionByName(words.withColumn("__channel", F.lit(1)), allowMissingColumns=True)
+    key = F.coalesce(F.when(F.col("id").cast("string") != "", F.col("id").cast("string")), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+    at = F.struct("__channel", "rank")
+    filled = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    best = lambda n: F.coalesce(F.max(F.when(F.col("__channel") == n, F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))), F.lit(0.0))
+    carried = [c for c in hits.columns if c not in ("query_id", "score", "rank", "__channel", "__key")]
+    merged = hits.withColumn("__key", key).groupBy("query_id", "__key").agg(
+        F.round(F.sum(1 / (F.col("rank") + constant)), digits).alias("score"), best(0).alias("vector_score"), best(1).alias("keyword_score"),
+        F.concat_ws(",", F.max(F.when(F.col("__channel") == 0, "vector")), F.max(F.when(F.col("__channel") == 1, "keyword"))).alias("channels"),
+        F.min(at).alias("__first"), *[F.min_by(c, F.when(filled(c), at)).alias(c) for c in carried],
+    )
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "__first", "__key"))
+    return merged.withColumn("rank", place).where(F.col("rank") <= k).withColumnRenamed("__key", "key").drop("__first")
+
+
 def best_of(*lists: DataFrame, k: int) -> DataFrame:
     """Lists for the same queries (say, of a question and its rewriting) as one: each row's best score, the best ``k``."""
     out = lists[0].select("query_id", "id", "score")

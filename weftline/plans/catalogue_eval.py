@@ -161,7 +161,7 @@ def floor_percentiles(spark, d):
 
 def latency_alert_5m(spark, d):
     rows = load(spark, d, "events").select("event_id", "ts", (F.col("value") * 30).alias("ms"))
-    return operations.sliding_latency(rows, "ts", "ms").select("event_id", F.round("p95", 6).alias("p95"), "alert")
+    return operations.sliding_latency(rows, "event_id", "ts", "ms").select("event_id", F.round("p95", 6).alias("p95"), "alert")
 
 
 def latency_bands(spark, d):
@@ -222,14 +222,6 @@ def content_windows(spark, d):
     return chunking.content_windows(load(spark, d, "documents"), "doc_id", "text", 600, 3000)
 
 
-def merge_simulation(spark, d):
-    """Lines of a document before and after short ones are merged to blocks."""
-    parts = chunking.pieces(load(spark, d, "documents"), "text", r"\n+")
-    before = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("before"))
-    after = chunking.blocks(parts).groupBy("doc_id").agg(F.count(F.lit(1)).alias("after"))
-    return before.join(after, "doc_id").select("doc_id", "before", (F.col("before") >= F.col("after")).cast("int").alias("not_more"))
-
-
 _HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({g}, ''), lambda c: unicode(c)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296)"
 _ABS = "abs(CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END)"
 
@@ -308,7 +300,6 @@ SQL = {
     "memory_stats": "SELECT role, count(*) AS entries, count_if(length(trim(text)) > 0)::BIGINT AS embedded, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY 1",
     "context_split": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, length(text) AS chars, md5(text) AS digest FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
     "content_windows": "SELECT doc_id, w AS window, least(600, n - 600 * w) AS chars FROM (SELECT doc_id, length(text) AS n, unnest(range(0, least(5, ceil(length(text) / 600.0))::INT)) AS w FROM documents)",
-    "merge_simulation": r"SELECT doc_id, count(*) AS before, 1 AS not_more FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n+')) AS piece FROM documents) WHERE trim(piece, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

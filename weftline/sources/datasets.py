@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,26 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return current.join(last.select(*key), key, "left_anti").unionByName(last)
 
 
+def vector_sink(folder: str, vector: str = "vector") -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` is given to write a stream of rows with vectors to ``folder``.
+
+    Rows whose vector is null or empty are left out. Each batch is a partition of its own that is written anew, all or
+    nothing, so a batch that is replayed after a failure changes nothing. ``vector_rows`` reads the folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.where(F.size(F.col(vector)) > 0).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
+def vector_rows(spark: SparkSession, folder: str, key: list[str], seq: str | None = None) -> DataFrame:
+    """The rows of a ``vector_sink`` as they stand: of each key the one of the newest batch (within it, of the largest ``seq``)."""
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    newest = [F.desc("batch"), *([F.desc(seq)] if seq else []), F.desc(F.xxhash64(*rows.columns))]
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*newest))).where("__n = 1").drop("__n", "batch")
+
+
 def synchronised(current: DataFrame, dirty: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``current`` with the rows of ``dirty`` put in, and without those whose key is not in ``ids``."""
     return current.join(dirty.select(key), key, "left_anti").unionByName(dirty).join(ids.select(key), key, "left_semi")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.operators import order
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -18,6 +20,33 @@ def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, late: s
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def joined_lines(chunks: DataFrame, stream: str, seq: str, data: str) -> DataFrame:
+    """(stream, line, value): the lines of byte streams that arrive in chunks (stream, seq, data: binary) cut anywhere, even inside a character.
+
+    Chunks are put in order and the line ends before each are counted by blocks of that order, which tells every piece
+    of a chunk its line; the pieces of a line, of however many chunks, meet by that number and are read as text
+    only then. What follows the last line end is a line, unless it is empty. Null chunks are empty; rows without a
+    stream are left out.
+    """
+    # One character for each byte, so that a cut character stays whole until its pieces meet.
+    pieces = F.split(F.decode(F.coalesce(F.col(data), F.lit(b"")), "ISO-8859-1"), "\n", -1)
+    rows = chunks.where(F.col(stream).isNotNull()).select(F.col(stream).alias("stream"), F.col(seq).alias("seq"), pieces.alias("pieces")).withColumn("ends", F.size("pieces") - 1)
+    placed = order.running_sum(order.numbered(rows, "stream", "seq"), "stream", "ends", "upto")
+    lines = placed.select("stream", "idx", (F.col("upto") - F.col("ends")).alias("first"), F.posexplode("pieces").alias("pos", "piece")).where("piece <> ''")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "piece"))), lambda x: x["piece"]), "")
+    text = lines.groupBy("stream", (F.col("first") + F.col("pos")).alias("line")).agg(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8").alias("value"))
+    return text.select("stream", "line", F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def stream_payloads(lines: DataFrame) -> DataFrame:
+    """(stream, line, payload variant) of the ``data:`` lines of ``joined_lines`` up to each stream's first ``[DONE]``; other lines and broken JSON go."""
+    body = F.trim(F.substring(F.trim("value"), 6, 1 << 30))
+    rows = lines.where(F.trim("value").startswith("data:")).select("stream", "line", body.alias("body"))
+    ends = rows.where("body = '[DONE]'").groupBy("stream").agg(F.min("line").alias("__end"))
+    kept = rows.join(ends, "stream", "left").where(F.col("__end").isNull() | (F.col("line") < F.col("__end")))
+    return kept.select("stream", "line", F.try_parse_json("body").alias("payload")).where("payload IS NOT NULL")
+
+
 def data_lines(lines: DataFrame) -> DataFrame:
     """(payload variant, done) of the ``data:`` lines of an event-stream text; other lines and broken JSON go."""
     body = F.trim(F.substring(F.col("value"), 6, 1 << 30))

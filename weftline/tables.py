@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,20 @@ def half_up(x: Column, digits: int = 0) -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a time stamp with or without zone (read as UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written to the folder ``spark.checkpoint.dir`` and read again: worked out once, and not lost with an executor.
+
+    Where no folder is named, a temporary one serves if the master is local (tests); a cluster must name one.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-weftline-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
