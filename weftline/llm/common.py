@@ -105,6 +105,18 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(buckets)) < int(buckets * rows / n))
 
 
+def usable_labels(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
+    """(id, y): one label of 0 or 1 for each id outside the held-out fold; of several the larger."""
+    rows = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
+    return rows.groupBy("id").agg(F.max("y").alias("y"))
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, y, text) of the ids of ``sample`` (id, y; bounded), one row for each: of an id with several texts the one of the least hash, so what is learnt from is bounded too."""
+    held = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "id")
+    return held.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _BASE = 0x9E3779B97F4A7C15

@@ -27,10 +27,12 @@ from weftline.llm.common import materialise, slices, summed_arrays, word_hashes
 
 #: Words of a passage; rank and oversampling of the SVD; hashed terms besides the benchmark's own words.
 PASSAGE, RANK, MORE, HASHED = 64, 24, 8, 1 << 14
-#: Items that are searched for at a time; terms, weights and the latent space are fitted once, for all.
-BLOCK_ITEMS = 1024
+#: Probes that are searched for at a time; terms, weights and the latent space are fitted once, for all.
+BLOCK_PROBES = 1024
 #: Words of the benchmark that have terms of their own; what a larger benchmark has besides shares the hashed ones.
 MOST_WORDS = 1 << 18
+#: Cosines that are worked out at a time.
+COSINES = 1 << 21
 #: Window lengths and their step, in words.
 WINDOWS, STEP = (16, 32, 64), 8
 #: Words of an item that count as uncommon at least; least share of its words with a weight for which the cosine tells anything.
@@ -39,6 +41,7 @@ FEW, TOLD = 4, 0.25
 COSINE, ENOUGH, LEAST, ANSWER = 0.4, 0.8, 0.6, 0.5
 
 _SLICE = 256
+_FOUND = "doc_id long, item_id long, lcs_share double, cosine double, answer_share double, word long"
 
 
 @dataclass
@@ -219,55 +222,60 @@ def _latent(tokens: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> np.nd
 
 
 def _search(tokens: DataFrame, vocabulary: Vocabulary, probes: list[Probe], df: np.ndarray, idf: np.ndarray, space: np.ndarray, rare: np.ndarray) -> DataFrame:
-    spark, dtype, own = tokens.sparkSession, vocabulary.dtype, len(vocabulary.own)
+    spark, dtype, size = tokens.sparkSession, vocabulary.dtype, vocabulary.size
     folded = np.vstack([space * idf[:, None].astype(np.float32), np.zeros((1, RANK), np.float32)])
     unit = lambda v: v / np.maximum(1e-12, np.linalg.norm(v, axis=-1, keepdims=True))
     vectors = np.array([unit(folded[p.terms].sum(axis=0)) for p in probes])
-    # An item of common words alone is known by its least common ones.
+    # An item of common words alone is known by its least common ones. Terms of its own or shared ones: both sides count alike.
     known_by = [{t for t in p.terms if rare[t]} if sum(rare[t] for t in p.terms) >= FEW else {*sorted(set(p.terms), key=lambda t: (df[t], t))[:FEW], *(t for t in p.terms if rare[t])} for p in probes]
     uncommon = [sum(t in own for t in p.terms) for p, own in zip(probes, known_by)]
-    rare = rare.copy()
-    rare[sorted(set().union(*known_by))] = True
+    asked = np.zeros(size, bool)
+    asked[sorted(set().union(*known_by))] = True
+    # Which terms a probe is known by, as sorted keys (probe, term).
+    keys = np.sort(np.concatenate([k * (size + 1) + np.array(sorted(own), np.int64) for k, own in enumerate(known_by)]))
     plain = np.array([sum(idf[t] > 0 for t in p.terms) < max(FEW, TOLD * len(p.terms)) for p in probes])
-    by_window = {s: [k for k, p in enumerate(probes) if p.window == s] for s in WINDOWS}
-    gate = {s: max(1, int(ANSWER * min(uncommon[k] for k in ks))) for s, ks in by_window.items() if ks}
-    sent = spark.sparkContext.broadcast((folded, vectors, [(p, masks_of(p.terms), masks_of(p.answer)) for p in probes], uncommon, rare, known_by))
+    by_window = {s: np.array([k for k, p in enumerate(probes) if p.window == s], np.int64) for s in WINDOWS}
+    need = {s: np.array([ANSWER * uncommon[k] for k in ks]) for s, ks in by_window.items()}
+    gate = {s: max(1, int(ANSWER * min(uncommon[k] for k in ks))) for s, ks in by_window.items() if len(ks)}
+    sent = spark.sparkContext.broadcast((folded, vectors, [(p, masks_of(p.terms), masks_of(p.answer)) for p in probes], asked, known_by, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded, vectors, held, uncommon, rare, known_by = sent.value
+        folded, vectors, held, asked, known_by, keys = sent.value
         none = len(folded) - 1
-        member = {s: np.zeros((len(ks), own + 1), bool) for s, ks in by_window.items()}
-        for s, ks in by_window.items():
-            for row, k in enumerate(ks):
-                member[s][row, [t for t in known_by[k] if t < own]] = True
-        need = {s: np.array([ANSWER * uncommon[k] for k in ks]) for s, ks in by_window.items()}
+
+        def shared(probe: np.ndarray, shown: np.ndarray) -> np.ndarray:
+            """How many of each row of terms the probe is known by."""
+            wanted = probe[:, None] * (size + 1) + shown
+            return (keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted).sum(axis=1)
+
         for batch in batches:
             found: dict[tuple[int, int], tuple] = {}
-            ids, base = batch.column(0).to_pylist(), 0
+            ids, numbers, base = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for some, terms, bounds in _pieces(batch, dtype):
-                in_own = np.concatenate([[0], np.cumsum((terms < own) & rare[terms])])
+                in_own = np.concatenate([[0], np.cumsum(asked[terms])])
                 sizes = np.diff(bounds)
                 steps = -(-sizes // STEP)
                 doc = np.repeat(np.arange(len(sizes)), steps)
                 begin = bounds[doc] + STEP * (np.arange(len(doc)) - np.repeat(np.cumsum(steps) - steps, steps))
                 for s, least in gate.items():
+                    ks = by_window[s]
                     end = np.minimum(begin + s, bounds[doc + 1])
                     on = np.flatnonzero(in_own[end] - in_own[begin] >= least)
-                    for at in range(0, len(on), 2048):
-                        few = on[at : at + 2048]
+                    step = min(2048, max(1, COSINES // len(ks)))
+                    for at in range(0, len(on), step):
+                        few = on[at : at + step]
                         place = begin[few, None] + np.arange(s)
-                        inside = place < end[few, None]
-                        sums = folded[np.where(inside, terms[np.minimum(place, len(terms) - 1)], none)].sum(axis=1)
-                        cosine = unit(sums) @ vectors[by_window[s]].T
+                        shown = np.where(place < end[few, None], terms[np.minimum(place, len(terms) - 1)], none)
+                        cosine = unit(folded[shown].sum(axis=1)) @ vectors[ks].T
                         hits = in_own[end[few]] - in_own[begin[few]]
                         # Items of words that are everywhere have no direction; their windows are chosen by words alone.
-                        pair_i, pair_k = np.nonzero(((cosine >= COSINE) | plain[by_window[s]]) & (hits[:, None] >= need[s]))
-                        shown, both = np.minimum(np.where(inside, terms[np.minimum(place, len(terms) - 1)], own), own), np.zeros(len(pair_i), bool)
+                        pair_i, pair_k = np.nonzero(((cosine >= COSINE) | plain[ks]) & (hits[:, None] >= need[s]))
+                        both = np.zeros(len(pair_i), bool)
                         for x in range(0, len(pair_i), 1 << 14):
                             i, k = pair_i[x : x + (1 << 14)], pair_k[x : x + (1 << 14)]
-                            both[x : x + (1 << 14)] = member[s][k[:, None], shown[i]].sum(axis=1) >= need[s][k]
+                            both[x : x + (1 << 14)] = shared(ks[k], shown[i]) >= need[s][k]
                         for i, k in zip(pair_i[both], pair_k[both]):
-                            w, probe = few[i], by_window[s][k]
+                            w, probe = few[i], ks[k]
                             p, places, answer = held[probe]
                             near = terms[max(bounds[doc[w]], begin[w] - s // 2) : min(bounds[doc[w] + 1], begin[w] + s + s // 2)].tolist()
                             share = lcs(places, len(p.terms), near) / len(p.terms)
@@ -280,11 +288,12 @@ def _search(tokens: DataFrame, vocabulary: Vocabulary, probes: list[Probe], df:
                             if key not in found or found[key][0] < share:
                                 found[key] = (share, float(cosine[i, k]), told, int(begin[w] - bounds[doc[w]]))
                 base += len(some)
-            rows = [(ids[d], item, *x) for (d, item), x in found.items()]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "lcs_share", "cosine", "answer_share", "word"])
+            rows = [(numbers[d], ids[d], item, *x) for (d, item), x in found.items()]
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["row", "doc_id", "item_id", "lcs_share", "cosine", "answer_share", "word"])
 
-    return tokens.mapInArrow(run, "doc_id long, item_id long, lcs_share double, cosine double, answer_share double, word long")
+    return tokens.mapInArrow(run, f"row long, {_FOUND}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
@@ -292,33 +301,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
     ``word`` is where the best window begins. Null and empty documents hold nothing; null and empty items are found
     nowhere; with an empty benchmark or no documents the result is empty. Repeated documents are each reported, those
-    without an id under null, equal items each under their own id. Terms, weights and the latent space are fitted once;
-    items are then searched for ``BLOCK_ITEMS`` at a time, so what is sent to the tasks is bounded and an item fares
-    alike in every block; each block costs a run over the terms. Other columns are not looked at.
+    without an id under null, equal items each under their own id, an item of several rows or texts once, with its best window. Terms, weights
+    and the latent space are fitted once; items are then searched for in blocks of about ``BLOCK_PROBES`` probes (an
+    item is never cut), so what is sent to the tasks is bounded and an item fares alike in every block; each block
+    costs a run over the terms. Words of a benchmark beyond ``MOST_WORDS`` share hashed terms, which count as words in
+    the item and in the documents, so items of such words are found too. Other columns are not looked at.
     """
     spark = docs.sparkSession
     corpus = docs.select(F.col(f"`{doc_id}`").cast(LongType()).alias("id"), F.col(f"`{text}`").alias("text"))
     items = benchmark.select(F.col(f"`{item_id}`").cast(LongType()).alias("id"), F.col(f"`{item_text}`").alias("text"), (F.col(f"`{answer}`") if answer else F.lit(None).cast("string")).alias("answer"))
-    out = spark.createDataFrame([], "doc_id long, item_id long, lcs_share double, cosine double, answer_share double, word long")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(word_hashes(batch.column(0).to_pylist(), marks=False)[0]).view(np.int64))], ["w"])
 
-    own = items.select("text").mapInArrow(words, "w long").distinct().orderBy("w").limit(MOST_WORDS).toPandas()["w"]
-    if own.empty:
-        return out
+    said = items.select("text").mapInArrow(words, "w long").distinct()
+    if said.isEmpty():
+        return spark.createDataFrame([], _FOUND)
+    own = said.orderBy("w").limit(MOST_WORDS).toPandas()["w"]
     vocabulary = Vocabulary(np.sort(own.to_numpy(dtype=np.int64).view(np.uint64)))
-    tokens = materialise(_tokenised(corpus, vocabulary))
+    # Rows have a number of their own, fixed by being written: ids may be null or repeated.
+    tokens = materialise(_tokenised(corpus, vocabulary).withColumn("row", F.monotonically_increasing_id()))
     df = _document_frequency(tokens, vocabulary)
     n = max(1.0, df[-1])
     idf = np.where(df[:-1] > 0.1 * n, 0.0, np.log((n + 1) / (df[:-1] + 1)))
     rare = df[:-1] <= max(1.0, 0.01 * n)
     space = _latent(tokens, vocabulary, np.where(df[:-1] > 0, idf, 0.0))
-    n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    numbered = materialise(items.where("text IS NOT NULL").dropDuplicates().withColumn("nth", F.monotonically_increasing_id()))
+    many = numbered.agg(F.coalesce(F.sum(F.ceil(F.size(F.split("text", r"\s+")) / PASSAGE)), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-int(many) // BLOCK_PROBES))
+    found = None
     for block in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block)
+        part = numbered.where(F.pmod(F.xxhash64("nth"), F.lit(n_blocks)) == block).select("id", "text", "answer")
         probes = probes_of([tuple(r) for r in part.collect()], vocabulary)
         if probes:
-            out = out.union(_search(tokens, vocabulary, probes, df[:-1], idf, space, rare))
-    return out
+            one = _search(tokens, vocabulary, probes, df[:-1], idf, space, rare)
+            found = one if found is None else found.union(one)
+    if found is None:
+        return spark.createDataFrame([], _FOUND)
+    # Texts that share an item's id may have been searched for in several blocks.
+    best = found.groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("lcs_share", "cosine", "answer_share", (-F.col("word")).alias("word"))).alias("x"))
+    return best.select("doc_id", "item_id", "x.lcs_share", "x.cosine", "x.answer_share", (-F.col("x.word")).alias("word"))
