@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, held_out, map_texts
+from weftline.llm.common import bounded_sample, labelled_texts, map_texts, usable_labels
 
 #: Most labelled rows that a fit uses; beyond, a sample by a hash of the id.
 FIT_ROWS = 20_000
@@ -146,20 +146,22 @@ def with_features(df: DataFrame, text: str, keep: list[str] | None = None) -> Da
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Additive:
-    """Fit on at most about ``rows`` labelled documents outside the held-out fold; rows without an id or a label of 0 or 1 take no part."""
-    usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out("__id"))
-    sample = bounded_sample(usable, "__id", rows)
-    held = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), "__id")
-    got = with_features(held, "__text", ["__id", "__y"]).toPandas().sort_values("__id", kind="stable")
+    """Fit on at most about ``rows`` labelled documents outside the held-out fold.
+
+    Rows without an id or a label of 0 or 1 take no part; of several labels of an id the larger counts, of several texts
+    one, so no id, however many rows it has, brings more than one to the driver.
+    """
+    sample = bounded_sample(usable_labels(labels, label, doc_id), "id", rows)
+    got = with_features(labelled_texts(docs, sample, doc_id, text), "text", ["id", "y"]).toPandas().sort_values("id", kind="stable")
     if got.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return fit(np.vstack(got["features"].to_numpy()), got["__y"].to_numpy(dtype=np.float64))
+    return fit(np.vstack(got["features"].to_numpy()), got["y"].to_numpy(dtype=np.float64))
 
 
 def score(df: DataFrame, text: str, model: Additive, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``score``, between 0 and 1, higher where label 1 is likelier.
 
-    Every row gets one, null texts as empty ones; a column named ``score`` is replaced.
+    Every row gets one, null texts as empty ones, rows without an id too; a column named ``score`` is replaced.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, held_out, map_texts
+from weftline.llm.common import bounded_sample, labelled_texts, map_texts, usable_labels
 
 #: Most labelled documents of each kind in the fit.
 FIT_TOXIC, FIT_ORDINARY = 6_000, 12_000
@@ -131,11 +131,15 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 30) -> N
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit outside the held-out fold; rows without an id or a label of 0 or 1 take no part."""
+    """Fit outside the held-out fold, on at most about ``FIT_TOXIC`` and ``FIT_ORDINARY`` documents.
+
+    Rows without an id or a label of 0 or 1 take no part; of several labels of an id the larger counts, of several texts
+    one, so no id, however many rows it has, brings more than one to the driver.
+    """
     spark = docs.sparkSession
-    usable = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
+    usable = usable_labels(labels, label, doc_id)
     sample = bounded_sample(usable.where("y = 1"), "id", FIT_TOXIC).union(bounded_sample(usable.where("y = 0"), "id", FIT_ORDINARY))
-    held = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id").groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
+    held = labelled_texts(docs, sample, doc_id, text).groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
     held = held.persist()
     n = {r["y"]: r["count"] for r in held.groupBy("y").count().collect()}
     model = Model()
