@@ -170,7 +170,11 @@ def count_tokens(df: DataFrame, text: str, model_path: str, keep: list[str] | No
             marked = sorted({m for m in map(mark, new) if len(m) <= LONGEST})
             count = dict(zip(marked, trie_counts(marked, sent.value).tolist()))
             known.update((w, count[m] if (m := mark(w)) in count else one_count(m, sent.value)) for w in new)
-            return [[sum(map(known.__getitem__, words)) for words in found], [len(words) for words in found]]
+            sums = [sum(map(known.__getitem__, words)) for words in found]
+            for w in new:  # long ones are not remembered: in texts without spaces each may be a whole line
+                if len(w) > LONGEST:
+                    del known[w]
+            return [sums, [len(words) for words in found]]
 
         return work
 
