@@ -524,7 +524,7 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
     docs, bench = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
     rows = lambda: sorted(decontaminate.leaks(docs, bench).select("doc_id", "item_id", "lcs_share", "word").collect())
     once = rows()
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 16)
+    monkeypatch.setattr(decontaminate, "BLOCK_PROBES", 16)
     assert once and rows() == once
 
 
@@ -565,3 +565,85 @@ def test_map_texts_keeps_other_columns(spark):
     out = map_texts(df, "text", lambda: lambda t: [[len(x or "") for x in t]], "n_CHARS int")
     assert out.columns == [c for c in df.columns if c != "n_chars"] + ["n_CHARS"] and out.count() == 7
     assert out.where(held_out("doc_id")).count() >= 0
+
+
+# --- what no cap, no id and no length may change
+
+
+def test_leaks_beyond_the_vocabulary(spark, monkeypatch):
+    """Words of a benchmark beyond the cap share hashed terms, and items of such words are found all the same."""
+    docs, bench = table(spark, FOLDER, "documents"), table(spark, FOLDER, "benchmark")
+    rows = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    once = rows()
+    for cap in (0, 200):
+        monkeypatch.setattr(decontaminate, "MOST_WORDS", cap)
+        assert once and rows() == once
+
+
+def test_leaks_against_all_pairs(spark):
+    """Every window of every document against every item: nothing is found that does not match, and nothing that matches well is missed."""
+    docs = {r["doc_id"]: word_hashes([r["text"]], marks=False)[0].tolist() for r in table(spark, SMALL, "documents").collect()}
+    items = {r["item_id"]: word_hashes([r["text"]], marks=False)[0].tolist() for r in table(spark, SMALL, "benchmark").collect()}
+    share = {}
+    for i, words in items.items():
+        parts = [words] if len(words) < 96 else [words[a : a + 64] for a in [*range(0, len(words) - 64, 64), len(words) - 64]]
+        for part in parts:
+            masks, own = decontaminate.masks_of(part), set(part)
+            for d, text in docs.items():
+                if len(own.intersection(text)) < 0.6 * len(own):
+                    continue
+                for a in range(0, len(text), 8):
+                    near = text[max(0, a - 32) : a + 96]
+                    share[d, i] = max(share.get((d, i), 0), decontaminate.lcs(masks, len(part), near) / len(part))
+    got = {(r["doc_id"], r["item_id"]): r["lcs_share"] for r in queries.op10_decontaminate(spark, SMALL).collect()}
+    assert {k for k, x in share.items() if x >= 0.8} <= set(got)
+    assert all(share.get(k, 0) >= x - 1e-9 >= 0.6 - 1e-9 for k, x in got.items())
+
+
+def test_equal_items_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_PROBES", 2)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    said = " ".join(rnd.sample(words, 30))
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=60)) + (f" {said} " if i == 7 else "")) for i in range(40)], "doc_id long, text string").withColumn("lcs_share", F.lit("clash")).withColumn("word", F.lit("clash"))
+    bench = spark.createDataFrame([(1, said)] * 5 + [(2, said)] * 3, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(7, 1), (7, 2)]
+
+
+def test_one_id_on_a_third_of_the_rows(spark):
+    """An id that stands on very many documents and labels brings one row to the driver."""
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, 4).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(900).select(F.when(F.col("id") % 3 == 0, 4).otherwise(F.col("id")).alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    from weftline.llm.common import bounded_sample, labelled_texts, usable_labels
+
+    sample = usable_labels(labels, "quality", "doc_id")
+    held = labelled_texts(docs, bounded_sample(sample, "id", 100), "doc_id", "text")
+    assert sample.where("id = 4").count() == 1 and held.count() == held.select("id").distinct().count() <= 200
+    assert 0 < quality_gam.score(docs, "text", quality_gam.train(docs, labels)).first()["score"] < 1
+    assert 0 <= toxicity_zstd.score(docs, "text", toxicity_zstd.train(docs, labels)).first()["score"] <= 1
+
+
+def test_unigram_forgets_long_words(spark):
+    long = "x" * 5000
+    df = spark.createDataFrame([(i, f"{long}{i} a few words {long}{i}") for i in range(4)], "doc_id long, text string")
+    out = unigram_count.count_tokens(df, "text", public_tokenizers.path(queries.PIECES), ["doc_id"]).collect()
+    pieces = unigram_count.read_pieces(public_tokenizers.path(queries.PIECES))
+    words = lambda t: [unigram_count.SPACE * (len(w) - len(w.lstrip())) + w.lstrip() for w in unigram_count._PRE.findall(t)]
+    for r, d in zip(sorted(out, key=lambda r: r["doc_id"]), sorted(df.collect(), key=lambda r: r["doc_id"])):
+        assert r["n_tokens"] == sum(unigram_count.one_count(w, pieces) for w in words(d["text"]))
+
+
+def test_decoding_reads_the_byte_table_backwards(spark):
+    """Every byte has one printable character; characters that several tokens share are whole once these are joined."""
+    table_, back = byte_bpe._alphabet(), byte_bpe._reversed()
+    assert len(set(table_)) == 256 and [int(back[ord(c)]) for c in table_] == list(range(256))
+    texts = ["naïve \U0001f9ec\U0001f9ec 漢字", "", None, "\x00\x7f\x85"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = byte_bpe.encode(df, "text", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, offsets=True)
+    rows = byte_bpe.decode(out, "ids", public_tokenizers.path(queries.RANKS)).orderBy("doc_id").collect()
+    assert [bytes(r["decoded"]).decode() for r in rows] == [t or "" for t in texts]
+    split = [sum(a < b for a, b in zip(r["starts"][1:], r["ends"])) for r in rows]
+    assert split[0] > 0 and split[1] == split[2] == 0
+    ids = rows[0]["ids"]
+    assert len(byte_bpe._joined(ids[:-1], {r: t.decode("latin-1").translate(dict(enumerate(table_))) for t, r in byte_bpe.read_ranks(open(public_tokenizers.path(queries.RANKS), "rb").read()).items()}, back)) < len(texts[0].encode())

@@ -50,7 +50,7 @@ class Codec:
             cuts = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += [(chars(a), chars(b)) for a, b in sorted(cuts, key=lambda cut: (ranks[cut[0]], ranks[cut[1]]))]
         self.library = Tokenizer(models.BPE(vocab={chars(t): r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
-        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.chars_of = {r: chars(t) for t, r in ranks.items()}
 
     def encode(self, texts: list[str], known: dict[str, bytes]) -> list[np.ndarray]:
         """The ids (32-bit) of each text. ``known`` has the ids of matches seen before and gets the new ones, up to its bounds."""
@@ -71,7 +71,7 @@ class Codec:
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one character of each token; a token that holds part of a character covers the whole of it."""
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()], dtype=np.int64)
+        ends = np.cumsum([len(self.chars_of[i]) for i in ids.tolist()], dtype=np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
@@ -95,10 +95,19 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
 
 
-def _joined(ids: list | None, token: dict[int, bytes]) -> bytes | None:
-    """The bytes of ids; None if there are none to tell, or one has no token."""
-    parts = None if ids is None else list(map(token.get, ids))
-    return None if parts is None or None in parts else b"".join(parts)
+def _reversed() -> np.ndarray:
+    """The byte of each printable character, by code point: the byte table the other way round."""
+    out = np.zeros(0x200, np.uint8)
+    out[[ord(c) for c in _alphabet()]] = np.arange(256)
+    return out
+
+
+def _joined(ids: list | None, chars_of: dict[int, str], byte_of: np.ndarray) -> bytes | None:
+    """The bytes of ids, from the printable characters of their tokens; None if there are none to tell, or one has no token."""
+    parts = None if ids is None else list(map(chars_of.get, ids))
+    if parts is None or None in parts:
+        return None
+    return byte_of[np.frombuffer("".join(parts).encode("utf-16-le"), "<u2")].tobytes()
 
 
 def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -112,14 +121,14 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: boo
     file = _file(df.sparkSession, ranks_path)
 
     def make():
-        codec = _codec(file.value, pattern)
+        codec, byte_of = _codec(file.value, pattern), _reversed()
         known: dict[str, bytes] = {}
 
         def work(values: list) -> list:
             texts = [t or "" for t in values]
             ids = codec.encode(texts, known)
             spans = [codec.offsets(t, i) for t, i in zip(texts, ids)] if offsets else []
-            back = [[_joined(i.tolist(), codec.bytes_of) for i in ids]] if decoded else []
+            back = [[_joined(i.tolist(), codec.chars_of, byte_of) for i in ids]] if decoded else []
             return [_lists(ids), *([_lists([s for s, _ in spans]), _lists([e for _, e in spans])] if offsets else []), *back]
 
         return work
@@ -131,13 +140,16 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: boo
 def decode(df: DataFrame, ids: str, ranks_path: str, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``decoded`` (binary): the bytes of an array of ids; null where that is null, or holds a null or an id that no token has.
 
+    Tokens are printable characters, one for each byte; the byte table, read the other way round, gives the bytes.
+
     A character whose bytes several tokens hold is whole again once they are joined. An empty array gives no bytes; an
     empty table an empty one. A column named ``decoded`` is replaced.
     """
     file = _file(df.sparkSession, ranks_path)
 
     def make():
-        token = {r: t for t, r in read_ranks(file.value).items()}
-        return lambda values: [[_joined(x, token) for x in values]]
+        to_char, byte_of = dict(enumerate(_alphabet())), _reversed()
+        chars_of = {r: t.decode("latin-1").translate(to_char) for t, r in read_ranks(file.value).items()}
+        return lambda values: [[_joined(x, chars_of, byte_of) for x in values]]
 
     return map_texts(df, ids, make, "decoded binary", keep, 256)
