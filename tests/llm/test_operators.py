@@ -647,3 +647,75 @@ def test_decoding_reads_the_byte_table_backwards(spark):
     assert split[0] > 0 and split[1] == split[2] == 0
     ids = rows[0]["ids"]
     assert len(byte_bpe._joined(ids[:-1], {r: t.decode("latin-1").translate(dict(enumerate(table_))) for t, r in byte_bpe.read_ranks(open(public_tokenizers.path(queries.RANKS), "rb").read()).items()}, back)) < len(texts[0].encode())
+
+
+# --- surrogates: persons without a title, long texts, used-up formats, a whole table
+
+
+def found(text):
+    return [(text[a:b], kind) for a, b, kind, _ in pii_surrogates.find(text)]
+
+
+def test_persons_by_score_and_mention():
+    names = lambda text: [x for x, kind in found(text) if kind.startswith(("person", "given"))]
+    assert names("John Smith called Maria Lopez.") == ["John Smith", "Maria Lopez"]
+    assert names("Professor Jane Doe and Sir Ian Bell met") == ["Jane Doe", "Ian Bell"]
+    assert names("Dr. Anna Maria von der Leyen spoke. Then Leyen, von der Leyen and Anna left.") == ["Anna Maria von der Leyen", "Leyen", "von der Leyen", "Anna"]
+    assert names("Dr Kim Lee. Kim said hi") == ["Kim Lee", "Kim"]
+    assert names("Mr Sean O'Brien's car and Ms A. Smith-Jones") == ["Sean O'Brien", "A. Smith-Jones"]
+    assert found("张伟先生来了") == [("张伟", "person-han-m")]
+    assert names("The Adam Smith Institute For Economic Research. Paris Hilton Garden. Kim.") == []
+    assert [x for x, kind in found("call 020 7946 0958 or 555 123 4567") if kind == "phone"] == ["020 7946 0958", "555 123 4567"]
+
+
+def test_mentions_take_time_in_proportion():
+    """A megabyte with thousands of names takes no longer for each than a short text."""
+    rnd = random.Random(1)
+    name = lambda: rnd.choice("ABCDEFG") + "".join(rnd.choices("abcdefghij", k=5))
+    text = lambda n: " ".join(f"Dr {name()} {name()} said so. and then some words follow here" for _ in range(n))
+    spent = []
+    for n in (2000, 16000):
+        t = text(n)
+        began = time.process_time()
+        assert len(pii_surrogates.find(t)) >= n
+        spent.append(time.process_time() - began)
+    assert spent[1] < 24 * spent[0] + 1
+    began = time.process_time()
+    pii_surrogates.find("Adam Smith " * 90_000)
+    assert time.process_time() - began < 20
+
+
+def test_a_format_that_is_used_up(spark):
+    """More entities than a short form has values: surrogates get longer instead of failing."""
+    df = spark.createDataFrame([(i, f"mail {chr(97 + i)}@{c}.de") for i in range(26) for c in "ab"] + [(i, f"at 1.2.3.{i}") for i in range(50)], "doc_id long, text string")
+    assert pii_surrogates.replace(df, "text", b"k").count() == 102
+    names = spark.createDataFrame([("phone", f"{i:02}") for i in range(100)], "kind string, canonical string")
+    again = {r["canonical"]: r["attempt"] for r in pii_surrogates.redrawn(names, b"k").collect()}
+    drawn = {pii_surrogates.surrogate(b"k", "phone", c, again.get(c, 0)) for c in (f"{i:02}" for i in range(100))}
+    assert len(drawn) == 100 and not drawn & {f"{i:02}" for i in range(100)}
+
+
+def test_surrogates_of_a_table(spark):
+    """Over a whole table: what is not an entity stays, equal entities get equal surrogates, distinct ones distinct ones, none of them real."""
+    docs = table(spark, FOLDER, "documents").select("doc_id", "text")
+    new = {r["doc_id"]: r for r in pii_surrogates.replace(docs, "text", b"k").collect()}
+    of, real, mails = {}, set(), 0
+    for d in docs.collect():
+        t, row = d["text"], new[d["doc_id"]]
+        entities = pii_surrogates.find(t)
+        assert [(e["kind"], e["start"], e["end"]) for e in row["entities"]] == [(k, a, b) for a, b, k, _ in entities]
+        mails += sum(k == "email" for _, _, k, _ in entities)
+        assert {t[a:b] for a, b, k, _ in entities if k == "email"} >= set(re.findall(r"(?<![\w.%+-])[a-z]+\.?[a-z]*\d*@[a-z]+\.(?:com|org|net)(?![\w.-])", t))
+        at, shift = 0, 0
+        for e, (a, b, kind, canonical) in zip(row["entities"], entities):
+            assert row["text"][at + shift : a + shift] == t[at:a]
+            assert row["text"][a + shift : a + shift + len(e["surrogate"])] == e["surrogate"]
+            shift, at = shift + len(e["surrogate"]) - (b - a), b
+            family = kind.split("-")[0]
+            plain = e["surrogate"].lower() if kind in ("email", "ip") else re.sub(r"\W", "", e["surrogate"]).lower()
+            of.setdefault((family, canonical), set()).add(plain)
+            real.add((family, canonical.lower()))
+        assert row["text"][at + shift :] == t[at:]
+    assert mails and all(len(x) == 1 for x in of.values())
+    drawn = [(family, *x) for (family, _), x in of.items()]
+    assert len(set(drawn)) == len(drawn) and not set(drawn) & real

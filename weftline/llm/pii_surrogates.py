@@ -26,11 +26,11 @@ from weftline.llm.common import map_texts, materialise, slices
 
 #: Most redrawn entities that are sent to the tasks whole; beyond, they are joined to the documents that hold them.
 SENT = 100_000
-#: Turns of drawing again before a format's values are held to be used up.
-MOST_TURNS = 100
+#: Attempts after which a form of fixed length (digits) is drawn one longer, so that no format's values are ever used up.
+WIDER = 4
 
 #: Titles with their gender, and names by script and gender to draw from.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Professor": "n", "Doctor": "n", "Sir": "m", "Lord": "m", "Lady": "f", "Dame": "f", "Madam": "f", "Signor": "m", "Signora": "f", "Docteur": "n", "Professeur": "n", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
 FIRST = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Noah Oscar Paul Robert Simon Thomas Victor".split(),
     ("latin", "f"): "Anna Bella Clara Diana Emma Flora Greta Helen Irene Julia Karin Laura Maria Nina Olga Paula Rosa Sara Teresa Vera".split(),
@@ -39,6 +39,18 @@ FIRST = {
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Ирина Лариса Мария Ольга".split(),
     ("cyrillic", "n"): "Саша Женя Валя Шура Слава".split(),
 }
+#: Given names that are known for a person without a title, besides those above, by gender.
+GIVEN = {
+    "m": "John James Michael William David Richard Joseph Charles Daniel Matthew Anthony Mark George Kevin Brian Edward Peter Ian Henry Jack José Juan Luis Carlos Pedro Miguel Javier Antonio Diego Jean Pierre Michel Jacques François Louis Hans Klaus Wolfgang Jürgen Stefan Andreas Matthias Uwe Ahmed Ali Omar".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Jane Alice Grace Lucy Ana Carmen Lucia Sofia Isabel Elena Marta Marie Sophie Camille Claire Chloé Nathalie Isabelle Ursula Monika Petra Sabine Katrin Heike Fatima Aisha Priya".split(),
+}
+#: Small words inside a surname; they are no part of what is drawn.
+PARTICLES = "von van der den de del della di da la le du dos ter ten zu zur bin al".split()
+#: Words beside a name that tell a person.
+CUES = frozenset("said says wrote writes signed called calls asked told contact author by from with named sincerely regards name met born lives works dit écrit appelle por dijo escribió llama sagte schrieb heißt von".split())
+#: Surnames, letters of given names and titles in Chinese.
+HAN_SURNAMES, HAN_GIVEN = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林郑", "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超霞平刚"
+HAN_TITLES = {"先生": "m", "女士": "f", "小姐": "f", "教授": "n", "老师": "n", "医生": "n", "博士": "n"}
 #: Endings of first names that are put together, by script and gender.
 ENDINGS = {("latin", "f"): "a ia ina ella".split(), ("latin", "m"): "o us ard win".split(), ("latin", "n"): "i en y".split(), ("cyrillic", "f"): "а ия ина".split(), ("cyrillic", "m"): "ан ор ислав".split(), ("cyrillic", "n"): "и ко".split()}
 #: Surnames, and first names where the list is used up, are put together from these syllables.
@@ -48,7 +60,7 @@ _NUMBER = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<ip>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\w]|\.\d)"
     r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) \d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)"
+    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) \d{3}-\d{4}|\d{3}(?P<gap>[-. ])\d{3}(?P=gap)\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?!\w)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?!\w))"
 )
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -56,7 +68,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 #: Patterns that begin with a set of characters are scanned fast; what stands before a hit is looked at afterwards.
 _RUN = re.compile(r"[+(0-9][0-9 .()+-]{6,}")
 _IBAN = re.compile(r"[A-Z][A-Z]\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_PERSON = re.compile(r"(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.?\s)([A-ZÀ-ÖØ-ÞЀ-Я][\w'’-]*(?: [A-ZÀ-ÖØ-ÞЀ-Я][\w'’-]*){0,2})")
+_LETTER = "[A-ZÀ-ÖØ-ÞЀ-Я]"
+_CAP = rf"(?:{_LETTER}\.(?= {_LETTER})|{_LETTER}[\w'’-]*)"
+_PARTICLE = r"(?:(?:" + "|".join(PARTICLES) + r") ){0,3}"
+_MORE = rf"(?: {_PARTICLE}{_CAP})"
+_PERSON = re.compile(r"(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")(\.?\s)({_CAP}{_MORE}{{0,4}})")
+_NAME = re.compile(rf"{_CAP}{_MORE}{{1,5}}")
+_HAN = re.compile(rf"[{HAN_SURNAMES}][\u4e00-\u9fff]{{1,2}}?(?={'|'.join(HAN_TITLES)})")
+_WORD = re.compile(r"\w+")
+_POSSESSIVE = re.compile(r"['’]s?$")
 _NOT_DIGIT = re.compile(r"\D")
 
 
@@ -72,32 +92,75 @@ def _in_word(text: str, at: int) -> bool:
     return at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")
 
 
-_GENDER = {name.lower(): gender for (_, gender), names in FIRST.items() for name in names}
+_GENDER = {name.lower(): gender for (_, gender), names in FIRST.items() for name in names} | {name.lower(): gender for gender, names in GIVEN.items() for name in names}
+_SMALL = frozenset(PARTICLES)
 
 
-def _gender(title: str, name: str) -> str:
+def _gender(title: str | None, name: str) -> str:
     """The gender that a title tells, or else the first name; n if neither does."""
-    known = TITLES[title]
+    known = TITLES[title] if title else "n"
     if known != "n" or " " not in name:
         return known
     first = name.split(" ")[0].lower()
     return _GENDER.get(first, "f" if first[-1] in "aая" else "n")
 
 
-def parts(kind: str, canonical: str) -> list[tuple[str, str]]:
-    """What of an entity is drawn by itself: (kind, canonical form) of each name of a person, else the entity."""
+def _script(name: str) -> str:
+    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "latin"
+
+
+def _likely(text: str, start: int, end: int, name: str) -> bool:
+    """Whether capitalised words without a title are a person: points for a known given name, a surname of letters that is no given name, and a word beside it that tells a person; less for a long run of capitals, as headings have."""
+    words = [w for w in name.split(" ") if w not in _SMALL]
+    score = 2 if words[0].lower() in _GENDER else 0
+    last = words[-1]
+    score += last[1:].isalpha() and last.lower() not in _GENDER and not last.isupper()
+    before, after = text[max(0, start - 24) : start].lower().split(), text[end : end + 16].lower().split()
+    score += bool(CUES.intersection(w.strip(".,:;") for w in (*before[-2:], *after[:1])))
+    return score - 2 * (len(words) > 4) >= 3
+
+
+def words_of(kind: str, canonical: str) -> list[tuple[str | None, str]]:
+    """The words of an entity with the kind that each is drawn as; a particle of a name has none and stays."""
+    if kind.startswith("given"):
+        _, script, gender = kind.split("-")
+        return [(f"first-{script}-{gender}", canonical)]
     if not kind.startswith("person"):
         return [(kind, canonical)]
     _, script, gender = kind.split("-")
+    if script == "han":
+        return [(f"name-han-{gender}", canonical)]
     *first, last = canonical.split(" ")
-    return [*((f"first-{script}-{gender}", name) for name in first), (f"last-{script}", last)]
+    return [*((None if name in _SMALL else f"initial-{script}" if name.endswith(".") else f"first-{script}-{gender}", name) for name in first), (f"last-{script}", last)]
+
+
+def parts(kind: str, canonical: str) -> list[tuple[str, str]]:
+    """What of an entity must stay distinct from others: (kind, canonical form) of each name of a person (initials may meet), else the entity."""
+    return [(k, w) for k, w in words_of(kind, canonical) if k and not k.startswith("initial")]
+
+
+def _mentions(text: str, named: dict[str, tuple[str, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """Where the text has one of the names, the longest at each place; the text is read once, however many names there are."""
+    ends = max(len(_WORD.findall(name)) for name in named)
+    first = {_WORD.match(name)[0] for name in named}
+    runs = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    past = 0
+    for i, (start, end) in enumerate(runs):
+        if start < past or text[start:end] not in first or (start and text[start - 1] in "'’-"):
+            continue
+        for _, stop in reversed(runs[i : i + ends]):
+            if (name := named.get(text[start:stop])) is not None:
+                yield start, stop, *name
+                past = stop
+                break
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, in order and without overlap.
 
-    The kind of a person tells script and gender; a canonical form is what all spellings of an entity share. A person named
-    with a title is found at each other mention in the text too, by the same name or the surname alone.
+    The kind of a person tells script and gender; a canonical form is what all spellings of an entity share. Persons are
+    found by a title, or by a score where there is none (``_likely``), and then at each other mention in the text, by the
+    same name, the surname (with its particles or without) or the first name alone.
     """
     named: dict[str, tuple[str, str]] = {}
     out, at = [], text.find("@")
@@ -115,18 +178,38 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for m in _IBAN.finditer(text):
         if not _in_word(text, m.start()) and _iban_valid(code := m[0].replace(" ", "")):
             out.append((m.start(), m.end(), "iban", code))
+    titled = []
     for m in _PERSON.finditer(text):
-        if _in_word(text, m.start()):
-            continue
-        script = "cyrillic" if "Ѐ" <= m[3][0] <= "ӿ" else "latin"
-        kind = f"person-{script}-{_gender(m[1], m[3])}"
-        out.append((m.start(3), m.end(3), kind, m[3].lower()))
-        for name in (m[3], m[3].split(" ")[-1]):
-            named.setdefault(name, (kind, name.lower()))
+        if not _in_word(text, m.start()):
+            name = _POSSESSIVE.sub("", m[3])
+            titled.append((m.start(3), m.start(3) + len(name), m[1], name))
+    # Starts and ends grow along both lists, so one pointer tells whether a run of capitals overlaps a titled name.
+    at, persons = 0, list(titled)
+    for m in _NAME.finditer(text):
+        while at < len(titled) and titled[at][1] <= m.start():
+            at += 1
+        name = _POSSESSIVE.sub("", m[0])
+        if (at == len(titled) or titled[at][0] >= m.end()) and not _in_word(text, m.start()) and _likely(text, m.start(), m.start() + len(name), name):
+            persons.append((m.start(), m.start() + len(name), None, name))
+    for start, end, title, name in persons:
+        script, gender = _script(name), _gender(title, name)
+        kind = f"person-{script}-{gender}"
+        out.append((start, end, kind, name.lower()))
+        words = name.split(" ")
+        last = words[-1]
+        named.setdefault(name, (kind, name.lower()))
+        named.setdefault(last, (kind, last.lower()))
+        if len(words) > 1:
+            surname = next(i for i in range(1, len(words)) if words[i] in _SMALL or i == len(words) - 1)
+            named.setdefault(" ".join(words[surname:]), (kind, " ".join(words[surname:]).lower()))
+            if not words[0].endswith("."):
+                named.setdefault(words[0], (f"given-{script}-{gender}", words[0].lower()))
+    for m in _HAN.finditer(text):
+        gender = next(g for t, g in HAN_TITLES.items() if text.startswith(t, m.end()))
+        out.append((m.start(), m.end(), f"person-han-{gender}", m[0]))
     if named:
-        # Full names go before surnames; a name with a title of its own keeps that (the sort below is stable).
-        for m in re.finditer(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + r")(?![\w])", text):
-            out.append((m.start(), m.end(), *named[m[0]]))
+        # A name with a title of its own keeps that (the sort below is stable).
+        out += _mentions(text, named)
     kept, end = [], 0
     for x in sorted(out, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -154,6 +237,8 @@ class _Draws:
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     """The canonical form of the entity's surrogate at the given attempt."""
     draw = _Draws(key, kind, canonical, str(attempt))
+    wider = attempt // WIDER
+    more = lambda: "".join(str(draw.below(10)) for _ in range(wider))
     letter = lambda c: chr(ord("a") + draw.below(26)) if c.isalpha() else str(draw.below(10)) if c.isdigit() else c
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
@@ -162,34 +247,38 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         kept = "".join(chr(ord("a") + host.below(26)) if c.isalpha() else str(host.below(10)) if c.isdigit() else c for c in name)
         return "".join(map(letter, local)) + ("x%d" % attempt if attempt > 8 else "") + f"@{kept}{dot}{top}"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ".".join(str(1 + draw.below(254)) for _ in range(4 + wider))
     if kind == "card":
-        body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[2:])
+        body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[2:]) + more()
         check = next(str(d) for d in range(10) if _luhn(body + str(d)))
         return body + (check if _luhn(canonical) else str((int(check) + 1 + draw.below(9)) % 10))
     if kind == "iban":
-        body = "".join(chr(ord("A") + draw.below(26)) if c.isalpha() else str(draw.below(10)) for c in canonical[4:])
+        body = "".join(chr(ord("A") + draw.below(26)) if c.isalpha() else str(draw.below(10)) for c in canonical[4:]) + more()
         return canonical[:2] + "%02d" % (98 - int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97) + body
     pick = lambda of: of[draw.below(len(of))]
     if kind.startswith("last-"):
         return "".join(pick(SYLLABLES[kind[5:]]) for _ in range(3 + attempt // 4))
+    if kind.startswith("initial-"):
+        return chr(ord("a" if kind.endswith("latin") else "а") + draw.below(26)) + "."
     if kind.startswith("first-"):
         _, script, gender = kind.split("-")
         if attempt < 2:
             return pick(FIRST[script, gender]).lower()
         return "".join(pick(SYLLABLES[script]) for _ in range(1 + attempt // 3)) + pick(ENDINGS[script, gender])
-    return "".join(map(letter, canonical))
+    if kind.startswith("name-han"):
+        return pick(HAN_SURNAMES) + "".join(pick(HAN_GIVEN) for _ in range(len(canonical) - 1 + wider))
+    return "".join(map(letter, canonical)) + more()
 
 
 def render(kind: str, original: str, canonical: str) -> str:
     """A surrogate's canonical form in the original's format: its separators, spacing and case."""
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(canonical)
-        return "".join(next(chars, "") if c.isalnum() else c for c in original)
-    if original.isupper():
+        return "".join(next(chars, "") if c.isalnum() else c for c in original) + "".join(chars)
+    if len(original) > 1 and original.isupper():
         return canonical.upper()
-    if kind.startswith("person"):
-        return " ".join(w.capitalize() for w in canonical.split(" "))
+    if kind.startswith(("person", "given")):
+        return " ".join(w if o[:1].islower() else w.capitalize() for o, w in zip(original.split(" "), canonical.split(" ")))
     return canonical
 
 
@@ -213,7 +302,8 @@ def _family(kind):
 def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose first surrogate is another's, or is itself an entity.
 
-    Of entities that share a surrogate, the one drawn first keeps it, then the least; the others draw again.
+    Of entities that share a surrogate, the one drawn first keeps it, then the least; the others draw again. Forms get
+    longer with the attempts, so this ends however many entities a format has.
     """
 
     @F.pandas_udf("string")
@@ -222,7 +312,7 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
 
     real = entities.select(_family("kind").alias("f"), F.col("canonical").alias("s")).distinct()
     held = materialise(entities.select("kind", "canonical", F.lit(0).alias("attempt")).withColumn("s", drawn("kind", "canonical", "attempt")).withColumn("f", _family("kind")))
-    for _ in range(MOST_TURNS):
+    while True:
         first = held.groupBy("f", "s").agg(F.min(F.struct("attempt", "kind", "canonical")).alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = held.join(first, ["f", "s"]).where(F.struct("attempt", "kind", "canonical") != F.col("own")).select("kind", "canonical", "attempt")
         same = held.join(real, ["f", "s"], "left_semi").select("kind", "canonical", "attempt")
@@ -231,8 +321,6 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
             break
         again = lost.withColumn("attempt", F.col("attempt") + 1).withColumn("s", drawn("kind", "canonical", "attempt")).withColumn("f", _family("kind"))
         held = materialise(held.join(lost.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(again))
-    else:
-        raise ValueError(f"surrogates still collide after {MOST_TURNS} turns: the format of some kind has fewer values than the corpus has entities")
     return held.where("attempt > 0").select("kind", "canonical", "attempt")
 
 
@@ -250,7 +338,7 @@ def replace(df: DataFrame, text: str, key: bytes, doc_id: str = "doc_id") -> Dat
         found = find(t) if t else []
         pieces, at, told = [], 0, []
         for start, end, kind, canonical in found:
-            drawn = " ".join(surrogate(key, k, c, attempts.get((k, c), 0)) for k, c in parts(kind, canonical))
+            drawn = " ".join(surrogate(key, k, c, attempts.get((k, c), 0)) if k else c for k, c in words_of(kind, canonical))
             new = render(kind, t[start:end], drawn)
             pieces += [t[at:start], new]
             at = end
