@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import rules
 from weftline.operators import evaluation, operations, ranking, search
-from weftline.sources import datasets
+from weftline.sources import datasets, documents
 
 
 @pytest.mark.parametrize("body", ['[{"id": 1}, {"id": 2}]', '{"meta": 1, "samples": [{"id": 1}, {"id": 2}]}', '{"data": [{"id": 1}, {"id": 2}]}', '{"id": 1}\n\n{"id": 2}\n'])
@@ -90,3 +90,41 @@ def test_percentiles_against_sorted_lists(spark):
         assert (got[g].p50, got[g].p99, got[g].f95) == (s[math.ceil(len(s) / 2) - 1], s[-(-len(s) * 99 // 100) - 1], s[math.floor(len(s) * 0.95)])
     summary = {r.g: r for r in operations.latency_summary(df, "g", "v").collect()}
     assert summary["none"].n == 1 and summary["none"].p50 is None and summary[None].n == 200
+
+
+def test_scanned_pages_and_page_choice(spark):
+    df = spark.createDataFrame([("  short ", "a\fb\fc", {1: "B", 2: " "}, [3, 1, 3, 9, 0]), (None, "x", {}, []), ("y" * 40, "", None, None)], "t string, pages string, new map<int,string>, asked array<int>")
+    # Places in the map count from 0.
+    rows = df.select(documents.needs_ocr(F.col("t")).alias("ocr"), documents.pages_replaced(F.col("pages"), F.col("new")).alias("pages"), documents.page_choice(F.col("asked"), F.lit(3)).alias("choice")).collect()
+    assert [r["ocr"] for r in rows] == [True, True, False]
+    assert [r["pages"] for r in rows[:2]] == ["a\fB\fc", "x"]
+    assert [r["choice"] for r in rows] == [[1, 3], [], None]
+
+
+def test_uploads_and_images(spark):
+    df = spark.createDataFrame([("a/b.TXT", "text/plain", 10), ("a.txt", "image/png", 10), ("a.pdf", "application/pdf", 1 << 40), ("noext", "text/plain", 1)], "path string, kind string, size long")
+    assert [r[0] for r in df.select(documents.allowed(F.col("path"), F.col("kind"), F.col("size"))).collect()] == [True, False, False, False]
+    uri = spark.createDataFrame([("data:image/JPEG;base64,aGk=",), ("data:image/svg+xml;base64,aGk=",), ("http://x",), (None,)], "t string").select(documents.data_uri(F.col("t")).alias("u")).collect()
+    assert [(r["u"]["ext"], bytes(r["u"]["data"])) if r["u"] else None for r in uri] == [("jpg", b"hi"), ("svg", b"hi"), None, None]
+
+
+def test_categories_from_paths(spark):
+    df = spark.createDataFrame([("/x/Exam/a.md",), ("/x/other.md",)], "path string")
+    assert [r["category"] for r in documents.with_category(df, [("exams", "exam"), ("rest", "zzz")]).collect()] == ["exams", "general"]
+
+
+def test_payloads_for_logs(spark):
+    df = spark.createDataFrame([({"Token": "x", "a": "see http://h/p?q now", "b": "y" * 400}, ["z" * 200] * 30, " ab-1:2.3_ ")], "p map<string,string>, l array<string>, t string")
+    row = df.select(operations.redacted(F.col("p")).alias("p"), operations.redacted_list(F.col("l")).alias("l"), operations.trace_id(F.col("t")).alias("t"), operations.trace_id(F.lit("a b")).alias("bad"), operations.trace_id(F.lit("x" * 129)).alias("long"), operations.trace_id(F.lit(" ")).alias("none")).first()
+    assert row["p"] == {"a": "see [url] now", "b": "y" * 300 + "..."} and row["l"] == ["z" * 120 + "..."] * 20
+    assert (row["t"], row["bad"], row["long"], row["none"]) == ("ab-1:2.3_", None, None, None)
+
+
+def test_feedback_pages(spark):
+    rows = spark.createDataFrame([(i, i // 2, "like" if i % 3 else "dislike", f"Word{i % 4}", ["T"] if i % 5 else None) for i in range(40)], "id long, created long, rating string, text string, titles array<string>")
+    page = lambda **o: operations.feedback_page(rows, ["text"], "titles", **o).orderBy("place").collect()
+    want = sorted((i for i in range(40) if i % 3 and i % 4 == 1), key=lambda i: (-(i // 2), -i))
+    assert [r["id"] for r in page(rating="like", keyword=" wORD1 ", page=2, size=3)] == want[3:6]
+    got = page(keyword="word1", size=0)
+    assert len(got) == 1 and (got[0]["total"], got[0]["likes"], got[0]["dislikes"]) == (10, sum(i % 3 > 0 for i in range(40) if i % 4 == 1), sum(i % 3 == 0 for i in range(40) if i % 4 == 1))
+    assert page(page=9) == []

@@ -47,6 +47,7 @@ ELLIPTIC = "^(那|那.*呢|然后|还有|那.*吗|费用|条件|流程|要求|
 REFUSAL = "没有检索到|资料不足|知识库中没有|无法回答"
 HARD_REFUSAL = "无法回答|没有相关信息|无法提供|我不清楚|没有找到|抱歉"
 ADVICE = "建议|咨询|查询"
+DETAIL = "[0-9]{2,}|具体|分为|包括|例如"
 # End of fixed values.
 
 

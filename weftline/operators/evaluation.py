@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.rules import REFUSAL
+from weftline.functions.rules import DETAIL, REFUSAL
 from weftline.operators.operations import floor_index, percentiles
 from weftline.tables import half_up
 
@@ -204,3 +204,54 @@ def hard_case(terms: Column, answer: Column) -> Column:
     found = F.size(F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t))))
     covered = F.when(F.size(terms) > 0, half_up(found / F.size(terms), 2)).otherwise(1.0)
     return F.struct(covered.alias("coverage"), (F.size(terms) - found).alias("missing"), text.rlike(REFUSAL).cast("int").alias("refused"), F.length(text).alias("chars"))
+
+
+def probe_result(answer: Column, sources: Column) -> Column:
+    """What became of a probe question: no sources is ``no_retrieval``, a refusal in spite of some ``generation_refusal``, else ``pass``. ``sources`` is how many there are; null is none."""
+    return F.when(F.coalesce(sources, F.lit(0)) == 0, "no_retrieval").when(F.coalesce(answer, F.lit("")).rlike(REFUSAL), "generation_refusal").otherwise("pass")
+
+
+def unsupported(answer: Column, context: Column) -> Column:
+    """Whether an answer goes into detail (numbers, lists) though its context is shorter than 50 characters, and does not refuse; likely made up."""
+    text = F.coalesce(answer, F.lit(""))
+    return (F.length(F.coalesce(context, F.lit(""))) < 50) & text.rlike(DETAIL) & ~text.rlike(REFUSAL)
+
+
+def probe_summary(rows: DataFrame, digits: int = 4) -> DataFrame:
+    """(expected, n, match, rate, unsupported) of probes (expected, actual, unsupported): how often the result was the expected one, and how many answers look made up."""
+    match = F.count_if(F.col("expected") == F.col("actual"))
+    return rows.groupBy("expected").agg(F.count(F.lit(1)).alias("n"), match.alias("match"), half_up(match / F.count(F.lit(1)), digits).alias("rate"), F.count_if("unsupported").alias("unsupported"))
+
+
+def tool_accuracy(rows: DataFrame, by: str, digits: int = 4) -> DataFrame:
+    """(by, judged, correct, accuracy, mean_ms, p95_ms) of tool choices (expected_route, route, expected_tool, tool, ms).
+
+    A sample without an expected tool is not judged, but its time counts; a route and a tool must both be right; one
+    that failed (no time) is judged wrong and has no time. The 95th percentile is the element at floor(0.95 n).
+    """
+    judged = F.col("expected_tool").isNotNull()
+    right = F.count_if(judged & (F.col("route") == F.col("expected_route")) & F.col("tool").eqNullSafe(F.col("expected_tool")) & F.col("ms").isNotNull())
+    sums = rows.groupBy(by).agg(F.count_if(judged & F.col("ms").isNotNull()).alias("judged"), right.alias("correct"), F.coalesce(half_up(F.avg("ms")), F.lit(0.0)).alias("mean_ms"))
+    late = floor_percentile(rows.where("ms IS NOT NULL"), by, "ms", 0.95).withColumnRenamed("ms", "p95_ms").withColumnRenamed(by, "__by")
+    rate = F.when(F.col("judged") > 0, F.round(F.col("correct") / F.col("judged"), digits))
+    return sums.join(late, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "judged", "correct", rate.alias("accuracy"), "mean_ms", F.coalesce("p95_ms", F.lit(0.0)).alias("p95_ms"))
+
+
+def grid_metrics(hits: DataFrame, relevant: DataFrame, by: list[str], k: int = 5, digits: int = 6) -> DataFrame:
+    """(by, queries, recall, hit_rate, mrr, mean_first) of ranked lists (by, query_id, id: text, rank) against ``relevant`` (query_id, prefix, and any of ``by`` that tells of the query).
+
+    A row is relevant if its id begins with one of the query's prefixes (the whole id is one too): the prefixes of each
+    hit are listed, at most as many as its id has characters, and met by equality. Recall is the share of a query's
+    prefixes that the first ``k`` hits have, the first rank 0 where there is none.
+    """
+    own = [c for c in by if c in relevant.columns]
+    wanted = relevant.where("prefix <> '' AND NOT startswith(prefix, 'TODO')").select("query_id", "prefix", *own).distinct()
+    asked = wanted.groupBy("query_id", *own).agg(F.count(F.lit(1)).alias("wanted"))
+    lists = [c for c in by if c not in own]
+    begun = hits.select(*lists, "query_id", "rank", F.explode(F.transform(F.sequence(F.lit(1), F.length("id")), lambda n: F.substring("id", F.lit(1), n))).alias("prefix"))
+    met = begun.join(wanted.select("query_id", "prefix"), ["query_id", "prefix"]).groupBy(*lists, "query_id").agg(F.count_distinct(F.when(F.col("rank") <= k, F.col("prefix"))).alias("found"), F.min("rank").alias("first"))
+    one = hits.select(*lists, "query_id").distinct().join(asked, "query_id").join(met, [*lists, "query_id"], "left").na.fill(0, ["found", "first"])
+    return one.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.col("found") / F.col("wanted")), digits).alias("recall"), F.round(F.avg((F.col("found") > 0).cast("int")), digits).alias("hit_rate"),
+        F.round(F.avg(F.when(F.col("first") > 0, 1 / F.col("first")).otherwise(0.0)), digits).alias("mrr"), F.round(F.avg("first"), digits).alias("mean_first"),
+    )

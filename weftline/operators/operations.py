@@ -169,6 +169,36 @@ def quota_balance(log: DataFrame, by: list[str], action: str, limit: int, *order
     return rows.join(starts, "__block").groupBy("__block").applyInArrow(walk, schema)
 
 
+def feedback_page(rows: DataFrame, fields: list[str], titles: str, rating: str | None = None, keyword: str = "", page: int = 1, size: int = 20) -> DataFrame:
+    """(all columns, place, total, likes, dislikes): a page of the feedback ``rows`` (rating, created, id, and others) that have a rating and hold a keyword, newest first.
+
+    The keyword is looked for, in any case, in ``fields`` and the texts of the array ``titles``, joined by spaces. Totals
+    count all rows that fit, before the page is cut. Pages count from 1 and have 1 to 200 rows; only the first pages are
+    put in order. A page beyond the last is empty.
+    """
+    size, page = min(max(size, 1), 200), max(page, 1)
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields], F.col(titles)))
+    fit = rows.where(F.col("rating") == rating) if rating else rows
+    word = keyword.strip().lower()
+    fit = fit.where(F.contains(text, F.lit(word))) if word else fit
+    newest = [F.desc("created"), F.desc("id")]
+    shown = fit.orderBy(*newest).limit(page * size).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*newest))).where(F.col("place") > (page - 1) * size)
+    sums = fit.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rating") == "like").alias("likes"), F.count_if(F.col("rating") == "dislike").alias("dislikes"))
+    one = F.lit(1).alias("__one")
+    return shown.select("*", one).join(F.broadcast(sums.select("*", one)), "__one").drop("__one")
+
+
+def redacted_list(values: Column, most: int = 20, each: int = 120) -> Column:
+    """The first ``most`` texts of an array, each cut after ``each`` characters and marked."""
+    return F.transform(F.slice(values, 1, most), lambda v: F.when(F.length(v) > each, F.concat(F.substring(v, 1, each), F.lit("..."))).otherwise(v))
+
+
+def trace_id(value: Column) -> Column:
+    """A trace id without white space around it; null if it is empty, over 128 characters, or holds others than letters, digits and ``_.:-``."""
+    text = F.trim(value, F.lit(" \t\r\n"))
+    return F.when((F.length(text) <= 128) & text.rlike("^[a-zA-Z0-9_.:-]+$"), text)
+
+
 def redacted(payload: Column, most: int = 300) -> Column:
     """A map without keys that look secret; long values cut, addresses masked."""
     kept = F.map_filter(payload, lambda k, v: ~k.rlike("(?i)key|token|secret|password|cookie|authorization"))

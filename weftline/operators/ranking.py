@@ -189,3 +189,48 @@ def looked_up(sources: DataFrame, chunks: DataFrame, documents: DataFrame, most:
     found = named.join(chunks, ["doc_id", "chunk_index"]).select("doc_id", F.trim("chunk").alias("context"))
     rest = sources.select("doc_id").distinct().join(named.select("doc_id").distinct(), "doc_id", "left_anti").join(documents, "doc_id")
     return found.unionByName(rest.select("doc_id", F.trim(F.substring("text", 1, most)).alias("context"))).where("context <> ''").distinct()
+
+
+def candidate_rows(hits: DataFrame) -> DataFrame:
+    """Chunks (query_id, rank, id, doc_id, parent_id, parent_idx, chunk_index, title, category, text, score, and channel scores where they are known) as candidates, every missing field with its default.
+
+    An id is ``doc_id:chunk_index`` where none is given, a parent ``doc_id_para_parent_idx``; indexes are -1, texts
+    empty, scores 0, the hybrid score that of the row, channels an empty array.
+    """
+    has = lambda name, kind: F.col(name) if name in hits.columns else F.lit(None).cast(kind)
+    text = lambda name: F.coalesce(has(name, "string"), F.lit(""))
+    number = lambda name: F.coalesce(has(name, "double"), F.lit(0.0))
+    own = F.coalesce(F.nullif(has("id", "string").cast("string"), F.lit("")), F.concat_ws(":", F.col("doc_id").cast("string"), has("chunk_index", "int").cast("string")))
+    parent = F.coalesce(F.nullif(has("parent_id", "string"), F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit("_para_"), F.coalesce(has("parent_idx", "int"), F.lit(0)).cast("string")))
+    return hits.select(
+        "query_id", "rank", own.alias("id"), "doc_id", parent.alias("parent_id"), F.coalesce(has("parent_idx", "int"), F.lit(-1)).alias("parent_idx"), F.coalesce(has("chunk_index", "int"), F.lit(-1)).alias("chunk_index"),
+        *[text(c).alias(c) for c in ("title", "category", "text")], *[number(c).alias(c) for c in ("score", "vector_score", "sparse_score")],
+        F.when(number("hybrid_score") != 0, number("hybrid_score")).otherwise(number("score")).alias("hybrid_score"), number("keyword_score").alias("keyword_score"), number("rerank_score").alias("rerank_score"), text("rerank_model").alias("rerank_model"),
+        F.coalesce(has("channels", "array<string>"), F.array().cast("array<string>")).alias("channels"),
+    )
+
+
+def source_rows(candidates: DataFrame) -> DataFrame:
+    """``candidate_rows`` as sources: the document's id as id, and itself as parent where no other is known."""
+    return candidates.select("query_id", "rank", F.col("doc_id").alias("id"), "title", "category", "chunk_index", F.col("score").alias("matched_score"), "parent_id", "vector_score", "sparse_score", "hybrid_score", "keyword_score", "rerank_score", "channels")
+
+
+def parent_candidates(candidates: DataFrame, documents: DataFrame, children: bool = True) -> DataFrame:
+    """``candidate_rows`` as one candidate a parent, with its document's title and category (doc_id, title, category) before the best chunk's own, and its children by rank.
+
+    Chunk ids are distinct and ascending (those of -1 do not count; without any, the rows do), channels distinct; scores
+    and the text are those of the best chunk (the largest score, then the first rank). A parent's children are what one
+    list found, so they are bounded by its length. Ranks count parents by their first child.
+    """
+    best = F.max_by(F.struct("title", "category", "text", "score", "vector_score", "sparse_score", "hybrid_score", "keyword_score", F.col("rank").alias("best_child_rank")), F.struct("score", -F.col("rank")))
+    ids = F.array_sort(F.collect_set(F.when(F.col("chunk_index") >= 0, F.col("chunk_index"))))
+    kids = F.array_sort(F.collect_list(F.struct("rank", "id", "chunk_index", "score")))
+    groups = candidates.groupBy("query_id", "doc_id", "parent_id", "parent_idx").agg(best.alias("b"), ids.alias("chunk_ids"), F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("channels"), F.min("rank").alias("first_child_rank"), kids.alias("children"))
+    named = documents.select("doc_id", F.nullif("title", F.lit("")).alias("__title"), F.nullif("category", F.lit("")).alias("__category"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("first_child_rank"))
+    rows = groups.join(named, "doc_id", "left").select(
+        "query_id", place.cast("int").alias("rank"), F.col("parent_id").alias("id"), "doc_id", "parent_idx", F.coalesce("__title", "b.title").alias("title"), F.coalesce("__category", "b.category").alias("category"),
+        F.col("b.text").alias("parent_text"), F.when(F.size("chunk_ids") > 0, F.size("chunk_ids")).otherwise(F.col("n")).cast("long").alias("matched"), "chunk_ids", "first_child_rank", "b.best_child_rank",
+        F.col("b.score").alias("matched_score"), "b.vector_score", "b.sparse_score", "b.hybrid_score", "b.keyword_score", "channels", "children",
+    )
+    return rows if children else rows.drop("children")

@@ -63,6 +63,41 @@ def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6)
     return ranked(hits, k).withColumn("score", F.round("score", digits))
 
 
+def weight_grid(queries: DataFrame, corpus: DataFrame, weights: list[tuple[float, float]], k: int, least: float = 0.1, digits: int = 9) -> DataFrame:
+    """(dense, sparse, query_id, id, score, rank): for each pair of ``weights`` the ``k`` rows of ``corpus`` (id, vector) with the largest weighted sum of two cosines, of vectors and of what ``sparsified`` leaves of them.
+
+    Both cosines are worked out once for all pairs, in one scan of the rows; a query's own id is no candidate. Ties go
+    to the smaller id.
+    """
+    thin = lambda x: np.where(np.abs(x) >= least, x, 0.0)
+
+    def work(asked: pa.Table):
+        ids, whole = asked.column("query_id").to_numpy().astype(np.int64), _matrix(asked.column("vector").combine_chunks())
+        q, t = _unit(whole), _unit(thin(whole))
+        best = [Best(len(ids), k) for _ in weights]
+
+        def add(batch: pa.RecordBatch) -> None:
+            for at in range(0, batch.num_rows, PRODUCT_ROWS):
+                part = batch.slice(at, PRODUCT_ROWS)
+                found, rows = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(part.column(1))
+                dense, sparse = np.round(q @ _unit(rows).T, 12), np.round(t @ _unit(thin(rows)).T, 12)
+                own = ids[:, None] == found[None, :]
+                for (a, b), list_ in zip(weights, best):
+                    list_.add(np.where(own, -np.inf, np.round(a * dense + b * sparse, digits) + 0.0), found)
+
+        def told() -> pa.RecordBatch:
+            n = [len(b.held[0]) for b in best]
+            pick = lambda i: np.concatenate([b.held[i] for b in best])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(weights)), n)), pa.array(ids[pick(0)]), pa.array(pick(2)), pa.array(pick(1))], ["pair", "query_id", "id", "score"])
+
+        return add, told
+
+    hits = meet(queries.select("query_id", "vector"), corpus.select("id", "vector"), work, "pair long, query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("pair", "query_id").orderBy(F.desc("score"), "id"))
+    at = lambda i: F.element_at(F.array(*[F.lit(float(w[i])) for w in weights]), F.col("pair").cast("int") + 1)
+    return hits.withColumn("rank", place).where(F.col("rank") <= k).select(at(0).alias("dense"), at(1).alias("sparse"), "query_id", "id", "score", "rank")
+
+
 def ranked(hits: DataFrame, k: int | None = None, by: str = "score", out: str = "rank") -> DataFrame:
     """``hits`` with each query's positions from 1, best first, ties by id, cut after ``k``."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "id"))

@@ -13,9 +13,13 @@ from weftline.tables import load
 
 
 def judge_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores read from replies: fenced, bare, as text, and none."""
-    v, kind = F.col("value").cast("string"), F.col("event_id") % 4
-    reply = F.when(kind == 0, F.concat(F.lit('```json\n{"score": '), v, F.lit("}\n```"))).when(kind == 1, F.concat(F.lit('Score: {"score": '), v, F.lit(', "why": "x"}.'))).when(kind == 2, F.concat(F.lit('{"score": "'), v, F.lit('"}'))).otherwise(v)
+    """Scores read from replies: fenced, bare, as text, and none; cut short, below 0, in another field, in a list, of another kind, empty and missing."""
+    v, kind = F.col("value").cast("string"), F.col("event_id") % 11
+    broken = [F.concat(F.lit('{"score": '), v), F.concat(F.lit('{"score": -'), v, F.lit("}")), F.concat(F.lit('{"result": {"score": '), v, F.lit("}}")), F.concat(F.lit('[{"score": '), v, F.lit("}]")), F.lit('{"score": null}'), F.lit(""), F.lit(None).cast("string")]
+    other = F.lit(None).cast("string")
+    for i, shape in enumerate(broken):
+        other = F.when(kind == 4 + i, shape).otherwise(other)
+    reply = F.when(kind >= 4, other).when(kind == 0, F.concat(F.lit('```json\n{"score": '), v, F.lit("}\n```"))).when(kind == 1, F.concat(F.lit('Score: {"score": '), v, F.lit(', "why": "x"}.'))).when(kind == 2, F.concat(F.lit('{"score": "'), v, F.lit('"}'))).otherwise(v)
     return load(spark, d, "events").select("event_id", F.round(evaluation.judge_score(reply), 6).alias("score"))
 
 
@@ -122,7 +126,7 @@ _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'),
 _LEANS = f"turn > 0 AND (length(q) < 5 OR regexp_matches(q, '{rules.REFERRING}') OR regexp_matches(q, '{rules.ELLIPTIC}') OR (regexp_matches(q, '^.+呢$') AND length(q) < 8))"
 
 SQL = {
-    "judge_scores": "SELECT event_id, CASE WHEN event_id % 4 > 1 THEN 0 ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN value > 1 THEN value / 100 ELSE value END)), 6) END AS score FROM events",
+    "judge_scores": "SELECT event_id, CASE WHEN event_id % 11 > 1 THEN 0 ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN value > 1 THEN value / 100 ELSE value END)), 6) END AS score FROM events",
     "reranked": f"""WITH {catalogue_search._SCORED}, t AS (SELECT vec_id AS id, ['w' || label, 'x' || (vec_id % 3)] AS words, 'w' || label || ' x' || (vec_id % 3) AS text FROM embeddings),
  x AS (SELECT h.query_id, h.id, h.rank, count(*) OVER (PARTITION BY h.query_id) AS n, h.score AS own, len(list_filter(q.words, lambda w: contains(c.text, w))) / 2.0::DOUBLE AS share FROM dense h JOIN t c ON c.id = h.id JOIN t q ON q.id = h.query_id),
  y AS (SELECT *, CASE WHEN n = 1 THEN own ELSE 1 / (1 + exp(-(4 * share - 2))) END AS s FROM x WHERE rank <= 10)

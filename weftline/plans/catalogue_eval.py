@@ -212,8 +212,10 @@ def memory_stats(spark, d):
 
 
 def context_split(spark, d):
-    """A conversation as one context with rules between turns, and its parts again."""
-    joined = F.concat_ws("\n\n==========\n\n", F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]))
+    """Conversations as contexts, whose turns are divided by rules of several lengths, some too short to count, and their parts again; some parts are blank."""
+    rule = lambda x: F.concat(F.lit("\n\n"), F.repeat(F.lit("="), (8 + x["turn"] % 6).cast("int")), F.lit("\n\n"))
+    turn = lambda x: F.concat(F.when(x["turn"] % 5 == 2, F.lit(" \n ")).otherwise(x["text"]), rule(x))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), turn), "")
     rows = load(spark, d, "conversations").groupBy("conv_id").agg(joined.alias("context"))
     return rows.select("conv_id", F.posexplode(chunking.context_parts(F.col("context"))).alias("pos", "part")).select("conv_id", "pos", F.length("part").alias("chars"), F.md5("part").alias("digest"))
 
@@ -298,7 +300,9 @@ SQL = {
     "document_page": "SELECT * FROM (SELECT doc_id, source, CASE WHEN quality IS NULL THEN 'local_only' WHEN length(text) = 0 THEN 'failed' WHEN quality = 1 THEN 'ready' ELSE 'indexing' END AS status, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents LEFT JOIN labels USING (doc_id)) WHERE place > 20 AND place <= 40",
     "short_term_memory": "SELECT conv_id, turn, CASE WHEN n > 3 AND back > n - 2 THEN 'compressed' ELSE 'kept' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 5)",
     "memory_stats": "SELECT role, count(*) AS entries, count_if(length(trim(text)) > 0)::BIGINT AS embedded, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY 1",
-    "context_split": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, length(text) AS chars, md5(text) AS digest FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
+    "context_split": r"""WITH c AS (SELECT conv_id, string_agg(CASE WHEN turn % 5 = 2 THEN ' ' || chr(10) || ' ' ELSE text END || chr(10) || chr(10) || repeat('=', (8 + turn % 6)::INT) || chr(10) || chr(10), '' ORDER BY turn) AS context FROM conversations GROUP BY 1),
+ p AS (SELECT conv_id, list_filter(regexp_split_to_array(context, '\n\n={10,}\n\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS parts FROM c)
+ SELECT conv_id, unnest(range(0, len(parts)))::INT AS pos, length(unnest(parts)) AS chars, md5(unnest(parts)) AS digest FROM p""",
     "content_windows": "SELECT doc_id, w AS window, least(600, n - 600 * w) AS chars FROM (SELECT doc_id, length(text) AS n, unnest(range(0, least(5, ceil(length(text) / 600.0))::INT)) AS w FROM documents)",
 }
 

@@ -96,8 +96,9 @@ def quota_admission(spark, d):
 
 
 def rate_limit_minute(spark, d):
-    minute = F.floor(micros(F.col("ts")) / 60_000_000)
-    rows = operations.admitted(_events(spark, d).withColumn("minute", minute), ["minute"], 1, F.col("ts"), F.col("event_id"))
+    """Requests of a minute (of sixty hours here, so that some are refused) against a limit of three."""
+    minute = F.floor(micros(F.col("ts")) / 216_000_000_000)
+    rows = operations.admitted(_events(spark, d).withColumn("minute", minute), ["minute"], 3, F.col("ts"), F.col("event_id"))
     return rows.groupBy("minute").agg(F.sum("admitted").alias("admitted"), F.count(F.lit(1)).alias("requests"))
 
 
@@ -211,7 +212,7 @@ SQL = {
     "latency_recent": f"SELECT event_type, {_P} FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 1000 GROUP BY 1",
     "stage_summary": "SELECT (user_id % 7)::INT AS stage, count_if(event_type <> 'error')::BIGINT AS success, count_if(event_type = 'error')::BIGINT AS failure, round(sum(value), 4) AS total, floor(count_if(event_type <> 'error') * 100.0::DOUBLE / count(*) * 10 + 0.5) / 10 AS rate FROM events GROUP BY 1",
     "error_counts": "SELECT user_id, count_if(event_type = 'error')::BIGINT AS errors, count(*) AS events, round(count_if(event_type = 'error') / count(*), 4) AS rate FROM events GROUP BY 1",
-    "coverage_ratios": "SELECT count(*) AS queries, round(count_if(event_type = 'view') / count(*), 4) AS view_share, round(count_if(event_type = 'purchase') / count_if(event_type = 'click'), 4) AS purchase_per_click, 0.0::DOUBLE AS guarded FROM events",
+    "coverage_ratios": "SELECT count(*) AS queries, round(count_if(event_type = 'view') / count(*), 4) AS view_share, round(count_if(event_type = 'purchase') / count_if(event_type = 'click'), 4) AS purchase_per_click, CASE WHEN count_if(event_type = 'none') > 0 THEN round(count_if(event_type = 'missing') / count_if(event_type = 'none'), 4) ELSE 0 END::DOUBLE AS guarded FROM events",
     "error_rate_5m_sliding": "SELECT event_id, n AS in_window, f::BIGINT AS failed_in_window, round(f / n, 6) AS error_rate, (round(f / n, 6) >= 0.1)::INT AS alert FROM (SELECT event_id, count(*) OVER w AS n, sum((event_type = 'error')::INT) OVER w AS f FROM (SELECT *, epoch_us(ts) AS us FROM events) WINDOW w AS (ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW))",
     "daily_cost_tz": f"SELECT {_DAY} AS day, count(*) AS events, round(sum(value), 4) AS cost FROM events GROUP BY 1",
     "ops_snapshot": "SELECT 'all' AS part, count(*) AS n, round(sum(value), 4) AS value FROM events UNION ALL SELECT 'recent', count(*), round(sum(value), 4) FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)",
@@ -220,7 +221,7 @@ SQL = {
     "feedback_summary": f"SELECT user_id, count(*) AS total, count_if(r = 'like')::BIGINT AS likes, count_if(r = 'dislike')::BIGINT AS dislikes, floor(count_if(r = 'like') * 100.0::DOUBLE / count(*) * 10 + 0.5) / 10 AS satisfaction FROM (SELECT user_id, {_R} AS r FROM events) WHERE r IS NOT NULL GROUP BY 1",
     "feedback_page": "SELECT event_id, place, total FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place, count(*) OVER () AS total FROM events WHERE event_type IN ('purchase', 'signup')) WHERE place > 50 AND place <= 100",
     "quota_admission": f"SELECT event_id, user_id, day, request, (request <= 2)::INT AS admitted FROM (SELECT event_id, user_id, {_DAY} AS day, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) AS request FROM events)",
-    "rate_limit_minute": "SELECT epoch_us(ts) // 60000000 AS minute, 1::BIGINT AS admitted, count(*) AS requests FROM events GROUP BY 1",
+    "rate_limit_minute": "SELECT epoch_us(ts) // 216000000000 AS minute, least(count(*), 3)::BIGINT AS admitted, count(*) AS requests FROM events GROUP BY 1",
     "event_props_json": "SELECT json_extract_string(props, '$.k')::INT AS k, count(*) AS events, round(avg(value), 6) AS mean FROM events GROUP BY 1",
     "tool_latency": "SELECT event_type, count(*) AS n, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95 FROM events GROUP BY 1",
     "no_progress_runs": "WITH n AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT user_id, event_type, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n), l AS (SELECT user_id, event_type, run, count(*) AS length FROM r GROUP BY 1, 2, 3) SELECT user_id, event_type, count(*) AS runs, max(length) AS longest FROM l WHERE length > 1 GROUP BY 1, 2",

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from weftline.functions.rules import ADVICE, HARD_REFUSAL
-from weftline.operators import chunking, memory, operations, ranking, runs, search
+from weftline.functions.rules import ADVICE, DETAIL, HARD_REFUSAL, REFUSAL
+from weftline.operators import chunking, evaluation, memory, operations, ranking, runs, search
 from weftline.plans import catalogue_eval, catalogue_search, catalogue_text
 from weftline.streaming import events as streams
 from weftline.tables import load, micros
@@ -172,6 +172,92 @@ def parent_contexts(spark, d):
     return ranking.contexts(entries).select("query_id", F.length("context").alias("chars"), F.md5("context").alias("digest"), "sources")
 
 
+# --- grids, probes, tools, feedback, row forms
+
+_PAIRS_BY_CATEGORY = [(0.2, 0.8), (0.4, 0.6), (0.5, 0.5), (0.6, 0.4), (0.7, 0.3), (0.8, 0.2)]
+_PAIRS_BY_PREFIX = [(0.0, 1.0), (0.2, 0.8), (0.4, 0.6), (0.5, 0.5), (0.6, 0.4), (0.7, 0.3), (0.8, 0.2), (1.0, 0.0)]
+
+
+def _grid(spark, d, pairs):
+    queries, rows = catalogue_search._tables(spark, d)
+    labels = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    hits = search.weight_grid(queries, rows, pairs, 50).join(labels, "id")
+    return hits.select("dense", "sparse", "query_id", F.concat(F.lit("l"), F.col("label").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("id"), "rank"), labels
+
+
+def weight_grid_by_category(spark, d):
+    """Six pairs of weights, exact lists of fifty, measured by category of the query."""
+    hits, labels = _grid(spark, d, _PAIRS_BY_CATEGORY)
+    wanted = labels.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("l"), F.col("label").cast("string"), F.lit("-")).alias("prefix"), (F.col("label") % 3).alias("category"))
+    return evaluation.grid_metrics(hits, wanted, ["dense", "sparse", "category"])
+
+
+def weight_grid_prefixes(spark, d):
+    """Eight pairs of weights over questions of several sets, whose relevant ids may be cut short."""
+    hits, labels = _grid(spark, d, _PAIRS_BY_PREFIX)
+    asked = labels.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("l"), F.col("label").cast("string"), F.lit("-")).alias("own"), F.concat(F.lit("l"), ((F.col("label") + 1) % 10).cast("string")).alias("next"))
+    first = asked.select("query_id", F.col("own").alias("prefix"))
+    second = asked.where("query_id % 40 = 0").select("query_id", F.col("next").alias("prefix"))
+    third = asked.where("query_id % 60 = 0").select("query_id", F.lit("TODO").alias("prefix"))
+    return evaluation.grid_metrics(hits, first.unionByName(second).unionByName(third), ["dense", "sparse"])
+
+
+def badcase_probe(spark, d):
+    """Answers to every question as probes: refusals and missing sources planted, details without context told."""
+    rows = catalogue_eval._answered(spark, d)
+    answer = F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("资料不足。"), F.col("answer"))).otherwise(F.concat("answer", F.lit(" 42")))
+    sources = F.when(F.col("turn") % 3 == 0, 0).otherwise(F.col("turn") % 4)
+    context = F.when(F.col("conv_id") % 3 == 0, F.substring("question", 1, 20)).otherwise(F.col("question"))
+    expected = F.when(F.col("conv_id") % 2 == 1, "generation_refusal").otherwise("pass")
+    probes = rows.select(expected.alias("expected"), evaluation.probe_result(answer, sources).alias("actual"), evaluation.unsupported(answer, context).alias("unsupported"))
+    return evaluation.probe_summary(probes)
+
+
+def tool_accuracy(spark, d):
+    """Choices of tools, as events tell them, by user group: some without an expected tool, errors without a time."""
+    rows = load(spark, d, "events").select(
+        (F.col("user_id") % 5).alias("run"), F.when(F.col("event_id") % 3 == 0, "rag").otherwise("agent").alias("expected_route"), F.when(F.col("event_id") % 4 == 0, "rag").otherwise("agent").alias("route"),
+        F.when(F.col("event_id") % 5 > 0, F.when(F.col("event_id") % 2 == 0, "search").otherwise("calculate")).alias("expected_tool"), F.when(F.col("event_type") == "click", "search").when(F.col("event_type") == "view", "calculate").alias("tool"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("ms"),
+    )
+    return evaluation.tool_accuracy(rows, "run")
+
+
+def feedback_search(spark, d):
+    """The second page of ten of the likes that a word is found in, with the sums over all of them."""
+    rating = F.when(F.col("event_type").isin("purchase", "signup"), "like").when(F.col("event_type") == "error", "dislike")
+    texts = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("question"), "source")
+    rows = load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created"), "user_id", rating.alias("rating"), "event_type").where("rating IS NOT NULL").join(texts, "id", "left")
+    rows = rows.withColumn("titles", F.array(F.coalesce("source", F.lit("")), F.col("event_type")))
+    return operations.feedback_page(rows, ["user_id", "question"], "titles", "like", " SIGN", 2, 10).select("id", "place", "total", "likes", "dislikes")
+
+
+def compact_payloads(spark, d):
+    """What of a document may go to a log: no secrets, addresses masked, long texts and lists cut, trace ids checked."""
+    rows = load(spark, d, "documents")
+    payload = F.create_map(F.lit("text"), F.col("text"), F.lit("api_Key"), F.col("text"), F.lit("url"), F.concat(F.lit("see https://x.test/"), F.col("doc_id").cast("string"), F.lit(" now")))
+    words = operations.redacted_list(F.split(F.substring("text", 1, 5000), "\n"))
+    trace = operations.trace_id(F.concat(F.lit(" t-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "/x").otherwise("\n")))
+    kept = operations.redacted(payload)
+    return rows.select("doc_id", F.size(kept).alias("keys"), F.md5(kept["text"]).alias("text"), kept["url"].alias("url"), F.size(words).alias("lines"), F.md5(F.array_join(words, "|")).alias("words"), F.coalesce(trace, F.lit("-")).alias("trace"))
+
+
+def candidate_rows(spark, d):
+    """Hits as candidates: those without an id or a parent get one, missing fields their defaults."""
+    hits = catalogue_search._dense(spark, d).join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id", "left")
+    rows = hits.select("query_id", "rank", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("id"), F.expr("id div 6").alias("doc_id"), F.when(F.col("id") % 5 > 0, F.lit("")).otherwise("p").alias("parent_id"), F.expr("CAST(id div 3 % 2 AS INT)").alias("parent_idx"), (F.col("id") % 6).cast("int").alias("chunk_index"), F.col("lang").alias("category"), "score")
+    return ranking.candidate_rows(rows).select("query_id", "rank", "id", "doc_id", "parent_id", "parent_idx", "chunk_index", "title", "category", "score", "hybrid_score", "rerank_model")
+
+
+def parent_candidates(spark, d):
+    """The same hits as one candidate a parent, with their chunks."""
+    hits = catalogue_search._dense(spark, d)
+    rows = hits.select("query_id", "rank", F.col("id").cast("string").alias("id"), F.expr("id div 12").alias("doc_id"), F.expr("CAST(id div 3 % 4 AS INT)").alias("parent_idx"), (F.col("id") % 3 - 1).cast("int").alias("chunk_index"), "score", F.array(F.lit("dense"), F.when(F.col("id") % 2 == 0, "sparse").otherwise("dense")).alias("channels"))
+    docs = load(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("category"))
+    parents = ranking.parent_candidates(ranking.candidate_rows(rows), docs)
+    return parents.select("query_id", "rank", "id", "title", "category", "matched", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"), "first_child_rank", "best_child_rank", F.col("matched_score").alias("score"), F.array_join("channels", ",").alias("channels"), F.array_join(F.transform("children", lambda c: c["id"]), ",").alias("children"))
+
+
 _W = f"WITH {catalogue_search._SCORED}"
 _STORE = f"""{_W}, store AS (SELECT query_id, id AS parent_id, CASE WHEN id % 3 <> 0 THEN id % 2 = 0 END AS is_relevant, CASE WHEN id % 5 = 0 THEN 'seen ' || rank END AS note FROM dense WHERE rank <= 10),
  known AS (SELECT query_id, parent_id, is_relevant, coalesce(note, '') AS note FROM store WHERE is_relevant IS NOT NULL), cand AS (SELECT query_id, id AS parent_id, rank FROM sparse WHERE rank <= 10),
@@ -233,6 +319,20 @@ SQL = {
  f AS (SELECT *, 6000 - (upto - length(entry)) AS room, row_number() OVER (PARTITION BY query_id, upto > 6000 ORDER BY place) AS k FROM u), kept AS (SELECT query_id, place, CASE WHEN upto > 6000 THEN substring(entry, 1, room::INT) || chr(10) || '...(截断)' ELSE entry END AS entry FROM f WHERE upto <= 6000 OR (k = 1 AND room > 200))
  SELECT query_id, length(c) AS chars, md5(c) AS digest, sources FROM (SELECT query_id, string_agg(entry, chr(10) || chr(10) || repeat('=', 40) || chr(10) || chr(10) ORDER BY place) AS c, count(*) AS sources FROM kept GROUP BY 1)""",
 }
+_GRID = lambda pairs: f"{_W}, w(dense, sparse) AS (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in pairs)}), f AS (SELECT w.dense, w.sparse, query_id, id, label, qlabel, 'l' || label || '-' || id AS name, round(w.dense * s + w.sparse * t, 9) AS score FROM sims CROSS JOIN w), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dense, sparse, query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 50)"
+_GRID_SUMS = "count(*) AS queries, round(avg(found / wanted::DOUBLE), 6) AS recall, round(avg((found > 0)::INT), 6) AS hit_rate, round(avg(CASE WHEN first > 0 THEN 1.0::DOUBLE / first ELSE 0 END), 6) AS mrr, round(avg(first), 6) AS mean_first"
+_SLICED = "list_transform(list_slice(string_split(substring(text, 1, 5000), chr(10)), 1, 20), lambda x: CASE WHEN length(x) > 120 THEN substring(x, 1, 120) || '...' ELSE x END)"
+_MASKED = "regexp_replace(text, 'https?://\\S+', '[url]', 'g')"
+SQL |= {
+    "weight_grid_by_category": f"{_GRID(_PAIRS_BY_CATEGORY)}, o AS (SELECT dense, sparse, query_id, max(qlabel) % 3 AS category, 1 AS wanted, max((label = qlabel AND rank <= 5)::INT) AS found, coalesce(min(rank) FILTER (label = qlabel), 0) AS first FROM h GROUP BY 1, 2, 3) SELECT dense, sparse, category, {_GRID_SUMS} FROM o GROUP BY 1, 2, 3",
+    "weight_grid_prefixes": f"{_GRID(_PAIRS_BY_PREFIX)}, q AS (SELECT *, 'l' || qlabel || '-' AS own, CASE WHEN query_id % 40 = 0 THEN 'l' || ((qlabel + 1) % 10) END AS next FROM h), o AS (SELECT dense, sparse, query_id, 1 + max((next IS NOT NULL)::INT) AS wanted, max((starts_with(name, own) AND rank <= 5)::INT) + max((coalesce(starts_with(name, next), false) AND rank <= 5)::INT) AS found, coalesce(min(rank) FILTER (starts_with(name, own) OR coalesce(starts_with(name, next), false)), 0) AS first FROM q GROUP BY 1, 2, 3) SELECT dense, sparse, {_GRID_SUMS} FROM o GROUP BY 1, 2",
+    "badcase_probe": f"WITH {catalogue_eval._ANSWERED}, p AS (SELECT CASE WHEN conv_id % 2 = 1 THEN 'generation_refusal' ELSE 'pass' END AS expected, CASE WHEN conv_id % 4 = 1 THEN '资料不足。' || answer ELSE answer || ' 42' END AS answer, CASE WHEN turn % 3 = 0 THEN 0 ELSE turn % 4 END AS n, CASE WHEN conv_id % 3 = 0 THEN substring(question, 1, 20) ELSE question END AS context FROM a), r AS (SELECT expected, CASE WHEN n = 0 THEN 'no_retrieval' WHEN regexp_matches(answer, '{REFUSAL}') THEN 'generation_refusal' ELSE 'pass' END AS actual, length(context) < 50 AND regexp_matches(answer, '{DETAIL}') AND NOT regexp_matches(answer, '{REFUSAL}') AS unsupported FROM p) SELECT expected, count(*) AS n, count_if(expected = actual)::BIGINT AS match, floor(count_if(expected = actual) / count(*)::DOUBLE * 10000 + 0.5) / 10000 AS rate, count_if(unsupported)::BIGINT AS unsupported FROM r GROUP BY 1",
+    "tool_accuracy": "WITH r AS (SELECT user_id % 5 AS run, CASE WHEN event_id % 3 = 0 THEN 'rag' ELSE 'agent' END AS er, CASE WHEN event_id % 4 = 0 THEN 'rag' ELSE 'agent' END AS ro, CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 2 = 0 THEN 'search' ELSE 'calculate' END END AS et, CASE event_type WHEN 'click' THEN 'search' WHEN 'view' THEN 'calculate' END AS tool, CASE WHEN event_type <> 'error' THEN value END AS ms FROM events), g AS (SELECT run, count_if(et IS NOT NULL AND ms IS NOT NULL)::BIGINT AS judged, count_if(et IS NOT NULL AND er = ro AND et IS NOT DISTINCT FROM tool AND ms IS NOT NULL)::BIGINT AS correct, floor(avg(ms) + 0.5) AS mean_ms, list_sort(list(ms) FILTER (ms IS NOT NULL)) AS v FROM r GROUP BY 1) SELECT run, judged, correct, round(correct / judged::DOUBLE, 4) AS accuracy, mean_ms, v[floor(len(v) * 0.95::DOUBLE)::INT + 1] AS p95_ms FROM g",
+    "feedback_search": "WITH f AS (SELECT event_id AS id, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 'like' END AS rating, lower(concat_ws(' ', user_id::VARCHAR, coalesce(substring(text, 1, 200), ''), coalesce(source, ''), event_type)) AS t FROM events LEFT JOIN documents ON doc_id = event_id), m AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS place, count(*) OVER () AS total, count_if(rating = 'like') OVER () AS likes FROM f WHERE rating = 'like' AND contains(t, 'sign')) SELECT id, place, total, likes::BIGINT AS likes, 0::BIGINT + count_if(rating = 'dislike') OVER () AS dislikes FROM m WHERE place > 10 AND place <= 20",
+    "compact_payloads": f"SELECT doc_id, 2 AS keys, md5(CASE WHEN length({_MASKED}) > 300 THEN substring({_MASKED}, 1, 300) || '...' ELSE {_MASKED} END) AS text, 'see [url] now' AS url, len({_SLICED}) AS lines, md5(array_to_string({_SLICED}, '|')) AS words, CASE WHEN doc_id % 3 = 0 THEN '-' ELSE 't-' || doc_id END AS trace FROM documents",
+    "candidate_rows": f"{_W} SELECT query_id, rank, CASE WHEN id % 3 > 0 THEN id::VARCHAR ELSE (id // 6) || ':' || (id % 6) END AS id, id // 6 AS doc_id, CASE WHEN id % 5 > 0 THEN (id // 6) || '_para_' || (id // 3 % 2) ELSE 'p' END AS parent_id, (id // 3 % 2)::INT AS parent_idx, (id % 6)::INT AS chunk_index, '' AS title, coalesce(lang, '') AS category, score, score AS hybrid_score, '' AS rerank_model FROM dense LEFT JOIN documents ON doc_id = id",
+    "parent_candidates": f"{_W}, g AS (SELECT query_id, id // 12 AS doc_id, id // 3 % 4 AS parent_idx, count(*) AS n, list_sort(list_distinct(list(id % 3 - 1) FILTER (id % 3 > 0))) AS ids, min(rank) AS first_child_rank, max(score) AS score, first(rank ORDER BY score DESC, rank) AS best_child_rank, bool_or(id % 2 = 0) AS s, string_agg(id::VARCHAR, ',' ORDER BY rank) AS children FROM dense GROUP BY 1, 2, 3) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first_child_rank) AS rank, g.doc_id || '_para_' || parent_idx AS id, coalesce(source, '') AS title, CASE WHEN g.doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS category, CASE WHEN len(ids) > 0 THEN len(ids) ELSE n END AS matched, coalesce(array_to_string(ids, ','), '') AS chunk_ids, first_child_rank, best_child_rank, score, CASE WHEN s THEN 'dense,sparse' ELSE 'dense' END AS channels, children FROM g LEFT JOIN documents USING (doc_id)",
+}
 SQL["memory_accesses"] = SQL["memory_recall"].replace("SELECT * FROM (SELECT *, row_number()", ", r AS (SELECT *, row_number()").replace("FROM s) WHERE rank <= 5", "FROM s), h AS (SELECT user, id, count(*) AS n FROM r WHERE rank <= 5 AND score > 0.3 GROUP BY 1, 2) SELECT user, id, accesses + coalesce(n, 0) AS accesses FROM m LEFT JOIN h USING (user, id)")
 
 QUERIES = {name: globals()[name] for name in SQL}

@@ -73,7 +73,7 @@ def keyword_search_snippet(spark, d):
 
 def speech_text_digest(spark, d):
     spoken = text.speech_text(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.length(spoken).alias("chars"))
+    return _docs(spark, d).select("doc_id", F.length(spoken).alias("chars"), F.md5(spoken).alias("digest"))
 
 
 def category_infer(spark, d):
@@ -183,7 +183,7 @@ SQL = {
  f AS (SELECT *, len(list_filter(l, lambda x: contains(x, '|'))) AS pipes, len(list_filter(l, lambda x: regexp_full_match(replace(x, ' ', ''), '[+\-=|]{4,}'))) AS rules, len(list_filter(l, lambda x: regexp_matches(x, '序号|名称|数量|金额|价格|单价|日期|姓名|学号|电话|部门|项目|备注|合计|成绩|编号|型号|规格') AND len(list_filter(regexp_split_to_array(x, '\s{2,}'), lambda y: y <> '')) >= 2)) AS heads, list_filter(list_transform(l, lambda x: len(list_filter(regexp_split_to_array(x, '\s{2,}'), lambda y: y <> ''))), lambda n: n >= 2) AS many FROM l)
  SELECT source, count_if(len(l) >= 3 AND (pipes >= 3 OR (rules >= 2 AND len(many) >= 3) OR (len(many) >= 5 AND len(list_filter(list_distinct(many), lambda n: len(list_filter(many, lambda m: m = n)) >= 4)) > 0) OR (heads >= 2 AND len(many) >= 4)))::BIGINT AS tables, count(*) AS docs FROM f GROUP BY 1""",
     "keyword_search_snippet": "SELECT doc_id, place, concat(CASE WHEN place - 10 > 1 THEN '...' ELSE '' END, substring(text, greatest(1, place - 10), least(n, place + 24) - greatest(1, place - 10) + 1), CASE WHEN place + 24 < n THEN '...' ELSE '' END) AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'license') AS place, length(text) AS n FROM documents) WHERE place > 0",
-    "speech_text_digest": r"""SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' 代码内容已省略。 ', 'g'), '`([^`]+)`', '\1', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', '', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '(?m)^\s*\d+[.)、]\s+', '', 'g'), '[>*_~|]', '', 'g'), '\s+', ' ', 'g'))) AS chars FROM documents""",
+    "speech_text_digest": r"""SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' 代码内容已省略。 ', 'g'), '`([^`]+)`', '\1', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', '', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '(?m)^\s*\d+[.)、]\s+', '', 'g'), '[>*_~|]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents)""",
     "category_infer": "WITH h AS (SELECT lang, t, (contains(t, 'license')::INT + contains(t, 'licensed')::INT + contains(t, 'rights')::INT + contains(t, 'copyright')::INT) AS a, (contains(t, ' the ')::INT + contains(t, ' of ')::INT + contains(t, ' and ')::INT) AS b, (contains(t, ' der ')::INT + contains(t, ' die ')::INT + contains(t, ' und ')::INT) AS c, (contains(t, ' de ')::INT + contains(t, ' la ')::INT + contains(t, ' que ')::INT) AS d FROM (SELECT lang, lower(text) AS t FROM documents)) SELECT lang, CASE WHEN greatest(a, b, c, d) < 2 THEN 'none' WHEN a = greatest(a, b, c, d) THEN 'law' WHEN b = greatest(a, b, c, d) THEN 'english' WHEN c = greatest(a, b, c, d) THEN 'german' ELSE 'romance' END AS category, count(*) AS docs FROM h GROUP BY 1, 2",
     "document_filter": "SELECT source, lang, count(*) AS docs FROM documents WHERE (source = 'src3' OR starts_with(source, 'src1')) AND contains(lower(text), 'the') GROUP BY 1, 2",
     "html_text_extract": r"""SELECT page_id, length(b) AS chars, md5(b) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS b FROM pages)""",

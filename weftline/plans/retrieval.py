@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import rules
 from weftline.operators import evaluation, hybrid, ranking, search
+from weftline.tables import stored
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, child_k: int = 50, parent_k: int = 20, least: float = 0.1) -> DataFrame:
@@ -60,13 +61,14 @@ def iterated(queries: DataFrame, find: Callable[[DataFrame], DataFrame], rewrite
 
     ``find`` turns (query_id, query) into (query_id, doc_id); a question that has ``least`` sources in a round is done.
     ``rewrite`` gives the others their next wording, and leaves out those that have none. Only what is still open is
-    asked again, so a round costs what it has to.
+    asked again, and what a round found and left open is written down, so that no round is worked out again by a later one.
     """
     asked, out = queries.select("query_id", "query"), None
     for number in range(1, rounds + 1):
-        hits = find(asked).select("query_id", "doc_id").distinct()
+        hits = stored(find(asked).select("query_id", "doc_id").distinct())
         mine = hits.withColumn("round", F.lit(number))
         out = mine if out is None else out.unionByName(mine)
         enough = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        asked = rewrite(asked.join(enough, "query_id", "left_anti")).select("query_id", "query")
+        if number < rounds:
+            asked = stored(rewrite(asked.join(enough, "query_id", "left_anti")).select("query_id", "query"))
     return out.groupBy("query_id", "doc_id").agg(F.min("round").alias("round"))
