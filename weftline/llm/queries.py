@@ -27,6 +27,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE_KINDS], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op1_secret_scan`` SQL can tell: the spans that patterns alone find."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op2_ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_ivfpq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -94,7 +99,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}, tampered)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ann_ivfpq, op3_near_dup, op4_sharding, op5_pii_surrogates, op6_quality_gam, op7_unigram_count, op8_byte_bpe, op9_toxicity_zstd, op10_decontaminate, op11_filter_audit, op12_language_nb, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, secret_base_spans, op2_ann_ivfpq, op3_near_dup, op4_sharding, op5_pii_surrogates, op6_quality_gam, op7_unigram_count, op8_byte_bpe, op9_toxicity_zstd, op10_decontaminate, op11_filter_audit, op12_language_nb, op13_merkle_manifest)}
 
 _LETTERS = "ABCDE"
 _ORDERS = [("".join(o), i + 1, o[i], o[:i]) for o in permutations(_LETTERS) for i in range(len(_LETTERS))]
@@ -175,5 +180,28 @@ FROM numbered JOIN tops USING (name) JOIN {last} f USING (row) CROSS JOIN g{_SOU
 """
 
 
+def _secrets_sql() -> str:
+    """Places of matches from the texts between them: RE2 tells what matches, not where."""
+    kinds = [
+        ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, '{p}', 1)) >= 8"),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+        ("hex", "[0-9a-f]+", "length(m) >= 32"),
+    ]
+    parts = []
+    for place, (kind, pattern, rule) in enumerate(kinds):
+        rule = rule.replace("{p}", pattern)
+        parts.append(
+            f"SELECT doc_id, {place} AS place, '{kind}' AS kind, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(m) AS size, {rule} AS good "
+            f"FROM (SELECT doc_id, unnest(regexp_extract_all(body, '{pattern}')) AS m, unnest(list_slice(regexp_split_to_array(body, '{pattern}'), 1, len(regexp_extract_all(body, '{pattern}')))) AS gap, unnest(range(len(regexp_extract_all(body, '{pattern}')))) AS i FROM texts) WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
+        )
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, _, _ in kinds)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+found AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE good)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, place), '')) AS base_sha256
+FROM texts LEFT JOIN found USING (doc_id) GROUP BY doc_id
+"""
+
+
 #: The other operators cannot be written in SQL; tests/llm holds each against a brute-force version, a round trip or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op11_filter_audit": _AUDIT_SQL, "op13_merkle_manifest": _merkle_sql()}
+ORACLE_SQL: dict[str, str] = {"secret_base_spans": _secrets_sql(), "op11_filter_audit": _AUDIT_SQL, "op13_merkle_manifest": _merkle_sql()}

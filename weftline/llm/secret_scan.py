@@ -3,6 +3,8 @@
 A candidate run is decoded and reported only if what comes out has the build of a key or a signed token: DER whose
 nested lengths fill each other exactly and whose fields are those of a private key, the length-prefixed fields of an
 OpenSSH key, or a token whose first part is a JSON header with an algorithm. A run that only looks random is not.
+Runs are decoded whole, once for each way to count their characters, whatever their length; keys are looked for at
+every place in them where one may begin, and the length in a key's head tells where it ends.
 """
 
 from __future__ import annotations
@@ -29,20 +31,26 @@ _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}+={0,2}")
 #: Where in a run a key may begin: at its start or after a mark that paths and names are joined with.
 _KEY_START = re.compile(r"(?:^|(?<=[+/_-]))(?=M[C-I]|b3B)")
-#: What base64 of armour begins with.
-_ARMOUR = "LS0tLS1CRUdJTi"
-#: Hex in upper or mixed case that may be DER or OpenSSH; it is no base kind.
-_HEX_KEY = re.compile(r"(?:30|6[fF]70)[0-9A-Fa-f]{30,}")
-#: Where a key over several lines may begin, its pieces, and the line ends between them, escaped or not.
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[C-I]|b3)[A-Za-z0-9+/_-]{14,}+[ \t]*+(?=[\r\n\\])")
+#: What base64 of armour holds, by where its first byte falls in a group of three; what a run of lines of base64 looks like.
+_ARMOUR = [base64.b64encode(b"\0" * i + b"-----BEGIN ").decode()[-(-i * 4 // 3) : -4] for i in range(3)]
+_BLOCK = re.compile(r"[A-Za-z0-9+/_-]{40,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+#: Hex in any case, with or without colons; it is no base kind.
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}+")
+_COLONS = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:(?:[ \t]*+\r?\n)?[ \t]*+){15,}+[0-9A-Fa-f]{2}(?![0-9A-Fa-f])")
+#: Where in bytes a key may begin: a sequence that begins with a version, or with a sequence that names an algorithm, or the OpenSSH magic.
+_DER_START = re.compile(rb"(?=\x30(?:[\x00-\x7f]|\x81.|\x82..|\x83...)(?:\x02\x01[\x00-\x03]|\x30(?:[\x00-\x7f]|\x81.|\x82..)\x06)|openssh-key-v1\0)", re.S)
+#: Where a key over several lines may begin, its pieces, and the line ends between them: escaped or not, quoted or not.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[C-I]|b3)[A-Za-z0-9+/_-]{14,}+(?=[ \t]*+[\"']?[ \t]*+[+,]?[ \t]*+[\r\n\\])")
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 _PAD = re.compile("={0,2}")
-_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+_BREAK = re.compile(r"(?:(?:\\r)?\\n)?[\"']?[ \t]*+[+,]?[ \t]*+\r?\n[ \t>]*+[\"']?|[ \t]*+(?:\\r)?\\n[ \t]*+")
+#: What quotes a line of armoured text, at its beginning and end.
+_QUOTING = re.compile(r"^[ \t>\"'#*|]+|[\"']?[ \t]*[+,;]?[ \t]*$")
 #: A token may begin at each part of a dotted run.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(e[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*))")
+#: Fields of a private key at most.
+MOST_FIELDS = 64
 #: Object identifiers of PKCS#5 and PKCS#12 encryption, without their last numbers.
-#: Characters of base64 that a private key has at most (RSA of 16,384 bits has some 13,000).
-MOST_KEY = 1 << 16
 _ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
@@ -70,20 +78,21 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def _fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The values that fill ``at`` to ``end`` exactly."""
+    """The values that fill ``at`` to ``end`` exactly; None if they do not, or are more than a key has."""
     out = []
     while at < end:
-        if (field := _tlv(data, at, end)) is None:
+        if (field := _tlv(data, at, end)) is None or len(out) == MOST_FIELDS:
             return None
         out.append(field)
         at = field[2]
     return out
 
 
-def is_private_der(data: bytes) -> bool:
-    """Whether ``data`` is exactly one PKCS#1, PKCS#8 (plain or encrypted), DSA or SEC1 private key."""
-    outer = _tlv(data, 0, len(data))
-    if outer is None or outer[0] != 0x30 or outer[2] != len(data):
+def is_private_der(data: bytes, at: int = 0, end: int | None = None) -> bool:
+    """Whether ``data`` from ``at`` to ``end`` is exactly one PKCS#1, PKCS#8 (plain or encrypted), DSA or SEC1 private key."""
+    end = len(data) if end is None else end
+    outer = _tlv(data, at, end)
+    if outer is None or outer[0] != 0x30 or outer[2] != end:
         return False
     fields = _fields(data, *outer[1:])
     if fields and [t for t, _, _ in fields] == [0x30, 0x04]:
@@ -102,22 +111,20 @@ def is_private_der(data: bytes) -> bool:
     return len(tags) >= 2 and tags[1] == 0x04 and all(t & 0xE0 == 0xA0 for t in tags[2:])
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether ``data`` is an OpenSSH private key: magic, three strings, a count, and keys whose lengths fit."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+def is_openssh_key(data: bytes, at: int = 0, end: int | None = None) -> bool:
+    """Whether ``data`` from ``at`` to ``end`` is an OpenSSH private key: magic, three strings, a count, and keys whose lengths fit."""
+    magic, end = b"openssh-key-v1\0", len(data) if end is None else end
+    if not data.startswith(magic, at):
         return False
-    at, seen = len(magic), 0
-    while at < len(data):
-        if seen == 3:
-            if at + 4 > len(data) or not 1 <= int.from_bytes(data[at : at + 4], "big") <= 64:
-                return False
-            at, seen = at + 4, seen + 1
-            continue
-        if at + 4 > len(data):
+    at, seen = at + len(magic), 0
+    while at < end:
+        if at + 4 > end:
+            return False
+        size = int.from_bytes(data[at : at + 4], "big")
+        if seen == 3 and not 1 <= size <= 64:
             return False
-        at, seen = at + 4 + int.from_bytes(data[at : at + 4], "big"), seen + 1
-        if at > len(data):
+        at, seen = at + 4 + (size if seen != 3 else 0), seen + 1
+        if at > end:
             return False
     return seen >= 6
 
@@ -135,30 +142,44 @@ def is_signed_token(token: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def _of_key(data: bytes | None) -> str | None:
+def _of_key(data: bytes | None, at: int = 0, end: int | None = None) -> str | None:
     if not data:
         return None
-    return "der" if is_private_der(data) else "openssh" if is_openssh_key(data) else None
-
-
-def _openssh_size(data: bytes) -> int | None:
-    """Bytes of the OpenSSH key that ``data`` begins with, from its length fields; None if more is to be read, 0 if no key can follow."""
-    short = lambda at: 0 if at * 4 // 3 > MOST_KEY else None
-    at, left = 15, 3
-    while left:
-        if at + 4 > len(data):
-            return short(at)
-        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
-    if at + 4 > len(data):
-        return short(at)
-    if not 1 <= (n := int.from_bytes(data[at : at + 4], "big")) <= 64:
+    return "der" if is_private_der(data, at, end) else "openssh" if is_openssh_key(data, at, end) else None
+
+
+def _key_size(data: bytes, at: int) -> int:
+    """Bytes of the key that may begin at ``at``, as its head or length fields tell; 0 if none can."""
+    if data[at : at + 1] == b"\x30" and at + 6 < len(data):
+        n = data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0
+        if n > 4 or data[at + 2 + n] not in (0x02, 0x30):
+            return 0
+        return 2 + n + (int.from_bytes(data[at + 2 : at + 2 + n], "big") if n else data[at + 1])
+    if not data.startswith(b"openssh-key-v1\0", at):
         return 0
-    at += 4
-    for _ in range(n + 1):
-        if at + 4 > len(data):
-            return short(at)
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at
+    end, seen, most = at + 15, 0, 4
+    while seen < most:
+        if end + 4 > len(data):
+            return 0
+        size = int.from_bytes(data[end : end + 4], "big")
+        if seen == 3:
+            if not 1 <= size <= 64:
+                return 0
+            most, size = 4 + size + 1, 0
+        end, seen = end + 4 + size, seen + 1
+    return end - at
+
+
+def _within(data: bytes, starts) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys that begin at some of the given places of ``data``, without overlap; nothing is copied."""
+    last = 0
+    for at in starts:
+        if at < last:
+            continue
+        size = _key_size(data, at)
+        if size and at + size <= len(data) and (kind := _of_key(data, at, at + size)):
+            yield kind, at, at + size
+            last = at + size
 
 
 def _lines(text: str, at: int) -> Iterator[tuple[str, int]]:
@@ -170,37 +191,34 @@ def _lines(text: str, at: int) -> Iterator[tuple[str, int]]:
         at = end.end()
 
 
-def _wrapped_key(text: str, start: int) -> tuple[str, int] | None:
-    """Kind and end of the key over several lines that begins at ``start``; its length fields tell where it ends."""
-    head = _from_base64(text[start : start + 16]) or b""
-    if head.startswith(b"openssh-key"):
-        size, first, enough = None, "", 64
-        for piece, _ in _lines(text, start):
-            first += piece
-            if len(first) >= enough:
-                size, enough = _openssh_size(_from_base64(first[: len(first) // 4 * 4]) or b""), 4 * len(first)
-                if size is not None or len(first) >= 4096:
-                    break
-        else:
-            size = _openssh_size(_from_base64(first[: len(first) // 4 * 4]) or b"")
-    elif head[:1] == b"\x30" and len(head) > 6:
-        n = head[1] & 0x7F if head[1] & 0x80 else 0
-        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-    else:
-        return None
-    need = -(-size * 4 // 3) if size else 0
-    if not 0 < need <= MOST_KEY:
-        return None
-    parts, held = [], 0
-    for piece, end in _lines(text, start):
-        parts.append(piece)
-        held += len(piece)
-        if held < need:
+def _wrapped_keys(text: str) -> Iterator[tuple[int, str, int]]:
+    """Start, kind and end of keys over several lines; their length fields tell where they end, which must be where a line does.
+
+    Lines that follow each other are joined and decoded once for each way to count their characters by fours.
+    """
+    past = 0
+    for m in _WRAPPED.finditer(text):
+        if m.start() < past:
             continue
-        if held == need and len(parts) > 1 and (kind := _of_key(_from_base64("".join(parts)))):
-            return kind, _PAD.match(text, end).end()
-        return None
-    return None
+        pieces = [(end - len(piece), piece, end) for piece, end in _lines(text, m.start())]
+        past = pieces[-1][2]
+        whole, held = "".join(piece for _, piece, _ in pieces), 0
+        begins: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        starts: dict[int, list[int]] = {}
+        for i, (start, piece, end) in enumerate(pieces):
+            if len(piece) >= 16 and piece[0] in "Mb":
+                starts.setdefault(held % 4, []).append(held)
+                begins[held] = i
+            held += len(piece)
+            ends[held] = i
+        for shift, places in starts.items():
+            data = _from_base64(whole[shift : held - ((held - shift) % 4 == 1)]) or b""
+            for kind, begin, stop in _within(data, [(at - shift) // 4 * 3 for at in places]):
+                at = shift + begin // 3 * 4
+                last = ends.get(at - (-(stop - begin) * 4 // 3), -1)
+                if last > begins[at]:
+                    yield pieces[begins[at]][0], kind, _PAD.match(text, pieces[last][2]).end()
 
 
 def _armoured(text: str) -> list[tuple[int, int]]:
@@ -215,41 +233,58 @@ def _armoured(text: str) -> list[tuple[int, int]]:
         if end > len(text) or text.find("-----BEGIN", m.end(), end) >= 0:
             continue
         body = text[m.end() : end]
-        lines = re.split(r"[\r\n]+|(?:\\[nr])+", body)
+        lines = [_QUOTING.sub("", x) for x in re.split(r"[\r\n]+|(?:\\[nr])+", body)]
         # Old encrypted keys name their cipher in header lines; what follows is no plain structure.
         locked = any(x.startswith("Proc-Type:") and x.endswith("ENCRYPTED") for x in lines) and any(x.startswith("DEK-Info:") for x in lines)
         if locked:
             good = len(_from_base64("".join(x.strip() for x in lines if ":" not in x)) or b"") >= 32
         else:
-            good = _of_key(_from_base64(re.sub(r"\s+|\\[nr]", "", body))) is not None
+            good = _of_key(_from_base64(re.sub(r"\s+", "", "".join(lines)))) is not None
         if good:
             out.append((m.start(), end + len(mark)))
     return out
 
 
 def _embedded(run: str) -> list[tuple[str, int, int]]:
-    """Keys inside a run of base64: (kind, start, end). The length in a key's head tells where it ends."""
-    out, last = [], 0
-    for m in _KEY_START.finditer(run.rstrip("=")):
-        at = m.start()
-        if at < last:
+    """Keys inside a run of base64: (kind, start, end). The length in a key's head tells where it ends; the run is decoded once for each way to count its characters by fours."""
+    body = run.rstrip("=")
+    starts: dict[int, list[int]] = {}
+    for m in _KEY_START.finditer(body):
+        starts.setdefault(m.start() % 4, []).append(m.start())
+    out = []
+    for shift, places in starts.items():
+        data = _from_base64(body[shift : len(body) - ((len(body) - shift) % 4 == 1)]) or b""
+        for kind, begin, stop in _within(data, [(at - shift) // 4 * 3 for at in places]):
+            start, end = shift + begin // 3 * 4, shift + begin // 3 * 4 - (-(stop - begin) * 4 // 3)
+            out.append((kind, start, len(run) if end == len(body) else end))
+    return out
+
+
+def _hex_keys(digits: str) -> Iterator[tuple[str, int, int]]:
+    """Keys inside a run of hex digits: (kind, start, end), whichever digit their first byte begins at."""
+    for shift in (0, 1):
+        data = bytes.fromhex(digits[shift : len(digits) - (len(digits) - shift) % 2])
+        for kind, begin, stop in _within(data, (m.start() for m in _DER_START.finditer(data))):
+            yield kind, shift + 2 * begin, shift + 2 * stop
+
+
+def _coded_armour(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of base64, on one line or several, that hold armour around a private key once they are decoded, wherever it begins in them."""
+    for m in _BLOCK.finditer(text):
+        pieces = [(p.start(), p.end()) for p in _PIECE.finditer(m[0])]
+        whole = "".join(m[0][a:b] for a, b in pieces)
+        if not any(x in whole for x in _ARMOUR):
             continue
-        head = _from_base64(run[at : at + 16]) or b""
-        if head[:1] == b"\x30" and len(head) > 6:
-            n = head[1] & 0x7F if head[1] & 0x80 else 0
-            if n > 4 or head[2 + n] not in (0x02, 0x30):
-                continue
-            size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-            end = at + -(-size * 4 // 3)
-        elif head.startswith(b"openssh-key"):
-            end = len(run.rstrip("="))
-        else:
+        # Words that follow on the last line may have joined in; what they decode to stands after the armour.
+        found = _armoured((_from_base64(whole[: len(whole) - (len(whole) % 4 == 1)]) or b"").decode("latin-1"))
+        if not found:
             continue
-        if end <= len(run) and end - at <= MOST_KEY and (kind := _of_key(_from_base64(run[at:end]))):
-            end += len(run) - len(run.rstrip("=")) if end == len(run.rstrip("=")) else 0
-            out.append((kind, at, end))
-            last = end
-    return out
+        need, end, held = -(-found[-1][1] * 4 // 3), 0, 0
+        for a, b in pieces:
+            held, end = held + b - a, b
+            if held >= need:
+                break
+        yield m.start(), _PAD.match(text, m.start() + end).end()
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
@@ -257,24 +292,18 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    for m in _HEX.finditer(text):
-        out.append((m.start(), 2, m.end()))
-        if (m.end() - m.start()) % 2 == 0 and (kind := _of_key(bytes.fromhex(m[0]))):
-            out.append((m.start(), KINDS.index(kind), m.end()))
-    for m in _HEX_KEY.finditer(text):
-        if not m[0].islower() and not m[0].isdigit() and len(m[0]) % 2 == 0 and (kind := _of_key(bytes.fromhex(m[0]))):
-            out.append((m.start(), KINDS.index(kind), m.end()))
+    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    for m in _HEX_RUN.finditer(text):
+        out += [(m.start() + a, KINDS.index(kind), m.start() + b) for kind, a, b in _hex_keys(m[0])]
+    for m in _COLONS.finditer(text):
+        if found := next(_hex_keys(re.sub("[^0-9A-Fa-f]", "", m[0])), None):
+            out.append((m.start(), KINDS.index(found[0]), m.end()))
     if "-----BEGIN" in text:
         out += [(start, 3, end) for start, end in _armoured(text)]
+    out += [(start, 3, end) for start, end in _coded_armour(text)]
     for m in _RUN.finditer(text):
-        if m[0].startswith(_ARMOUR) and len(m[0]) <= MOST_KEY:
-            inner = (_from_base64(m[0]) or b"").decode("latin-1")
-            if _armoured(inner):
-                out.append((m.start(), 3, m.end()))
         out += [(m.start() + start, KINDS.index(kind), m.start() + end) for kind, start, end in _embedded(m[0])]
-    for m in _WRAPPED.finditer(text):
-        if key := _wrapped_key(text, m.start()):
-            out.append((m.start(), KINDS.index(key[0]), key[1]))
+    out += [(start, KINDS.index(kind), end) for start, kind, end in _wrapped_keys(text)]
     if "ey" in text or "ew" in text:
         out += [(m.start(), 6, m.end(1)) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
     return sorted(set(out))
