@@ -361,7 +361,7 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """The rows of ``df`` that stay: of each class (as in ``classes``) the one with the least id, of equal ids that with the least hash of its text.
 
     A row with an id goes before rows without; a class without ids keeps one row. Of repeated rows (equal id and text)
-    one stays. All columns stay as they are.
+    the one of the least hash of all columns stays. All columns stay as they are.
     """
     rows, nodes, final = _grouped(df, doc_id, text)
     linked = final.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("least")).select("least")
@@ -373,5 +373,7 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     same = F.col(f"`{doc_id}`").cast(LongType()).eqNullSafe(F.col("__kept_id")) & (F.col("__th") == F.col("__kept_th"))
     out = told.join(materialise(kept), same, "left_semi")
     if not twice.isEmpty():
-        out = out.dropDuplicates([doc_id, "__th"])
+        # Rows equal in id and text may differ elsewhere: the same one stays whichever task is run again.
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        out = out.groupBy(F.col(f"`{doc_id}`").alias("__id"), "__th").agg(F.min_by(whole, F.xxhash64(whole)).alias("__row")).select("__row.*")
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
