@@ -35,6 +35,38 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
+class Characters:
+    """The printable characters of every token, one for each byte, and the byte of each character: the byte table both ways."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        to_char = dict(enumerate(_alphabet()))
+        self.of = {r: t.decode("latin-1").translate(to_char) for t, r in ranks.items()}
+        self.byte_of = np.zeros(0x200, np.uint8)
+        self.byte_of[[ord(c) for c in _alphabet()]] = np.arange(256)
+        most = max(self.of, default=-1) + 1
+        self.size, self.first = np.zeros(most, np.int64), np.zeros(most, np.int64)
+        order = sorted(self.of)
+        self.size[order] = [len(self.of[r]) for r in order]
+        self.first[order] = np.cumsum(self.size[order]) - self.size[order]
+        self.flat = np.frombuffer("".join(self.of[r] for r in order).encode("utf-16-le"), "<u2")
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one after the other: their characters joined, and the byte table read backwards."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[ids] - (ends - n), n)
+        return self.byte_of[self.flat[at]]
+
+    def joined(self, ids: list | None) -> bytes | None:
+        """The bytes of a list of ids; None if there is none, or one of them is null or no token's."""
+        if ids is None or None in ids:
+            return None
+        at = np.array(ids, np.int64)
+        if len(at) and (at.min() < 0 or at.max() >= len(self.size) or not self.size[at].all()):
+            return None
+        return self.bytes_of(at).tobytes()
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -43,15 +75,13 @@ class Codec:
         from tokenizers import Tokenizer, models
 
         self.find = regex.compile(pattern).findall
-        self.to_char = {b: c for b, c in enumerate(_alphabet())}
+        self.to_char, self.characters = dict(enumerate(_alphabet())), Characters(ranks)
         chars = lambda token: token.decode("latin-1").translate(self.to_char)
         merges = []
         for token in sorted(ranks, key=ranks.__getitem__):
             cuts = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += [(chars(a), chars(b)) for a, b in sorted(cuts, key=lambda cut: (ranks[cut[0]], ranks[cut[1]]))]
         self.library = Tokenizer(models.BPE(vocab={chars(t): r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
-        self.chars_of = {r: chars(t) for t, r in ranks.items()}
-
     def encode(self, texts: list[str], known: dict[str, bytes]) -> list[np.ndarray]:
         """The ids (32-bit) of each text. ``known`` has the ids of matches seen before and gets the new ones, up to its bounds."""
         split = [self.find(t) for t in texts]
@@ -69,15 +99,23 @@ class Codec:
                 del known[piece]
         return out
 
-    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-plus-one character of each token; a token that holds part of a character covers the whole of it."""
-        ends = np.cumsum([len(self.chars_of[i]) for i in ids.tolist()], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
-        if not len(ids):
-            return starts[:0], ends[:0]
-        return char_of[starts], char_of[ends - 1] + 1
+    def decoded(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts' ids, one after the other, and where each text's begin and end."""
+        whole = np.concatenate([np.zeros(0, np.int64), *ids])
+        ends = np.concatenate([[0], np.cumsum(self.characters.size[whole])])
+        return self.characters.bytes_of(whole), ends[np.cumsum([0, *map(len, ids)])]
+
+    def offsets(self, ids: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each text the first and the last-plus-one character of its tokens; a token that holds part of a character covers the whole of it."""
+        raw, bounds = self.decoded(ids)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        size = self.characters.size[np.concatenate([np.zeros(0, np.int64), *ids])]
+        ends = np.cumsum(size)
+        many = np.array(list(map(len, ids)), np.int64)
+        # Characters are counted through all texts; those before a text are taken off.
+        before = np.repeat(np.concatenate([char, [0]])[np.minimum(bounds[:-1], len(char))], many)
+        cuts = np.cumsum(many)[:-1]
+        return np.split(char[ends - size] - before, cuts), np.split(char[ends - 1] + 1 - before, cuts)
 
 
 @lru_cache(maxsize=1)
@@ -95,21 +133,6 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
 
 
-def _reversed() -> np.ndarray:
-    """The byte of each printable character, by code point: the byte table the other way round."""
-    out = np.zeros(0x200, np.uint8)
-    out[[ord(c) for c in _alphabet()]] = np.arange(256)
-    return out
-
-
-def _joined(ids: list | None, chars_of: dict[int, str], byte_of: np.ndarray) -> bytes | None:
-    """The bytes of ids, from the printable characters of their tokens; None if there are none to tell, or one has no token."""
-    parts = None if ids is None else list(map(chars_of.get, ids))
-    if parts is None or None in parts:
-        return None
-    return byte_of[np.frombuffer("".join(parts).encode("utf-16-le"), "<u2")].tobytes()
-
-
 def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``ids`` (array of int) and, if asked for, ``starts`` and ``ends`` (characters of each token) and ``decoded`` (binary).
 
@@ -121,15 +144,18 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: boo
     file = _file(df.sparkSession, ranks_path)
 
     def make():
-        codec, byte_of = _codec(file.value, pattern), _reversed()
+        codec = _codec(file.value, pattern)
         known: dict[str, bytes] = {}
 
         def work(values: list) -> list:
             texts = [t or "" for t in values]
             ids = codec.encode(texts, known)
-            spans = [codec.offsets(t, i) for t, i in zip(texts, ids)] if offsets else []
-            back = [[_joined(i.tolist(), codec.chars_of, byte_of) for i in ids]] if decoded else []
-            return [_lists(ids), *([_lists([s for s, _ in spans]), _lists([e for _, e in spans])] if offsets else []), *back]
+            spans = list(map(_lists, codec.offsets(ids))) if offsets else []
+            back = []
+            if decoded:
+                raw, bounds = codec.decoded(ids)
+                back = [[raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]]
+            return [_lists(ids), *spans, *back]
 
         return work
 
@@ -148,8 +174,7 @@ def decode(df: DataFrame, ids: str, ranks_path: str, keep: list[str] | None = No
     file = _file(df.sparkSession, ranks_path)
 
     def make():
-        to_char, byte_of = dict(enumerate(_alphabet())), _reversed()
-        chars_of = {r: t.decode("latin-1").translate(to_char) for t, r in read_ranks(file.value).items()}
-        return lambda values: [[_joined(x, chars_of, byte_of) for x in values]]
+        characters = Characters(read_ranks(file.value))
+        return lambda values: [list(map(characters.joined, values))]
 
     return map_texts(df, ids, make, "decoded binary", keep, 256)
