@@ -636,8 +636,8 @@ def test_unigram_forgets_long_words(spark):
 
 def test_decoding_reads_the_byte_table_backwards(spark):
     """Every byte has one printable character; characters that several tokens share are whole once these are joined."""
-    table_, back = byte_bpe._alphabet(), byte_bpe._reversed()
-    assert len(set(table_)) == 256 and [int(back[ord(c)]) for c in table_] == list(range(256))
+    chars = byte_bpe.Characters(byte_bpe.read_ranks(open(public_tokenizers.path(queries.RANKS), "rb").read()))
+    assert len(set(byte_bpe._alphabet())) == 256 and [int(chars.byte_of[ord(c)]) for c in byte_bpe._alphabet()] == list(range(256))
     texts = ["naïve \U0001f9ec\U0001f9ec 漢字", "", None, "\x00\x7f\x85"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     out = byte_bpe.encode(df, "text", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, offsets=True)
@@ -645,8 +645,9 @@ def test_decoding_reads_the_byte_table_backwards(spark):
     assert [bytes(r["decoded"]).decode() for r in rows] == [t or "" for t in texts]
     split = [sum(a < b for a, b in zip(r["starts"][1:], r["ends"])) for r in rows]
     assert split[0] > 0 and split[1] == split[2] == 0
-    ids = rows[0]["ids"]
-    assert len(byte_bpe._joined(ids[:-1], {r: t.decode("latin-1").translate(dict(enumerate(table_))) for t, r in byte_bpe.read_ranks(open(public_tokenizers.path(queries.RANKS), "rb").read()).items()}, back)) < len(texts[0].encode())
+    assert "".join(chars.of[i] for i in rows[0]["ids"]).startswith("na\u00c3\u00afve")
+    assert len(chars.joined(rows[0]["ids"][:-1])) < len(texts[0].encode())
+    assert chars.joined([]) == b"" and chars.joined(None) is chars.joined([None]) is chars.joined([-1]) is chars.joined([10**9]) is None
 
 
 # --- surrogates: persons without a title, long texts, used-up formats, a whole table
@@ -719,3 +720,91 @@ def test_surrogates_of_a_table(spark):
     assert mails and all(len(x) == 1 for x in of.values())
     drawn = [(family, *x) for (family, _), x in of.items()]
     assert len(set(drawn)) == len(drawn) and not set(drawn) & real
+
+
+# --- secrets: every form of one key
+
+
+def test_secret_forms():
+    def der(tag, *parts):
+        body = b"".join(parts)
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")) + body
+
+    key = der(0x30, der(2, b"\0"), *[der(2, bytes(range(1, 129)))] * 8)
+    code = lambda data: base64.b64encode(data).decode()
+    lines = lambda x, n=64: re.findall(".{1,%d}" % n, x)
+    pem = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines(code(key)), "-----END RSA PRIVATE KEY-----", ""])
+    chain = "\n".join(["-----BEGIN CERTIFICATE-----", *lines(code(bytes(range(256)) * 280)), "-----END CERTIFICATE-----", pem])
+    block = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + block(b"none") + block(b"none") + block(b"") + (1).to_bytes(4, "big") + block(b"p" * 51) + block(b"s" * 136)
+    forms = {
+        "pem": [code(chain.encode()), "\n".join(lines(code(pem.encode()), 76)), *(code((pad + "key: |\n  " + pem.replace("\n", "\n  ")).encode()) for pad in ("a: 1\n", "ab: 1\n", "abc: 1\n")), "".join(f"> {x}\n" for x in pem.splitlines()).rstrip()[2:]],
+        "der": ["\n".join(f'"{x}"' for x in lines(code(key)))[1:-1], ":".join(f"{b:02x}" for b in key), ":\n    ".join(":".join(f"{b:02X}" for b in key[i : i + 15]) for i in range(0, len(key), 15)), key.hex().upper()],
+        "openssh": [code(ssh).rstrip("=")],
+    }
+    assert len(forms["pem"][0]) > 1 << 16
+    for kind, texts in forms.items():
+        for t in texts:
+            assert (kind, t) in spans(f"see\n {t} \nnext line"), (kind, t[:80])
+    assert ("der", key.hex()) in spans(f"x {'ab12' * 9}{key.hex()}{'cd' * 20}") and ("der", key.hex()) in spans("a" + key.hex() + "b" * 30)
+    assert ("openssh", code(ssh).rstrip("=")) in spans(code(ssh).rstrip("=") + "/tail")
+    rnd = random.Random(1)
+    for t in (code(rnd.randbytes(5000)), chain[:5000], rnd.randbytes(3000).hex(), ":".join(f"{b:02x}" for b in rnd.randbytes(900)), "\n".join(lines(code(rnd.randbytes(3000)), 76))):
+        assert not [k for k, _ in spans(t) if k not in secret_scan.BASE_KINDS]
+
+
+def test_secrets_take_time_in_proportion():
+    """What looks like the beginning of a key all over a megabyte is read a bounded number of times."""
+    for piece in ("MIIEowIBAA/", "3082ffff020100", "30820101", "MIIEowIBAAKCAQEA\n", "30:82:", "LS0tLS1CRUdJTi", "A" * 76 + "\n"):
+        began = time.process_time()
+        secret_scan.find_spans(piece * ((1 << 20) // len(piece)))
+        assert time.process_time() - began < 12
+
+
+def test_repeated_rows_leave_the_same_one(spark):
+    """Of rows equal in id and text but not in other columns the same one stays, however they are dealt out."""
+    rows = [(5, "twice the same text here today", lang, f"s{i}", i) for i, lang in enumerate(["en", "de", None, "fr"] * 3)] + [(6, "another text of some words entirely", "en", "s", 1)]
+    kept = {tuple(near_dup.representatives(spark.createDataFrame(random.Random(k).sample(rows, len(rows)), DOCS).repartition(k + 1)).where("doc_id = 5").first()) for k in range(3)}
+    assert len(kept) == 1
+
+
+def test_shards_of_rows_with_clashing_columns(spark):
+    df = odd(spark).withColumn("shard", F.lit("x")).withColumn("slot", F.lit("x")).withColumn("size", F.lit("x"))
+    out = sharding.assign(df, 3).collect()
+    assert len(out) == 7 and sorted(r["size"] for r in out if r["doc_id"] in (1, 2)) == [8, 8]
+
+
+# --- neighbours in clusters of skewed sizes, and the exact way
+
+
+def _neighbours(out):
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_ann_in_tight_clusters_of_skewed_sizes(spark):
+    """Clusters of very different sizes and little spread: hundreds of candidates that codes can hardly tell apart."""
+    rng = np.random.default_rng(12)
+    sizes = [3000, 900, 300, 100, *[20] * 60, *[3] * 100]
+    centres = rng.normal(size=(len(sizes), 24))
+    x = np.concatenate([c + 0.02 * rng.normal(size=(n, 24)) for c, n in zip(centres, sizes)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    asked = range(0, len(x), 20)
+    near = lambda a: [j for j in np.lexsort((np.arange(len(x)), -(x.astype(float) @ x[a].astype(float)))) if j != a][:20]
+    want = {a: near(a) for a in asked}
+    for exact, least, mean in ((False, 0.8, 0.97), (True, 1.0, 1.0)):
+        got = _neighbours(ann_ivfpq.search(df, F.col("vec_id") % 20 == 0, exact=exact))
+        recall = [len(set(got[a]) & set(want[a])) / 20 for a in asked]
+        assert min(recall) >= least and sum(recall) / len(recall) >= mean, (exact, min(recall), sum(recall) / len(recall))
+
+
+def test_ann_exact_on_a_table(spark):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in table(spark, SMALL, "embeddings").collect()}
+    ids, x = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)])
+    got = _neighbours(ann_ivfpq.search(table(spark, SMALL, "embeddings"), F.col("vec_id") % 20 == 0, exact=True))
+    for a in ids[ids % 20 == 0]:
+        order = [int(j) for j in ids[np.lexsort((ids, -np.round(x @ rows[a], 12)))] if j != a][:20]
+        assert got[a] == order

@@ -2,9 +2,11 @@
 
 Centroids and codebooks are fitted on a bounded sample (``FIT_ROWS`` vectors); every vector is indexed. A vector's
 residual is scaled by the spread of its cell before it is quantised, so a cell of near-copies keeps its order as well
-as a wide one; the residual's part along the centroid, which large inner products hang on, is kept exactly. A query probes the cells with the largest inner products; in each it scores codes from a table of the
-inner products of its parts with the codebooks (asymmetric: the query itself is not quantised), and the best
-candidates over all cells are scored again on the original vectors.
+as a wide one; the residual's part along the centroid, which large inner products hang on, is kept exactly. A query
+probes the cells with the largest inner products; in each it scores codes from a table of the inner products of its
+parts with the codebooks (asymmetric: the query itself is not quantised). An entry's code is off by a known length, so
+each score has a bound, and whatever may be among the best of its block is scored again on the original vectors: no
+number of candidates is fixed, and none is lost in a cell that is probed.
 
 Equal vectors are one entry with their least ids. Cells are split into blocks of bounded size for rows and for
 queries, so no task gets a whole hot cell. How many cells are probed follows from the sample: as many as hold
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from weftline.llm.common import bounded_sample, materialise
+from weftline.operators.blocks import Best
 
 #: Vectors in the fit, queries that measure how many cells to probe, and the share of neighbours these must hold.
 FIT_ROWS, TRIALS, TARGET = 16_384, 512, 0.995
@@ -30,8 +33,6 @@ FIT_ROWS, TRIALS, TARGET = 16_384, 512, 0.995
 OUTLOOK = 3.0
 #: Parts of a vector and codes of a part.
 PARTS, CODES = 16, 256
-#: Candidates kept from one block of a query's nearest cells (``NEAR_CELLS``) and of its other ones, and kept for exact scores.
-NEAR_CELLS, NEAR_KEPT, KEPT, RERANK = 8, 64, 24, 512
 #: Rows and queries in one block of a cell.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
@@ -70,12 +71,16 @@ class Index:
     books: np.ndarray
     probes: int
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cell of each vector, the inner product of its residual with the centroid, and the residual's codes."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cell of each vector, the inner product of its residual with the centroid, the residual's codes, how far these are off, and the residual's length."""
         cell = nearest(x, self.centroids)
-        along = np.einsum("ij,ij->i", x - self.centroids[cell], self.centroids[cell])
-        rest = (self._padded(x - self.centroids[cell]) / self.spread[cell, None]).reshape(len(x), len(self.books), -1)
-        return cell, along, np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, len(self.books)), np.uint8)
+        rest = x - self.centroids[cell]
+        along = np.einsum("ij,ij->i", rest, self.centroids[cell])
+        scaled = (self._padded(rest) / self.spread[cell, None]).reshape(len(x), len(self.books), -1)
+        codes = np.stack([nearest(scaled[:, p], book) for p, book in enumerate(self.books)], axis=1) if len(x) else np.zeros((0, len(self.books)), np.int64)
+        coded = np.stack([book[codes[:, p]] for p, book in enumerate(self.books)], axis=1)
+        off = np.linalg.norm((scaled - coded).reshape(len(x), -1), axis=1) * self.spread[cell]
+        return cell, along, codes.astype(np.uint8), off, np.linalg.norm(rest, axis=1)
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         width = self.books.shape[0] * self.books.shape[2]
@@ -123,9 +128,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
+def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows nearest by inner product to each row where ``is_query`` holds.
 
+    A query probes the cells that are likely to hold its nearest. In a cell no candidate is lost: the tables tell each
+    score up to a known error, and whatever may reach the best ``k`` of a block is scored exactly there. With ``exact``
+    the cells that were not probed are too, as far as the largest distance from their centroid does not rule them out,
+    so that the result is that of all rows (and, where no cell can be ruled out, costs as much).
+
     A query's own row is no candidate; other rows with an equal vector are. Ties go to the smaller id; with fewer
     candidates than ``k`` all are returned. Rows with a null id, and vectors that are null, empty, zero, of another
     length than most, or that hold null or non-finite components take no part. Repeated rows (equal id and vector)
@@ -151,74 +161,98 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                cell, along, codes = index.value.encode(_matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell.astype(np.int32)), pa.array(along), pa.array([c.tobytes() for c in codes], pa.binary())], ["e", "cell", "along", "codes"])
+                cell, along, codes, off, far = index.value.encode(_matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), pa.array(along), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(far)], ["e", "v", "cell", "along", "codes", "off", "far"])
 
-    coded = materialise(entries.select("e", "v").mapInArrow(code, "e long, cell int, along double, codes binary"))
+    coded = materialise(entries.select("e", "v").mapInArrow(code, f"e long, v {kind}, cell int, along double, codes binary, off double, far double"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = index.value.nearest_cells(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], ["qe", "v", "cells"])
 
-    asked = entries.where("q").select("e", "v").mapInArrow(probe, f"qe long, v {kind}, cells array<int>").select("qe", "v", F.posexplode("cells").alias("place", "cell"))
-    asked = materialise(asked)
+    queries = entries.where("q").select(F.col("e").alias("qe"), "v")
+    asked = queries.mapInArrow(probe, f"qe long, v {kind}, cells array<int>").select("qe", "v", F.explode("cells").alias("cell"))
+    best = Window.partitionBy("qe").orderBy(F.desc("score"), "e")
+    nearest_of = lambda hits: hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    scored = materialise(nearest_of(_scanned(coded, materialise(asked), index, k)))
+    if exact:
+        # At most 4096 cells: the farthest entry of each.
+        far = np.zeros(len(index.value.centroids))
+        for r in coded.groupBy("cell").agg(F.max("far").alias("far")).collect():
+            far[r["cell"]] = r["far"]
+        enough = scored.groupBy("qe").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("least"))
+
+        def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = index.value
+            for batch in batches:
+                q = _matrix(batch.column(1))
+                bound = q @ model.centroids.T + np.linalg.norm(q, axis=1)[:, None] * far * (1 + 1e-9)
+                least = np.array([-np.inf if x is None else x for x in batch.column(2).to_pylist()])
+                open_ = bound >= least[:, None] - 1e-9 * np.abs(least[:, None], where=np.isfinite(least[:, None]), out=np.zeros((len(q), 1)))
+                np.put_along_axis(open_, model.nearest_cells(q), False, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.flatnonzero(x).astype(np.int32) for x in open_], pa.list_(pa.int32()))], ["qe", "v", "cells"])
+
+        rest = queries.join(enough, "qe", "left").select("qe", "v", "least").mapInArrow(more, f"qe long, v {kind}, cells array<int>").select("qe", "v", F.explode("cells").alias("cell"))
+        scored = materialise(nearest_of(scored.unionByName(_scanned(coded, materialise(rest), index, k))))
+    # A query entry is always among its own candidates, for the other rows that share its vector.
+    own = queries.select("qe", F.col("qe").alias("e"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("score"))
+    scored = scored.unionByName(own)
+    # Back from entries to rows: of an entry only its k + 1 least ids can be among the nearest of anyone.
+    vectors = entries.select("e", "v")
+    named = materialise(rows.select("id", "v", "q").join(vectors, "v").select("e", "id", "q").distinct())
+    least = named.withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy("id"))).where(F.col("r") <= k + 1).select("e", "id")
+    asking = named.where("q").select(F.col("e").alias("qe"), F.col("id").alias("query_id")).distinct()
+    order = Window.partitionBy("qe").orderBy(F.desc("score"), "id")
+    # An entry's queries share one list of k + 1 rows; each leaves out itself.
+    lists = scored.join(least, "e").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("qe", "id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    pairs = lists.join(asking, "qe").where("id != query_id").withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def _scanned(coded: DataFrame, asked: DataFrame, index, k: int) -> DataFrame:
+    """(qe, e, score): of every block of a cell that a query (qe, v, cell) probes its ``k + 1`` best entries, with exact scores; its own entry is none."""
     # Blocks: sizes are one row for each of at most 4096 cells.
     sizes = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nr")).join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("nq")), "cell")
     sizes = F.broadcast(materialise(sizes))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = coded.join(sizes, "cell").select("cell", block("e", "nr").alias("br"), every("nq").alias("bq"), "e", "along", "codes")
-    right = asked.join(sizes, "cell").select("cell", every("nr").alias("br"), block("qe", "nq").alias("bq"), "qe", "v", "place")
+    left = coded.join(sizes, "cell").select("cell", block("e", "nr").alias("br"), every("nq").alias("bq"), "e", F.col("v").alias("x"), "along", "codes", "off")
+    right = asked.join(sizes, "cell").select("cell", every("nr").alias("br"), block("qe", "nq").alias("bq"), "qe", "v")
 
     def scan(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
         ids, asking = rows.column("e").to_numpy(), queries.column("qe").to_numpy()
-        if not len(ids) or not len(asking):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["qe", "e", "near"])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         model, cell = index.value, key[0].as_py()
-        along = rows.column("along").to_numpy()
-        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-        keep, near = min(NEAR_KEPT, len(ids)), queries.column("place").to_numpy() < NEAR_CELLS
-        out = []
-        for at in range(0, len(asking), 64):
-            q = _matrix(queries.column("v").slice(at, 64).combine_chunks())
+        if len(ids) and len(asking):
+            x = _matrix(rows.column("x").combine_chunks())
+            along, off = rows.column("along").to_numpy(), rows.column("off").to_numpy()
+            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+        for at in range(0, len(asking) if len(ids) else 0, 64):
+            q, own = _matrix(queries.column("v").slice(at, 64).combine_chunks()), asking[at : at + 64]
             # What a query has along the centroid meets the exact part of the residual; tables score the rest.
             centroid = model.centroids[cell]
             level = q @ centroid
             part = level / max(1e-300, centroid @ centroid)
-            tables = model.tables(q - part[:, None] * centroid)
-            score = np.zeros((len(q), len(ids)))
+            across = q - part[:, None] * centroid
+            tables = model.tables(across)
+            near = np.zeros((len(q), len(ids)))
             for p in range(codes.shape[1]):
-                score += tables[:, p, codes[:, p]]
-            score = score * model.spread[cell] + level[:, None] + part[:, None] * along
-            best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1), axis=1)
-            row, column = np.nonzero(np.arange(keep) < np.where(near[at : at + 64], NEAR_KEPT, KEPT)[:, None])
-            out.append((asking[at : at + 64][row], ids[best[row, column]], score[row, best[row, column]]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["qe", "e", "near"])
-
-    found = left.groupBy("cell", "br", "bq").cogroup(right.groupBy("cell", "br", "bq")).applyInArrow(scan, "qe long, e long, near double")
-    by_near = Window.partitionBy("qe").orderBy(F.desc("near"), "e")
-    short = found.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= RERANK).select("qe", "e")
-    # A query entry is always among its own candidates, for the other rows that share its vector.
-    short = short.union(entries.where("q").select(F.col("e").alias("qe"), "e")).distinct()
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.einsum("ij,ij->i", _matrix(batch.column(2)), _matrix(batch.column(3)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["qe", "e", "score"])
-
-    vectors = entries.select("e", "v")
-    scored = short.join(vectors, "e").join(vectors.withColumnsRenamed({"e": "qe", "v": "qv"}), "qe").select("qe", "e", "v", "qv").mapInArrow(exact, "qe long, e long, score double")
-    best = Window.partitionBy("qe").orderBy(F.desc("score"), "e")
-    scored = materialise(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
-    # Back from entries to rows: of an entry only its k + 1 least ids can be among the nearest of anyone.
-    named = materialise(rows.select("id", "v", "q").join(vectors, "v").select("e", "id", "q").distinct())
-    least = named.withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy("id"))).where(F.col("r") <= k + 1).select("e", "id")
-    asking = named.where("q").select(F.col("e").alias("qe"), F.col("id").alias("query_id")).distinct()
-    order = Window.partitionBy("qe").orderBy(F.desc("score"), "id")
-    # An entry's queries share one list of k + 1 rows; each leaves out itself.
-    lists = scored.join(least, "e").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("qe", "id", "score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    pairs = lists.join(asking, "qe").where("id != query_id").withColumn("rank", rank).where(F.col("rank") <= k)
-    return pairs.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+                near += tables[:, p, codes[:, p]]
+            near = near * model.spread[cell] + level[:, None] + part[:, None] * along
+            near[own[:, None] == ids] = -np.inf
+            # The tables are off by no more than this; what cannot be among the best is not looked at again.
+            slack = np.linalg.norm(across, axis=1)[:, None] * off * (1 + 1e-9) + 1e-9
+            sure = near - slack
+            least = np.partition(sure, -k - 1, axis=1)[:, -k - 1] if len(ids) > k + 1 else np.full(len(q), -np.inf)
+            maybe = (near + slack >= least[:, None]) & np.isfinite(near)
+            some = np.flatnonzero(maybe.any(axis=0))
+            best = Best(len(q), k + 1, 1)
+            best.add(np.where(maybe[:, some], q @ x[some].T, -np.inf), ids[some], np.broadcast_to(some, (len(q), len(some))))
+            row, place = best.held[0], best.held[3].astype(np.int64)
+            out.append((own[row], ids[place], np.einsum("ij,ij->i", q[row], x[place])))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["qe", "e", "score"])
+
+    by = ["cell", "br", "bq"]
+    return left.groupBy(*by).cogroup(right.toDF("acell", "abr", "abq", "qe", "v").groupBy("acell", "abr", "abq")).applyInArrow(scan, "qe long, e long, score double")
