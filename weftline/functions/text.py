@@ -101,3 +101,14 @@ def snippet(s: Column, word: str, before: int = 10, after: int = 18) -> Column:
     start, end = F.greatest(F.lit(1), at - before), F.least(F.length(s), at + len(word) + after - 1)
     cut = F.concat(F.when(start > 1, "...").otherwise(""), s.substr(start, end - start + 1), F.when(end < F.length(s), "...").otherwise(""))
     return F.when(at > 0, cut)
+
+
+def highlighted(s: Column, word: str) -> Column:
+    """The text as HTML, its first hit of ``word`` (any case, looked for in the escaped text) marked; quotes in single form stay. Null is empty."""
+    out = F.coalesce(s.cast("string"), F.lit(""))
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    at = F.locate(word.lower(), F.lower(out)) if word else F.lit(0)
+    n = len(word)
+    marked = F.concat(out.substr(F.lit(1), at - 1), F.lit('<mark class="search-hit">'), out.substr(at, F.lit(n)), F.lit("</mark>"), out.substr(at + n, F.length(out)))
+    return F.when(at > 0, marked).otherwise(out)

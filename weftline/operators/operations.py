@@ -111,6 +111,40 @@ def admitted(events: DataFrame, by: list[str], limit: int, *in_order: Column) ->
     return events.withColumn("request", F.row_number().over(Window.partitionBy(*by).orderBy(*in_order))).withColumn("admitted", (F.col("request") <= limit).cast("int"))
 
 
+def usage_rows(log: DataFrame, usage: str, input_price: float, output_price: float) -> DataFrame:
+    """``log`` with prompt_tokens, completion_tokens, total_tokens and cost of the JSON text ``usage``.
+
+    Prompt tokens may come as ``prompt_tokens`` or ``input_tokens``, completion tokens as ``completion_tokens`` or
+    ``output_tokens``; a total that is not told is their sum. What is no number counts as 0. Prices are for a million.
+    """
+    parsed = F.try_parse_json(F.col(usage))
+    number = lambda *names: F.coalesce(*[F.try_variant_get(parsed, f"$.{n}", "double") for n in names])
+    finite = lambda x: F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))
+    rows = log.withColumn("prompt_tokens", finite(number("prompt_tokens", "input_tokens"))).withColumn("completion_tokens", finite(number("completion_tokens", "output_tokens")))
+    both = F.col("prompt_tokens") + F.col("completion_tokens")
+    cost = (F.col("prompt_tokens") * input_price + F.col("completion_tokens") * output_price) / 1_000_000
+    return rows.withColumn("total_tokens", finite(F.coalesce(number("total_tokens"), both))).withColumn("cost", cost)
+
+
+def usage_totals(rows: DataFrame, by: str, digits: int = 6) -> DataFrame:
+    """(by, calls, prompt_tokens, completion_tokens, total_tokens, cost) of ``usage_rows``; a null ``by`` is ``unknown``."""
+    sums = [F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    return rows.groupBy(F.coalesce(F.nullif(F.col(by), F.lit("")), F.lit("unknown")).alias(by)).agg(F.count(F.lit(1)).alias("calls"), *sums, F.round(F.sum("cost"), digits).alias("cost"))
+
+
+def feedback_events(log: DataFrame, user: str, most: int = 500, *newest_first: Column) -> DataFrame:
+    """``log`` with ``own`` and ``common``: whether each event is among the newest ``most`` of its user, and of all; events in neither are gone.
+
+    The newest of all are found by a limit, those of a user by a window that Spark cuts before the shuffle, so neither
+    log puts more in order than it keeps. A null user is ``anonymous``.
+    """
+    who = F.coalesce(F.col(user), F.lit("anonymous"))
+    own = last_n(log.withColumn(user, who), [user], most, *newest_first)
+    common = log.withColumn(user, who).orderBy(*newest_first).limit(most)
+    marks = own.withColumn("own", F.lit(1)).withColumn("common", F.lit(0)).unionByName(common.withColumn("own", F.lit(0)).withColumn("common", F.lit(1)))
+    return marks.groupBy(*log.columns).agg(F.max("own").alias("own"), F.max("common").alias("common"))
+
+
 #: Rows of a block of a quota log; one row of each block is folded in one task.
 QUOTA_BLOCK = 1 << 16
 

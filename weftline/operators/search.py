@@ -163,6 +163,14 @@ def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
     return filtered.unionByName(unfiltered.join(filtered.select("query_id").distinct(), "query_id", "left_anti"))
 
 
+def matching(rows: DataFrame, wanted: dict) -> DataFrame:
+    """``rows`` whose columns have all the wanted values; keys with a null or empty value do not count. The conditions reach the scan."""
+    for name, value in wanted.items():
+        if value is not None and value != "":
+            rows = rows.where(F.col(name) == value)
+    return rows
+
+
 def reliable(hits: DataFrame, least: float = 0.03) -> DataFrame:
     """(query_id, reliable): whether the best score reaches ``least``."""
     return hits.groupBy("query_id").agg((F.max("score") >= least).alias("reliable"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import snippet
 from weftline.operators.operations import last_n
 
 
@@ -126,3 +127,20 @@ def vector_fields(df: DataFrame) -> DataFrame:
     kinds = {name: "dense" if kind.startswith("array") else "sparse" for name, kind in df.dtypes if kind in ("array<float>", "array<double>") or (kind.startswith("map<") and kind.endswith((",float>", ",double>")))}
     sizes = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.when(F.col(name).isNotNull(), F.size(name)).alias("size")) for name, kind in kinds.items()])).alias("x")).select("x.*")
     return sizes.groupBy("field", "kind").agg(F.count("size").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+
+
+def matched_conversations(conversations: DataFrame, messages: DataFrame, word: str) -> DataFrame:
+    """(conv_id, preview) of the conversations (conv_id, title) that hold a word, in any case and without white space around it.
+
+    A hit in the title comes first, with the title as preview; else the first message (conv_id, turn, text) that has the
+    word, with what stands around its first hit. An empty word finds all, with an empty preview. A message's text is
+    looked at where it is; only the first hit of each conversation is kept.
+    """
+    key = word.strip().lower()
+    if not key:
+        return conversations.select("conv_id", F.lit("").alias("preview"))
+    hits = messages.where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(key)))
+    first = hits.groupBy("conv_id").agg(F.min_by(snippet(F.col("text"), key), F.col("turn")).alias("__text"))
+    titled = F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(key))
+    rows = conversations.join(first, "conv_id", "left").withColumn("preview", F.when(titled, F.col("title")).otherwise(F.col("__text")))
+    return rows.where("preview IS NOT NULL").select("conv_id", "preview")

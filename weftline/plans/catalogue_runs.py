@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from weftline.functions import text
 from weftline.functions.rules import ADVICE, DETAIL, HARD_REFUSAL, REFUSAL
-from weftline.operators import chunking, evaluation, memory, operations, ranking, runs, search
+from weftline.operators import chunking, evaluation, memory, operations, ranking, runs, search, state
 from weftline.plans import catalogue_eval, catalogue_search, catalogue_text
 from weftline.streaming import events as streams
 from weftline.tables import load, micros
@@ -242,6 +243,51 @@ def compact_payloads(spark, d):
     return rows.select("doc_id", F.size(kept).alias("keys"), F.md5(kept["text"]).alias("text"), kept["url"].alias("url"), F.size(words).alias("lines"), F.md5(F.array_join(words, "|")).alias("words"), F.coalesce(trace, F.lit("-")).alias("trace"))
 
 
+def usage_totals(spark, d):
+    """Tokens and cost by kind of event, from usage told under several names, some of it broken."""
+    v, n = F.col("value").cast("string"), F.col("event_id").cast("string")
+    shape = F.col("event_id") % 5
+    usage = (
+        F.when(shape == 0, F.concat(F.lit('{"prompt_tokens": '), n, F.lit(', "completion_tokens": 7}')))
+        .when(shape == 1, F.concat(F.lit('{"input_tokens": '), n, F.lit(', "output_tokens": 3, "total_tokens": 1000}')))
+        .when(shape == 2, F.concat(F.lit('{"prompt_tokens": "many", "input_tokens": 5, "output_tokens": '), v, F.lit("}")))
+        .when(shape == 3, F.lit("{broken"))
+    )
+    rows = operations.usage_rows(load(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("model"), usage.alias("usage")), "usage", 2.0, 8.0)
+    return operations.usage_totals(rows, "model", 4).withColumn("completion_tokens", F.round("completion_tokens", 3)).withColumn("total_tokens", F.round("total_tokens", 3))
+
+
+def feedback_log(spark, d):
+    """The event log of ratings: the newest twenty of each user, and of all."""
+    rating = F.when(F.col("event_type").isin("purchase", "signup"), "like").when(F.col("event_type") == "error", "dislike")
+    rows = load(spark, d, "events").select("event_id", "ts", F.concat(F.lit("u"), (F.col("user_id") % 6).cast("string")).alias("user"), rating.alias("rating")).where("rating IS NOT NULL")
+    own = operations.feedback_events(rows, "user", 20, F.desc("ts"), F.desc("event_id"))
+    return own.select("event_id", "user", "rating", "own", "common")
+
+
+def conversation_search(spark, d):
+    """Conversations that hold a word, in their title (the first user turn's beginning) or a message."""
+    turns = load(spark, d, "conversations")
+    titles = turns.where("role = 'user'").groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 20).alias("title"))
+    return state.matched_conversations(turns.select("conv_id").distinct().join(titles, "conv_id", "left"), turns, " EN ").select("conv_id", F.md5("preview").alias("preview"))
+
+
+def highlights(spark, d):
+    """The beginnings of pages as HTML, the first hit of a word marked."""
+    shown = text.highlighted(F.substring("html", 1, 400), "div")
+    return load(spark, d, "pages").select("page_id", F.length(shown).alias("chars"), F.md5(shown).alias("digest"))
+
+
+def document_matches(spark, d):
+    """Documents of one language and source; an empty condition does not count."""
+    return search.matching(load(spark, d, "documents"), {"lang": "en", "source": "src3", "text": "", "n_chars": None}).select("doc_id", "n_chars")
+
+
+def packed_trimmed(spark, d):
+    """Documents packed as the evaluation does: paragraphs trimmed, blank ones dropped. A fold over paragraphs, so there is no SQL."""
+    return load(spark, d, "documents").select("doc_id", F.posexplode(chunking.packed(F.col("text"), trimmed=True)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
+
+
 def candidate_rows(spark, d):
     """Hits as candidates: those without an id or a parent get one, missing fields their defaults."""
     hits = catalogue_search._dense(spark, d).join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id", "left")
@@ -330,9 +376,15 @@ SQL |= {
     "tool_accuracy": "WITH r AS (SELECT user_id % 5 AS run, CASE WHEN event_id % 3 = 0 THEN 'rag' ELSE 'agent' END AS er, CASE WHEN event_id % 4 = 0 THEN 'rag' ELSE 'agent' END AS ro, CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 2 = 0 THEN 'search' ELSE 'calculate' END END AS et, CASE event_type WHEN 'click' THEN 'search' WHEN 'view' THEN 'calculate' END AS tool, CASE WHEN event_type <> 'error' THEN value END AS ms FROM events), g AS (SELECT run, count_if(et IS NOT NULL AND ms IS NOT NULL)::BIGINT AS judged, count_if(et IS NOT NULL AND er = ro AND et IS NOT DISTINCT FROM tool AND ms IS NOT NULL)::BIGINT AS correct, floor(avg(ms) + 0.5) AS mean_ms, list_sort(list(ms) FILTER (ms IS NOT NULL)) AS v FROM r GROUP BY 1) SELECT run, judged, correct, round(correct / judged::DOUBLE, 4) AS accuracy, mean_ms, v[floor(len(v) * 0.95::DOUBLE)::INT + 1] AS p95_ms FROM g",
     "feedback_search": "WITH f AS (SELECT event_id AS id, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 'like' END AS rating, lower(concat_ws(' ', user_id::VARCHAR, coalesce(substring(text, 1, 200), ''), coalesce(source, ''), event_type)) AS t FROM events LEFT JOIN documents ON doc_id = event_id), m AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS place, count(*) OVER () AS total, count_if(rating = 'like') OVER () AS likes FROM f WHERE rating = 'like' AND contains(t, 'sign')) SELECT id, place, total, likes::BIGINT AS likes, 0::BIGINT + count_if(rating = 'dislike') OVER () AS dislikes FROM m WHERE place > 10 AND place <= 20",
     "compact_payloads": f"SELECT doc_id, 2 AS keys, md5(CASE WHEN length({_MASKED}) > 300 THEN substring({_MASKED}, 1, 300) || '...' ELSE {_MASKED} END) AS text, 'see [url] now' AS url, len({_SLICED}) AS lines, md5(array_to_string({_SLICED}, '|')) AS words, CASE WHEN doc_id % 3 = 0 THEN '-' ELSE 't-' || doc_id END AS trace FROM documents",
+    "usage_totals": """WITH u AS (SELECT CASE WHEN event_type <> 'view' THEN event_type ELSE 'unknown' END AS model, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN 5 ELSE 0 END::DOUBLE AS p, CASE event_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN value ELSE 0 END::DOUBLE AS c, event_id % 5 = 1 AS told FROM events)
+ SELECT model, count(*) AS calls, sum(p) AS prompt_tokens, round(sum(c), 3) AS completion_tokens, round(sum(CASE WHEN told THEN 1000 ELSE p + c END), 3) AS total_tokens, round(sum((p * 2 + c * 8) / 1000000), 4) AS cost FROM u GROUP BY 1""",
+    "feedback_log": "WITH f AS (SELECT event_id, ts, 'u' || (user_id % 6) AS \"user\", CASE WHEN event_type = 'error' THEN 'dislike' ELSE 'like' END AS rating FROM events WHERE event_type IN ('purchase', 'signup', 'error')), r AS (SELECT *, (row_number() OVER (PARTITION BY \"user\" ORDER BY ts DESC, event_id DESC) <= 20)::INT AS own, (row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 20)::INT AS common FROM f) SELECT event_id, \"user\", rating, own, common FROM r WHERE own + common > 0",
+    "conversation_search": "WITH t AS (SELECT conv_id, first(substring(text, 1, 20) ORDER BY turn) FILTER (role = 'user') AS title, first(text ORDER BY turn) FILTER (contains(lower(text), 'en')) AS hit FROM conversations GROUP BY 1), p AS (SELECT *, strpos(lower(hit), 'en') AS pos FROM t) SELECT conv_id, md5(CASE WHEN contains(lower(title), 'en') THEN title ELSE CASE WHEN greatest(1, pos - 10) > 1 THEN '...' ELSE '' END || substring(hit, greatest(1, pos - 10), least(length(hit), pos + 2 + 18 - 1) - greatest(1, pos - 10) + 1) || CASE WHEN pos + 19 < length(hit) THEN '...' ELSE '' END END) AS preview FROM p WHERE contains(lower(title), 'en') OR hit IS NOT NULL",
+    "highlights": """WITH e AS (SELECT page_id, replace(replace(replace(replace(substring(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS e FROM pages), h AS (SELECT page_id, CASE WHEN contains(lower(e), 'div') THEN substring(e, 1, strpos(lower(e), 'div') - 1) || '<mark class="search-hit">' || substring(e, strpos(lower(e), 'div'), 3) || '</mark>' || substring(e, strpos(lower(e), 'div') + 3) ELSE e END AS h FROM e) SELECT page_id, length(h) AS chars, md5(h) AS digest FROM h""",
+    "document_matches": "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND source = 'src3'",
     "candidate_rows": f"{_W} SELECT query_id, rank, CASE WHEN id % 3 > 0 THEN id::VARCHAR ELSE (id // 6) || ':' || (id % 6) END AS id, id // 6 AS doc_id, CASE WHEN id % 5 > 0 THEN (id // 6) || '_para_' || (id // 3 % 2) ELSE 'p' END AS parent_id, (id // 3 % 2)::INT AS parent_idx, (id % 6)::INT AS chunk_index, '' AS title, coalesce(lang, '') AS category, score, score AS hybrid_score, '' AS rerank_model FROM dense LEFT JOIN documents ON doc_id = id",
     "parent_candidates": f"{_W}, g AS (SELECT query_id, id // 12 AS doc_id, id // 3 % 4 AS parent_idx, count(*) AS n, list_sort(list_distinct(list(id % 3 - 1) FILTER (id % 3 > 0))) AS ids, min(rank) AS first_child_rank, max(score) AS score, first(rank ORDER BY score DESC, rank) AS best_child_rank, bool_or(id % 2 = 0) AS s, string_agg(id::VARCHAR, ',' ORDER BY rank) AS children FROM dense GROUP BY 1, 2, 3) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first_child_rank) AS rank, g.doc_id || '_para_' || parent_idx AS id, coalesce(source, '') AS title, CASE WHEN g.doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS category, CASE WHEN len(ids) > 0 THEN len(ids) ELSE n END AS matched, coalesce(array_to_string(ids, ','), '') AS chunk_ids, first_child_rank, best_child_rank, score, CASE WHEN s THEN 'dense,sparse' ELSE 'dense' END AS channels, children FROM g LEFT JOIN documents USING (doc_id)",
 }
 SQL["memory_accesses"] = SQL["memory_recall"].replace("SELECT * FROM (SELECT *, row_number()", ", r AS (SELECT *, row_number()").replace("FROM s) WHERE rank <= 5", "FROM s), h AS (SELECT user, id, count(*) AS n FROM r WHERE rank <= 5 AND score > 0.3 GROUP BY 1, 2) SELECT user, id, accesses + coalesce(n, 0) AS accesses FROM m LEFT JOIN h USING (user, id)")
 
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "packed_trimmed"]}
