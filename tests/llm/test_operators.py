@@ -640,11 +640,12 @@ def test_decoding_reads_the_byte_table_backwards(spark):
     assert len(set(byte_bpe._alphabet())) == 256 and [int(chars.byte_of[ord(c)]) for c in byte_bpe._alphabet()] == list(range(256))
     texts = ["naïve \U0001f9ec\U0001f9ec 漢字", "", None, "\x00\x7f\x85"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = byte_bpe.encode(df, "text", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, offsets=True)
+    out = byte_bpe.encode(df, "text", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, offsets=True, decoded=True, split=True)
+    assert all(bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "") for r in out.collect())
     rows = byte_bpe.decode(out, "ids", public_tokenizers.path(queries.RANKS)).orderBy("doc_id").collect()
     assert [bytes(r["decoded"]).decode() for r in rows] == [t or "" for t in texts]
     split = [sum(a < b for a, b in zip(r["starts"][1:], r["ends"])) for r in rows]
-    assert split[0] > 0 and split[1] == split[2] == 0
+    assert split[0] > 0 and split[1] == split[2] == 0 and split == [r["n_split"] for r in rows]
     assert "".join(chars.of[i] for i in rows[0]["ids"]).startswith("na\u00c3\u00afve")
     assert len(chars.joined(rows[0]["ids"][:-1])) < len(texts[0].encode())
     assert chars.joined([]) == b"" and chars.joined(None) is chars.joined([None]) is chars.joined([-1]) is chars.joined([10**9]) is None

@@ -133,10 +133,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
 
 
-def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: bool = False, decoded: bool = False, split: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``ids`` (array of int) and, if asked for, ``starts`` and ``ends`` (characters of each token) and ``decoded`` (binary).
 
-    ``decoded`` is what the ids stand for, as ``decode`` has it, worked out in the same pass over the data.
+    ``decoded`` is what the ids stand for, as ``decode`` has it, worked out in the same pass over the data; ``n_split``
+    (long; ``split``) is how many tokens begin inside a character, by their offsets, which stay in the task.
 
     A null text counts as empty and gets empty arrays. Rows stay as they are otherwise, repeated ones too; columns
     that have the names of the new ones are replaced. Whole texts are encoded, whatever their length.
@@ -150,16 +151,17 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, offsets: boo
         def work(values: list) -> list:
             texts = [t or "" for t in values]
             ids = codec.encode(texts, known)
-            spans = list(map(_lists, codec.offsets(ids))) if offsets else []
+            starts, ends = codec.offsets(ids) if offsets or split else ([], [])
             back = []
             if decoded:
                 raw, bounds = codec.decoded(ids)
                 back = [[raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]]
-            return [_lists(ids), *spans, *back]
+            cut = [[int((s[1:] < e[:-1]).sum()) for s, e in zip(starts, ends)]] if split else []
+            return [_lists(ids), *([_lists(starts), _lists(ends)] if offsets else []), *back, *cut]
 
         return work
 
-    schema = ["ids array<int>", *(["starts array<int>", "ends array<int>"] if offsets else []), *(["decoded binary"] if decoded else [])]
+    schema = ["ids array<int>", *(["starts array<int>", "ends array<int>"] if offsets else []), *(["decoded binary"] if decoded else []), *(["n_split long"] if split else [])]
     return map_texts(df, text, make, ", ".join(schema), keep, 256)
 
 

@@ -65,11 +65,9 @@ def op7_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ids = byte_bpe.encode(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN, offsets=True, decoded=True, keep=["doc_id"])
+    ids = byte_bpe.encode(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True, split=True, keep=["doc_id"])
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    # Tokens that begin inside a character: by their offsets they share it with the token before.
-    split = F.size(F.filter(F.zip_with(F.slice("starts", 2, F.size("starts")), "ends", lambda a, b: a < b), lambda x: x))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), split.cast("long").alias("n_split"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
 def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
