@@ -8,9 +8,10 @@ each coordinate is the signature, and the share of equal coordinates estimates t
 
 Signatures are joined by bands. Copies are collapsed first. All pairs of a small bucket are verified on the shingles
 themselves. In a large one all members first meet a leader, chosen by a hash that differs by band. Classes that still
-share a large bucket are then compared in full, every text with every text of another class, in blocks: a product of
-two blocks counts the shingles that all their pairs share, and only links that join classes leave a task. Of each group
-its widest class meets the others only, not itself; the products grow with the square of what no leader joined.
+share a large bucket and one of their texts' rarest shingles (a prefix filter by size, without which no link can be) are
+then compared in full, every text with every text of another class, in blocks: a product of two blocks counts the
+shingles that all their pairs share, and only links that join classes leave a task. Of each group its widest class meets
+the others only, not itself; the products grow with the square of what neither a leader nor a rare shingle told.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ K = BANDS * BAND_ROWS
 SMALL = 8
 #: Texts and shingles of a block at most (a longer text is a block of its own); shingles of a product at a time.
 BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 17, 4096
+#: Sizes of texts fall into bins that grow by this; a prefix is as long as the smallest partner of a bin asks for.
+SIZE_EDGES = np.unique(np.ceil(1.08 ** np.arange(300)).astype(np.int64))
+#: Counters that tell how common a shingle is (sent to tasks, 4 MB), and parts of a posting, so that none is one task's.
+COUNTERS, SALTS = 1 << 20, 64
 #: Blocks of a tile, about; every two tiles of a group meet in a task of their own.
 TILE = 8
 
@@ -128,6 +133,13 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<u4", n, 1), np.frombuffer(data, "<u4", n, 1 + 4 * n).astype(np.int64)
 
 
+def _multiset(data: bytes) -> np.ndarray:
+    """The names of a packed set; a shingle that counts n is n names."""
+    short, counts = _unpack(data)
+    strip = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(short.astype(np.uint64), counts) << np.uint64(32) | strip.astype(np.uint64)
+
+
 def _signed(df: DataFrame) -> DataFrame:
     """(id, th, text) to (id, th, copy, bands): a name of the words, and band keys."""
 
@@ -217,9 +229,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
         for batch in batches:
             for comp, rest, root, data in zip(*(c.to_pylist() for c in batch.columns)):
-                short, counts = _unpack(data)
-                strip = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                own = np.repeat(short.astype(np.uint64), counts) << np.uint64(32) | strip.astype(np.uint64)
+                own = _multiset(data)
                 if roots and (head != (comp, rest) or len(roots) == BLOCK_TEXTS or held + len(own) > BLOCK_SHINGLES):
                     yield block()
                     made, roots, names, held = made + 1, [], [], 0
@@ -275,14 +285,80 @@ def _joining(left: tuple, right: tuple) -> list[tuple[int, int]]:
     return out
 
 
-def _between(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes to join: of all links between members of classes that share a large bucket, directly or by way of others."""
+def _counter(names: np.ndarray) -> np.ndarray:
+    return (mix(names) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def prefixes(names: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Postings of a text: its rarest names (by ``common``, then by name), for each bin of sizes that a partner may have.
+
+    Two texts of m and n names that are similar enough share 4/9 (m + n) of them, so the m + 1 and n + 1 rarest less that
+    many share one: texts without a common posting are not similar enough, in whatever order ``common`` puts the names.
+    """
+    n = len(names)
+    ordered = names[np.lexsort((names, common[_counter(names)]))]
+    least, most = int(np.ceil(THRESHOLD * n - 1e-6)), int(n / THRESHOLD + 1e-6)
+    own, low, high = np.searchsorted(SIZE_EDGES, [n, max(1, least), most], "right") - 1
+    out = []
+    for other in range(low, high + 1):
+        smallest = max(least, int(SIZE_EDGES[other]))
+        shared = int(np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + smallest) - 1e-6))
+        out.append(mix(ordered[: max(0, n - shared + 1)] + np.uint64((min(own, other) * len(SIZE_EDGES) + max(own, other)) * int(_GOLD) & (1 << 64) - 1)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _common(sets: DataFrame) -> np.ndarray:
+    """How often names of each of ``COUNTERS`` kinds occur in ``sets``; bounded, whatever the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                np.add.at(held, _counter(_multiset(data)), 1)
+        on = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(held[on])], ["at", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+
+
+def _meeting(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
+    """(root, id, comp): the texts of large buckets that are to meet, and their group.
+
+    Classes that share a large bucket may hold links that no leader showed. Of these, only classes that share a posting
+    of ``prefixes`` can, and only they come into one group; texts that share a common passage and nothing rare do not.
+    """
     rooted = large.join(final, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    seen = materialise(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
-    low = seen.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "low")
-    comps = materialise(components(seen.join(low, "key").where("root != low").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    open_ = materialise(rooted.join(several, "key", "left_semi").select("id", "root").distinct())
+    held = materialise(open_.join(sets, "id"))
+    common = held.sparkSession.sparkContext.broadcast(_common(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, rows=128):
+                made = [prefixes(_multiset(x), common.value) for x in part.column(1).to_pylist()]
+                roots = np.repeat(part.column(0).to_numpy(), [len(x) for x in made])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(roots)], ["posting", "root"])
+
+    # A posting may be of a third of all texts: it is cut by its classes, and each part has its own least class.
+    postings = held.select("root", "shingles").mapInArrow(run, "posting long, root long").withColumn("part", F.pmod(F.xxhash64("root"), F.lit(SALTS)))
+    postings = materialise(postings.distinct())
+    parts = materialise(postings.groupBy("posting", "part").agg(F.min("root").alias("least"), F.max("root").alias("most")))
+    shared = parts.groupBy("posting").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low != high").select("posting", "low")
+    shared = materialise(parts.join(shared, "posting").select("posting", "part", "least", "low"))
+    inner = postings.join(shared, ["posting", "part"]).select(F.col("root").alias("a"), F.col("least").alias("b"))
+    edges = inner.union(shared.select(F.col("least").alias("a"), F.col("low").alias("b"))).where("a != b").distinct()
+    comps = materialise(components(edges))
     comps = materialise(comps.select(F.col("id").alias("root"), F.col("root").alias("comp")).union(comps.select(F.col("root").alias("root"), F.col("root").alias("comp"))).distinct())
-    members = materialise(rooted.select("id", "root").distinct().join(comps, "root"))
+    return materialise(open_.join(comps, "root").select("root", "id", "comp"))
+
+
+def _between(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes to join: of all links between members of classes that share a large bucket."""
+    members = _meeting(large, final, sets)
     widest = members.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("widest"), F.sum("n").alias("n"))
     told = members.join(widest, "comp").withColumn("rest", (F.col("root") != F.col("widest")) | (F.col("n") <= BLOCK_TEXTS)).join(sets, "id")
     blocks = materialise(_blocks(told.select("comp", "rest", "root", "id", "shingles")))
