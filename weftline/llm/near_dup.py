@@ -298,7 +298,7 @@ def prefixes(names: np.ndarray, common: np.ndarray) -> np.ndarray:
     n = len(names)
     ordered = names[np.lexsort((names, common[_counter(names)]))]
     least, most = int(np.ceil(THRESHOLD * n - 1e-6)), int(n / THRESHOLD + 1e-6)
-    own, low, high = np.searchsorted(SIZE_EDGES, [n, max(1, least), most], "right") - 1
+    own, low, high = (np.searchsorted(SIZE_EDGES, [n, max(1, least), most], "right") - 1).tolist()
     out = []
     for other in range(low, high + 1):
         smallest = max(least, int(SIZE_EDGES[other]))
