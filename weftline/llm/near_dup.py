@@ -325,15 +325,14 @@ def _common(sets: DataFrame) -> np.ndarray:
 
 
 def _meeting(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
-    """(root, id, comp): the texts of large buckets that are to meet, and their group.
+    """(root, id, shingles, comp): the texts of large buckets that are to meet, and their group.
 
     Classes that share a large bucket may hold links that no leader showed. Of these, only classes that share a posting
     of ``prefixes`` can, and only they come into one group; texts that share a common passage and nothing rare do not.
     """
     rooted = large.join(final, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    open_ = materialise(rooted.join(several, "key", "left_semi").select("id", "root").distinct())
-    held = materialise(open_.join(sets, "id"))
+    held = materialise(rooted.join(several, "key", "left_semi").select("id", "root").distinct().join(sets, "id"))
     common = held.sparkSession.sparkContext.broadcast(_common(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,26 +340,27 @@ def _meeting(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
             for part in slices(batch, 1, rows=128):
                 made = [prefixes(_multiset(x), common.value) for x in part.column(1).to_pylist()]
                 roots = np.repeat(part.column(0).to_numpy(), [len(x) for x in made])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(roots)], ["posting", "root"])
+                both = np.unique(np.rec.fromarrays([np.concatenate(made).view(np.int64), roots]))  # copies share postings
+                yield pa.RecordBatch.from_arrays([pa.array(both.f0), pa.array(both.f1)], ["posting", "root"])
 
     # A posting may be of a third of all texts: it is cut by its classes, and each part has its own least class.
     postings = held.select("root", "shingles").mapInArrow(run, "posting long, root long").withColumn("part", F.pmod(F.xxhash64("root"), F.lit(SALTS)))
-    postings = materialise(postings.distinct())
-    parts = materialise(postings.groupBy("posting", "part").agg(F.min("root").alias("least"), F.max("root").alias("most")))
+    postings = materialise(postings)
+    parts = postings.groupBy("posting", "part").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     shared = parts.groupBy("posting").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low != high").select("posting", "low")
     shared = materialise(parts.join(shared, "posting").select("posting", "part", "least", "low"))
     inner = postings.join(shared, ["posting", "part"]).select(F.col("root").alias("a"), F.col("least").alias("b"))
     edges = inner.union(shared.select(F.col("least").alias("a"), F.col("low").alias("b"))).where("a != b").distinct()
     comps = materialise(components(edges))
     comps = materialise(comps.select(F.col("id").alias("root"), F.col("root").alias("comp")).union(comps.select(F.col("root").alias("root"), F.col("root").alias("comp"))).distinct())
-    return materialise(open_.join(comps, "root").select("root", "id", "comp"))
+    return held.join(comps, "root")
 
 
 def _between(large: DataFrame, final: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes to join: of all links between members of classes that share a large bucket."""
     members = _meeting(large, final, sets)
     widest = members.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("widest"), F.sum("n").alias("n"))
-    told = members.join(widest, "comp").withColumn("rest", (F.col("root") != F.col("widest")) | (F.col("n") <= BLOCK_TEXTS)).join(sets, "id")
+    told = members.join(widest, "comp").withColumn("rest", (F.col("root") != F.col("widest")) | (F.col("n") <= BLOCK_TEXTS))
     blocks = materialise(_blocks(told.select("comp", "rest", "root", "id", "shingles")))
     # Blocks meet tile by tile: a tile holds some TILE blocks, so a block is sent once for each tile of its group.
     tags = materialise(blocks.select("comp", "rest", "no"))
