@@ -252,42 +252,6 @@ def test_near_dup_links_in_a_large_mixed_group(spark):
     assert got == brute_classes(rows) and len(set(got.values())) > 80
 
 
-def test_prefixes_lose_no_similar_pair():
-    """Sets with a weighted Jaccard of 0.8 or more share a posting, whatever the counters say."""
-    rnd = np.random.default_rng(5)
-    tried = 0
-    for _ in range(400):
-        n = int(rnd.integers(1, 300))
-        a = rnd.choice(1 << 30, n, replace=False).astype(np.uint64) << np.uint64(32)
-        b = np.concatenate([a[rnd.integers(0, 1 + n // 8) :], rnd.integers(1 << 30, 1 << 31, rnd.integers(0, 1 + n // 8)).astype(np.uint64) << np.uint64(32)])
-        b = np.unique(b)
-        low = len(np.intersect1d(a, b))
-        if low / (len(a) + len(b) - low) >= near_dup.THRESHOLD:
-            tried += 1
-            common = rnd.integers(0, 50, near_dup.COUNTERS).astype(np.int32)
-            assert np.intersect1d(near_dup.prefixes(a, common), near_dup.prefixes(b, common)).size
-    assert tried > 200
-    assert len(near_dup.prefixes(np.zeros(0, np.uint64), np.zeros(near_dup.COUNTERS, np.int32))) == 0
-
-
-def test_near_dup_common_passage_brings_no_texts_together(spark, monkeypatch):
-    """Texts that share most of their words, and buckets, but no link: none meets in blocks. Planted pairs do."""
-    rnd = random.Random(23)
-    base, texts = [f"b{i}" for i in range(300)], []
-    for i in range(1200):
-        texts.append(" ".join(base + [f"own{i}x{k}" for k in range(85)]))
-    for i in range(0, 1200, 100):
-        own = base + [f"own{i}x{k}" for k in range(85)]
-        own[rnd.randrange(290)] = f"twin{i}"
-        texts.append(" ".join(own))
-    rows = list(enumerate(texts))
-    met, meeting = [], near_dup._meeting
-    monkeypatch.setattr(near_dup, "_meeting", lambda *args: met.append(meeting(*args)) or met[-1])
-    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i if i < 1200 else (i - 1200) * 100 for i in range(len(rows))}
-    assert met[0].count() <= 24  # texts that stand alone do not meet
-
-
 def test_near_dup_of_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SMALL, "documents").collect()]
     got = {r["doc_id"]: r["class_id"] for r in queries.op3_near_dup(spark, SMALL).collect()}
