@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -146,3 +147,16 @@ def test_parsers(spark, tmp_path):
     got = {r["title"]: (r["text"], r["status"]) for r in documents.read_documents(spark, str(tmp_path)).collect()}
     assert got["a"] == ("hello", "ok") and got["b"] == (None, "unsupported") and got["c"][1].startswith("error")
     assert got["d"][0].index("page 2") < got["d"][0].index("page 10")
+
+
+def test_ngrams_of_a_long_text(spark):
+    """Linear in the text: the clean-up before the n-grams is not repeated for each of them."""
+    s = "".join(random.Random(5).choices("ab c\U0001f600é", k=60_000))
+    bare = re.sub(r"\s+", "", s)
+    began = time.monotonic()
+    assert set(one(spark, s, text.distinct_bigrams)) == {bare[i : i + 2] for i in range(len(bare) - 1)}
+    assert time.monotonic() - began < 15
+    for n in (1, 2, 3):
+        for t in ("", "a", "ab", "a\U0001f600c d"):
+            assert one(spark, t, lambda c, n=n: text.ngrams(c, n)) == [t[i : i + n] for i in range(len(t) - n + 1)]
+        assert one(spark, None, lambda c, n=n: text.ngrams(c, n)) is None

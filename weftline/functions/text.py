@@ -22,8 +22,16 @@ def gram_hash(gram: Column, n: int, prefix: str = "") -> Column:
 
 
 def ngrams(s: Column, n: int) -> Column:
-    """All character n-grams, in order; none for a shorter string."""
-    return F.when(F.length(s) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: s.substr(i, F.lit(n))))
+    """All character n-grams, in order; none for a shorter string.
+
+    Shifted lists of the characters are put side by side, so ``s`` is worked out a few times for the text and not once a gram.
+    """
+    chars = F.split(s, "")
+    shifted = lambda i: F.slice(chars, i + 1, F.greatest(F.length(s) - n + 1, F.lit(0)))
+    out = shifted(0)
+    for i in range(1, n):
+        out = F.zip_with(out, shifted(i), lambda a, b: F.concat(a, b))
+    return F.when(F.length(s) < n, F.array().cast("array<string>")).otherwise(out)
 
 
 def distinct_bigrams(s: Column) -> Column:
