@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -308,3 +309,55 @@ def test_context_entries(spark):
     assert set(rows) == {1, 2, 3}
     text = ranking.contexts(ranking.context_entries(parents, docs, 500)).first()
     assert text["sources"] == 3 and text["context"].count("=" * 40) == 2
+
+
+# --- n-grams of texts
+
+
+def gram_sums(texts, grams):
+    """Sums of weights by entry of the n-grams of several texts; ``grams``: length, mark, weight."""
+
+    def hashed(s):
+        h = 0
+        for c in s:
+            h = (h * 31 + ord(c)) & 0xFFFFFFFF
+        return abs(h - (1 << 32) if h >= 1 << 31 else h)
+
+    out = {}
+    for t in (x.strip(" ").lower() for x in texts):
+        for n, mark, weight, size in grams:
+            for i in range(len(t) - n + 1):
+                entry = hashed(mark + t[i : i + n]) % size
+                out[entry] = out.get(entry, 0) + weight
+    return out
+
+
+def test_indexed_counts_a_keys_rows_together(spark):
+    """Keys whose rows go on over several batches, characters beyond 16 bits, empty and null texts: one row a key, summed, as SQL groups by it."""
+    rng = random.Random(6)
+    texts = [(rng.choice([1, 1, 1, 2, 3, 4, None]), "".join(rng.choices("aB c\U0001f600é离", k=rng.randint(0, 30)))) for _ in range(60)] + [(5, ""), (6, None), (7, "x"), (8, " Ab ")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(4)
+    dense, sparse = [(1, "", 0.5, 512), (2, "", 1.0, 512), (3, "", 1.5, 512)], [(2, "b:", 1, 0xFFFFFE), (3, "t:", 1, 0xFFFFFE)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = hybrid.indexed(df, "id", "text").collect()
+        terms, slots = hybrid.sparse_terms(df, "id", "text").collect(), hybrid.dense_slots(df, "id", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = {k for k, _ in texts}
+    assert sorted(map(str, (r["id"] for r in rows))) == sorted(map(str, keys))
+    for r in rows:
+        own = [t or "" for k, t in texts if k == r["id"]]
+        assert dict(zip(r["slots"], r["weights"])) == gram_sums(own, dense)
+        assert dict(zip(r["terms"], r["tfs"])) == gram_sums(own, sparse)
+        assert {x["term"]: x["tf"] for x in terms if x["id"] == r["id"]} == gram_sums(own, sparse)
+        mine = [x for x in slots if x["id"] == r["id"]]
+        assert {x["slot"]: x["weight"] for x in mine} == gram_sums(own, dense)
+        assert all(x["norm"] == pytest.approx(math.sqrt(sum(v * v for v in gram_sums(own, dense).values()))) for x in mine)
+
+
+def test_indexed_is_linear_in_a_text(spark):
+    df = spark.createDataFrame([(1, " Ab" * 50_000)], "id long, text string")
+    began = time.monotonic()
+    assert hybrid.sparse_terms(df, "id", "text").count() == 6
+    assert time.monotonic() - began < 15

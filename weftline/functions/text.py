@@ -12,15 +12,6 @@ def hash31(s: Column) -> Column:
     return F.abs(F.when(unsigned >= 2147483648, unsigned - 4294967296).otherwise(unsigned))
 
 
-def gram_hash(gram: Column, n: int, prefix: str = "") -> Column:
-    """``hash31`` of ``prefix`` and a gram of ``n`` (up to 3) characters, written out, so that it compiles to plain arithmetic."""
-    value = F.lit(sum(ord(c) * 31 ** (len(prefix) - 1 - i) for i, c in enumerate(prefix)) % 4294967296 * 31**n)
-    for i in range(n):
-        value = value + F.ascii(gram.substr(i + 1, 1)).cast("long") * 31 ** (n - 1 - i)
-    unsigned = value % 4294967296
-    return F.abs(F.when(unsigned >= 2147483648, unsigned - 4294967296).otherwise(unsigned))
-
-
 def ngrams(s: Column, n: int) -> Column:
     """All character n-grams, in order; none for a shorter string.
 

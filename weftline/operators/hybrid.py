@@ -6,57 +6,141 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import text
 from weftline.operators.blocks import Best, meet
 from weftline.tables import stored
 
 #: Slots of a dense vector, keys of the sparse one, weights of characters, bigrams and trigrams.
 SLOTS, KEYS = 512, 0xFFFFFE
 GRAM_WEIGHTS = (0.5, 1.0, 1.5)
+#: Characters whose n-grams are counted at once, about.
+COUNTED = 1 << 18
 #: Queries and rows that meet in one product.
 PRODUCT_QUERIES, PRODUCT_ROWS = 64, 64
 
 
-def _grams(df: DataFrame, key: str, grams: Column) -> DataFrame:
-    """(key, g, n): each gram with how often a row has it."""
-    return df.select(key, F.explode(grams).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("n"))
+def _hashes(points: np.ndarray, n: int, prefix: str = "") -> np.ndarray:
+    """``text.hash31`` of ``prefix`` and each n-gram of code points, in order."""
+    out = np.full(max(0, len(points) - n + 1), sum(ord(c) * 31 ** (len(prefix) + n - 1 - i) for i, c in enumerate(prefix)), np.int64)
+    for i in range(n):
+        out += points[i : i + len(out)] * 31 ** (n - 1 - i)
+    out %= 1 << 32
+    return np.abs(np.where(out >= 1 << 31, out - (1 << 32), out))
+
+
+def _dense_grams(points: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
+    """Of characters, bigrams and trigrams: their length, the slot of each, and their weight."""
+    return [(n, _hashes(points, n) % SLOTS, weight) for n, weight in enumerate(GRAM_WEIGHTS, 1)]
+
+
+def _sparse_grams(points: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
+    """Of bigrams and trigrams: their length, the term of each, and 1."""
+    return [(n, _hashes(points, n, mark) % KEYS, 1.0) for n, mark in ((2, "b:"), (3, "t:"))]
+
+
+def _summed(owner: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, entry and sum of weights, once each, in order; entries are less than 2^24."""
+    both, place = np.unique(owner << 24 | entry, return_inverse=True)
+    return both >> 24, both & 0xFFFFFF, np.bincount(place, weight, len(both))
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of (key, text) a few rows at a time, so that about ``COUNTED`` characters are worked on at once."""
+    for batch in batches:
+        texts, start, held = batch.column(1).to_pylist(), 0, 0
+        for at, one in enumerate(texts):
+            if held and held + len(one) > COUNTED:
+                yield batch.column(0).slice(start, at - start), texts[start:at]
+                start, held = at, 0
+            held += len(one)
+        if texts:
+            yield batch.column(0).slice(start), texts[start:]
+
+
+def _counted(df: DataFrame, key: str, body: str, kinds: list[Callable], told: Callable[..., list[pa.Array]], fields: str) -> DataFrame:
+    """What ``told`` makes of the keys and, for each of ``kinds`` of n-grams, the owner (a place among the keys), entry and sum of weights.
+
+    The rows of one key meet in a task, sorted, and count as one text's n-grams; what is held from one portion of rows to
+    the next is the sums of one key. Only texts are shuffled, no n-grams.
+    """
+    rows = df.select(F.col(key), F.lower(F.trim(F.coalesce(F.col(body), F.lit("")))).alias("__text"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums = None, []
+        batch = lambda keys, sums: pa.RecordBatch.from_arrays(told(keys, *sums), names)
+        for keys, texts in _portions(batches):
+            values = keys.to_pylist()
+            new = np.array([i > 0 and v != values[i - 1] for i, v in enumerate(values)])
+            group, firsts = np.cumsum(new), np.flatnonzero(new | (np.arange(len(new)) == 0))
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+            goes_on = held is not None and held[0].as_py() == values[0]
+            if held is not None and not goes_on:
+                yield batch(held, sums)
+            now = []
+            for i, grams in enumerate(kinds):
+                owner, entry, weight = [], [], []
+                for n, entries, w in grams(points):
+                    inside = row[: len(entries)] == row[n - 1 :]
+                    owner.append(group[row[: len(entries)][inside]])
+                    entry.append(entries[inside])
+                    weight.append(np.full(len(entry[-1]), w))
+                if goes_on:
+                    for list_, x in zip((owner, entry, weight), sums[i]):
+                        list_.append(x)
+                now.append(_summed(*map(np.concatenate, (owner, entry, weight))))
+            last = len(firsts) - 1
+            cut = [np.searchsorted(x[0], last) for x in now]
+            if last:
+                yield batch(keys.take(pa.array(firsts[:last])), [tuple(y[:c] for y in x) for x, c in zip(now, cut)])
+            held, sums = keys.take(pa.array(firsts[last:])), [(x[0][c:] - last, x[1][c:], x[2][c:]) for x, c in zip(now, cut)]
+        if held is not None:
+            yield batch(held, sums)
+
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, {fields}"
+    names = [key, *(f.split()[0] for f in fields.split(", "))]
+    return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(work, schema)
 
 
 def sparse_terms(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, term, tf): hashed bigrams and trigrams of the lower-cased, trimmed text with their counts; none for texts of one character."""
-    clean = F.lower(F.trim(F.coalesce(F.col(body), F.lit(""))))
-    named = lambda n, mark: F.transform(text.ngrams(clean, n), lambda g: F.concat(F.lit(mark), g))
-    rows = _grams(df, key, F.concat(named(2, "b:"), named(3, "t:")))
-    return rows.select(key, (F.when(F.length("g") == 4, text.gram_hash(F.substring("g", 3, 2), 2, "b:")).otherwise(text.gram_hash(F.substring("g", 3, 3), 3, "t:")) % KEYS).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("tf"))
+    told = lambda keys, x: [keys.take(pa.array(x[0])), pa.array(x[1]), pa.array(x[2].astype(np.int64))]
+    return _counted(df, key, body, [_sparse_grams], told, "term long, tf long")
 
 
 def dense_slots(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, slot, weight): characters, bigrams and trigrams hashed to slots, their weights added up, before any scaling."""
-    clean = F.lower(F.trim(F.coalesce(F.col(body), F.lit(""))))
-    rows = _grams(df, key, F.concat(*[text.ngrams(clean, n) for n in (1, 2, 3)]))
-    g, size = F.col("g"), F.length("g")
-    hashed = F.when(size == 1, text.gram_hash(g, 1)).when(size == 2, text.gram_hash(g, 2)).otherwise(text.gram_hash(g, 3))
-    weight = F.element_at(F.array(*map(F.lit, GRAM_WEIGHTS)), size)
-    return rows.select(key, (hashed % SLOTS).alias("slot"), (weight * F.col("n")).alias("w")).groupBy(key, "slot").agg(F.sum("w").alias("weight"))
+    """(key, slot, weight, norm): characters, bigrams and trigrams hashed to slots, their weights added up, before any scaling, and the length of the key's vector."""
+
+    def told(keys, x):
+        norm = np.sqrt(np.bincount(x[0], x[2] * x[2], len(keys)))
+        return [keys.take(pa.array(x[0])), pa.array(x[1]), pa.array(x[2]), pa.array(norm[x[0]])]
+
+    return _counted(df, key, body, [_dense_grams], told, "slot long, weight double, norm double")
 
 
 def indexed(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, slots, weights, terms, tfs): both vectors of every row; empty texts have empty ones.
+    """(key, slots, weights, terms, tfs): both vectors of every key, in order of slot and term; empty texts have empty ones.
 
-    What is gathered for a row is bounded by the distinct n-grams of its own text.
+    What is gathered for a key is bounded by the distinct n-grams of its own text.
     """
-    packed = lambda rows, a, b, names: rows.groupBy(key).agg(F.collect_list(F.struct(a, F.col(b).cast("double").alias(b))).alias("x")).select(key, F.col(f"x.{a}").alias(names[0]), F.col(f"x.{b}").alias(names[1]))
-    dense = packed(dense_slots(df, key, body), "slot", "weight", ("slots", "weights"))
-    sparse = packed(sparse_terms(df, key, body), "term", "tf", ("terms", "tfs"))
-    return df.select(key).join(dense, key, "left").join(sparse, key, "left")
+
+    def told(keys, *kinds):
+        out = [keys]
+        for owner, entry, weight in kinds:
+            ends = pa.array(np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.int32))
+            out += [pa.ListArray.from_arrays(ends, pa.array(entry)), pa.ListArray.from_arrays(ends, pa.array(weight))]
+        return out
+
+    return _counted(df, key, body, [_dense_grams, _sparse_grams], told, "slots array<long>, weights array<double>, terms array<long>, tfs array<double>")
 
 
 def _lists(keys: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, key and value of every entry of two list columns, each row's values scaled to unit length."""
-    many = np.array([len(x) if x else 0 for x in keys.to_pylist()], np.int64)
+    many = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(many)), many)
     k = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     v = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

@@ -28,9 +28,7 @@ def sparse_vectors(spark, d):
 
 def dense_fallback(spark, d):
     """Hashed dense vectors of every turn, as scaled entries."""
-    slots = hybrid.dense_slots(_turns(spark, d), "id", "text")
-    norm = slots.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return slots.join(norm, "id").select("id", "slot", F.round(F.col("weight") / F.col("norm"), 6).alias("value"))
+    return hybrid.dense_slots(_turns(spark, d), "id", "text").select("id", "slot", F.round(F.col("weight") / F.col("norm"), 6).alias("value"))
 
 
 def hybrid_weighted(spark, d):
