@@ -39,6 +39,19 @@ def test_blocks_give_what_a_broadcast_gives(spark, monkeypatch):
     assert rows_of(search.exact_cosine(queries, rows, 7)) == sent
 
 
+def test_blocks_meet_in_any_number_of_partitions(spark, monkeypatch):
+    """Partitions are not merged, as with large tables: both sides of a pair of blocks must still go to the same one."""
+    queries, rows = catalogue_search._tables(spark, FOLDER, scoped=True)
+    sent = rows_of(search.exact_cosine(queries, rows, 7))
+    for name, value in (("SENT_QUERIES", 3), ("QUERY_BLOCK", 10), ("ROW_BLOCK", 97)):
+        monkeypatch.setattr(blocks, name, value)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows_of(search.exact_cosine(queries, rows, 7)) == sent
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_best_keeps_ties_by_id():
     rng = random.Random(4)
     for _ in range(30):

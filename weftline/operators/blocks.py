@@ -66,11 +66,13 @@ def meet(queries: DataFrame, rows: DataFrame, work: Work, schema: str) -> DataFr
         return rows.mapInArrow(scan, schema)
     across, down = max(-(-n // QUERY_BLOCK), -(-numbers // SENT_NUMBERS)), -(-max(1, rows.count()) // ROW_BLOCK)
     names, own = rows.columns, queries.columns
-    place = lambda df, blocks: F.pmod(F.xxhash64(F.lit("block"), F.col(df.columns[0])), F.lit(blocks))
+    # Both sides' keys are longs: whole numbers of two types do not go to the same partition, and their blocks would never meet.
+    place = lambda df, blocks: F.pmod(F.xxhash64(F.lit("block"), F.col(df.columns[0])), F.lit(blocks)).cast("long")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     # Both sides may come from one table, so the columns of one get names of their own.
     left = queries.toDF(*[f"__asked_{c}" for c in own])
-    asked = left.withColumn("__a", place(left, across)).withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    held = rows.withColumn("__down", place(rows, down)).withColumn("__across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    asked = left.withColumn("__a", place(left, across)).withColumn("__d", each(down))
+    held = rows.withColumn("__down", place(rows, down)).withColumn("__across", each(across))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.select([f"__asked_{c}" for c in own]).rename_columns(own)
