@@ -1,6 +1,10 @@
 """Cut-offs, fusion, diversity and budgets on cases worked out by hand."""
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import evaluation, operations, ranking, search, state
 
@@ -75,3 +79,17 @@ def test_day_in_zone(spark):
     rows = spark.sql("SELECT timestamp'2026-08-18 15:59:00' AS ts, 1.0 AS v UNION ALL SELECT timestamp'2026-08-18 16:01:00', 0.5")
     got = {r["d"]: r["v"] for r in rows.groupBy(operations.local_day(rows.ts, "Asia/Shanghai").alias("d")).agg({"v": "sum"}).withColumnRenamed("sum(v)", "v").collect()}
     assert got == {"2026-08-18": pytest.approx(1.0), "2026-08-19": pytest.approx(0.5)}
+
+
+def test_sliding_errors_of_events_at_one_time(spark):
+    """Against a count over all pairs, and in time linear in what a window holds: old code added up each window anew."""
+    width = 300_000_000
+    times = sorted(random.Random(8).choice([0, 1, width - 1, width, width + 1, 2 * width - 1, 2 * width, 3 * width + 5, -1, -width]) for _ in range(80))
+    rows = [(i, t, "error" if i % 3 == 0 else "view") for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "event_id long, us long, event_type string").select("event_id", F.timestamp_micros("us").alias("ts"), "event_type")
+    got = {r["event_id"]: (r["in_window"], r["failed_in_window"]) for r in operations.sliding_errors(df, "ts", F.col("event_type") == "error").collect()}
+    assert got == {i: (sum(t - width < u <= t for _, u, _ in rows), sum(t - width < u <= t and e == "error" for _, u, e in rows)) for i, t, _ in rows}
+    many = spark.range(150_000).select(F.timestamp_micros(F.col("id") * 1000).alias("ts"), (F.col("id") % 2 == 0).alias("failed"))
+    began = time.monotonic()
+    assert operations.sliding_errors(many, "ts", F.col("failed")).agg(F.max("in_window")).first()[0] == 150_000
+    assert time.monotonic() - began < 20

@@ -77,17 +77,20 @@ def share(part: Column, whole: Column, digits: int = 4) -> Column:
 def sliding_errors(events: DataFrame, ts: str, failed: Column, seconds: int = 300, least: float = 0.1) -> DataFrame:
     """Each event with the number of events and failures in the ``seconds`` up to it (open at the far end), and an alert flag.
 
-    Time is cut in stretches of that length and every event is also dealt to the next stretch, so a window never
-    needs more than two stretches and the history is worked on in parallel.
+    Time is cut in stretches of that length. Every event counts from its time on, and in the next stretch until it is
+    ``seconds`` old, so a window's numbers are sums up to a time within one stretch: each row is added once, however many
+    events a window holds, and the history is worked on in parallel.
     """
     width = seconds * 1_000_000
     timed = events.withColumn("__us", micros(F.col(ts))).withColumn("__failed", failed.cast("int"))
     own = F.floor(F.col("__us") / width)
-    dealt = timed.withColumn("__own", own).withColumn("__part", F.explode(F.array(own, own + 1)))
-    w = Window.partitionBy("__part").orderBy("__us").rangeBetween(-(width - 1), 0)
-    counted = dealt.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("failed_in_window", F.sum("__failed").over(w))
+    mark = lambda part, at, sign, seen: F.struct(part.alias("part"), at.alias("at"), F.lit(sign).alias("sign"), F.lit(seen).alias("seen"))
+    marks = F.array(mark(own, F.col("__us"), 1, True), mark(own + 1, F.col("__us"), 1, False), mark(own + 1, F.col("__us") + width, -1, False))
+    dealt = timed.withColumn("__mark", F.explode(marks))
+    w = Window.partitionBy("__mark.part").orderBy("__mark.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = dealt.withColumn("in_window", F.sum("__mark.sign").over(w)).withColumn("failed_in_window", F.sum(F.col("__mark.sign") * F.col("__failed")).over(w))
     rate = F.round(F.col("failed_in_window") / F.col("in_window"), 6)
-    return counted.where(F.col("__part") == F.col("__own")).withColumn("error_rate", rate).withColumn("alert", (rate >= least).cast("int")).drop("__us", "__failed", "__own", "__part")
+    return counted.where("__mark.seen AND __us IS NOT NULL").withColumn("error_rate", rate).withColumn("alert", (rate >= least).cast("int")).drop("__us", "__failed", "__mark")
 
 
 def local_day(ts: Column, zone: str) -> Column:
