@@ -121,3 +121,12 @@ def test_exact_passage_is_found(spark):
     got = retrieval.search_knowledge(queries, passages).collect()
     assert 3 in {r.id for r in got}
     assert {r.id % 2 for r in retrieval.search_knowledge(queries, passages, "a").collect()} == {1}
+
+
+def test_a_card_is_parsed_once(spark):
+    """Each field used to parse the reply again: the plan held over twenty parsers."""
+    reply = '```json\n{"summary": "s", "steps": [{"title": " a "}, {"title": ""}], "materials": [" m ", " "], "duration": "1 d"}\n```'
+    df = spark.createDataFrame([(reply,), ("none",), (None,), ('{"summary": "s", "steps": [{"detail": ""}]}',)], "t string")
+    rows = df.select("t", messages.procedure_card(F.col("t")).alias("c")).where("c IS NOT NULL").select("t", "c.*")
+    assert [tuple(r)[1:] for r in rows.collect()] == [("s", [("a", "")], ["m"], None, "1 d", None)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2

@@ -47,17 +47,24 @@ def procedure_card(reply: Column) -> Column:
 
     Steps need a title or a detail, materials a text. Null where there is no JSON or the card would say nothing.
     """
-    fenced = F.regexp_extract(F.trim(reply), r"(?s)```(?:json)?\s*(.*?)```", 1)
     shape = "summary string, steps array<struct<title string, detail string>>, materials array<string>, location string, duration string, notes string"
-    card = F.from_json(json_part(F.when(fenced != "", fenced).otherwise(reply)), shape)
     said = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    steps = F.transform(F.filter(card["steps"], lambda s: filled(s["title"], s["detail"]).isNotNull()), lambda s: F.struct(said(s["title"]).alias("title"), said(s["detail"]).alias("detail")))
-    materials = F.filter(F.transform(card["materials"], said), lambda m: m != "")
-    steps = F.coalesce(steps, F.array().cast("array<struct<title string, detail string>>"))
-    materials = F.coalesce(materials, F.array().cast("array<string>"))
-    place, length = filled(card["location"]), filled(card["duration"])
-    useful = (F.size(steps) > 0) | (F.size(materials) > 0) | place.isNotNull() | length.isNotNull()
-    return F.when(useful, F.struct(F.coalesce(card["summary"], F.lit("")).alias("summary"), steps.alias("steps"), materials.alias("materials"), place.alias("location"), length.alias("duration"), filled(card["notes"]).alias("notes")))
+
+    def tidy(card: Column) -> Column:
+        steps = F.transform(F.filter(card["steps"], lambda s: filled(s["title"], s["detail"]).isNotNull()), lambda s: F.struct(said(s["title"]).alias("title"), said(s["detail"]).alias("detail")))
+        materials = F.filter(F.transform(card["materials"], said), lambda m: m != "")
+        return F.struct(
+            F.coalesce(card["summary"], F.lit("")).alias("summary"), F.coalesce(steps, F.array().cast("array<struct<title string, detail string>>")).alias("steps"),
+            F.coalesce(materials, F.array().cast("array<string>")).alias("materials"), filled(card["location"]).alias("location"), filled(card["duration"]).alias("duration"), filled(card["notes"]).alias("notes"),
+        )
+
+    def useful(card: Column) -> Column:
+        return (F.size(card["steps"]) > 0) | (F.size(card["materials"]) > 0) | card["location"].isNotNull() | card["duration"].isNotNull()
+
+    # Each step is the only element of an array, so that the next one has its value and does not work it out anew for every field.
+    fenced = F.transform(F.array(reply), lambda r: F.struct(r.alias("reply"), F.regexp_extract(F.trim(r), r"(?s)```(?:json)?\s*(.*?)```", 1).alias("fenced")))
+    cards = F.transform(fenced, lambda x: F.from_json(json_part(F.when(x["fenced"] != "", x["fenced"]).otherwise(x["reply"])), shape))
+    return F.get(F.filter(F.transform(cards, tidy), useful), F.lit(0))
 
 
 def reply_intent(reply: Column, fallback: Column) -> Column:
