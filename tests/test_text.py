@@ -160,3 +160,15 @@ def test_ngrams_of_a_long_text(spark):
         for t in ("", "a", "ab", "a\U0001f600c d"):
             assert one(spark, t, lambda c, n=n: text.ngrams(c, n)) == [t[i : i + n] for i in range(len(t) - n + 1)]
         assert one(spark, None, lambda c, n=n: text.ngrams(c, n)) is None
+
+
+def test_merge_report_merges_once(spark):
+    """What is asked of the lengths is read from what was written: the report's plan cuts no text."""
+    df = spark.createDataFrame([("Short. " * 9,), ("One long sentence that stands alone. Tiny.",), ("x",), ("",), (None,)], "text string")
+    report = chunking.merge_report(df)
+    assert "regexp_replace" not in report._jdf.queryExecution().optimizedPlan().toString()
+    parts = [["Short."] * 9, ["One long sentence that stands alone.", "Tiny."], ["x"]]
+    lengths = sorted(len(p) for x in parts for p in merged(x))
+    row = report.first()
+    assert (row["before"], row["after"], row["shortest"], row["longest"], row["p50"]) == (12, len(lengths), lengths[0], lengths[-1], lengths[len(lengths) // 2])
+    assert chunking.merge_report(df.where("text = ''")).count() == 0

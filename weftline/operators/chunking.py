@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.operations import floor_index, percentiles
+from weftline.tables import stored
 
 #: What begins a section and what marks lines of questions, options and answers.
 SECTION = "^[一二三四五六七八九十]+[、.．]"
@@ -168,12 +169,15 @@ def merge_report(parents: DataFrame, text: str = "text", target: int = 25, tail:
     """One row: what merging short sentences of ``parents`` does.
 
     Sentences before and after, how many fewer (and per cent), and of the merged ones' lengths the mean, extremes,
-    elements at floor(p x n), and how many are under 10, 30 and 100 characters and longer. Lengths are counted by their
-    value before percentiles are looked up, so no task holds all of them. Without sentences there is no row.
+    elements at floor(p x n), and how many are under 10, 30 and 100 characters and longer. Texts are cut and merged once:
+    the lengths are written down, and what is asked of them is read from there. Lengths are counted by their value before
+    percentiles are looked up, so no task holds all of them. Without sentences there is no row.
     """
-    parts = sentences(F.col(text))
-    split = parents.select(parts.alias("parts")).select(F.size("parts").alias("before"), merged_sentences(F.col("parts"), target, tail).alias("after"))
-    lengths = split.select(F.explode("after").alias("piece")).select(F.length("piece").alias("n"))
+    # Each step is the only element of an array, so that the next one has its value and does not work it out anew.
+    one = F.transform(F.array(F.col(text)), sentences)
+    merged = F.transform(one, lambda parts: F.struct(F.size(parts).alias("before"), F.transform(merged_sentences(parts, target, tail), lambda s: F.length(s)).alias("after")))
+    split = stored(parents.select(F.inline(merged)))
+    lengths = split.select(F.explode("after").alias("n"))
     counts = lengths.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
     places = {f"p{round(100 * p)}": floor_index(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
     found = percentiles(lengths.withColumn("all", F.lit(1)), "all", "n", places).drop("all")
