@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from weftline.plans import catalogue_eval, catalogue_search
 from weftline.sources import datasets
 from weftline.streaming import events as streams
 
+from tests.test_catalogue import QUERIES, SQL, plain
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -52,6 +55,25 @@ def test_blocks_meet_in_any_number_of_partitions(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("name", ["knn_cosine_topk"])
+def test_query_over_blocks_same_as_sql(spark, monkeypatch, name):
+    """As at 1 GB: two blocks of queries and two of rows, and more partitions than blocks, which are not merged."""
+    for setting, value in (("SENT_QUERIES", 3), ("QUERY_BLOCK", 13), ("ROW_BLOCK", 250)):
+        monkeypatch.setattr(blocks, setting, value)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{FOLDER}/embeddings.parquet'")
+    theirs = duck.execute(SQL[name]).df()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        ours = QUERIES[name](spark, FOLDER).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plain(ours) == plain(theirs)
+
+
 def test_best_keeps_ties_by_id():
     rng = random.Random(4)
     for _ in range(30):
