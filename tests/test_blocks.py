@@ -55,7 +55,7 @@ def test_blocks_meet_in_any_number_of_partitions(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("name", ["knn_cosine_topk", "knn_filtered_by_label", "filter_fallback", "doc_max_score", "distinct_sources", "reliable_queries", "reranked", "parent_sources", "retrieval_metrics", "metrics_by_group", "rerank_advice"])
+@pytest.mark.parametrize("name", ["knn_cosine_topk", "knn_filtered_by_label", "filter_fallback", "doc_max_score", "distinct_sources", "reliable_queries", "reranked", "parent_sources", "retrieval_metrics", "metrics_by_group", "rerank_advice", "run_summary"])
 def test_query_over_blocks_same_as_sql(spark, monkeypatch, name):
     """As at 1 GB: two blocks of queries and two of rows, and more partitions than blocks, which are not merged."""
     for setting, value in (("SENT_QUERIES", 3), ("QUERY_BLOCK", 13), ("ROW_BLOCK", 250)):
